@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,3 +87,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = e.select(F.col("dst").alias("node")).distinct()
     return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a Parquet table in the shared folder: narrower on disk than a checkpoint, for wide results.
+
+    The shuffle files behind it are of no more use; the nudge to the driver's collector lets Spark's cleaner drop them.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/coinfold-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out

@@ -183,3 +183,9 @@ r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JO
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, c.c = d.doc_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS c FROM r GROUP BY 1) c ON c.x = d.doc_id
 """
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+    """`docs` with one document of each group of near copies, the one of least id; rows with a null id stay."""
+    gone = minhash_dedup(docs, id_col=id_col, **kw).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
