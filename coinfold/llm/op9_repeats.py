@@ -85,6 +85,8 @@ COLUMNS = (("h1", U), ("sh", U), ("id", np.int64), ("s", np.int32), ("n", np.int
 
 def _packed(kind: int, bucket: np.ndarray, cols: tuple[np.ndarray, ...], extra: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, int, bytes]]:
     """One blob for each bucket: the number of rows, then the columns one after another; ids as differences."""
+    if not len(bucket):
+        return
     o = np.lexsort((cols[3], cols[2], bucket))
     cols = tuple(c[o] for c in cols)
     begin = K.grouped_starts(bucket[o])
