@@ -6,9 +6,10 @@ r*m*(m-1) would without the tensoring. With m=14, r=3 a pair of similarity 0.8 i
 
 Work moves as narrow rows: identical sets collapse first; a collection value that only one set has can't be part of a
 shared table key, so keys are formed only from shared values; a bucket sends one edge for each member, never all
-pairs. Candidates are confirmed on full sets in rounds: first each set against the centre of its candidate
-component, then, only in buckets whose members still lie in different components, against 4, 16, 64, ... further centres
-until every such pair has been tested or joined. So no link between different components is lost to a cap.
+pairs. These edges give candidate components. A component of up to `BLOCK` sets is settled in one task, which counts
+all intersections in blocks of a 0/1 matrix and sends a spanning forest of the confirmed links. In a larger one, every set is first
+confirmed against a few heads of the component; sets that are linked with the bulk need no comparison among themselves, and
+only the others meet all, block by block. So every link between different components is found, whatever the size.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import connected_components, cut, slices, table
+from .common import connected_components, cut, slices, stored, table
 
 HOT_CENTRE = 2000
+BLOCK = 384
+HEADS = 8
+COLUMNS = 8192
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +107,90 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return right.join(left, ["src", "salt"]).select("src", "dst", "left_set", "right_set").mapInArrow(_confirm(percent), "src long, dst long, linked boolean")
 
 
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set: a product of 0/1 matrices over the shared values."""
+    size = np.array([len(x) for x in left] + [len(x) for x in right])
+    values, col = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row = np.repeat(np.arange(len(size)), size)
+    n = len(left)
+    both = (np.bincount(col[row < n], minlength=len(values)) > 0) & (np.bincount(col[row >= n], minlength=len(values)) > 0)
+    place = np.cumsum(both) - 1
+    use = both[col]
+    row, col = row[use], place[col[use]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((n, len(right)), np.float32)
+    for at in range(0, int(both.sum()), COLUMNS):
+        i, j = np.searchsorted(col, [at, at + COLUMNS])
+        x = np.zeros((len(size), COLUMNS), np.float32)
+        x[row[i:j], col[i:j] - at] = 1
+        out += x[:n] @ x[n:].T
+    return out
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node that links a-b reach, for each of n nodes."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _block(percent: int):
+    def run(t: pa.Table) -> pa.Table:
+        o = np.argsort(t.column("id").to_numpy(), kind="stable")
+        ids, role = t.column("id").to_numpy()[o], t.column("role").to_numpy()[o]
+        raw = t.column("words").combine_chunks()
+        sets = [np.frombuffer(raw[int(i)].as_buffer(), np.uint64) for i in o]
+        left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)  # role 2 stands on both sides
+        n = np.array([len(x) for x in sets])
+        if not len(left) or not len(right):
+            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64())})
+        k = intersections([sets[i] for i in left], [sets[i] for i in right]).astype(np.int64)
+        a, b = np.nonzero(100 * k >= percent * (n[left][:, None] + n[right][None, :] - k))
+        a, b = left[a], right[b]
+        # Equal ids on both sides are one node.
+        node = np.searchsorted(ids, ids)
+        root = _forest(node[a], node[b], len(ids))
+        some = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"src": ids[some], "dst": ids[root[some]]})
+
+    return run
+
+
+def _links(wanted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): confirmed links of candidate components (id, centre), enough of them to connect what is connected."""
+    size = wanted.groupBy("centre").agg(F.count("*").alias("k"))
+    large = cut(size.where(F.col("k") > BLOCK))
+    mine = sets.join(size, "centre")
+    whole = mine.where(F.col("k") <= BLOCK).select("centre", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", F.lit(2).alias("role"), "words")
+    known = None
+    if not large.isEmpty():
+        member = cut(wanted.join(large, "centre"))
+        slot = F.pmod(F.xxhash64("id"), F.lit(HEADS))
+        heads = member.groupBy("centre", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(1)), F.col("id").alias("head"))).alias("h")).select("centre", "h.head")
+        pairs = member.join(heads, "centre").where("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst"))
+        big = stored(sets.join(large, "centre"))
+        known = cut(_verified(pairs, big.select("id", "words"), percent).where("linked").select("src", "dst"))
+        comp = connected_components(known)
+        own = cut(member.join(comp, F.col("id") == F.col("node"), "left").select("id", "centre", "k", F.coalesce("component", "id").alias("comp")))
+        bulk = own.groupBy("centre", "comp").agg(F.count("*").alias("n")).groupBy("centre").agg(F.max(F.struct("n", "comp"))["comp"].alias("bulk"))
+        own = own.join(bulk, "centre").select("id", "centre", "k", (F.col("comp") != F.col("bulk")).alias("loose"))
+        loose = own.where("loose").groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ni"))
+        rows = big.select("id", "words").join(own.join(loose, "centre").withColumn("nj", F.ceil(F.col("k") / BLOCK).cast("int")), "id")
+        left = rows.where("loose").select("centre", F.pmod(F.xxhash64("id"), F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "id", F.lit(0).alias("role"), "words")
+        right = rows.select("centre", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(F.xxhash64("id"), F.col("nj")).cast("int").alias("j"), "id", F.lit(1).alias("role"), "words")
+        whole = whole.unionByName(left).unionByName(right)
+    found = whole.groupBy("centre", "i", "j").applyInArrow(_block(percent), "src long, dst long")
+    return found if known is None else found.unionByName(known)
+
+
 def minhash_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, m: int = 14, r: int = 3, seed: int = 7
 ) -> DataFrame:
@@ -124,37 +212,8 @@ def minhash_dedup(
     member = cut(keys.join(full, "key").select("key", "rep", "centre").distinct())
     coarse = connected_components(member.select(F.col("rep").alias("src"), F.col("centre").alias("dst")))
     wanted = cut(coarse.select(F.col("node").alias("id"), F.col("component").alias("centre")))
-    sets = cut(src.where("id is not null").join(wanted, "id").select("id", "centre", "text").mapInArrow(_full_sets(words), "id long, centre long, words binary").dropDuplicates(["id"]))
-    tested = cut(_verified(wanted.where("id <> centre").select(F.col("centre").alias("src"), F.col("id").alias("dst")), sets, percent))
-    comp = tested.where("linked").select(F.col("dst").alias("node"), F.col("src").alias("component"))
-    centres = 4
-    small = None
-    while True:
-        own = member.select("key", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("key", "k")
-        open_ = cut(own.join(mixed, "key"))
-        if open_.isEmpty():
-            break
-        if small is None:
-            small = cut(sets.join(open_.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
-        # Each bucket names up to `centres` of its members, by hash; each is tested against the others. Small buckets name all.
-        order = F.xxhash64("rep", F.lit(centres))
-        slot = F.when(F.col("k") <= centres, F.col("rep")).otherwise(F.pmod(order, F.lit(centres)))
-        heads = open_.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(order.alias("o"), "rep", "comp")).alias("c"))
-        pairs = (
-            open_.join(heads, "key").where("comp <> c.comp")
-            .select(F.least("rep", "c.rep").alias("src"), F.greatest("rep", "c.rep").alias("dst")).distinct()
-            .join(tested.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), ["src", "dst"], "left_anti")
-        )
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            if open_.where(F.col("k") > centres).isEmpty():
-                break
-            centres *= 4
-            continue
-        tested = cut(tested.unionByName(_verified(pairs, small, percent)))
-        comp = cut(connected_components(tested.where("linked").select("src", "dst")))
-        centres *= 4
+    sets = stored(src.where("id is not null").join(wanted, "id").select("id", "centre", "text").mapInArrow(_full_sets(words), "id long, centre long, words binary").dropDuplicates(["id"]))
+    comp = connected_components(_links(wanted, sets, percent))
     of = sig.where("id is not null and n > 0").select("id", "set_key").join(reps.select("set_key", "rep"), "set_key").select("id", "rep")
     of = of.join(comp, F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("found"))
     out = sig.select("id", "n").join(of, "id", "left")
