@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-SLICE = 20_000
+SLICE = 1024
 
 
 def text_size(text: Column) -> Column:
