@@ -111,38 +111,40 @@ def document_features(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-def _without_near_copies(t: Tokens, n: int) -> np.ndarray:
-    """One document of those that share one of two minhashes of their 5-word shingles."""
+def _minhashes(t: Tokens, n: int) -> np.ndarray:
+    """Two minhashes of each text's 5-word shingles; texts without words get a value of their own."""
     h = K.span_hash(K.prefix(K.LOWER[t.buf]), t.begin, t.end)
     s, d = K.distinct_sorted(*K.shingles(h, t.doc, n, 5))
-    keep = np.ones(n, bool)
+    out = K.mix(np.arange(2 * n, dtype=np.uint64).reshape(n, 2) + np.uint64(1 << 62))
     at = K.grouped_starts(d)
     for i in range(2):
-        v = np.minimum.reduceat(K.mix(s ^ np.uint64(i + 1)), at) if len(at) else s
-        _, one = np.unique(v, return_index=True)
-        mine = np.zeros(n, bool)
-        mine[d[at[one]]] = True
-        keep[d[at]] &= mine[d[at]]
-    return keep
-
-
-def _marked_tokens(t: Tokens, toxic: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """Tokens of toxic documents with a feature whose share of toxic documents is significantly high."""
-    rate = toxic[keep].mean() if keep.any() else 0
-    mark = np.zeros(len(t.doc), bool)
-    if not 0 < rate < 1:
-        return mark
-    for i in range(t.features.shape[1]):
-        f = t.features[:, i].astype(np.int64)
-        use = (f >= 0) & keep[t.doc]
-        pair = np.unique(f[use] * len(toxic) + t.doc[use])
-        bad = np.bincount(pair // len(toxic), weights=toxic[pair % len(toxic)], minlength=1 << BITS)
-        n = np.bincount(pair // len(toxic), minlength=1 << BITS)
-        q = np.clip(bad / np.maximum(n, 1), 1e-9, 1 - 1e-9)
-        surprise = n * (q * np.log(q / rate) + (1 - q) * np.log((1 - q) / (1 - rate)))
-        strong = (q >= 0.8) & (surprise >= 9.5)
-        mark |= (f >= 0) & strong[np.maximum(f, 0)] & (toxic[t.doc] > 0)
-    return mark
+        if len(at):
+            out[d[at], i] = np.minimum.reduceat(K.mix(s ^ np.uint64(i + 1)), at)
+    return out
+
+
+class Counts:
+    """In how many documents, and in how many toxic ones, each feature stands."""
+
+    def __init__(self) -> None:
+        self.all = np.zeros((1 + len(BEGINNINGS), 1 << BITS), np.int32)
+        self.bad = np.zeros_like(self.all)
+
+    def add(self, t: Tokens, toxic: np.ndarray, keep: np.ndarray) -> None:
+        for i in range(t.features.shape[1]):
+            f = t.features[:, i].astype(np.int64)
+            use = (f >= 0) & keep[t.doc]
+            pair = np.unique(f[use] * len(toxic) + t.doc[use])
+            self.all[i] += np.bincount(pair // len(toxic), minlength=1 << BITS)
+            self.bad[i] += np.bincount(pair[toxic[pair % len(toxic)] > 0] // len(toxic), minlength=1 << BITS)
+
+    def strong(self, rate: float) -> np.ndarray:
+        """Features whose share of toxic documents is high, and significantly so."""
+        if not 0 < rate < 1:
+            return np.zeros(self.all.shape, bool)
+        q = np.clip(self.bad / np.maximum(self.all, 1), 1e-9, 1 - 1e-9)
+        surprise = self.all * (q * np.log(q / rate) + (1 - q) * np.log((1 - q) / (1 - rate)))
+        return (q >= 0.8) & (surprise >= 9.5)
 
 
 def _fit_field(features: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, np.ndarray]:
@@ -189,26 +191,53 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.5) -> np.ndarray:
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 40, l2: float = 0.02, seed: int = 5) -> Model:
+    """Works through the texts in slices of bounded size, several times; only the sentences to learn from are held."""
     toxic = toxic.astype(np.float64)
-    t = tokens(texts)
-    keep = _without_near_copies(t, len(toxic))
-    y = (_marked_tokens(t, toxic, keep)).astype(np.float64)
-    sentence = np.cumsum(np.isin(np.arange(len(t.doc)), t.first)) - 1
-    marked = np.zeros(len(t.first), bool)
-    marked[sentence[y > 0]] = True
-    some = np.random.default_rng(seed).random(len(t.first)) < min(1.0, (4 * marked.sum() + 2000) / max(1, len(t.first)))
-    use = (marked | some) & keep[t.doc[t.first]] if len(t.first) else marked
-    at = use[sentence] if len(t.doc) else np.zeros(0, bool)
-    s = sentence[at]
-    first = K.grouped_starts(s)
-    w, trans = _fit_field(t.features[at], y[at], first, rounds, l2)
+    n = len(toxic)
+    whole = pa.RecordBatch.from_arrays([texts], ["text"])
+
+    def parts() -> Iterator[tuple[slice, Tokens]]:
+        at = 0
+        for x in slices(iter([whole]), "text"):
+            yield slice(at, at + x.num_rows), tokens(x.column("text"))
+            at += x.num_rows
+
+    hashes = np.concatenate([_minhashes(t, p.stop - p.start) for p, t in parts()]) if n else np.zeros((0, 2), np.uint64)
+    keep = np.ones(n, bool)
+    for i in range(2):
+        first = np.zeros(n, bool)
+        first[np.unique(hashes[:, i], return_index=True)[1]] = True
+        keep &= first
+    counts = Counts()
+    for p, t in parts():
+        counts.add(t, toxic[p], keep[p])
+    strong = counts.strong(float(toxic[keep].mean()) if keep.any() else 0.0)
+    rng = np.random.default_rng(seed)
+    features, tags, heads = [np.zeros((0, 1 + len(BEGINNINGS)), np.int32)], [np.zeros(0)], [np.zeros(0, np.int64)]
+    for p, t in parts():
+        if not len(t.doc):
+            continue
+        mark = np.zeros(len(t.doc), bool)
+        for i in range(t.features.shape[1]):
+            f = t.features[:, i]
+            mark |= (f >= 0) & strong[i][np.maximum(f, 0)]
+        mark &= toxic[p][t.doc] > 0
+        sentence = np.repeat(np.arange(len(t.first)), np.diff(np.append(t.first, len(t.doc))))
+        marked = np.bincount(sentence, weights=mark) > 0
+        # All marked sentences, and a share of the others about four times as large.
+        use = (marked | (rng.random(len(t.first)) < min(1.0, (4 * marked.sum() + 50) / len(t.first)))) & keep[p][t.doc[t.first]]
+        at = use[sentence]
+        heads.append(K.grouped_starts(sentence[at]) + sum(map(len, tags)))
+        features.append(t.features[at])
+        tags.append(mark[at].astype(np.float64))
+    w, trans = _fit_field(np.concatenate(features), np.concatenate(tags), np.concatenate(heads), rounds, l2)
     m = Model(w.astype(np.float32), trans, np.zeros(3))
-    x = document_features(marginals(t, m), t.doc, len(toxic))
+    x = np.concatenate([document_features(marginals(t, m), t.doc, p.stop - p.start) for p, t in parts()]) if n else np.zeros((0, 3))
     m.score = _fit_logistic(x[keep], toxic[keep]) if keep.any() else np.array([-9.0, 0, 0])
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits on at most `max_rows` labelled rows outside the held-out quarter, those of least hash of the id.
 
     Null labels and texts are left out. Without any row the score is near 0 everywhere.
@@ -216,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str
     want = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
     want = want.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(want), "id").where("text is not null").dropDuplicates(["id"])
-    t = rows.orderBy("id").toArrow()
+    t = rows.toArrow().sort_by("id")
     return fit(t.column("text").combine_chunks(), t.column("y").to_numpy())
 
 
