@@ -24,7 +24,7 @@ def text_size(text: Column) -> Column:
 def text_quality(text: Column) -> Column:
     """A weight from 0.05 to 1: the share of characters that aren't digits or symbols."""
     rest = F.length(F.translate(text, "0123456789#$%&*|<>{}[]()=+_/\\!@^~`\"", ""))
-    return F.coalesce(F.greatest(F.lit(0.05), rest / F.length(text)), F.lit(0.05))
+    return F.coalesce(F.greatest(F.lit(0.05), F.try_divide(rest, F.length(text))), F.lit(0.05))
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
