@@ -58,3 +58,25 @@ def staking_echoes(ledger: DataFrame, hours: float = 48, tolerance: float = 0.02
     s = x.where("transaction_type = 'STAKING'").select("asset", "source", F.col("at").alias("s_at"), F.col("amount").alias("s_amount"), F.explode(F.array(F.floor(F.col("at") / size), F.floor(F.col("at") / size) + 1)).alias("bucket"))
     near = (F.col("at") >= F.col("s_at")) & (F.col("at") - F.col("s_at") <= size) & (F.abs(F.col("amount") - F.col("s_amount")) <= F.greatest("amount", "s_amount") * tolerance)
     return out.join(s, ["asset", "source", "bucket"]).where(near).select("id").distinct()
+
+
+def mistyped_transfers(ledger: DataFrame, minutes: float = 5, tolerance: float = 1e-6) -> DataFrame:
+    """Pairs of a sale at one venue and a purchase of the same amount at another within minutes: (asset, out_id, in_id, pair_id).
+
+    Rows with a mark of a market trade (counter asset, order type, result) and derivatives are no candidates.
+    """
+    size = minutes * 60
+    x = ledger.where("counter_asset is null and venue_order_type is null and realized_pnl is null and source is not null and coalesce(instrument_kind, '') <> 'perp'").withColumn("at", F.unix_micros("timestamp") / 1e6)
+    out = x.where("transaction_type = 'SELL'").select("asset", F.col("id").alias("out_id"), F.col("source").alias("s1"), F.col("at").alias("out_at"), F.col("amount").alias("a1"), F.floor(F.col("at") / size).alias("bucket"))
+    into = x.where("transaction_type = 'BUY'").select("asset", F.col("id").alias("in_id"), F.col("source").alias("s2"), F.col("at").alias("in_at"), F.col("amount").alias("a2"), F.explode(F.array(*[F.floor(F.col("at") / size) + i for i in (-1, 0, 1)])).alias("bucket"))
+    ok = (F.col("s1") != F.col("s2")) & (F.abs(F.col("a1") - F.col("a2")) <= F.greatest("a1", "a2") * tolerance) & (F.abs(F.col("in_at") - F.col("out_at")) <= size)
+    c = out.join(into, ["asset", "bucket"]).where(ok).select("asset", "out_id", "in_id", "out_at", "in_at", F.col("in_at").alias("score"))
+    return c.groupBy("asset").applyInPandas(_assign, "asset string, out_id string, in_id string, pair_id string")
+
+
+def as_transfers(ledger: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Types the legs of pairs as a transfer out and in."""
+    ids = pairs.select(F.explode(F.array(F.struct(F.col("out_id").alias("i"), F.lit("OUT").alias("w"), "pair_id"), F.struct(F.col("in_id").alias("i"), F.lit("IN").alias("w"), "pair_id"))).alias("x")).select("x.i", "x.w", F.col("x.pair_id").alias("_p"))
+    hit = F.col("i").isNotNull()
+    x = ledger.join(ids, F.col("id") == F.col("i"), "left")
+    return x.withColumns({"transaction_type": F.when(hit, "TRANSFER").otherwise(F.col("transaction_type")), "transfer_direction": F.coalesce("w", "transfer_direction"), "transfer_pair_id": F.coalesce("_p", "transfer_pair_id")}).select(*ledger.columns)
