@@ -90,14 +90,13 @@ def net_flows(ledger: DataFrame) -> DataFrame:
 
 
 def swap_basis(ledger: DataFrame) -> DataFrame:
-    """Groups with value on one side only: the other side's rows take it, several by their share of the quantity."""
+    """Groups with value on one side only: the other side's rows take it, several by their share of the quantity, in whole cents."""
     w = Window.partitionBy("trade_group_id")
-    v, t = F.coalesce("fiat_value_at_trigger", F.lit(0.0)), F.col("transaction_type")
-    sold, bought = F.sum(F.when(t == "SELL", v).otherwise(0)).over(w), F.sum(F.when(t == "BUY", v).otherwise(0)).over(w)
-    qty = F.sum(F.when(t == "BUY", F.col("amount")).otherwise(0)).over(w)
-    n_sells = F.count_if(t == "SELL").over(w)
-    x = ledger.withColumns({"_s": sold, "_b": bought, "_q": qty, "_n": n_sells})
-    new = F.when(F.col("trade_group_id").isNull(), v).when((t == "BUY") & (F.col("_b") == 0) & (F.col("_s") > 0) & (F.col("_q") > 0), F.col("_s") * F.col("amount") / F.col("_q")).when((t == "SELL") & (F.col("_s") == 0) & (F.col("_b") > 0) & (F.col("_n") == 1), F.col("_b")).otherwise(v)
+    v, u, t = S.cents(F.coalesce("fiat_value_at_trigger", F.lit(0.0))), S.units(F.col("amount")), F.col("transaction_type")
+    total = lambda kind, c: F.sum(F.when(t == kind, c).otherwise(0)).over(w).cast("decimal(38,0)")
+    x = ledger.withColumns({"_s": total("SELL", v), "_b": total("BUY", v), "_q": total("BUY", u), "_n": F.count_if(t == "SELL").over(w)})
+    grouped = F.col("trade_group_id").isNotNull()
+    new = F.when(grouped & (t == "BUY") & (F.col("_b") == 0) & (F.col("_s") > 0) & (F.col("_q") > 0), S.money(S.share(F.col("_s"), u, F.col("_q")))).when(grouped & (t == "SELL") & (F.col("_s") == 0) & (F.col("_b") > 0) & (F.col("_n") == 1), S.money(F.col("_b"))).otherwise(F.col("fiat_value_at_trigger"))
     return x.withColumn("fiat_value_at_trigger", new).drop("_s", "_b", "_q", "_n")
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.lineage import cut
 
 MATCHES = "asset string, disposal_id string, lot_id string, acquired timestamp, disposed timestamp, qty_u decimal(38,0), proceeds_c decimal(38,0), cost_c decimal(38,0)"
 
@@ -30,34 +31,63 @@ def lot_events(ledger: DataFrame) -> DataFrame:
     return e.where("sign is not null and qty_u > 0")
 
 
-def fifo_matches(events: DataFrame) -> DataFrame:
+def _prior(slices: DataFrame, keys: list[str], by: str, **what: Column) -> DataFrame:
+    """For each slice of a key, aggregates over the slices before it."""
+    w = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return slices.select(*keys, by, *[c.over(w).alias(n) for n, c in what.items()])
+
+
+def fifo_matches(events: DataFrame, slice_by: str = "month", axis_slices: int = 64) -> DataFrame:
     """Matches of disposals to lots, first in first out; what no lot covers has lot_id null and cost 0.
 
     Lots lie end to end on an axis of quantity, and so do the covered parts of disposals; the uncovered quantity so far is how
     far the running balance has been below zero. Both kinds of interval are merged by their begin, and each stretch to the next
-    begin takes the lot and disposal seen last: a sort for each asset, never lots times disposals.
+    begin takes the lot and disposal seen last: sorts, never lots times disposals.
+
+    No window holds a whole asset: running sums are cut into slices of time, the merge into slices of the axis, and each slice starts from
+    what the ones before it hand on, aggregated to a row for each slice. `slice_by` (a unit of date_trunc) and `axis_slices` (for each
+    asset) set how finely a hot asset is spread.
     """
-    w = Window.partitionBy("asset").orderBy("timestamp", "gid", F.col("sign").desc(), "id")
+    dec = lambda c: c.cast("decimal(38,0)")
+    zero = dec(F.lit(0))
+    e = events.withColumn("cut", F.date_trunc(slice_by, "timestamp"))
+    w = Window.partitionBy("asset", "cut").orderBy("timestamp", "gid", F.col("sign").desc(), "id")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    net = events.withColumn("net", F.sum(F.col("sign") * F.col("qty_u")).over(run))
-    short = net.withColumn("u", F.greatest(F.lit(0), -F.min("net").over(run)))
-    bare = F.col("u") - F.coalesce(F.lag("u").over(w), F.lit(0))
-    d = short.withColumn("bare", F.when(F.col("sign") < 0, bare).otherwise(0).cast("decimal(38,0)")).withColumn("len", (F.col("qty_u") - F.col("bare")).cast("decimal(38,0)"))
-    axis = Window.partitionBy("asset", "sign").orderBy("timestamp", "gid", "id").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("end", F.sum("len").over(axis).cast("decimal(38,0)")).withColumn("pos", (F.col("end") - F.col("len")).cast("decimal(38,0)"))
+    e = cut(e.withColumn("inner", dec(F.sum(F.col("sign") * F.col("qty_u")).over(run))))
+    totals = e.groupBy("asset", "cut").agg(dec(F.sum(F.col("sign") * F.col("qty_u"))).alias("sum"), F.min("inner").alias("low"))
+    before = _prior(totals, ["asset"], "cut", base=F.sum("sum"))
+    lows = totals.join(before, ["asset", "cut"]).select("asset", "cut", dec(F.coalesce("base", zero)).alias("base"), dec(F.coalesce("base", zero) + F.col("low")).alias("low"))
+    floor = lows.join(_prior(lows, ["asset"], "cut", floor=F.min("low")), ["asset", "cut"]).select("asset", "cut", "base", dec(F.least(zero, F.coalesce("floor", zero))).alias("floor"))
+    e = e.join(floor, ["asset", "cut"]).withColumn("u", dec(-F.least("floor", F.col("base") + F.min("inner").over(run))))
+    bare = F.col("u") - F.coalesce(F.lag("u").over(w), -F.col("floor"))
+    d = e.withColumn("bare", dec(F.when(F.col("sign") < 0, bare).otherwise(0))).withColumn("len", dec(F.col("qty_u") - F.col("bare")))
+    d = cut(d.drop("inner", "base", "floor", "u"))
+    ends = d.groupBy("asset", "sign", "cut").agg(dec(F.sum("len")).alias("sum"))
+    ends = _prior(ends, ["asset", "sign"], "cut", start=F.sum("sum"))
+    inside = Window.partitionBy("asset", "cut", "sign").orderBy("timestamp", "gid", "id").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.join(ends, ["asset", "sign", "cut"]).withColumn("end", dec(F.coalesce("start", zero) + F.sum("len").over(inside))).withColumn("pos", dec(F.col("end") - F.col("len")))
+    d = cut(d)
+
     it = F.struct("id", "timestamp", "qty_u", "value_c", "end")
-    starts = d.where("len > 0").select("asset", "pos", "sign", F.when(F.col("sign") > 0, it).alias("lot"), F.when(F.col("sign") < 0, it).alias("out"))
-    o = Window.partitionBy("asset").orderBy("pos", "sign")
+    width = d.where("sign > 0").groupBy("asset").agg(F.greatest(F.lit(1.0), F.sum("len").cast("double") / axis_slices).alias("width"))
+    starts = d.where("len > 0").join(width, "asset").select("asset", F.floor(F.col("pos").cast("double") / F.col("width")).alias("part"), "pos", "sign", F.when(F.col("sign") > 0, it).alias("lot"), F.when(F.col("sign") < 0, it).alias("out"))
+    parts = starts.groupBy("asset", "part").agg(F.max_by("lot", F.when(F.col("sign") > 0, F.col("pos"))).alias("lot"), F.max_by("out", F.when(F.col("sign") < 0, F.col("pos"))).alias("out"), F.min("pos").alias("first"))
+    given = _prior(parts, ["asset"], "part", lot0=F.last("lot", True), out0=F.last("out", True))
+    after = Window.partitionBy("asset").orderBy("part")
+    given = given.join(parts.select("asset", "part", F.lead("first").over(after).alias("next0")), ["asset", "part"])
+    o = Window.partitionBy("asset", "part").orderBy("pos", "sign")
     seen = o.rowsBetween(Window.unboundedPreceding, 0)
-    s = starts.select("asset", "pos", F.last("lot", True).over(seen).alias("lot"), F.last("out", True).over(seen).alias("out"), F.lead("pos").over(o).alias("next"))
-    q = (F.least("next", "lot.end", "out.end") - F.col("pos")).cast("decimal(38,0)")
+    s = starts.join(given, ["asset", "part"]).select(
+        "asset", "pos", F.coalesce(F.last("lot", True).over(seen), F.col("lot0")).alias("lot"), F.coalesce(F.last("out", True).over(seen), F.col("out0")).alias("out"), F.coalesce(F.lead("pos").over(o), F.col("next0")).alias("next")
+    )
+    q = dec(F.least("next", "lot.end", "out.end") - F.col("pos"))
     covered = s.withColumn("q", q).where(F.col("lot").isNotNull() & F.col("out").isNotNull() & (F.col("q") > F.lit(100))).select(
         "asset", F.col("out.id").alias("disposal_id"), F.col("lot.id").alias("lot_id"), F.col("lot.timestamp").alias("acquired"), F.col("out.timestamp").alias("disposed"), F.col("q").alias("qty_u"),
         S.share(F.col("out.value_c"), F.col("q"), F.col("out.qty_u")).alias("proceeds_c"), S.share(F.col("lot.value_c"), F.col("q"), F.col("lot.qty_u")).alias("cost_c"),
     )
     uncovered = d.where("bare > 100").select(
         "asset", F.col("id").alias("disposal_id"), F.lit(None).cast("string").alias("lot_id"), F.lit(None).cast("timestamp").alias("acquired"), F.col("timestamp").alias("disposed"), F.col("bare").alias("qty_u"),
-        S.share(F.col("value_c"), F.col("bare"), F.col("qty_u")).alias("proceeds_c"), F.lit(0).cast("decimal(38,0)").alias("cost_c"),
+        S.share(F.col("value_c"), F.col("bare"), F.col("qty_u")).alias("proceeds_c"), zero.alias("cost_c"),
     )
     return covered.unionByName(uncovered)
 

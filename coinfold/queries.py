@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import classifiers as C
 from .operators import ledger_ops as L
 from .operators import pairing as P
 from .plans import uk_cgt as UK
@@ -88,6 +89,28 @@ def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.coverage_gaps(days)
 
 
+def _zones(x: DataFrame) -> DataFrame:
+    """Each tenth row once more, an hour later, as an export in another time zone has it."""
+    x = x.withColumn("source", F.lit("binance")).withColumn("fee_fiat", F.lit(0.0))
+    late = x.where(F.pmod("seq", F.lit(10)) == 0).withColumns({"id": F.concat("id", F.lit("-tz")), "timestamp": F.col("timestamp") + F.expr("interval 1 hour")})
+    return C.timezone_copies(x.unionByName(late)).select("id", "asset", "timestamp")
+
+
+def _perp_schedule(x: DataFrame) -> DataFrame:
+    """Result less fee of derivatives' closes by year, gains and losses apart, as whole cents."""
+    c = lambda n: F.round((F.col(n) * 100).cast("decimal(38,6)"), 0)
+    net = c("realized_pnl") - c("fee_fiat")
+    g = x.where(L.S.is_perp(F.col("instrument_kind"), F.col("source")) & F.col("realized_pnl").isNotNull()).groupBy(F.year("timestamp").alias("year")).agg(
+        F.count("*").alias("n"), F.sum(F.greatest(net, F.lit(0))).alias("g"), F.sum(F.greatest(-net, F.lit(0))).alias("l")
+    )
+    return g.select("year", "n", (F.col("g") / 100).cast("double").alias("gains"), (F.col("l") / 100).cast("double").alias("losses"))
+
+
+def _pair_values(x: DataFrame) -> DataFrame:
+    x = x.where("transaction_type = 'TRANSFER'").withColumn("transfer_pair_id", F.col("trade_group_id")).withColumn("fiat_value_at_trigger", F.when(F.col("transfer_direction") == "OUT", F.col("fiat_value_at_trigger")).otherwise(0.0))
+    return C.pair_values(x).where("fiat_value_at_trigger > 0").groupBy("transfer_pair_id").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     "ledger_view": _on_ledger(lambda x: x.select("id", "timestamp", "asset", "transaction_type", "amount", "fiat_value_at_trigger", "fee_fiat", "fiat_currency", "source", "transfer_direction", "instrument_kind", "seq")),
     "reporting_value": _reporting,
@@ -101,7 +124,7 @@ QUERIES = {
     "form8949": _on_fifo(US.form_8949),
     "realized_by_asset": _on_fifo(US.realized_by_asset),
     "realized_by_year_term": _on_fifo(US.realized_by_year_term),
-    "term_rollup": _on_fifo(lambda m: US.realized_by_year_term(m, True)),
+    "term_rollup": _on_fifo(lambda m: US.realized_by_year_term(m, True).withColumns({"year": F.coalesce(F.col("year").cast("string"), F.lit("all")), "term": F.coalesce("term", F.lit("all"))})),
     "open_lots": lambda s, d: _lots(s, d).select("asset", "id", US.S.quantity(F.col("qty_u")).alias("quantity"), US.S.money(F.col("cost_c")).alias("cost")),
     "positions": _positions,
     "top_positions": lambda s, d: _positions(s, d).orderBy(F.col("market_value").desc(), "asset").limit(20).select("asset", "market_value"),
@@ -116,7 +139,7 @@ QUERIES = {
     "income_by_year": _on_ledger(L.income_by_year),
     "perps_summary": _on_ledger(L.perps_summary),
     "swap_net_flows": _on_ledger(L.net_flows),
-    "swap_basis": _on_ledger(lambda x: L.swap_basis(x.withColumn("fiat_value_at_trigger", F.when(F.col("transaction_type") == "BUY", 0.0).otherwise(F.col("fiat_value_at_trigger")))).where("transaction_type = 'BUY'").select("id", F.round(F.col("fiat_value_at_trigger"), 1).alias("value"))),
+    "swap_basis": _on_ledger(lambda x: L.swap_basis(x.withColumn("fiat_value_at_trigger", F.when(F.col("transaction_type") == "BUY", 0.0).otherwise(F.col("fiat_value_at_trigger")))).where("transaction_type = 'BUY'").select("id", F.col("fiat_value_at_trigger").alias("value"))),
     "fork_quantity": _on_ledger(lambda x: L.fork_quantity(x, "P1", "1999-01-01")),
     "coverage_gaps": _gaps,
     "import_overlaps": _on_ledger(L.import_overlaps),
@@ -130,6 +153,13 @@ QUERIES = {
     "leg_groups": _on_ledger(L.leg_groups),
     "staking_summary": _on_ledger(lambda x: x.where("transaction_type = 'STAKING'").groupBy("asset").agg(F.count("*").alias("n_events"), F.sum("amount").alias("quantity"), F.min("timestamp").alias("first_at"))),
     "dex_price": _dex,
+    "liquidity_events": _on_ledger(lambda x: C.liquidity_for_tax(x).where("event_subtype is not null").select("id", "asset", "transaction_type", "event_subtype", F.col("fiat_value_at_trigger").alias("value"))),
+    "income_retyped": _on_ledger(lambda x: C.income(x.withColumn("source", F.lit("solana")).withColumn("asset", F.when(F.pmod("seq", F.lit(2)) == 0, "SOL").otherwise(F.col("asset")))).groupBy("transaction_type").agg(F.count("*").alias("n"))),
+    "lending_for_tax": _on_ledger(lambda x: C.lending_for_tax(x.withColumn("counterparty_address", F.when(F.pmod("seq", F.lit(2)) == 0, C.LENDING_PROGRAMS[0]))).where("event_subtype is not null").select("id", "transaction_type", "event_subtype")),
+    "timezone_copies": _on_ledger(_zones),
+    "mistyped_transfers": _on_ledger(lambda x: P.mistyped_transfers(x.withColumn("amount", F.lit(1.0)).withColumn("realized_pnl", F.lit(None).cast("double")), 60 * 24)),
+    "perp_schedule": _on_ledger(_perp_schedule),
+    "pair_values": _on_ledger(_pair_values),
 }
 
 _LOT_SQL = (
@@ -161,6 +191,14 @@ pos AS (SELECT pos0.*, round((q::decimal(38,0) * price::decimal(18,2))::decimal(
 """
 )
 _L = "WITH" + LEDGER_SQL
+_UK_SQL = (
+    _L
+    + """, u AS (
+  SELECT id, asset, timestamp, (timestamp AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/London')::date AS day, amount::hugeint AS q, CASE WHEN transaction_type IN ('BUY','AIRDROP','STAKING') OR dir = 'IN' THEN 'A' ELSE 'D' END AS side,
+    (round(fiat * 100)::hugeint + CASE WHEN transaction_type IN ('BUY','AIRDROP','STAKING') OR dir = 'IN' THEN 1 WHEN transaction_type = 'FEE' THEN 0 ELSE -1 END * round(fee * 100)::hugeint) * CASE ccy WHEN 'GBP' THEN 100000000 WHEN 'EUR' THEN 86000000 WHEN 'JPY' THEN 530000 ELSE 79000000 END AS v
+  FROM ledger WHERE kind IS NULL),
+  day AS (SELECT asset, day, side, sum(q) AS q, sum(v) AS v, string_agg(id, '+' ORDER BY timestamp, id) AS ids FROM u GROUP BY 1, 2, 3)"""
+)
 SQL = {
     "ledger_view": _L + " SELECT id, timestamp, asset, transaction_type, amount, fiat AS fiat_value_at_trigger, fee AS fee_fiat, ccy AS fiat_currency, source, dir AS transfer_direction, kind AS instrument_kind, seq FROM ledger",
     "reporting_value": _L
@@ -178,7 +216,7 @@ SQL = {
     "realized_by_asset": _LOT_SQL
     + "SELECT asset, count(*) AS n_rows, sum(qu) / 1e8 AS quantity, sum(p) / 100.0::double AS proceeds, sum(c) / 100.0::double AS cost_basis, (sum(p) - sum(c)) / 100.0::double AS realized_pnl, CASE WHEN sum(c) > 0 THEN round((sum(p) - sum(c)) * 10000 / sum(c)) / 100.0::double + 0 ELSE 0 END AS realized_pct FROM m GROUP BY 1",
     "realized_by_year_term": _LOT_SQL + "SELECT year(disposed)::int AS year, term, count(*) AS n_rows, sum(p) / 100.0::double AS proceeds, sum(c) / 100.0::double AS cost_basis, (sum(p) - sum(c)) / 100.0::double AS gain_loss FROM m GROUP BY 1, 2",
-    "term_rollup": _LOT_SQL + "SELECT year(disposed)::int AS year, term, count(*) AS n_rows, sum(p) / 100.0::double AS proceeds, sum(c) / 100.0::double AS cost_basis, (sum(p) - sum(c)) / 100.0::double AS gain_loss FROM m GROUP BY ROLLUP (year(disposed)::int, term)",
+    "term_rollup": _LOT_SQL + "SELECT coalesce(year(disposed)::int::varchar, 'all') AS year, coalesce(term, 'all') AS term, count(*) AS n_rows, sum(p) / 100.0::double AS proceeds, sum(c) / 100.0::double AS cost_basis, (sum(p) - sum(c)) / 100.0::double AS gain_loss FROM m GROUP BY ROLLUP (year(disposed)::int, term)",
     "open_lots": _LOT_SQL + "SELECT asset, id, qu / 1e8 AS quantity, c / 100.0::double AS cost FROM lots",
     "positions": _LOT_SQL + "SELECT asset, n_lots, first_acquired, q / 1e8 AS quantity, c / 100.0::double AS invested, v / 100.0::double AS market_value, (v - c) / 100.0::double AS unrealized FROM pos",
     "top_positions": _LOT_SQL + "SELECT asset, v / 100.0::double AS market_value FROM pos ORDER BY v DESC, asset LIMIT 20",
@@ -224,6 +262,32 @@ SQL = {
     "leg_groups": _L
     + """ SELECT gid AS group_key, count(*) AS n_legs, count(DISTINCT asset) AS n_assets, min(timestamp) AS first_at, arg_min(transaction_type, CASE transaction_type WHEN 'SELL' THEN 1 WHEN 'BUY' THEN 2 WHEN 'STAKING' THEN 3 WHEN 'AIRDROP' THEN 4 WHEN 'TRANSFER' THEN 5 ELSE 6 END) AS primary_type,
   sum(round(fiat * 100)::hugeint) / 100.0::double AS value FROM ledger GROUP BY 1 HAVING count(*) >= 2""",
+    "same_day_matches": _UK_SQL
+    + """ SELECT a.asset, a.day, (year(a.day) - CASE WHEN strftime(a.day, '%m%d') < '0406' THEN 1 ELSE 0 END) || '/' || lpad(((year(a.day) - CASE WHEN strftime(a.day, '%m%d') < '0406' THEN 1 ELSE 0 END + 1) % 100)::varchar, 2, '0') AS tax_year, d.ids AS disposal_id, a.ids AS acquisition_id,
+  least(a.q, d.q)::double AS quantity, (2 * d.v * least(a.q, d.q) + d.q * 100000000) // (2 * d.q * 100000000) / 100.0::double AS proceeds, (2 * a.v * least(a.q, d.q) + a.q * 100000000) // (2 * a.q * 100000000) / 100.0::double AS cost,
+  ((2 * d.v * least(a.q, d.q) + d.q * 100000000) // (2 * d.q * 100000000) - (2 * a.v * least(a.q, d.q) + a.q * 100000000) // (2 * a.q * 100000000)) / 100.0::double AS gain FROM day a JOIN day d ON a.asset = d.asset AND a.day = d.day AND a.side = 'A' AND d.side = 'D'""",
+    "income_by_year": _L
+    + """, i AS (SELECT *, (timestamp AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/London')::date AS day, CASE ccy WHEN 'GBP' THEN 1.0::double WHEN 'EUR' THEN 0.86::double WHEN 'JPY' THEN 0.0053::double ELSE 0.79::double END AS rate FROM ledger WHERE transaction_type IN ('AIRDROP', 'STAKING') AND amount > 0)
+  SELECT (year(day) - CASE WHEN strftime(day, '%m%d') < '0406' THEN 1 ELSE 0 END) || '/' || lpad(((year(day) - CASE WHEN strftime(day, '%m%d') < '0406' THEN 1 ELSE 0 END + 1) % 100)::varchar, 2, '0') AS tax_year, transaction_type, count(*) AS n_rows,
+  sum(round((fiat * (rate / 1.0::double) * 100)::decimal(38,6))) / 100.0::double AS income FROM i GROUP BY 1, 2""",
+    "harvest_us": _LOT_SQL
+    + """, h AS (SELECT asset, round((qu::decimal(38,0) * price::decimal(18,2))::decimal(38,2) / 1000000)::hugeint - c AS g, CASE WHEN DATE '2001-12-31' >= (timestamp::date + INTERVAL 12 MONTH)::date + 1 THEN 1 ELSE 0 END AS long FROM lots JOIN price USING (asset)),
+  t AS (SELECT asset, sum(g * (1 - long))::hugeint AS s, sum(g * long)::hugeint AS l FROM h GROUP BY 1), x AS (SELECT *, sign(s * 24 + l * 15) * ((2 * abs(s * 24 + l * 15) + 100) // 200) AS tax FROM t)
+  SELECT asset, s / 100.0::double AS short_term, l / 100.0::double AS long_term, tax / 100.0::double + 0 AS tax_if_sold, greatest(-tax, 0) / 100.0::double AS tax_saved FROM x""",
+    "swap_basis": _L
+    + """ SELECT id, CASE WHEN s > 0 THEN (2 * s * amount::hugeint + q) // (2 * q) / 100.0::double ELSE 0 END AS value
+  FROM (SELECT *, (sum(round(fiat * 100)::hugeint) FILTER (transaction_type = 'SELL') OVER (PARTITION BY gid))::hugeint AS s, (sum(amount::hugeint) FILTER (transaction_type = 'BUY') OVER (PARTITION BY gid))::hugeint AS q FROM ledger) WHERE transaction_type = 'BUY'""",
+    "liquidity_events": _L
+    + """, x AS (SELECT *, CASE WHEN kind IS NULL THEN CASE WHEN transaction_type = 'TRANSFER' THEN dir WHEN transaction_type = 'SELL' THEN 'OUT' WHEN transaction_type = 'BUY' THEN 'IN' END END AS way FROM ledger),
+  g AS (SELECT gid, CASE WHEN count(*) FILTER (way = 'IN') = 0 AND count(*) FILTER (way = 'OUT') >= 2 THEN 'lp_add' WHEN count(*) FILTER (way = 'OUT') = 0 AND count(*) FILTER (way = 'IN') >= 2 THEN 'lp_remove' END AS ev, round(sum(fiat::decimal(18,2)) FILTER (way IS NOT NULL), 2)::double AS total FROM x GROUP BY 1)
+  SELECT id, asset, CASE way WHEN 'OUT' THEN 'SELL' ELSE 'BUY' END AS transaction_type, ev AS event_subtype, fiat AS value FROM x JOIN g USING (gid) WHERE ev IS NOT NULL AND way IS NOT NULL
+  UNION ALL SELECT 'lp-acquire-' || gid, 'LP:' || gid, 'BUY', 'lp_add', total FROM g WHERE ev = 'lp_add'""",
+    "lending_for_tax": _L + " SELECT id, CASE dir WHEN 'OUT' THEN 'SELL' ELSE 'BUY' END AS transaction_type, CASE dir WHEN 'OUT' THEN 'lend_deposit' ELSE 'lend_withdraw' END AS event_subtype FROM ledger WHERE dir IS NOT NULL AND seq % 2 = 0",
+    "timezone_copies": _L + " SELECT id, asset, timestamp FROM ledger",
+    "perp_schedule": _L
+    + """, n AS (SELECT year(timestamp)::int AS year, round((pnl * 100)::decimal(38,6)) - round((fee * 100)::decimal(38,6)) AS net FROM ledger WHERE kind = 'perp' AND pnl IS NOT NULL)
+  SELECT year, count(*) AS n, sum(greatest(net, 0)) / 100.0::double AS gains, sum(greatest(-net, 0)) / 100.0::double AS losses FROM n GROUP BY 1""",
+    "pair_values": _L + " SELECT gid AS transfer_pair_id, count(*) AS n FROM ledger WHERE dir IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (dir = 'OUT') > 0",
     "staking_summary": _L + " SELECT asset, count(*) AS n_events, sum(amount) AS quantity, min(timestamp) AS first_at FROM ledger WHERE transaction_type = 'STAKING' GROUP BY 1",
     "dex_price": """WITH p AS (SELECT 'P' || l_partkey AS asset, round(l_extendedprice / l_quantity, 2) AS price, l_quantity * 100 AS liq FROM lineitem WHERE l_quantity >= 10),
   r AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY price, liq) AS r, count(*) OVER (PARTITION BY asset) AS n FROM p), m AS (SELECT asset, max(price) FILTER (r = n // 2 + 1) AS mid FROM r GROUP BY 1)
