@@ -119,7 +119,7 @@ def parse_emails(texts: DataFrame, column: str = "value") -> tuple[DataFrame, Da
     """(ledger rows, notes) of pasted e-mail text: fiat deposits are purchases, withdrawals transfers out (their time is UTC+8);
     fills of derivatives tell no result and are only noted."""
     start = r"(?i)(?=(?:Payment ID:|Withdrawal Amount:|Your\s+[A-Z0-9]+_USDT\s+futures))"
-    b = texts.select(F.explode(F.split(F.regexp_replace(F.col(column), "[\r‎‏​‌‍⁠﻿]", ""), start)).alias("b")).where("trim(b) <> ''")
+    b = texts.select(F.explode(F.split(F.regexp_replace(F.col(column), r"[\r‎‏​‌‍﻿⁠]", ""), start)).alias("b")).where("trim(b) <> ''")
     plain = lambda c: F.regexp_replace(c, ",", "").try_cast("double")
     c = F.col("b")
     deposit = b.select(
