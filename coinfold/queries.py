@@ -121,7 +121,7 @@ QUERIES = {
     "fifo_matches": _matches("FIFO"),
     "lifo_matches": _matches("LIFO"),
     "hifo_matches": _matches("HIFO"),
-    "form8949": _on_fifo(US.form_8949),
+    "form8949": _on_fifo(lambda m: US.form_8949(m).withColumns({"date_acquired": F.coalesce(F.col("date_acquired").cast("string"), F.lit("UNKNOWN")), "date_sold": F.col("date_sold").cast("string")})),
     "realized_by_asset": _on_fifo(US.realized_by_asset),
     "realized_by_year_term": _on_fifo(US.realized_by_year_term),
     "term_rollup": _on_fifo(lambda m: US.realized_by_year_term(m, True).withColumns({"year": F.coalesce(F.col("year").cast("string"), F.lit("all")), "term": F.coalesce("term", F.lit("all"))})),
@@ -212,7 +212,7 @@ SQL = {
   SELECT id, asset, seq FROM a QUALIFY row_number() OVER (PARTITION BY timestamp, asset, transaction_type, round(amount, 8), round(fiat, 2), source, dir, gid ORDER BY fiat DESC, timestamp, seq, id) = 1""",
     "novel_rows": _L + ", p AS (SELECT * FROM ledger WHERE seq % 3 = 0) SELECT id, asset, seq FROM ledger l WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.id = l.id) AND NOT EXISTS (SELECT 1 FROM p WHERE p.timestamp = l.timestamp AND p.asset = l.asset AND p.transaction_type = l.transaction_type AND p.amount = l.amount AND p.source = l.source)",
     "fifo_matches": _LOT_SQL + "SELECT asset, disposal_id, lot_id, qu / 1e8 AS quantity, p / 100.0::double AS proceeds, c / 100.0::double AS cost_basis FROM m",
-    "form8949": _LOT_SQL + "SELECT asset, disposal_id, lot_id, acquired::date AS date_acquired, disposed::date AS date_sold, qu / 1e8 AS quantity, p / 100.0::double AS proceeds, c / 100.0::double AS cost_basis, (p - c) / 100.0::double AS gain_loss, term FROM m",
+    "form8949": _LOT_SQL + "SELECT asset, disposal_id, lot_id, coalesce(strftime(acquired, '%Y-%m-%d'), 'UNKNOWN') AS date_acquired, strftime(disposed, '%Y-%m-%d') AS date_sold, qu / 1e8 AS quantity, p / 100.0::double AS proceeds, c / 100.0::double AS cost_basis, (p - c) / 100.0::double AS gain_loss, term FROM m",
     "realized_by_asset": _LOT_SQL
     + "SELECT asset, count(*) AS n_rows, sum(qu) / 1e8 AS quantity, sum(p) / 100.0::double AS proceeds, sum(c) / 100.0::double AS cost_basis, (sum(p) - sum(c)) / 100.0::double AS realized_pnl, CASE WHEN sum(c) > 0 THEN round((sum(p) - sum(c)) * 10000 / sum(c)) / 100.0::double + 0 ELSE 0 END AS realized_pct FROM m GROUP BY 1",
     "realized_by_year_term": _LOT_SQL + "SELECT year(disposed)::int AS year, term, count(*) AS n_rows, sum(p) / 100.0::double AS proceeds, sum(c) / 100.0::double AS cost_basis, (sum(p) - sum(c)) / 100.0::double AS gain_loss FROM m GROUP BY 1, 2",

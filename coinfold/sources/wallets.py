@@ -97,12 +97,12 @@ def parse_cosmos(df: DataFrame) -> DataFrame:
     ).where("amount > 0 and timestamp is not null")
     k = F.col("kind")
     speaks = F.when(k.isin(*COSMOS_OUT, *COSMOS_SEND), F.col("a")).when(k.isin(*COSMOS_REWARD, *COSMOS_RECEIVE, *COSMOS_IN), F.col("b"))
-    wallet = x.select(speaks.alias("wallet")).where("wallet <> '' and not contains(wallet, 'valoper')").groupBy("wallet").agg(F.count("*").alias("n")).agg(F.max_by("wallet", F.struct("n", "wallet")).alias("wallet"))
+    wallet = x.select(speaks.alias("wallet")).where("wallet <> '' and not contains(wallet, 'valoper')").groupBy("wallet").agg(F.count("*").alias("n")).agg(F.max_by("wallet", F.struct("n", "wallet")).alias("wallet")).first().wallet  # one value
     chains = [(F.lower(c).startswith(p), n) for c in (F.col("a"), F.col("b")) for p, n in (("celestia", "celestia"), ("osmo", "osmosis"), ("cosmos", "cosmos"))]
     source = F.coalesce(*[F.when(c, n) for c, n in chains], F.lit("cosmos"))
     way = F.when(k.isin(*COSMOS_OUT, *COSMOS_SEND), "OUT").when(k.isin(*COSMOS_IN, *COSMOS_RECEIVE), "IN")
     value = F.when(k.isin(*COSMOS_REWARD), F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("amount") * F.col("unit"))).when(k.isin(*COSMOS_RECEIVE), F.col("total")).otherwise(0.0)
-    y = x.crossJoin(F.broadcast(wallet)).withColumns({"way": way, "value": value})  # the wallet is one row
+    y = x.withColumns({"way": way, "value": value, "wallet": F.lit(wallet)})
     out = y.select(
         F.concat_ws("-", F.when(F.col("i") != "", F.concat_ws("-", F.substring("hash", 1, 16), "i")).otherwise(F.col("hash")), "kind", "asset").alias("id"), "timestamp", "asset", F.when(k.isin(*COSMOS_REWARD), "STAKING").when(F.col("way").isNotNull(), "TRANSFER").alias("transaction_type"), "amount",
         F.round("value", 2).alias("fiat_value_at_trigger"), F.lit(0.0).alias("fee_fiat"), F.when(F.col("value") > 0, "USD").alias("fiat_currency"), source.alias("source"),
