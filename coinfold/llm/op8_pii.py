@@ -76,19 +76,20 @@ ZERO_WIDTH = "​‌‍⁠﻿­"
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 CHARS = {**HOMOGLYPHS, **PUNCTUATION, **dict.fromkeys(ZERO_WIDTH, ""), **{chr(0xFEE0 + i): chr(i) for i in range(0x21, 0x7F)}}
 ODD = re.compile("[" + "".join(map(re.escape, CHARS)) + "]")
-AT = r"\s*[\(\[\{<]\s*(?:at|@)\s*[\)\]\}>]\s*"
-DOT = r"\s*[\(\[\{<]\s*(?:dot|\.)\s*[\)\]\}>]\s*"
+# White space is bounded, so that long runs of it cost linear time.
+AT = r"\s{0,3}[\(\[\{<]\s{0,3}(?:at|@)\s{0,3}[\)\]\}>]\s{0,3}"
+DOT = r"\s{0,3}[\(\[\{<]\s{0,3}(?:dot|\.)\s{0,3}[\)\]\}>]\s{0,3}"
 DIGIT = "|".join(SPELLED)
 # Bracketed forms stand anywhere; bare words count only as "name at host dot end", spelled digits only in runs of three.
 MARKS = re.compile(
     rf"(?P<at>{AT})|(?P<dot>{DOT})"
-    r"|(?P<bare>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20+at\x20+[A-Za-z0-9-]{1,63}(?:(?:\x20+dot\x20+|\.)[A-Za-z0-9-]{1,63})*\x20+dot\x20+[A-Za-z]{2,24}(?![A-Za-z0-9]))"
+    r"|(?P<bare>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20{1,3}at\x20{1,3}[A-Za-z0-9-]{1,63}(?:(?:\x20{1,3}dot\x20{1,3}|\.)[A-Za-z0-9-]{1,63}){0,9}\x20{1,3}dot\x20{1,3}[A-Za-z]{2,24}(?![A-Za-z0-9]))"
     rf"|(?P<digits>(?<![A-Za-z])(?:{DIGIT}|[0-9]+)(?:[\x20-]{{1,2}}(?:{DIGIT}|[0-9]+)){{2,}}(?![A-Za-z]))",
     re.IGNORECASE,
 )
 BARE = re.compile(r"\x20+(at|dot)\x20+", re.IGNORECASE)
 NUMBER = re.compile(rf"(?:{DIGIT})", re.IGNORECASE)
-HINT = re.compile(rf"[\(\[\{{<]\s*(?:at|dot|@|\.)\s*[\)\]\}}>]|\x20dot\x20|(?<![A-Za-z])(?:{DIGIT})[\x20-]{{1,2}}(?:{DIGIT}|[0-9])", re.IGNORECASE)
+HINT = re.compile(rf"[\(\[\{{<]\s{{0,3}}(?:at|dot|@|\.)\s{{0,3}}[\)\]\}}>]|\x20dot\x20|(?<![A-Za-z])(?:{DIGIT})[\x20-]{{1,2}}(?:{DIGIT}|[0-9])", re.IGNORECASE)
 
 
 class Mapped:
