@@ -179,14 +179,18 @@ def _fit_field(features: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: i
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.5) -> np.ndarray:
+    """Newton steps of bounded length, so that classes which features tell apart fully don't make it overshoot."""
     w = np.zeros(x.shape[1])
     w[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    for _ in range(25):
+    reg = np.full(len(w), l2)
+    reg[0] = 1e-2
+    for _ in range(200):
         p = _sigmoid(x @ w)
-        r = p * (1 - p) + 1e-6
-        reg = np.full(len(w), l2)
-        reg[0] = 1e-3
-        w -= np.linalg.solve((x * r[:, None]).T @ x + np.diag(reg), x.T @ (p - y) + reg * w)
+        r = np.maximum(p * (1 - p), 1e-4)
+        step = np.linalg.solve((x * r[:, None]).T @ x + np.diag(reg), x.T @ (p - y) + reg * w)
+        w = w - step / max(1.0, float(np.abs(step).max()))
+        if np.abs(step).max() < 1e-6:
+            break
     return w
 
 
