@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 # Stablecoins, fiat currencies and the fallback rates to GBP.
@@ -88,3 +88,8 @@ def money(c: Column) -> Column:
 
 def quantity(u: Column) -> Column:
     return (u.cast("double") / 1e8).cast("double")
+
+
+def group_window(key: str) -> WindowSpec:
+    """A window over the rows that share the key. Rows without one stand alone, so they don't meet in one task."""
+    return Window.partitionBy(key, F.when(F.col(key).isNull(), F.col("id")))

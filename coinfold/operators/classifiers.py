@@ -24,7 +24,7 @@ VAULT_SHARES = ("FiM4VQdXXnTXL7GgChryf9zHNG9cmvKECwf34L2y3CkN",)
 
 
 def _group():
-    return Window.partitionBy("trade_group_id")
+    return S.group_window("trade_group_id")
 
 
 def _nothing() -> Column:
@@ -148,7 +148,7 @@ def liquidity_for_tax(ledger: DataFrame, policy: str = "cgt_disposal", share_min
     x = x.withColumn("_do", F.when(gid.isNull() | barred, _nothing()).when(add, "lp_add").when(remove, "lp_remove"))
     v = F.coalesce("fiat_value_at_trigger", F.lit(0.0))
     main = F.col("_leg") & ~F.col("_share")
-    x = x.withColumns({"_total": F.round(F.sum(F.when(main, v).otherwise(0.0)).over(_group()), 2), "_shares": _count(F.col("_leg") & F.col("_share")), "_n": F.row_number().over(Window.partitionBy("trade_group_id", main).orderBy("timestamp", "id"))})
+    x = x.withColumns({"_total": F.round(F.sum(F.when(main, v).otherwise(0.0)).over(_group()), 2), "_shares": _count(F.col("_leg") & F.col("_share")), "_n": F.row_number().over(Window.partitionBy("trade_group_id", F.when(gid.isNull(), F.col("id")), main).orderBy("timestamp", "id"))})
     hit = F.col("_do").isNotNull() & F.col("_leg")
     new = x.where(hit & main & (F.col("_do") == "lp_add") & (F.col("_shares") == 0) & (F.col("_n") == 1)).withColumns({
         "id": F.concat(F.lit("lp-acquire-"), gid), "asset": F.concat(F.lit("LP:"), F.upper(gid)), "transaction_type": F.lit("BUY"), "amount": F.lit(1.0), "fiat_value_at_trigger": F.col("_total"), "fee_fiat": F.lit(0.0), "event_subtype": F.lit("lp_add"),
@@ -183,7 +183,7 @@ def hard_forks(ledger: DataFrame, events: DataFrame, policy: str = "fmv") -> Dat
 
 def disguised_swaps(ledger: DataFrame) -> DataFrame:
     """One transfer out and one in of different assets under one on-chain id are a sale and a purchase."""
-    w = Window.partitionBy("on_chain_tx_id")
+    w = S.group_window("on_chain_tx_id")
     t = _kind("TRANSFER")
     n = lambda c: F.sum(_yes(c).cast("int")).over(w)
     swap = F.col("on_chain_tx_id").isNotNull() & (n(t & (F.col("transfer_direction") == "OUT")) == 1) & (n(t & (F.col("transfer_direction") == "IN")) == 1) & (n(F.lit(True)) == n(t)) & (F.min("asset").over(w) != F.max("asset").over(w))
@@ -193,7 +193,7 @@ def disguised_swaps(ledger: DataFrame) -> DataFrame:
 
 def pair_values(ledger: DataFrame, indexers: tuple[str, ...] = ("solana", "ethereum")) -> DataFrame:
     """Legs of a pair without value take that of the leg that has one, by the ratio of amounts; venues are trusted before indexers."""
-    w = Window.partitionBy("transfer_pair_id")
+    w = S.group_window("transfer_pair_id")
     v = F.coalesce("fiat_value_at_trigger", F.lit(0.0))
     donor = F.max(F.when(v >= 0.01, F.struct((~_yes(F.col("source").isin(*indexers))).cast("int").alias("rank"), v.alias("v"), "amount", "fiat_currency"))).over(w)
     x = ledger.withColumn("_d", F.when(F.col("transfer_pair_id").isNotNull(), donor))

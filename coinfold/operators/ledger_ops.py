@@ -91,7 +91,7 @@ def net_flows(ledger: DataFrame) -> DataFrame:
 
 def swap_basis(ledger: DataFrame) -> DataFrame:
     """Groups with value on one side only: the other side's rows take it, several by their share of the quantity, in whole cents."""
-    w = Window.partitionBy("trade_group_id")
+    w = S.group_window("trade_group_id")
     v, u, t = S.cents(F.coalesce("fiat_value_at_trigger", F.lit(0.0))), S.units(F.col("amount")), F.col("transaction_type")
     total = lambda kind, c: F.sum(F.when(t == kind, c).otherwise(0)).over(w).cast("decimal(38,0)")
     x = ledger.withColumns({"_s": total("SELL", v), "_b": total("BUY", v), "_q": total("BUY", u), "_n": F.count_if(t == "SELL").over(w)})

@@ -17,7 +17,7 @@ def withdrawals(ledger: DataFrame, chains: tuple[str, ...] = ("ethereum", "base"
     way = F.when(t == "TRANSFER", F.col("transfer_direction"))
     x = ledger.withColumn("_way", F.when(F.col("source").isin(*chains), way))
     back = Window.partitionBy("source", "asset", "amount", "token_mint").orderBy("timestamp", F.col("_way") != "OUT", "seq", "id").rowsBetween(Window.unboundedPreceding, -1)
-    g = Window.partitionBy("trade_group_id")
+    g = S.group_window("trade_group_id")
     x = x.withColumn("_earlier", F.last(F.when(F.col("_way") == "OUT", F.col("timestamp")), True).over(back))
     x = x.withColumns({"_ins": F.sum(F.when(F.col("_way") == "IN", 1).otherwise(0)).over(g), "_sells": F.sum(F.when(t == "SELL", 1).otherwise(0)).over(g), "_hits": F.sum(F.when((F.col("_way") == "IN") & F.col("_earlier").isNotNull(), 1).otherwise(0)).over(g), "_largest": F.max(F.when(F.col("_way") == "IN", F.struct("amount", "id"))).over(g)})
     principal = F.when(F.col("_hits") > 0, F.col("_earlier").isNotNull()).otherwise(F.col("_largest.id") == F.col("id"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import classifiers as C
 from .operators import ledger_ops as L
 from .operators import pairing as P
+from .operators import venue_repairs as V
 from .plans import uk_cgt as UK
 from .plans import us_lots as US
 from .sources.testdata import LEDGER_SQL, ledger_from_tpch
@@ -34,6 +35,19 @@ def _lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return US.open_lots(e, US.fifo_matches(e))
 
 
+def _received(x: DataFrame) -> DataFrame:
+    """The view as one venue's rows, every other purchase booked as a transfer in."""
+    got = (F.col("transaction_type") == "BUY") & (F.pmod("seq", F.lit(2)) == 0)
+    x = x.where(got | (F.col("transaction_type") == "SELL"))
+    return x.withColumns({"source": F.lit(V.VENUE), "transfer_direction": F.when(got, "IN").otherwise(F.col("transfer_direction")), "transaction_type": F.when(got, "TRANSFER").otherwise(F.col("transaction_type"))})
+
+
+def _quoted(x: DataFrame) -> DataFrame:
+    """The view with every tenth part as a stablecoin whose quantity is its value."""
+    stable = F.endswith("asset", F.lit("0"))
+    return x.withColumns({"asset": F.when(stable, "USDT").otherwise(F.col("asset")), "amount": F.when(stable, F.col("fiat_value_at_trigger")).otherwise(F.col("amount"))})
+
+
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return US.positions(_lots(spark, sf_dir), _prices(spark, sf_dir))
 
@@ -155,6 +169,8 @@ QUERIES = {
     "dex_price": _dex,
     "liquidity_events": _on_ledger(lambda x: C.liquidity_for_tax(x).where("event_subtype is not null").select("id", "asset", "transaction_type", "event_subtype", F.col("fiat_value_at_trigger").alias("value"))),
     "income_retyped": _on_ledger(lambda x: C.income(x.withColumn("source", F.lit("solana")).withColumn("asset", F.when(F.pmod("seq", F.lit(2)) == 0, "SOL").otherwise(F.col("asset")))).groupBy("transaction_type").agg(F.count("*").alias("n"))),
+    "spend_receive": _on_ledger(lambda x: V.spend_receive(_received(x)).where("transaction_type = 'BUY'").select("id", F.col("fiat_value_at_trigger").alias("value"))),
+    "stable_quotes": _on_ledger(lambda x: V.stable_quotes(_quoted(x)).select("id", "asset", "counter_asset")),
     "lending_for_tax": _on_ledger(lambda x: C.lending_for_tax(x.withColumn("counterparty_address", F.when(F.pmod("seq", F.lit(2)) == 0, C.LENDING_PROGRAMS[0]))).where("event_subtype is not null").select("id", "transaction_type", "event_subtype")),
     "timezone_copies": _on_ledger(_zones),
     "mistyped_transfers": _on_ledger(lambda x: P.mistyped_transfers(x.withColumn("amount", F.lit(1.0)).withColumn("realized_pnl", F.lit(None).cast("double")), 60 * 24)),
@@ -282,6 +298,15 @@ SQL = {
   g AS (SELECT gid, CASE WHEN count(*) FILTER (way = 'IN') = 0 AND count(*) FILTER (way = 'OUT') >= 2 THEN 'lp_add' WHEN count(*) FILTER (way = 'OUT') = 0 AND count(*) FILTER (way = 'IN') >= 2 THEN 'lp_remove' END AS ev, round(sum(fiat::decimal(18,2)) FILTER (way IS NOT NULL), 2)::double AS total FROM x GROUP BY 1)
   SELECT id, asset, CASE way WHEN 'OUT' THEN 'SELL' ELSE 'BUY' END AS transaction_type, ev AS event_subtype, fiat AS value FROM x JOIN g USING (gid) WHERE ev IS NOT NULL AND way IS NOT NULL
   UNION ALL SELECT 'lp-acquire-' || gid, 'LP:' || gid, 'BUY', 'lp_add', total FROM g WHERE ev = 'lp_add'""",
+    "spend_receive": _L
+    + """, k AS (SELECT id, gid, amount, fiat, transaction_type = 'SELL' AS spend FROM ledger WHERE transaction_type = 'SELL' OR transaction_type = 'BUY' AND seq % 2 = 0),
+  t AS (SELECT *, (sum(round(fiat * 100)::hugeint) FILTER (spend) OVER (PARTITION BY gid))::hugeint AS s, (sum(amount::hugeint) FILTER (NOT spend) OVER (PARTITION BY gid))::hugeint AS q FROM k)
+  SELECT id, (2 * s * amount::hugeint + q) // (2 * q) / 100.0::double AS value FROM t WHERE NOT spend AND s > 0""",
+    "stable_quotes": _L
+    + """, x AS (SELECT *, CASE WHEN asset LIKE '%0' THEN 'USDT' ELSE asset END AS a, asset LIKE '%0' AS stable FROM ledger),
+  m AS (SELECT c.id, min(s.id) AS leg FROM x c JOIN x s ON c.timestamp = s.timestamp AND c.source = s.source AND NOT c.stable AND s.stable AND abs(s.fiat - c.fiat) <= greatest(s.fiat, c.fiat) * 0.02
+    AND (c.transaction_type = 'SELL' AND s.transaction_type = 'BUY' OR c.transaction_type = 'BUY' AND s.transaction_type = 'SELL') GROUP BY 1)
+  SELECT x.id, a AS asset, CASE WHEN m.id IS NOT NULL THEN 'USDT' END AS counter_asset FROM x LEFT JOIN m USING (id) WHERE x.id NOT IN (SELECT leg FROM m)""",
     "lending_for_tax": _L + " SELECT id, CASE dir WHEN 'OUT' THEN 'SELL' ELSE 'BUY' END AS transaction_type, CASE dir WHEN 'OUT' THEN 'lend_deposit' ELSE 'lend_withdraw' END AS event_subtype FROM ledger WHERE dir IS NOT NULL AND seq % 2 = 0",
     "timezone_copies": _L + " SELECT id, asset, timestamp FROM ledger",
     "perp_schedule": _L
