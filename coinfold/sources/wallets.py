@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +87,40 @@ def parse_evm(rows: DataFrame, chain: str) -> DataFrame:
     return conform(out.unionByName(fees, allowMissingColumns=True))
 
 
+def evm_export_rows(df: DataFrame, filename: str = "") -> DataFrame:
+    """An explorer's export as the normalised transfers of `parse_evm`; rows without hash, time or amount, and of others, are left out.
+
+    The wallet is the address in the file's name, or else the one that stands most often in the from and to columns
+    (of equals the least).
+    """
+    field = lambda *names: F.coalesce(*[F.when(~F.lower(_text(df, n)).isin("", "nan"), _text(df, n)) for n in names])
+    amounts = [number(_text(df, n)) for n in ("amount", "value_in_eth", "value_out_eth", "value_eth", "value")]
+    times = []
+    for n in ("datetime_utc", "human_time", "block_time", "unixtimestamp", "unix_timestamp", "timestamp", "date"):
+        seconds = _text(df, n).try_cast("double").try_cast("bigint")
+        times += [F.when(seconds.isNull(), when_utc(_text(df, n))), F.when(seconds > 0, F.timestamp_seconds(seconds))]
+    contract = field("contractaddress", "token_address", "contract_address")
+    x = df.select(
+        field("transaction_hash", "txhash", "hash", "trans_id").alias("hash"), F.coalesce(*times).alias("timestamp"), F.lower(field("from", "from_address")).alias("a"), F.lower(field("to", "to_address")).alias("b"), F.coalesce(*[F.when(c > 0, c) for c in amounts]).alias("amount"),
+        F.coalesce(F.upper(field("token_symbol", "token", "asset", "symbol")), F.when(contract.isNotNull(), "UNKNOWN"), F.lit("ETH")).alias("asset"), contract.alias("contract"),
+    )
+    named = re.search("0x[0-9a-f]{40}", filename.lower())
+    if named:
+        wallet = named[0]
+    else:
+        seen = x.select(F.explode(F.array("a", "b")).alias("w")).where("w rlike '^0x[0-9a-f]{40}$'").groupBy("w").agg(F.count("*").alias("n"))
+        wallet = seen.agg(F.max_by("w", F.struct("n", F.translate("w", "0123456789abcdef", "fedcba9876543210")))).first()[0]  # one value
+    if wallet is None:
+        raise ValueError("no wallet address in the file's name or its from and to columns")
+    flow = F.when(F.col("a") == wallet, "out").when(F.col("b") == wallet, "in")
+    y = x.withColumns({"flow": flow, "kind": F.when(F.col("contract").isNull(), "native").otherwise("token"), "counterparty": F.when(flow == "out", F.col("b")).otherwise(F.col("a"))})
+    return y.where("hash is not null and timestamp is not null and amount > 0 and flow is not null").select("hash", "timestamp", "kind", "flow", "asset", "amount", "contract", "counterparty")
+
+
+def parse_evm_csv(df: DataFrame, filename: str = "", chain: str = "ethereum") -> DataFrame:
+    return parse_evm(evm_export_rows(df, filename), chain)
+
+
 def parse_cosmos(df: DataFrame) -> DataFrame:
     """Messages by type. The wallet is the address that most messages speak for; it corrects the direction of transfers. Swaps are left out."""
     kind = F.regexp_replace(F.lower(_text(df, "type")), "[ _]", "")

@@ -34,6 +34,20 @@ def test_evm(spark):
     assert got["h1", "ABC"].counter_asset == "USDX" and got["h3", "DEF"].transfer_direction == "IN"
 
 
+
+def test_evm_export(spark, tmp_path):
+    me, you = "0x" + "a" * 40, "0x" + "b" * 40
+    head = "Transaction Hash,DateTime (UTC),UnixTimestamp,From,To,Amount,Value_IN(ETH),Token Symbol,ContractAddress\n"
+    text = head + f"h1,2024-01-01 10:00:00,,{me.upper().replace('X', 'x')},{you},100,,usdx,0xc\nh1,2024-01-01 10:00:00,,{you},{me},5,,,0xd\nh2,,1704067200,{you},{me},,1.5,,\nh3,,1704067200,{'0x' + 'c' * 40},0xdead,1,,,\n,,1704067200,{you},{me},1,,,\nh4,nan,,{you},{me},1,,,\nh5,,1704067200,{you},{me},0,,,\n"
+    df, kind = load(spark, tmp_path, text)
+    assert kind == "evm_wallet_csv"
+    for name in ("", f"export-{me.upper()}.csv"):
+        got = {(r.trade_group_id, r.asset): (r.transaction_type, r.amount, r.timestamp) for r in W.parse_evm_csv(df, name).collect()}
+        assert got == {("h1", "USDX"): ("SELL", 100, datetime(2024, 1, 1, 10)), ("h1", "UNKNOWN"): ("BUY", 5, datetime(2024, 1, 1, 10)), ("h2", "ETH"): ("TRANSFER", 1.5, datetime(2024, 1, 1))}
+    with pytest.raises(ValueError):
+        W.evm_export_rows(df.limit(0))
+
+
 def test_cosmos(spark, tmp_path):
     df, kind = load(spark, tmp_path, "type,from,to,txhash,amount,timestamp,denom,totalPrice\nGetReward,celestiavaloper1,celestia1me,H1,2,2024-01-01T00:00:00Z,utia,20\nSend,celestia1me,celestia1you,H2,3,2024-01-02T00:00:00Z,utia,\nSwap,celestia1me,celestia1you,H3,3,2024-01-02T00:00:00Z,utia,\nReceive,celestia1you,celestia1me,H4,1,2024-01-03T00:00:00Z,uosmo,5\n")
     assert kind == "cosmos_wallet"
