@@ -1,7 +1,8 @@
 """Personal data found through disguises, with spans of the original text.
 
 Four base patterns are matched on the text as it is. Then transducers rewrite it: homoglyphs and full-width characters
-to ASCII, zero-width characters to nothing, spelled digits to digits, and "(at)", "[dot]" and the like to @ and full stops.
+to ASCII, zero-width characters to nothing, spelled digits to digits, and "(at)", "[dot]" and the like to @ and full stops,
+in any mix with the bare words and with white space of any length.
 Each output character keeps the begin and end of what it stands for, so identifiers found in the normalised
 text map back to source characters. Spans found so are added if they don't overlap a base span of their kind.
 """
@@ -76,20 +77,23 @@ ZERO_WIDTH = "​‌‍⁠﻿­"
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 CHARS = {**HOMOGLYPHS, **PUNCTUATION, **dict.fromkeys(ZERO_WIDTH, ""), **{chr(0xFEE0 + i): chr(i) for i in range(0x21, 0x7F)}}
 ODD = re.compile("[" + "".join(map(re.escape, CHARS)) + "]")
-# White space is bounded, so that long runs of it cost linear time.
-AT = r"\s{0,3}[\(\[\{<]\s{0,3}(?:at|@)\s{0,3}[\)\]\}>]\s{0,3}"
-DOT = r"\s{0,3}[\(\[\{<]\s{0,3}(?:dot|\.)\s{0,3}[\)\]\}>]\s{0,3}"
+AT = r"[\(\[\{<]\s*+(?:at|@)\s*+[\)\]\}>]"
+DOT = r"[\(\[\{<]\s*+(?:dot|\.)\s*+[\)\]\}>]"
 DIGIT = "|".join(SPELLED)
 # Bracketed forms stand anywhere; bare words count only as "name at host dot end", spelled digits only in runs of three.
+# Only the cores are matched here: the white space around them is added by _address, so that runs of any length cost linear time.
 MARKS = re.compile(
-    rf"(?P<at>{AT})|(?P<dot>{DOT})"
-    r"|(?P<bare>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20{1,3}at\x20{1,3}[A-Za-z0-9-]{1,63}(?:(?:\x20{1,3}dot\x20{1,3}|\.)[A-Za-z0-9-]{1,63}){0,9}\x20{1,3}dot\x20{1,3}[A-Za-z]{2,24}(?![A-Za-z0-9]))"
+    rf"(?P<at>{AT})|(?P<dot>{DOT})|(?P<bare>@|(?<=\s)at(?=\s))"
     rf"|(?P<digits>(?<![A-Za-z])(?:{DIGIT}|[0-9]+)(?:[\x20-]{{1,2}}(?:{DIGIT}|[0-9]+)){{2,}}(?![A-Za-z]))",
     re.IGNORECASE,
 )
-BARE = re.compile(r"\x20+(at|dot)\x20+", re.IGNORECASE)
+SPACE = re.compile(r"\s*+")
+LABEL = re.compile(r"[A-Za-z0-9-]++")
+END = re.compile(r"[A-Za-z]{2,}+(?![A-Za-z0-9])")
+BETWEEN = re.compile(rf"\.|\s*+(?:{DOT}|(?P<bare>(?<=\s)dot(?=\s)))\s*+", re.IGNORECASE)
+ANOTHER = re.compile(rf"[A-Za-z0-9._%+-]*+(?:@|\s*+{AT})", re.IGNORECASE)
 NUMBER = re.compile(rf"(?:{DIGIT})", re.IGNORECASE)
-HINT = re.compile(rf"[\(\[\{{<]\s{{0,3}}(?:at|dot|@|\.)\s{{0,3}}[\)\]\}}>]|\x20dot\x20|(?<![A-Za-z])(?:{DIGIT})[\x20-]{{1,2}}(?:{DIGIT}|[0-9])", re.IGNORECASE)
+HINT = re.compile(rf"{AT}|{DOT}|\sdot\s|(?<![A-Za-z])(?:{DIGIT})[\x20-]{{1,2}}(?:{DIGIT}|[0-9])", re.IGNORECASE)
 
 
 class Mapped:
@@ -120,17 +124,42 @@ class Mapped:
         return self.begin[a], self.end[b - 1]
 
 
+def _before(text: str, i: int, least: int) -> int:
+    """Where the white space that ends at i begins, not before `least`."""
+    while i > least and text[i - 1].isspace():
+        i -= 1
+    return i
+
+
+def _host(text: str, i: int) -> tuple[list[tuple[int, int]], int] | None:
+    """The bare dots of the host at i, and where it ends: at its last label that can end a name behind a bracketed or bare dot.
+
+    None without such a label. A name that belongs to a next address is left to that one.
+    """
+    label, marked, found = LABEL.match(text, i), False, None
+    bare: list[tuple[int, int]] = []
+    before = None  # found, as it was at the last bare dot
+    while label:
+        if marked and END.match(text, label.start()):
+            found = len(bare), label.end()
+        sep = BETWEEN.match(text, label.end())
+        label = LABEL.match(text, sep.end()) if sep else None
+        if label and sep[0] != ".":
+            marked = True
+            if sep["bare"]:
+                bare.append(sep.span())
+                before = found
+    if found and ANOTHER.match(text, found[1]):
+        found = before
+    return found and (bare[: found[0]], found[1])
+
+
 def _marks(text: str) -> list[tuple[int, int, str]]:
     edits = []
+    edge = taken = 0  # where the last bracketed form and the last host end
     for m in MARKS.finditer(text):
-        if m["at"]:
-            edits.append((*m.span(), "@"))
-        elif m["dot"]:
-            edits.append((*m.span(), "."))
-        elif m["bare"]:
-            edits += [(m.start() + x.start(), m.start() + x.end(), "@" if x[1].lower() == "at" else ".") for x in BARE.finditer(m[0])]
-        else:
-            words = list(NUMBER.finditer(m[0]))
+        if m["digits"]:
+            words = [x for x in NUMBER.finditer(m[0]) if m.start() + x.start() >= taken]
             if len(words) < 2:
                 continue
             last = None
@@ -141,7 +170,24 @@ def _marks(text: str) -> list[tuple[int, int, str]]:
                     a = last
                 edits.append((a, b, SPELLED[x[0].lower()]))
                 last = b
-    return edits
+            continue
+        if m["bare"] and m.start() < taken:
+            continue
+        a, b = _before(text, m.start(), edge), SPACE.match(text, m.end()).end()
+        if m["dot"]:
+            edits.append((a, b, "."))
+            edge = b
+            continue
+        # An @ as it is has white space on both sides or on none.
+        even = m[0] != "@" or (a < m.start()) == (b > m.end())
+        host = _host(text, b) if even and a > taken and text[a - 1] in LOCAL else None
+        if m["at"] or host:
+            edits.append((a, b, "@"))
+            edge = b
+        if host:
+            edits += [(i, j, ".") for i, j in host[0]]
+            taken = host[1]
+    return sorted(edits)
 
 
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:

@@ -261,6 +261,30 @@ def test_disguises(text, kind, found):
     assert [text[a:b] for a, b in spans] == ([found] if found else [])
 
 
+LONG = " " * 100_000
+
+
+@pytest.mark.parametrize("text", [
+    "jo    (at)    exa     [dot]     com", "jo\n\n\n\n(at) exa [     dot\t\t\t\t] com", "jo     at     exa     dot     com", f"jo{LONG}(at){LONG}exa{LONG}[dot]{LONG}com",
+    "jo (at) exa dot com", "jo@exa dot com", "jo at exa [dot] com", "jo @ exa dot com", "jo [at] exa.mail dot com", "jo at exa [.] co dot uk",
+    "l" * 90 + " at exa dot com", "jo at " + "h" * 90 + " dot com", "jo at " + "a dot " * 15 + "com", "jo at exa dot " + "m" * 30,
+])
+def test_disguises_of_any_length_and_mix(text):
+    t = f"see {text}, {LONG}"
+    spans = op8_pii.added_spans(t, op8_pii.base_spans(t))
+    assert {k: [t[a:b] for a, b in v] for k, v in spans.items()} == {"email": [text]}
+
+
+@pytest.mark.parametrize("text,found", [
+    ("look at example.com", []), ("hello @exa dot com", []), ("a@b.co dot com", []), ("at " * 20_000 + "dot", []), ("(at) (dot)", []), ("x at a dot " * 20_000, []),
+    ("a@b.co dot joe (at) y (dot) com", ["joe (at) y (dot) com"]), ("look at jo at exa dot com at foo dot net", ["jo at exa dot com"]),
+    ("a (at) b dot com, c at d [dot] org and e@f dot net", ["a (at) b dot com", "c at d [dot] org", "e@f dot net"]),
+])
+def test_disguises_end_where_they_should(text, found):
+    spans = op8_pii.added_spans(text, op8_pii.base_spans(text)).get("email", [])
+    assert [text[a:b] for a, b in spans] == found
+
+
 def test_forward_backward_against_enumeration():
     rnd = np.random.default_rng(1)
     e, first, trans = rnd.normal(size=9), np.array([0, 4, 5]), rnd.normal(size=4)
