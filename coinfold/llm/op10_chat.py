@@ -137,15 +137,25 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def conversations(rows: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars): one row per conv_id of (conv_id, turn, role, text).
+
+    A conversation is a tree without branches: each row answers the one before it in order of turn, null turns last. Rows of one
+    turn follow each other by role and text, so every row is a turn of its own. Rows with a null conv_id are one conversation.
+    """
+    tree = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0)).cast("long").alias("id"))
+    order = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.coalesce("text", F.lit("")))
+    nodes = rows.select(tree.alias("tree"), "turn", "role", "text").withColumn("node", F.row_number().over(order))
+    nodes = nodes.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    out = format_conversations(nodes).select(F.when(~F.col("tree.none"), F.col("tree.id")).alias("tree"), "formatted")
+    return out.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string"))
-    # A conversation is a tree without branches: each turn answers the one before it.
-    before = Window.partitionBy("tree").orderBy("node")
-    nodes = rows.select(F.col("conv_id").alias("tree"), F.col("turn").alias("node"), "role", "text").withColumn("parent", F.lag("node").over(before)).withColumn("score", F.lit(0.0))
-    out = format_conversations(nodes).select("tree", "formatted")
-    return out.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return conversations(rows)
 
 
 SQL = r"""

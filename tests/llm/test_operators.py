@@ -372,6 +372,29 @@ def test_deep_tree(spark):
     assert r.n_turns == 70 and [t for _, t in op10_chat.read_back(r.formatted)] == [str(i) for i in range(70)]
 
 
+def test_every_row_of_a_conversation_is_a_turn(spark):
+    turns = {
+        1: [(0, "user", "a"), (1, "assistant", "b"), (1, "assistant", "c"), (1, "user", "b"), (2, "user", None), (3, "assistant", "e"), (3, "assistant", "e"), (None, "assistant", "f"), (None, "user", "g")],
+        None: [(0, "user", "x"), (1, "assistant", "y")],
+        0: [(None, "user", "z")],
+    }
+    rows = [(c, *t) for c, ts in turns.items() for t in ts]
+    n = spark.createDataFrame(rows[::-1], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in op10_chat.conversations(n).collect()}
+    assert {c: r.n_turns for c, r in got.items()} == {c: len(ts) for c, ts in turns.items()}
+    for c, ts in turns.items():
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t or ''}\n" for _, r, t in ts).encode()).hexdigest()
+        assert got[c].loss_chars == sum(len(t or "") for _, r, t in ts if r == "assistant")
+    again = op10_chat.conversations(n.repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got.values()))
+
+
+def test_chat_query_counts_repeated_and_null_turns(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "user", "b"), (1, 2, "user", "d"), (None, 0, "user", "x"), (1, None, "user", "z")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r.conv_id: r.n_turns for r in op10_chat.op10_chat(spark, str(tmp_path)).collect()} == {1: 5, None: 1, -7: 2}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_template_escapes(spark, seed):
     rnd = random.Random(seed)
