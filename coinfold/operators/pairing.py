@@ -6,7 +6,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 HOURS = 3600.0
+# Marks of an earn account's deposits and withdrawals in the ids of an import.
+EARN_OUT = r"crypto_earn_program_(created|deposit)"
+EARN_IN = "crypto_earn_program_withdrawn"
+EARN_DAYS = 400
 
 
 def transfer_candidates(ledger: DataFrame, window_hours: float = 48) -> DataFrame:
@@ -45,6 +51,56 @@ def transfer_pairs(ledger: DataFrame, window_hours: float = 48) -> DataFrame:
     return transfer_candidates(ledger, window_hours).groupBy("asset").applyInPandas(_assign, "asset string, out_id string, in_id string, pair_id string")
 
 
+def _legs(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Unpaired transfers out and in, with what both kinds of pairing below compare."""
+    t = ledger.where("transaction_type = 'TRANSFER' and transfer_pair_id is null and amount > 0")
+    group = F.coalesce(F.nullif("on_chain_tx_id", F.lit("")), F.nullif("trade_group_id", F.lit("")))
+    side = lambda way, k: t.where(F.col("transfer_direction") == way).select(
+        "asset", F.col("id").alias(f"{k}_id"), F.col("source").alias(f"{k}_source"), (F.unix_micros("timestamp") / 1e6).alias(f"{k}_at"), F.col("amount").alias(f"{k}_amount"), group.alias(f"{k}_group")
+    )
+    return side("OUT", "out"), side("IN", "in")
+
+
+def _fits() -> F.Column:
+    fee = F.col("out_amount") - F.col("in_amount")
+    return (F.col("in_amount") <= F.col("out_amount") * 1.0005) & (fee <= F.greatest(F.col("out_amount") * 0.01, F.lit(1e-8))) & (fee <= F.col("out_amount") * 0.02)
+
+
+def _scored(c: DataFrame, *keys: str) -> DataFrame:
+    score = F.abs(F.col("out_amount") - F.col("in_amount")) * 1e6 + F.abs(F.col("in_at") - F.col("out_at"))
+    c = c.where(_fits()).select("asset", *keys, "out_id", "in_id", "out_at", "in_at", score.alias("score"))
+    return c.groupBy("asset", *keys).applyInPandas(_assign, "asset string, out_id string, in_id string, pair_id string")
+
+
+def on_chain_pairs(ledger: DataFrame) -> DataFrame:
+    """Pairs of one asset under one on-chain id, or else trade group: of any venues and at any distance in time."""
+    out, into = _legs(ledger)
+    return _scored(out.join(into.withColumnRenamed("in_group", "out_group"), ["asset", "out_group"]), "out_group")
+
+
+def earn_pairs(ledger: DataFrame, days: float = EARN_DAYS) -> DataFrame:
+    """Deposits to an earn account with the later withdrawals from it at the same venue."""
+    size = days * 24 * HOURS
+    out, into = _legs(ledger)
+    out = out.where(F.lower("out_id").rlike(EARN_OUT)).withColumn("bucket", F.floor(F.col("out_at") / size))
+    b = F.floor(F.col("in_at") / size)
+    into = into.where(F.lower("in_id").contains(EARN_IN)).withColumn("bucket", F.explode(F.array(b - 1, b))).withColumnsRenamed({"asset": "in_asset", "bucket": "in_bucket"})
+    same = (F.col("asset") == F.col("in_asset")) & (F.col("bucket") == F.col("in_bucket")) & F.col("out_source").eqNullSafe(F.col("in_source"))
+    wait = F.col("in_at") - F.col("out_at")
+    return _scored(out.join(into, same).where((wait >= 0) & (wait <= size)), "out_source")
+
+
+def internal_transfers(ledger: DataFrame, window_hours: float = 48) -> DataFrame:
+    """All pairs of transfers: by on-chain id or trade group, then earn round trips, then across venues; a leg that is used is used up."""
+    left, found = ledger, None
+    for step in (on_chain_pairs, earn_pairs, lambda x: transfer_pairs(x, window_hours)):
+        pairs = cut(step(left))
+        found = pairs if found is None else found.unionByName(pairs)
+        used = pairs.select(F.explode(F.array("out_id", "in_id")).alias("_used"))
+        left = left.join(used, F.col("id") == F.col("_used"), "left_anti")
+    return found
+
+
 def annotate(ledger: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = pairs.select(F.explode(F.array("out_id", "in_id")).alias("_id"), F.col("pair_id").alias("_p"))
     return ledger.join(ids, F.col("id") == F.col("_id"), "left").withColumn("transfer_pair_id", F.coalesce("transfer_pair_id", "_p")).drop("_id", "_p")

@@ -77,7 +77,7 @@ def read_backup(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def uk_report(ledger: DataFrame, year: str | None = None) -> dict[str, DataFrame]:
     """Rows, sums by year and closing pools of a ledger; transfers are paired first, the year filters only what is shown."""
-    x = P.annotate(ledger, P.transfer_pairs(ledger))
+    x = P.annotate(ledger, P.internal_transfers(ledger))
     engine = UK.uk_engine(UK.uk_legs(x))
     rows = UK.cgt_rows(engine)
     shown = rows if year is None else rows.where(F.col("tax_year") == year)
@@ -85,7 +85,7 @@ def uk_report(ledger: DataFrame, year: str | None = None) -> dict[str, DataFrame
 
 
 def us_report(ledger: DataFrame, method: str = "FIFO", year: int | None = None) -> dict[str, DataFrame]:
-    x = P.annotate(ledger, P.transfer_pairs(ledger))
+    x = P.annotate(ledger, P.internal_transfers(ledger))
     m = US.matches(x, method)
     shown = m if year is None else m.where(F.year("disposed") == year)
     return {"form_8949": US.form_8949(shown).orderBy("date_sold", "asset", "disposal_id"), "summary": US.realized_by_year_term(shown, True), "by_asset": US.realized_by_asset(shown)}

@@ -56,3 +56,19 @@ def test_positions_and_allocation(spark):
     p = US.positions(US.open_lots(e, US.fifo_matches(e)), spark.createDataFrame([("BTC", 75.0), ("ETH", 50.0)], "asset string, price double"))
     assert tuple(R.portfolio_totals(p).first()) == (2, 200.0, 130.0, 70.0)
     assert {r.asset: r.percent for r in R.allocation(p).collect()} == {"BTC": 75.0, "ETH": 25.0}
+
+
+def test_reports_pair_transfers_of_one_venue_and_of_one_hash(spark):
+    from coinfold.operators import pairing as P
+
+    t = lambda d, i, **k: {"transfer_direction": d, "id": i, **k}
+    x = ledger(spark, [
+        ("2023-01-01", "BUY", 10, 1000),
+        ("2023-02-01", "TRANSFER", 2, 300, t("OUT", "h-out", on_chain_tx_id="h")), ("2023-02-09", "TRANSFER", 1.999, 300, t("IN", "h-in", on_chain_tx_id="h")),
+        ("2023-02-02", "TRANSFER", 4, 500, t("OUT", "g-out", trade_group_id="g")), ("2023-02-20", "TRANSFER", 4, 500, t("IN", "g-in", trade_group_id="g")),
+        ("2023-03-01", "TRANSFER", 3, 400, t("OUT", "x-crypto_earn_program_created")), ("2024-03-01", "TRANSFER", 3, 900, t("IN", "x-crypto_earn_program_withdrawn")),
+        ("2024-04-20", "TRANSFER", 3, 900, t("IN", "y-crypto_earn_program_withdrawn")),
+        ("2024-05-01", "TRANSFER", 1, 400, t("OUT", "o", source="a")), ("2024-05-02", "TRANSFER", 1, 400, t("IN", "i", source="b")),
+    ])
+    assert {(r.out_id, r.in_id) for r in P.internal_transfers(x).collect()} == {("h-out", "h-in"), ("g-out", "g-in"), ("x-crypto_earn_program_created", "x-crypto_earn_program_withdrawn"), ("o", "i")}
+    assert R.uk_report(x)["rows"].count() == 0 and R.us_report(x)["form_8949"].count() == 0
