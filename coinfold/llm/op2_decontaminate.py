@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import cut, slices, table
+from .common import slices, stored, table
 
 BLOCK_WORDS = 200_000
 
@@ -222,18 +222,20 @@ def contamination(
     kind = src.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_words long, hit_words array<int>, items array<string>" + ", spans array<struct<start:int,end:int>>" * spans
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    # Items stream to the driver and are held one block of bounded size at a time.
-    out, blocks = None, 0
-    for block in _blocks(((r.i, r.t) for r in items.toLocalIterator()), BLOCK_WORDS):
-        part = src.mapInArrow(_scanner(block, window, spans), schema)
-        out = part if out is None else out.unionByName(part)
-        blocks += 1
-    if out is None:
-        return src.mapInArrow(_scanner([("", [b"\x00"])], window, spans), schema)
-    if blocks == 1:
-        return out
+    # Items stream to the driver, which cuts them into blocks; a task holds one block at a time.
+    blocks = list(_blocks(((r.i, r.t) for r in items.toLocalIterator()), BLOCK_WORDS))
+    if len(blocks) < 2:
+        return src.mapInArrow(_scanner(blocks[0] if blocks else [("", [b"\x00"])], window, spans), schema)
+    # Rows get a key that is written with them: ids may repeat or be null. Of the blocks after the first only rows with hits matter.
+    keyed = stored(src.select(F.struct(F.monotonically_increasing_id().alias("row"), "id").alias("id"), "text"))
+    schema = schema.replace(f"id {kind},", f"id struct<row:bigint,id:{kind}>,", 1)
+    out = None
+    for block in blocks:
+        part = keyed.mapInArrow(_scanner(block, window, spans), schema)
+        out = part if out is None else out.unionByName(part.where("size(hit_words) > 0"))
     merge = [F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")]
-    return out.groupBy("id").agg(*merge, *[F.flatten(F.collect_list("spans")).alias("spans")] * spans)
+    merged = out.groupBy(F.col("id.row").alias("row")).agg(F.first("id.id").alias("id"), *merge, *[F.flatten(F.collect_list("spans")).alias("spans")] * spans)
+    return merged.drop("row")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:

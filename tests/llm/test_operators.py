@@ -144,6 +144,17 @@ def test_decontamination_against_brute_force(spark, docs, rows):
     assert {d: (set(r.hit_words), set(r.items)) for d, r in again.items()} == {d: (set(r.hit_words), set(r.items)) for d, r in got.items()}
 
 
+@pytest.mark.parametrize("spans", [False, True])
+def test_blocks_of_the_benchmark_keep_every_row(spark, monkeypatch, spans):
+    a, b = words(random.Random(1), 30), words(random.Random(2), 30)
+    bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, a), (1, b), (1, "x " + a), (1, a), (None, a), (None, b), (None, None), (2, "nothing"), (3, a + " and " + b)], "doc_id long, text string").repartition(3)
+    scan = lambda: sorted(str(r) for r in op2_decontaminate.contamination(docs, bench, spans=spans).collect())
+    want = scan()
+    monkeypatch.setattr(op2_decontaminate, "BLOCK_WORDS", 20)
+    assert len(want) == 9 and (scan() == want)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_suffix_automaton(seed):
     rnd = random.Random(seed)
