@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, stored, table
 
 SLICE = 1024
 
@@ -46,21 +46,13 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], share: float,
     return s.select("source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least("most", F.coalesce(right * F.col("w"), F.col("most")))).alias("target"))
 
 
-def mix_sources(
-    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 11,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None,
-) -> DataFrame:
-    """(doc_id, size, source, source_size, target, epochs, taken): one row per row of `docs`.
-
-    Sources take the weights in turn, by code point, null last. taken = size * epochs; epochs counts the complete passes
-    over the source plus one if the fractional pass picks the document. Null and empty texts have size 0 and are picked only by
-    complete passes. Null and repeated ids draw the same key; their order among themselves does not change any sum
-    by more than one document. The same rows and seed always give the same result.
-    """
+def _mix(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float, seed: int, id_col: str, text_col: str, source_col: str, quality: Column | None, row_col: str | None = None) -> DataFrame:
+    """The plan of `mix_sources`, with `row` if the rows have a key of their own, which then settles the order of equal ids."""
+    row = [F.xxhash64(F.col(text_col)).alias("tie"), F.col(row_col).alias("row")] if row_col else []
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
     base = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"),
-        (quality if quality is not None else text_quality(F.col(text_col))).cast("double").alias("quality"),
+        (quality if quality is not None else text_quality(F.col(text_col))).cast("double").alias("quality"), *row,
     )
     base = cut(base.withColumn("key", -F.log(u) / F.greatest(F.col("quality"), F.lit(1e-6))))
     sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -75,22 +67,48 @@ def mix_sources(
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("source").alias("s"), F.col("slice").alias("b"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
     base = base.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("b"))).drop("s", "b")
-    inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size", *(["tie", "row"] if row else [])).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     # The document at which the budget ends is taken if more than half of it is inside.
     picked = (F.col("size") > 0) & (start + F.col("size") / 2 <= F.col("rest"))
-    base = base.withColumn("epochs", (F.col("full") + F.when(picked, 1).otherwise(0)).cast("int"))
+    return base.withColumn("epochs", (F.col("full") + F.when(picked, 1).otherwise(0)).cast("int"))
+
+
+def mix_sources(
+    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 11,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None,
+) -> DataFrame:
+    """(doc_id, size, source, source_size, target, epochs, taken): one row per row of `docs`.
+
+    Sources take the weights in turn, by code point, null last. taken = size * epochs; epochs counts the complete passes
+    over the source plus one if the fractional pass picks the document. Null and empty texts have size 0 and are picked only by
+    complete passes. Null and repeated ids draw the same key; their order among themselves does not change any sum
+    by more than one document. The same rows and seed always give the same result.
+    """
+    base = _mix(docs, weights, share, cap, seed, id_col, text_col, source_col, quality)
     return base.select("doc_id", "size", "source", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The mix itself: each row of `docs` as often as it is taken, with the columns of `docs`. Rows with a null id are left out."""
-    mix = mix_sources(docs, id_col=id_col, **kw).where("doc_id is not null").groupBy("doc_id").agg(F.max("epochs").alias("__epochs")).where("__epochs > 0")
+def mixed_rows(
+    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 11,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None,
+) -> DataFrame:
+    """The mix itself: each row of `docs` as often as its own plan takes it, with the columns of `docs`; ids may be null or repeat.
+
+    Rows get a key that is written with them, so that the plan and the rows meet one to one.
+    """
+    keyed = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    mix = _mix(keyed, weights, share, cap, seed, id_col, text_col, source_col, quality, "__row").where("epochs > 0")
     return (
-        docs.join(mix.withColumnRenamed("doc_id", "__id"), F.col(id_col) == F.col("__id"))
+        keyed.join(mix.select(F.col("row").alias("__key"), F.col("epochs").alias("__epochs")), F.col("__row") == F.col("__key"))
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select(*[F.col(f"`{c}`") for c in docs.columns])
     )
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+    """`mixed_rows` without the rows of a null id."""
+    return mixed_rows(docs, id_col=id_col, **kw).where(F.col(id_col).isNotNull())
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

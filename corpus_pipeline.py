@@ -9,7 +9,7 @@ from coinfold.llm.op2_decontaminate import decontaminate
 from coinfold.llm.op3_minhash import without_near_copies
 from coinfold.llm.op5_packing import pack_tokens
 from coinfold.llm.op6_toxicity import without_toxic
-from coinfold.llm.op7_mixing import mixed_documents
+from coinfold.llm.op7_mixing import mixed_rows
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed_documents(docs)
+    return mixed_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -247,6 +247,19 @@ def test_mixed_rows_follow_the_plan(docs):
     assert out.columns == docs.columns and out.where("doc_id is null").count() == 0 and out.count() > 0
 
 
+def test_mixed_rows_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(3)
+    rows = [(None if i % 3 == 0 else i // 4, words(rnd, rnd.randint(3, 40)), f"s{i % 2}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = op7_mixing.mix_sources(docs).groupBy("doc_id", "source").agg(F.sum("epochs").alias("n"), F.sum("taken").alias("taken")).where("n > 0").collect()
+    out = corpus_pipeline.mixing(spark, docs, SF)
+    got = out.groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.sum(op7_mixing.text_size(F.col("text"))).alias("taken")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, plan)) and any(r.doc_id is None for r in got)
+    assert out.columns == docs.columns
+
+
 def test_pii_against_plain_patterns(docs):
     t = "a@b.c_d@e.f x@y 1.2.3.4.5 300.1.1.1 4111 1111 1111 1111 +1 (729) 555-7725 5+5 é jo@é.com +12 001.002.003.004 4111-1111-1111-1112 " + "9" * 3000 + " a" * 500 + "@"
     naive = {
