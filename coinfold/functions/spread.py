@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
 
-#: An associative aggregate (F.min, F.max or F.sum) and its column.
-Part = tuple[Callable[[Column], Column], Column]
-SALTS = 32
+#: A group with more than this part of all rows is hot; there are fewer such groups than that, which bounds their broadcast.
+HOT_GROUPS = 10_000
 
 
-def attach(df: DataFrame, keys: list[str], by: list[str], salts: int = SALTS, **aggs: Part) -> DataFrame:
+def attach(df: DataFrame, keys: list[str], total: int | None = None, **aggs: Column) -> DataFrame:
     """`df` with aggregates of each row's group as further columns; rows with a null key are left out.
 
-    A group is cut into `salts` parts by a hash of the columns `by`. Parts are aggregated where they lie, then with each
-    other, and every part gets the group's result back, so a group with a third of all rows meets in no task: only its
-    `salts` partial rows do.
+    Aggregates are combined before they move. Those of hot groups, fewer than `HOT_GROUPS` rows, are broadcast to the rows where they lie;
+    only rows of other groups are dealt by key. So a group with a third of all rows meets in no task. `total`: at least
+    the number of rows, counted if not given. `df` is read several times: cut it if it is dear.
     """
-    x = df.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-    part = x.groupBy(*keys, "__salt").agg(*[f(c).alias(n) for n, (f, c) in aggs.items()])
-    whole = part.groupBy(*keys).agg(*[f(F.col(n)).alias(n) for n, (f, _) in aggs.items()])
-    known = part.select(*keys, "__salt").join(whole, keys)
-    return x.join(known, [*keys, "__salt"]).drop("__salt")
+    limit = max(1, (df.count() if total is None else total) // HOT_GROUPS)
+    g = df.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.count("*").alias("__n"), *[c.alias(n) for n, c in aggs.items()])
+    hot = g.where(F.col("__n") > limit).drop("__n")
+    there = df.join(F.broadcast(hot), keys)
+    moved = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(g.where(F.col("__n") <= limit).drop("__n"), keys)
+    return there.unionByName(moved)
 
 
 def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
