@@ -11,19 +11,28 @@ from .lineage import cut
 HOT_GROUPS = 10_000
 
 
+def give(df: DataFrame, per_group: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """`df` joined with `per_group`, which has one row for each group, and in `n` (left out then) how many rows of `df` the group has.
+
+    Rows of hot groups, fewer than `HOT_GROUPS` if `total` is at least the number of rows, get a broadcast where they lie; only rows of other
+    groups are dealt by key. So a group with a third of all rows meets in no task. Rows without a group are left out. Both
+    tables are read several times: cut them if they are dear.
+    """
+    limit = max(1, total // HOT_GROUPS)
+    hot = per_group.where(F.col(n) > limit).drop(n)
+    there = df.join(F.broadcast(hot), keys)
+    moved = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per_group.where(F.col(n) <= limit).drop(n), keys)
+    return there.unionByName(moved)
+
+
 def attach(df: DataFrame, keys: list[str], total: int | None = None, **aggs: Column) -> DataFrame:
     """`df` with aggregates of each row's group as further columns; rows with a null key are left out.
 
-    Aggregates are combined before they move. Those of hot groups, fewer than `HOT_GROUPS` rows, are broadcast to the rows where they lie;
-    only rows of other groups are dealt by key. So a group with a third of all rows meets in no task. `total`: at least
-    the number of rows, counted if not given. `df` is read several times: cut it if it is dear.
+    Aggregates are combined before they move and come back by `give`. `total`: at least the number of rows, counted if not given. `df` is
+    read several times: cut it if it is dear.
     """
-    limit = max(1, (df.count() if total is None else total) // HOT_GROUPS)
     g = df.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.count("*").alias("__n"), *[c.alias(n) for n, c in aggs.items()])
-    hot = g.where(F.col("__n") > limit).drop("__n")
-    there = df.join(F.broadcast(hot), keys)
-    moved = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(g.where(F.col("__n") <= limit).drop("__n"), keys)
-    return there.unionByName(moved)
+    return give(df, g, keys, "__n", df.count() if total is None else total)
 
 
 def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
