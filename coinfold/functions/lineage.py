@@ -28,17 +28,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a Parquet table in the shared folder: narrower on disk than a checkpoint, for wide results.
-
-    The shuffle files behind it are of no more use; the nudge to the driver's collector lets Spark's cleaner drop them.
-    """
+    """Cuts the lineage by a Parquet table in the shared folder: narrower on disk than a checkpoint, for wide results."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/coinfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    sweep(spark)
+    return out
+
+
+def sweep(spark: SparkSession) -> None:
+    """Nudges the driver's collectors, so that Spark's cleaner drops the shuffle files of plans that were cut and are of no more use."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
 
 
 def clear_stored(spark: SparkSession) -> int:
