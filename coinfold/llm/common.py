@@ -2,39 +2,35 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpoint_dir, cut, stored, sweep
+from ..functions.spread import attach, give, running
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["attach", "checkpoint_dir", "connected_components", "cut", "give", "held_out", "labelled_sample", "partitions", "running", "slices", "stored", "table", "unused"]
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="coinfold-ck-"))
-    return sc.getCheckpointDir()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint, so a lost executor costs a reread, not a recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
-def buckets(spark: SparkSession, per_partition: int = 4) -> int:
-    """How many hash buckets packed rows are dealt to; follows the cluster's shuffle partitions."""
-    return max(8, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def partitions(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
+    """Shuffle partitions for `size` bytes: about `each` bytes in one, and not fewer than the session asks for."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 def held_out(doc_id) -> F.Column:
@@ -42,6 +38,25 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, max_bytes: int, id_col: str, text_col: str, *more: str) -> pa.Table:
+    """(id, y, text, *more), sorted by id: the labelled rows to fit on, at most `max_rows` rows and `max_bytes` bytes of text.
+
+    Rows are taken in order of a hash of the id, outside the held-out quarter, as long as their bytes sum up to no more than the bound; a text
+    of over a sixteenth of it is passed over. Null ids, labels and texts are left out. Of repeated labels the larger one counts, of
+    repeated documents the one of least text. `more` columns that `docs` lacks are null.
+    """
+    cols = [F.col(f"`{c}`") if c in docs.columns else F.lit(None).cast("string").alias(c) for c in more]
+    d = docs.select(F.col(f"`{id_col}`").alias("id"), F.struct(F.col(f"`{text_col}`").cast("string").alias("text"), *cols).alias("x")).where("id is not null and x.text is not null")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
+    order = [F.xxhash64("id"), "id"]
+    pick = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).orderBy(*order).limit(max_rows)
+    # At most max_rows ids: the bound of this broadcast and of the window below.
+    rows = stored(d.join(F.broadcast(pick), "id").groupBy("id", "y").agg(F.min("x").alias("x")))
+    size = rows.select("id", F.octet_length("x.text").cast("long").alias("size")).where(F.col("size") <= max_bytes // 16)
+    some = size.withColumn("sum", F.sum("size").over(Window.orderBy(*order))).where(F.col("sum") <= max_bytes).select("id")
+    return rows.join(F.broadcast(some), "id").select("id", "y", "x.*").toArrow().sort_by("id")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each piece holds about `limit` bytes of text, a longer text whole and alone."""
     for batch in batches:
@@ -60,44 +75,29 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of the undirected graph of `edges` (src, dst): component is the least node that links reach.
 
-    Alternating large-star and small-star steps: each round is two aggregations with map-side combine and two
-    joins, the number of rounds grows with the logarithm of the graph's size, and nothing is gathered on the driver.
-    Null ends and loops are left out; nodes without an edge don't appear.
+    Alternating large-star and small-star steps. Each gives a node's least neighbour back to all its links by `attach`, so the links of
+    a star's centre meet in no task; the number of rounds grows with the logarithm of the graph's size, and
+    nothing is gathered on the driver. Null ends and loops are left out; nodes without an edge don't appear.
     """
     e = cut(
         edges.where("src is not null and dst is not null and src <> dst")
         .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         .distinct()
     )
-    before = None
+    state = [F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))]
+    now = e.agg(*state).first()
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("m")).withColumn("m", F.least("m", "src"))
-        large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
-        near = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(near, "src").select(
+        large = attach(both, ["src"], 2 * now[0], m=F.min("dst")).where("dst > src").select(F.col("dst").alias("src"), F.least("m", "src").alias("dst")).distinct()
+        small = attach(large, ["src"], 2 * now[0], m=F.min("dst")).select(
             F.explode(F.array(F.struct("src", F.col("m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))).alias("x")
         )
         e = cut(small.select("x.*").where("src <> dst").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        sweep(e.sparkSession)
+        before, now = now, e.agg(*state).first()
         if now == before:
             break
-        before = now
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = e.select(F.col("dst").alias("node")).distinct()
     return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a Parquet table in the shared folder: narrower on disk than a checkpoint, for wide results.
-
-    The shuffle files behind it are of no more use; the nudge to the driver's collector lets Spark's cleaner drop them.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/coinfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out

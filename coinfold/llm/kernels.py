@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 
@@ -75,16 +78,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def prefix(buf: np.ndarray) -> np.ndarray:
+class Prefix(NamedTuple):
+    """Prefix sums of a polynomial hash, and the bytes."""
+
+    sums: np.ndarray
+    buf: np.ndarray
+
+
+#: Longer spans are hashed byte for byte: modulo 2^64, patterns of some hundred bytes exist that any base maps to one value.
+LONG_SPAN = 256
+
+
+def prefix(buf: np.ndarray) -> Prefix:
     h = np.zeros(len(buf) + 1, U)
     np.cumsum(BYTE[buf] * powers(len(buf), R), out=h[1:])
-    return h
+    return Prefix(h, buf)
 
 
-def span_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+def span_hash(h: Prefix, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Hash of the bytes from s to e, from prefix sums: the same wherever the bytes stand."""
     n = int(e.max(initial=0)) + 1
-    return mix(((h[e] - h[s]) * powers(n, R_INV)[s]) ^ ((e - s).astype(U) * U(0x9E3779B97F4A7C15)))
+    out = mix(((h.sums[e] - h.sums[s]) * powers(n, R_INV)[s]) ^ ((e - s).astype(U) * U(0x9E3779B97F4A7C15)))
+    for i in np.flatnonzero(e - s > LONG_SPAN):
+        out[i] = int.from_bytes(blake2b(h.buf[s[i] : e[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(wh: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> tuple[np.ndarray, np.ndarray]:

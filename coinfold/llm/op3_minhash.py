@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import connected_components, cut, slices, stored, table
+from .common import attach, connected_components, cut, slices, stored, table, unused
 
 HOT_CENTRE = 2000
 BLOCK = 384
@@ -37,6 +37,11 @@ def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return K.distinct_sorted(*K.shingles(K.span_hash(K.prefix(buf), ws, we), doc, batch.num_rows, k))
 
 
+def _set_keys(s: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+    """128 bits that name each set, whatever the order of its members."""
+    return np.stack([np.add.reduceat(K.mix(s ^ K.mix(np.full(1, 2 * seed + i + 1, np.uint64))), at) for i in range(2)], 1)
+
+
 def _signatures(k: int, m: int, r: int, seed: int):
     rng = np.random.default_rng(seed)
     a = rng.integers(1, 2**63, m * r, dtype=np.uint64) | np.uint64(1)
@@ -51,8 +56,7 @@ def _signatures(k: int, m: int, r: int, seed: int):
             key = np.zeros((x.num_rows, 2), np.uint64)
             values = np.zeros((x.num_rows, m), np.uint64)
             if len(at):
-                key[have, 0] = np.add.reduceat(K.mix(s ^ b[0]), at)
-                key[have, 1] = np.add.reduceat(K.mix(s ^ b[1]), at)
+                key[have] = _set_keys(s, at, seed)
                 for c in range(m):
                     v = np.zeros(len(at), np.uint64)
                     for i in range(c * r, c * r + r):
@@ -66,13 +70,14 @@ def _signatures(k: int, m: int, r: int, seed: int):
     return run
 
 
-def _full_sets(k: int):
+def _full_sets(k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in slices(batches, "text"):
             s, d = _sets(x, k)
-            cuts = np.searchsorted(d, np.arange(x.num_rows + 1))
-            raw = [s[cuts[i] : cuts[i + 1]].tobytes() for i in range(x.num_rows)]
-            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("centre"), pa.array(raw, pa.binary())], ["id", "centre", "words"])
+            at = K.grouped_starts(d)
+            raw = [s[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(s)), strict=True)]
+            keys = [q.tobytes() for q in _set_keys(s, at, seed)] if len(at) else []
+            yield pa.RecordBatch.from_arrays([x.column("id").take(pa.array(d[at])), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], ["id", "set_key", "words"])
 
     return run
 
@@ -97,13 +102,10 @@ def _confirm(percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(src, dst, linked) for each pair of ids; a centre's set is repeated only for salts of hot centres."""
-    n = pairs.groupBy("src").agg(F.ceil(F.count("*") / HOT_CENTRE).cast("int").alias("salts"))
-    left = sets.join(n, sets.id == n.src).select("src", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("words").alias("left_set"))
-    right = (
-        pairs.join(sets, pairs.dst == sets.id).select("src", "dst", F.col("words").alias("right_set"))
-        .join(n, "src").withColumn("salt", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int"))
-    )
+    """(src, dst, linked) for each pair of (src, salt, salts, dst): the set of src is repeated for each of its salts."""
+    heads = pairs.select("src", "salts").distinct()
+    left = sets.join(heads, sets.id == heads.src).select("src", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("words").alias("left_set"))
+    right = pairs.join(sets, pairs.dst == sets.id).select("src", "salt", "dst", F.col("words").alias("right_set"))
     return right.join(left, ["src", "salt"]).select("src", "dst", "left_set", "right_set").mapInArrow(_confirm(percent), "src long, dst long, linked boolean")
 
 
@@ -165,25 +167,32 @@ def _block(percent: int):
 
 
 def _links(wanted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(src, dst): confirmed links of candidate components (id, centre), enough of them to connect what is connected."""
-    size = wanted.groupBy("centre").agg(F.count("*").alias("k"))
-    large = cut(size.where(F.col("k") > BLOCK))
-    mine = sets.join(size, "centre")
-    whole = mine.where(F.col("k") <= BLOCK).select("centre", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", F.lit(2).alias("role"), "words")
+    """(src, dst): confirmed links of candidate components (id, centre, k: their size), enough of them to connect what is connected.
+
+    sets: id, words. Sizes travel with the narrow rows, and full sets are joined by id, so no component's sets meet in one task but those
+    of a block.
+    """
+    whole = sets.join(wanted.where(F.col("k") <= BLOCK), "id").select("centre", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", F.lit(2).alias("role"), "words")
+    member = cut(
+        wanted.where(F.col("k") > BLOCK).withColumn("salts", F.ceil(F.col("k") / HOT_CENTRE).cast("int"))
+        .withColumns({"salt": F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"), "slot": F.pmod(F.xxhash64("id", F.lit(2)), F.lit(HEADS))})
+    )
     known = None
-    if not large.isEmpty():
-        member = cut(wanted.join(large, "centre"))
-        slot = F.pmod(F.xxhash64("id"), F.lit(HEADS))
-        heads = member.groupBy("centre", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(1)), F.col("id").alias("head"))).alias("h")).select("centre", "h.head")
-        pairs = member.join(heads, "centre").where("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst"))
-        big = stored(sets.join(large, "centre"))
-        known = cut(_verified(pairs, big.select("id", "words"), percent).where("linked").select("src", "dst"))
+    if not member.isEmpty():
+        heads = member.groupBy("centre", "slot").agg(F.min(F.struct(F.xxhash64("id", F.lit(1)), F.col("id").alias("head"))).alias("h"), F.first("salts").alias("salts"))
+        heads = heads.select("centre", "h.head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        pairs = cut(member.join(heads, ["centre", "salt"]).where("id <> head").select(F.col("head").alias("src"), "salt", "salts", F.col("id").alias("dst")))
+        big = stored(sets.join(member.select("id"), "id"))
+        known = cut(_verified(pairs, big, percent).where("linked").select("src", "dst"))
         comp = connected_components(known)
-        own = cut(member.join(comp, F.col("id") == F.col("node"), "left").select("id", "centre", "k", F.coalesce("component", "id").alias("comp")))
-        bulk = own.groupBy("centre", "comp").agg(F.count("*").alias("n")).groupBy("centre").agg(F.max(F.struct("n", "comp"))["comp"].alias("bulk"))
-        own = own.join(bulk, "centre").select("id", "centre", "k", (F.col("comp") != F.col("bulk")).alias("loose"))
-        loose = own.where("loose").groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ni"))
-        rows = big.select("id", "words").join(own.join(loose, "centre").withColumn("nj", F.ceil(F.col("k") / BLOCK).cast("int")), "id")
+        own = cut(member.join(comp, F.col("id") == F.col("node"), "left").select("id", "centre", "k", "salt", F.coalesce("component", "id").alias("comp")))
+        # The component's largest part, and how many members stay outside it: a row for each part, then one for each component.
+        parts = own.groupBy("centre", "comp").agg(F.count("*").alias("n"), F.first("k").alias("k"))
+        bulk = parts.groupBy("centre").agg(F.max(F.struct("n", "comp")).alias("b"), F.first("k").alias("k"))
+        bulk = bulk.select("centre", F.col("b.comp").alias("bulk"), F.ceil((F.col("k") - F.col("b.n")) / BLOCK).cast("int").alias("ni"), F.ceil(F.col("k") / BLOCK).cast("int").alias("nj"), F.ceil(F.col("k") / HOT_CENTRE).cast("int").alias("salts")).where("ni > 0")
+        bulk = bulk.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        own = own.join(bulk, ["centre", "salt"]).select("id", "centre", "ni", "nj", (F.col("comp") != F.col("bulk")).alias("loose"))
+        rows = big.join(own, "id")
         left = rows.where("loose").select("centre", F.pmod(F.xxhash64("id"), F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "id", F.lit(0).alias("role"), "words")
         right = rows.select("centre", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(F.xxhash64("id"), F.col("nj")).cast("int").alias("j"), "id", F.lit(1).alias("role"), "words")
         whole = whole.unionByName(left).unionByName(right)
@@ -197,25 +206,28 @@ def minhash_dedup(
     """(doc_id, n_shingles, component_id, kept): one row per row of `docs`.
 
     Words are runs of non-space after lower-casing A-Z; a text of fewer than `words` words is one shingle; null and empty
-    texts have n_shingles 0 and are alone. Equal ids count as one document for linking; rows with a null id come
-    back with component_id null and kept true. Other columns are ignored whatever their names.
+    texts have n_shingles 0 and are alone. Equal ids count as one document for linking, that of the least set key; rows with a null id come
+    back with component_id null and kept true. An empty table gives no rows; other columns are ignored whatever their names.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sig = cut(src.mapInArrow(_signatures(words, m, r, seed), "id long, n long, set_key binary, colls array<long>"))
-    reps = sig.where("id is not null and n > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("colls").alias("colls"))
+    # Of rows that repeat an id the one of least set key counts. Exact copies collapse to the least id.
+    one = sig.where("id is not null and n > 0").groupBy("id").agg(F.min(F.struct("set_key", "colls")).alias("x")).select("id", "x.*")
+    total = sig.count()
+    reps = one.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("colls").alias("colls"))
+    of = attach(one.select("id", "set_key"), ["set_key"], total, rep=F.min("id")).select("id", "rep")
     values = reps.select("rep", F.posexplode("colls").alias("c", "h"))
-    shared = values.groupBy("c", "h").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    mine = values.join(shared, ["c", "h"], "left_semi").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("v")).where(F.size("v") > 1)
+    shared = attach(values, ["c", "h"], m * total, k=F.count("*")).where("k > 1")
+    mine = shared.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("v")).where(F.size("v") > 1)
     pair = "flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> xxhash64(x.c, x.h, y.c, y.h))))"
     keys = mine.select("rep", F.explode(F.expr(pair)).alias("key"))
-    full = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("k")).where("k > 1").drop("k")
-    member = cut(keys.join(full, "key").select("key", "rep", "centre").distinct())
-    coarse = connected_components(member.select(F.col("rep").alias("src"), F.col("centre").alias("dst")))
-    wanted = cut(coarse.select(F.col("node").alias("id"), F.col("component").alias("centre")))
-    sets = stored(src.where("id is not null").join(wanted, "id").select("id", "centre", "text").mapInArrow(_full_sets(words), "id long, centre long, words binary").dropDuplicates(["id"]))
+    bucket = attach(keys, ["key"], m * (m - 1) // 2 * total, centre=F.min("rep"), k=F.count("*")).where("k > 1")
+    coarse = cut(connected_components(bucket.select(F.col("rep").alias("src"), F.col("centre").alias("dst"))).select(F.col("node").alias("id"), F.col("component").alias("centre")))
+    wanted = cut(attach(coarse, ["centre"], k=F.count("*")))
+    sets = src.where("id is not null").join(wanted.select("id"), "id").mapInArrow(_full_sets(words, seed), "id long, set_key binary, words binary")
+    sets = stored(sets.groupBy("id").agg(F.min(F.struct("set_key", "words"))["words"].alias("words")))
     comp = connected_components(_links(wanted, sets, percent))
-    of = sig.where("id is not null and n > 0").select("id", "set_key").join(reps.select("set_key", "rep"), "set_key").select("id", "rep")
-    of = of.join(comp, F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("found"))
+    of = of.join(comp, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("found"))
     out = sig.select("id", "n").join(of, "id", "left")
     component = F.coalesce("found", "id")
     return out.select(
@@ -244,7 +256,17 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS c
 """
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """`docs` with one document of each group of near copies, the one of least id; rows with a null id stay."""
-    gone = minhash_dedup(docs, id_col=id_col, **kw).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """`docs` with one row of each group of near copies: the one of least id, null ids last, then of least text.
+
+    Rows get a key that is written with them and are compared by it, so repeated rows and rows with a null id are copies like any
+    others. Rows without words are copies of nothing and stay. An empty table gives an empty one; columns stay as they are.
+    """
+    row, gone = unused(docs, "row_of_dedup"), unused(docs, "gone_of_dedup")
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = minhash_dedup(keyed, row, text_col, **kw).select(F.col("doc_id").alias("row"), "component_id")
+    ident = keyed.select(F.col(row).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie"))
+    order = F.struct(F.col("id").isNull(), "id", "tie", "row")
+    group = attach(cut(found.join(ident, "row")), ["component_id"], first=F.min(order))
+    lost = group.where(F.col("first.row") != F.col("row")).select(F.col("row").alias(gone))
+    return keyed.join(lost, F.col(row) == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

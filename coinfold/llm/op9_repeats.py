@@ -8,9 +8,10 @@ neighbouring windows share theirs, so the first pass moves one narrow row per st
 window. Stretches that are equal as a whole are settled there. The remaining passes run over digits of `digit` bytes inside buckets
 of anchors.
 
-Hot anchors (a line in a third of all texts) never meet in one task: equal stretches collapse inside each slice of the input before
-anything moves, an anchor that is frequent in a slice is flagged, and the windows of flagged or large anchor groups are
-dealt by a 128-bit hash of their whole key instead, again collapsed in each slice first.
+Hot anchors (a line in a third of all texts) never meet in one task: an anchor that is frequent in a slice of the input is flagged, and
+the windows of flagged or large anchor groups are dealt by a 128-bit hash of their whole key instead. What is dealt by a whole
+key is collapsed in each task before it moves, so even a window in every text sends one row for each task. The number of buckets
+follows the bytes of the texts.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import buckets, slices, stored, table
+from .common import partitions, slices, stored, table
 
 U = np.uint64
 ANCHOR = 24
 DIGIT = 20
 SLICE_HOT = 8
 GROUP_HOT = 4096
+HELD = 1 << 19
 POSITION_BITS = 31
 STRETCH = "id long, s int, e int, h1 long, kind int"
 REMOVED, COLD, HOT = 0, 1, 2
@@ -123,8 +125,48 @@ def _ids(x: pa.RecordBatch) -> np.ndarray:
     return x.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _anchors(depth: int, nb: int):
+class _Collapsed:
+    """Rows held back in a task, of which only the first of each key is sent on; at most a bounded number is held.
+
+    Columns are those of COLUMNS; `keys` tells which of them make the key, `deal` which one names the bucket.
+    """
+
+    def __init__(self, nb: int, keys: tuple[int, ...], deal: int, held: int):
+        self.nb, self.keys, self.deal, self.held = nb, keys, deal, held
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.n = 0
+
+    def add(self, *cols: np.ndarray) -> list:
+        """Packed rows that are due: of rows that came after an equal one, and of all if too many differ."""
+        self.parts.append(cols)
+        self.n += len(cols[0])
+        return self.due() if self.n > 2 * self.held else []
+
+    def due(self, last: bool = False) -> list:
+        if not self.parts:
+            return []
+        cols = tuple(np.concatenate(c) for c in zip(*self.parts, strict=True))
+        o, later, new = _later(tuple(cols[k] for k in self.keys), cols[2], cols[3])
+        gone = o[later]
+        out = list(_removed(cols[2][gone], cols[3][gone], cols[4][gone], self.nb))
+        o = o[~later & new]  # an equal row of the same id and start is the same occurrence
+        cols = tuple(c[o] for c in cols)
+        self.parts, self.n = [cols], len(o)
+        if last or len(o) > self.held:
+            out += _packed(HOT, (cols[self.deal] % U(self.nb)).astype(np.int64), cols)
+            self.parts, self.n = [], 0
+        return out
+
+
+def _removed(ident: np.ndarray, s: np.ndarray, n: np.ndarray, nb: int) -> Iterator[tuple[int, int, bytes]]:
+    zero = np.zeros(len(ident), U)
+    return _packed(REMOVED, (ident % nb).astype(np.int64), (zero, zero, ident, s, n))
+
+
+def _anchors(depth: int, nb: int, slice_hot: int, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold = _Collapsed(nb, (0, 1), 1, held)
+        told: set[int] = set()
         for x in slices(batches, "text", 2 << 20):
             buf, off = K.flat(x.column("text"))
             s, e, doc, h1, sh = stretches(buf, off, depth)
@@ -133,25 +175,36 @@ def _anchors(depth: int, nb: int):
             o, later, _ = _later((sh,), ident, s)
             out = []
             gone = o[later]
-            zero = np.zeros(len(gone), U)
-            out += _packed(REMOVED, (ident[gone] % nb).astype(np.int64), (zero, zero, ident[gone], s[gone], n[gone]))
+            out += _removed(ident[gone], s[gone], n[gone], nb)
             o = o[~later]
             h1, sh, ident, s, n = h1[o], sh[o], ident[o], s[o], n[o]
             _, inv, count = np.unique(h1, return_inverse=True, return_counts=True)
-            hot = count[inv] > SLICE_HOT
-            for kind, rows in ((COLD, ~hot), (HOT, hot)):
-                deal = h1 if kind == COLD else sh
-                out += _packed(kind, (deal[rows] % U(nb)).astype(np.int64), (h1[rows], sh[rows], ident[rows], s[rows], n[rows]))
-            marks = np.unique(h1[hot])  # a mark tells the anchor's bucket that it is hot: a row of length -1
+            hot = count[inv] > slice_hot
+            out += _packed(COLD, (h1[~hot] % U(nb)).astype(np.int64), tuple(c[~hot] for c in (h1, sh, ident, s, n)))
+            out += hold.add(*(c[hot] for c in (h1, sh, ident, s, n)))
+            # A mark tells the anchor's bucket, once in a task, that it is hot: a row of length -1.
+            marks = np.array([m for m in np.unique(h1[hot]).tolist() if m not in told], U)
+            told.update(marks.tolist())
+            if len(told) > held:
+                told.clear()
             zero = np.zeros(len(marks), np.int64)
             out += _packed(COLD, (marks % U(nb)).astype(np.int64), (marks, zero.astype(U), zero, zero, zero - 1))
             yield _rows(out)
+        yield _rows(hold.due(True))
 
     return run
 
 
-def _first_pass(t: pa.Table) -> pa.Table:
+def _first_pass(group_hot: int):
     """Deals a bucket by anchor: single anchors leave, equal stretches are settled, the rest goes on as cold or hot."""
+
+    def run(t: pa.Table) -> pa.Table:
+        return _dealt(t, group_hot)
+
+    return run
+
+
+def _dealt(t: pa.Table, group_hot: int) -> pa.Table:
     kind = t.column("kind")[0].as_py()
     (h1, sh, ident, s, n), _ = _unpacked(t.column("blob").to_pylist())
     out = np.full(len(h1), REMOVED)
@@ -163,7 +216,7 @@ def _first_pass(t: pa.Table) -> pa.Table:
         h1, sh, ident, s, n = (c[o] for c in (h1, sh, ident, s, n))
         _, inv = np.unique(h1, return_inverse=True)
         classes = np.bincount(inv, weights=new)[inv] if len(inv) else np.zeros(0)
-        hot = np.isin(h1, marked) | (classes > GROUP_HOT) | (kind == HOT)
+        hot = np.isin(h1, marked) | (classes > group_hot) | (kind == HOT)
         out = np.where(later, REMOVED, np.where(hot, HOT, np.where(classes > 1, COLD, -1)))
         # A repeated row of the same id and start is no other occurrence; it goes with its first row.
         out[~later & ~new] = -1
@@ -171,8 +224,9 @@ def _first_pass(t: pa.Table) -> pa.Table:
     return pa.table({"id": ident[ok], "s": s[ok], "e": (s + n)[ok], "h1": h1[ok].view(np.int64), "kind": out[ok].astype(np.int32)})
 
 
-def _windows(depth: int, nb: int):
+def _windows(depth: int, nb: int, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold = _Collapsed(nb, (0, 1), 0, held)
         for x in slices(batches, "text", 2 << 20):
             buf, off = K.flat(x.column("text"))
             lists = x.column("runs")
@@ -194,13 +248,9 @@ def _windows(depth: int, nb: int):
                 p = off[d] + at
                 one = K.span_hash(h, p, p + depth)
                 two = K.mix(K.span_hash(h, p, p + DIGIT) + K.span_hash(h, p + DIGIT, p + depth) * U(0x9E3779B97F4A7C15))
-                o, later, _ = _later((one, two), who, at)
-                gone = o[later]
-                zero = np.zeros(len(gone), U)
-                out += _packed(REMOVED, who[gone] % nb, (zero, zero, who[gone], at[gone], zero.astype(np.int64)))
-                o = o[~later]
-                out += _packed(HOT, (one[o] % U(nb)).astype(np.int64), (one[o], two[o], who[o], at[o], np.zeros(len(o), np.int64)))
+                out += hold.add(one, two, who, at, np.zeros(len(one), np.int64))
             yield _rows(out)
+        yield _rows(hold.due(True))
 
     return run
 
@@ -266,16 +316,27 @@ def _last_passes(depth: int):
     return run
 
 
-def repeated_runs(docs: DataFrame, depth: int = 100) -> DataFrame:
-    """(id, s, e): runs of window starts, in bytes, at which a window begins that also begins earlier. docs: id long, text string."""
-    nb = buckets(docs.sparkSession)
+def repeated_runs(docs: DataFrame, depth: int = 100, slice_hot: int = SLICE_HOT, group_hot: int = GROUP_HOT, held: int = HELD) -> DataFrame:
+    """(id, s, e): runs of window starts, in bytes, at which a window begins that also begins earlier. docs: id long, text string.
+
+    slice_hot: how often an anchor stands in a slice to be hot; group_hot: how many different stretches of an anchor go by whole
+    windows; held: how many rows a task holds back to collapse them. They change the way, not the result.
+    """
     src = docs.where("id is not null and text is not null")
+    spark = docs.sparkSession
+    size = src.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = partitions(spark, size)
+    nb = 4 * parts  # about 16 MB of text in each
+
+    def dealt(df: DataFrame):
+        more = parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return (df.repartition(parts, "kind", "bucket") if more else df).groupBy("kind", "bucket")
+
     blob = "kind int, bucket int, blob binary"
-    first = src.mapInArrow(_anchors(depth, nb), blob).groupBy("kind", "bucket").applyInArrow(_first_pass, STRETCH)
-    first = stored(first)
+    first = stored(dealt(src.mapInArrow(_anchors(depth, nb, slice_hot, held), blob)).applyInArrow(_first_pass(group_hot), STRETCH))
     open_ = first.where(f"kind <> {REMOVED}").groupBy("id").agg(F.collect_list(F.struct("s", "e", "h1", "kind")).alias("runs"))
-    rest = src.join(open_, "id").select("id", "text", "runs").mapInArrow(_windows(depth, nb), blob)
-    rest = stored(rest.groupBy("kind", "bucket").applyInArrow(_last_passes(depth), "id long, s int, e int"))
+    rest = src.join(open_, "id").select("id", "text", "runs").mapInArrow(_windows(depth, nb, held), blob)
+    rest = stored(dealt(rest).applyInArrow(_last_passes(depth), "id long, s int, e int"))
     return first.where(f"kind = {REMOVED}").select("id", "s", "e").unionByName(rest)
 
 
@@ -314,17 +375,17 @@ def _removal(depth: int, texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, **deal: int) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept_sha256[, kept]): one row per row of `docs`; spans are byte runs removed, end exclusive.
 
     Null and empty texts have n_bytes 0. Rows with a null id lose nothing and are no earlier occurrence. Rows of the same id
     are one document: they lose the same bytes, and the same start in both is no repetition. `kept` holds the bytes left, which need
-    not end between characters.
+    not end between characters. An empty table gives no rows; other columns are ignored whatever their names. `deal`: settings of `repeated_runs`.
     """
     if depth < 2 * ANCHOR:
         raise ValueError(f"depth below {2 * ANCHOR}")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    runs = repeated_runs(src, depth).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+    runs = repeated_runs(src, depth, **deal).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
     schema = "id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string" + ", kept binary" * texts
     return src.join(runs, "id", "left").select("id", "text", "runs").mapInArrow(_removal(depth, texts), schema)
 
