@@ -20,5 +20,6 @@ SQL = {
     "op1_embedding_dedup": op1_hnsw.SQL,
     "op2_decontamination": op2_decontaminate.SQL,
     "op3_minhash_dedup": op3_minhash.SQL,
+    "op7_mixing": op7_mixing.SQL,
     "op10_chat": op10_chat.SQL,
 }
