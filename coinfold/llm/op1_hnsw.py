@@ -1,11 +1,12 @@
 """Embedding near-dedup with hierarchical navigable small-world graphs, one per shard.
 
-Vectors that are equal component for component collapse to one representative first. Representatives of a label are dealt
-to shards of bounded size; each shard builds its graph once, and every representative of the label queries every shard
-of it, in query blocks of bounded size. A block's beam is doubled until an exact audit of a quarter of its
-queries finds (almost) all links; queries whose beam is full of links, and blocks that the widest beam can't settle, are
-answered by exact block products instead, so no cap on partners loses a link. Cosines are confirmed in double
-precision. A block sends counts and a spanning forest of its links, never all pairs.
+Vectors that are equal component for component collapse to one representative first, with a key of its own. Representatives of a
+label are dealt to shards of bounded size; each shard builds its graph once, and every representative of the label queries
+every shard of it, in query blocks of bounded size, each of which fetches the shard's graph. A block's beam is doubled until an exact audit
+of a fixed number of its queries finds (almost) all links of others; the audit's own links are kept. Queries whose beam is full of
+links, and blocks that the widest beam can't settle, are answered by exact block products instead, so no cap on
+partners loses a link. Cosines are confirmed in double precision. A block sends counts and a spanning forest of its
+links, never all pairs.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, table
+from .common import attach, connected_components, cut, give, table
 
-SHARD = 8192
-QUERY_BLOCK = 4096
+SHARD = 16384
+QUERY_BLOCK = 16384
+AUDIT = 256
 M = 12
 BATCH = 512
 
@@ -176,49 +178,62 @@ def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _graph(t: pa.Table) -> pa.Table:
-    x = _matrix(t.column("raw"))
-    o = np.argsort(t.column("rep").to_numpy(), kind="stable")
-    x = x[o]
-    unit = _unit(x)
+    raw = t.column("raw").combine_chunks()
+    o = np.array(sorted(range(len(raw)), key=lambda i: raw[i].as_py()))  # the same graph whatever order the rows come in
+    unit = _unit(_matrix(raw)[o])
     g = Hnsw.build(unit.astype(np.float32))
     out = io.BytesIO()
-    np.savez(out, unit=unit[g.order], rep=t.column("rep").to_numpy()[o][g.order], mult=t.column("mult").to_numpy()[o][g.order], levels=g.levels, n=len(g.layers), **{f"l{i}": a for i, a in enumerate(g.layers)})
+    np.savez(out, unit=unit[g.order], key=t.column("key").to_numpy()[o][g.order], mult=t.column("mult").to_numpy()[o][g.order], levels=g.levels, n=len(g.layers), **{f"l{i}": a for i, a in enumerate(g.layers)})
     first = t.slice(0, 1)
     return pa.table({"label": first.column("label"), "dim": first.column("dim"), "shard": first.column("shard"), "graph": pa.array([out.getvalue()], pa.binary())})
 
 
-def links(g: Hnsw, unit: np.ndarray, q: np.ndarray, cosine: float, goal: float = 0.999, ef: int = 24, widest: int = 192) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of all found links of cosine at least `cosine`, with beams widened until the audit passes."""
+def links(g: Hnsw, unit: np.ndarray, q: np.ndarray, own: np.ndarray, cosine: float, goal: float = 0.999, ef: int = 32, widest: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of all found links of cosine at least `cosine` to other nodes, with beams widened until the audit passes.
+
+    own: each query's own node, or -1. The audit takes `AUDIT` queries, evenly spaced, or all if there are fewer.
+    """
     near = np.float32(cosine - 1e-4)
     q32 = q.astype(np.float32)
-    audit = np.arange(0, len(q), 4)
+    audit = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDIT)).astype(np.int64))
     truth = (q32[audit] @ g.x.T) >= near
+    mine = np.flatnonzero(own[audit] >= 0)
+    truth[mine, own[audit[mine]]] = False
+    got = [np.stack(np.nonzero(truth))]
+    got[0][0] = audit[got[0][0]]
+    place = np.full(len(q), -1)
+    place[audit] = np.arange(len(audit))
     open_ = np.arange(len(q))
-    got_q, got_n = [], []
     while len(open_) and ef <= widest:
-        sims, ids = g.search(q32[open_], ef)
-        hit = (sims >= near) & (ids >= 0)
-        full = hit.all(1)
-        found = np.zeros(truth.shape, bool)
-        place = np.searchsorted(audit, open_)
-        mine = (audit[np.minimum(place, len(audit) - 1)] == open_) & ~full
-        r, c = np.nonzero(hit & mine[:, None])
-        found[place[r], ids[r, c]] = True
-        checked = truth[place[mine]]
-        if checked.sum() and found[place[mine]][checked].sum() < goal * checked.sum():
+        found, full, seen = [], np.zeros(len(open_), bool), np.zeros(truth.shape, bool)
+        for at in range(0, len(open_), 2048):
+            rows = open_[at : at + 2048]
+            sims, ids = g.search(q32[rows], ef)
+            hit = (sims >= near) & (ids >= 0)
+            full[at : at + 2048] = hit.all(1)
+            r, c = np.nonzero(hit)
+            pair = np.stack([rows[r], ids[r, c]])
+            found.append(pair[:, pair[1] != own[pair[0]]])
+        pairs = np.concatenate(found, 1)
+        done = np.zeros(len(q), bool)
+        done[open_[~full]] = True
+        pairs = pairs[:, done[pairs[0]]]
+        checked = pairs[:, place[pairs[0]] >= 0]
+        seen[place[checked[0]], checked[1]] = True
+        due = truth & done[audit][:, None]
+        if (seen & due).sum() < goal * due.sum():
             ef *= 2
             continue
-        r, c = np.nonzero(hit & ~full[:, None])
-        got_q.append(open_[r])
-        got_n.append(ids[r, c])
+        got.append(pairs)
         open_ = open_[full]
         ef *= 2
     for at in range(0, len(open_), 512):  # beams full of links, or an audit that didn't pass: exact
         rows = open_[at : at + 512]
         r, c = np.nonzero((q32[rows] @ g.x.T) >= near)
-        got_q.append(rows[r])
-        got_n.append(c)
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (got_q, got_n))
+        pair = np.stack([rows[r], c])
+        got.append(pair[:, pair[1] != own[pair[0]]])
+    code = np.unique(np.concatenate([p[0] * len(unit) + p[1] for p in got]))
+    a, b = code // len(unit), code % len(unit)
     keep = np.zeros(len(a), bool)
     for at in range(0, len(a), 1 << 18):
         p = slice(at, at + (1 << 18))
@@ -228,19 +243,21 @@ def links(g: Hnsw, unit: np.ndarray, q: np.ndarray, cosine: float, goal: float =
 
 def _search(cosine: float):
     def run(queries: pa.Table, graphs: pa.Table) -> pa.Table:
-        empty = pa.table({k: pa.array([], pa.int64()) for k in ("rep", "root", "hits")})
+        empty = pa.table({k: pa.array([], pa.int64()) for k in ("key", "root", "hits")})
         if not queries.num_rows or not graphs.num_rows:
             return empty
         z = np.load(io.BytesIO(graphs.column("graph")[0].as_py()))
-        unit, rep, mult = z["unit"], z["rep"], z["mult"]
+        unit, key, mult = z["unit"], z["key"], z["mult"]
         g = Hnsw(unit.astype(np.float32), z["levels"], [z[f"l{i}"] for i in range(int(z["n"]))], 0)
-        mine = queries.column("rep").to_numpy()
-        a, b = links(g, unit, _unit(_matrix(queries.column("raw"))), cosine)
-        other = mine[a] != rep[b]
-        a, b = a[other], b[other]
+        o = np.argsort(queries.column("key").to_numpy(), kind="stable")
+        mine = queries.column("key").to_numpy()[o]
+        by_key = np.argsort(key)
+        own = by_key[np.minimum(np.searchsorted(key[by_key], mine), len(key) - 1)]
+        own = np.where(key[own] == mine, own, -1)
+        a, b = links(g, unit, _unit(_matrix(queries.column("raw").combine_chunks())[o]), own, cosine)
         hits = np.bincount(a, weights=mult[b], minlength=len(mine)).astype(np.int64)
-        # A spanning forest: the least id reached inside this block, passed on until nothing changes.
-        nodes, inv = np.unique(np.concatenate([mine[a], rep[b]]), return_inverse=True)
+        # A spanning forest: the least key reached inside this block, passed on until nothing changes.
+        nodes, inv = np.unique(np.concatenate([mine[a], key[b]]), return_inverse=True)
         p, q = inv[: len(a)], inv[len(a) :]
         root = np.arange(len(nodes))
         while len(p):
@@ -252,7 +269,7 @@ def _search(cosine: float):
             if (new == root).all():
                 break
             root = new
-        return pa.table({"rep": np.concatenate([mine, nodes]), "root": np.concatenate([mine, nodes[root]]), "hits": np.concatenate([hits, np.zeros(len(nodes), np.int64)])})
+        return pa.table({"key": np.concatenate([mine, nodes]), "root": np.concatenate([mine, nodes[root]]), "hits": np.concatenate([hits, np.zeros(len(nodes), np.int64)])})
 
     return run
 
@@ -261,29 +278,35 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     """(vec_id, n_links, component_id, kept): one row per row of `vectors`.
 
     Only vectors of equal, non-null label and equal length are compared. Null, empty and zero vectors and those with null
-    or non-finite components are alone: n_links 0, component_id their id, kept. Repeated ids are different vectors for
-    n_links. A null id comes back with component_id null and kept true, and links with nothing.
+    or non-finite components are alone: n_links 0, component_id their id, kept. Rows that repeat an id are vectors of their own, each with its own
+    links, and kept if the id is their component's; component_id is the least id in a component. A null id comes back with component_id null
+    and kept true, and links with nothing. An empty table gives no rows; other columns are ignored whatever their names.
     """
-    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).alias("vec"))
-    rows = src.mapInArrow(_valid, "id long, label string, dim int, raw binary")
-    every = cut(rows)
+    src = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{vec_col}`").alias("vec"))
+    every = cut(src.mapInArrow(_valid, "id long, label string, dim int, raw binary"))
     good = every.where("raw is not null and id is not null")
-    reps = good.groupBy("label", "dim", "raw").agg(F.min("id").alias("rep"), F.count("*").alias("mult"))
-    sizes = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    reps = cut(
+    kind = ["label", "dim", "raw"]
+    reps = cut(good.groupBy(*kind).agg(F.min("id").alias("rep"), F.count("*").alias("mult")).withColumn("key", F.monotonically_increasing_id()))
+    sizes = reps.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    sizes = cut(sizes.select("label", "dim", F.ceil(F.col("n") / shard).cast("int").alias("shards"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    dealt = cut(
         reps.join(sizes, ["label", "dim"])
-        .withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
+        .withColumn("shard", F.pmod(F.xxhash64("raw"), F.col("shards")).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("raw", F.lit(1)), F.col("blocks")).cast("int"))
     )
-    graphs = cut(reps.select("label", "dim", "shard", "rep", "mult", "raw").groupBy("label", "dim", "shard").applyInArrow(_graph, "label string, dim int, shard int, graph binary"))
+    graphs = cut(dealt.select("label", "dim", "shard", "key", "mult", "raw").groupBy("label", "dim", "shard").applyInArrow(_graph, "label string, dim int, shard int, graph binary"))
     graphs = graphs.join(sizes, ["label", "dim"]).select("label", "dim", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "graph")
-    queries = reps.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block", "rep", "raw")
-    key = ["label", "dim", "shard", "block"]
-    found = cut(queries.groupBy(key).cogroup(graphs.groupBy(key)).applyInArrow(_search(cosine), "rep long, root long, hits long"))
-    counts = found.groupBy("rep").agg(F.sum("hits").alias("hits"))
-    comp = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    of = reps.select("label", "dim", "raw", "rep", "mult").join(counts, "rep").join(comp, F.col("rep") == F.col("node"), "left")
-    of = good.join(of.select("label", "dim", "raw", (F.col("hits") + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), ["label", "dim", "raw"]).select("id", "n_links", "component")
+    queries = dealt.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block", "key", "raw")
+    where = ["label", "dim", "shard", "block"]
+    found = cut(queries.groupBy(where).cogroup(graphs.groupBy(where)).applyInArrow(_search(cosine), "key long, root long, hits long"))
+    counts = found.groupBy("key").agg(F.sum("hits").alias("hits"))
+    comp = connected_components(found.select(F.col("key").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "key")
+    node = reps.select("key", "rep", "mult").join(counts, "key", "left").join(comp, "key", "left")
+    node = cut(node.select("key", "rep", (F.coalesce("hits", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "key").alias("group")))
+    # A component's name is the least id in it.
+    node = attach(node, ["group"], component=F.min("rep")).select("key", "n_links", "component")
+    told = cut(reps.select(*kind, "key", "mult").join(node, "key").drop("key"))
+    of = give(good, told, kind, "mult", every.count()).select("id", "n_links", "component")
     rest = every.where("raw is null or id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return of.unionByName(rest).select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
