@@ -1,6 +1,6 @@
 """Token ids packed into rows of fixed length by best-fit decreasing, for training with segment-wise attention.
 
-Texts are tokenised where they lie; tasks fill packs of a bounded number of tokens, so nothing is shuffled and memory
+The vocabulary is sent to the executors with the job. Texts are tokenised where they lie; tasks fill packs of a bounded number of tokens, so nothing is shuffled and memory
 stays bounded. In a pack, documents are split losslessly into chunks of at most the row length, taken in order of decreasing
 length, and each goes to the row of least free room that holds it, found in a segment tree over capacities. A row carries its
 padded token ids as a binary matrix row, cumulative segment lengths, and the positions at which position ids restart.
@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256  # free in the vocabulary: ends each document
 PACK_TOKENS = 1 << 20
+LONG_RUN = 10_000
+#: Runs on which the split pattern would step back further than its matcher's stack allows.
+_RUNS = re.compile(r"\s{%d}" % LONG_RUN)
 _loaded: dict[str, object] = {}
 
 
@@ -38,6 +43,28 @@ def encoder(path: str):
     return _loaded[path]
 
 
+def encode(enc, text: str) -> list[int]:
+    """Token ids of a text. White space of `LONG_RUN` characters and more is cut after each such number, so that any text can be split;
+    what the ids stand for is the text all the same."""
+    if len(text) < LONG_RUN:
+        return enc.encode_ordinary(text)
+    ids: list[int] = []
+    at = 0
+    for m in _RUNS.finditer(text):
+        ids += enc.encode_ordinary(text[at : m.end()])
+        at = m.end()
+    return ids + enc.encode_ordinary(text[at:])
+
+
+def _sent(spark: SparkSession, path: str) -> str:
+    """Sends the vocabulary to the executors, once for each application; gives the name it has there."""
+    sc = spark.sparkContext
+    name = os.path.basename(path)
+    if not any(f.endswith(f"/{name}") for f in sc.listFiles):
+        sc.addFile(path)
+    return name
+
+
 class Capacities:
     """A segment tree over capacities 0 to n: how many rows have each free room; finds the least one that is enough."""
 
@@ -117,15 +144,15 @@ def _pack(ids: list[np.ndarray], docs: list, capacity: int, pad: int) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.list_(pa.int32()))) for k, v in cols.items()], list(cols))
 
 
-def _packer(path: str, capacity: int, end: int, pack_tokens: int):
+def _packer(name: str, capacity: int, end: int, pack_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name))
         ids: list[np.ndarray] = []
         docs: list = []
         n = 0
         for x in slices(batches, "text"):
             for d, t in zip(x.column("id").to_pylist(), x.column("text").to_pylist(), strict=True):
-                ids.append(np.array([*(enc.encode_ordinary(t) if t else ()), end], np.uint16))
+                ids.append(np.array([*(encode(enc, t) if t else ()), end], np.uint16))
                 docs.append(d)
                 n += len(ids[-1])
                 if n >= pack_tokens:
@@ -145,11 +172,12 @@ def pack_tokens(
     token_ids: little-endian 16-bit ids, padded with the end id. Segment i stands at cu_seqlens[i] to cu_seqlens[i+1], belongs to
     doc_ids[i] and begins at token offsets[i] of it; position ids restart at `resets`. Each document ends with one end id; null
     and empty texts are that id alone; a null id stays null. Repeated rows are packed each. The first (doc_id, offset) names a
-    row; which documents share a row follows the partitions of the input.
+    row; which documents share a row follows the partitions of the input. An empty table gives no rows; other columns are ignored whatever
+    their names.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = "token_ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<bigint>, offsets array<int>, n_tokens int"
-    return src.mapInArrow(_packer(os.path.join(tokenizer_dir, vocabulary), seq_len, END, pack), schema)
+    return src.mapInArrow(_packer(_sent(docs.sparkSession, os.path.join(tokenizer_dir, vocabulary)), seq_len, END, pack), schema)
 
 
 def position_ids(cu_seqlens: list[int], seq_len: int) -> np.ndarray:
