@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import held_out, slices, table
+from .common import held_out, labelled_sample, slices, table
 
 BITS = 18
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -241,15 +241,13 @@ def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 40, l2: float = 0.02,
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on at most `max_rows` labelled rows outside the held-out quarter, those of least hash of the id.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fits on at most `max_rows` labelled rows and `max_bytes` bytes of text outside the held-out quarter, those of least hash of the id.
 
-    Null labels and texts are left out. Without any row the score is near 0 everywhere.
+    Null labels and texts are left out; of repeated labels the larger one counts, of repeated documents the one of least text. Without
+    any row the score is near 0 everywhere.
     """
-    want = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
-    want = want.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(want), "id").where("text is not null").dropDuplicates(["id"])
-    t = rows.toArrow().sort_by("id")
+    t = labelled_sample(docs, labels, label_col, max_rows, max_bytes, id_col, text_col)
     return fit(t.column("text").combine_chunks(), t.column("y").to_numpy())
 
 
@@ -282,8 +280,11 @@ def _scores(m: Model):
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, spans): one row per row of `docs`. Null and empty texts get the score of a text without tokens and no spans."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, score, spans): one row per row of `docs`. Null and empty texts get the score of a text without tokens and no spans.
+
+    Null and repeated ids are passed on; an empty table gives no rows; other columns are ignored whatever their names.
+    """
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return src.mapInArrow(_scores(model), f"id {src.schema['id'].dataType.simpleString()}, score double, spans array<struct<start:int,end:int>>")
 
 
@@ -304,7 +305,11 @@ def toxic_score(model: Model, text: Column) -> Column:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **kw) -> DataFrame:
-    """`docs` without the rows whose score reaches the threshold; rows and columns are otherwise as they were."""
+    """`docs` without the rows whose score reaches the threshold; rows and columns are otherwise as they were.
+
+    Each row is judged by its own text: null and empty texts stay, null ids too, and repeated rows stay or go together. An empty table gives an
+    empty one.
+    """
     return docs.where(toxic_score(train(docs, labels, **kw), F.col(kw.get("text_col", "text"))) < threshold)
 
 
