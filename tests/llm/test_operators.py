@@ -12,6 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from coinfold.functions import spread
+
 from coinfold.llm import common, kernels, op1_hnsw, op2_decontaminate, op3_minhash, op4_quality, op5_packing, op6_toxicity, op7_mixing, op8_pii, op9_repeats, op10_chat
 
 SF = "/root/testdata/sf0.001"
@@ -79,6 +81,40 @@ def test_minhash_large_components_go_by_blocks(spark, monkeypatch):
     assert [got[i] for i in range(40)] == comp
 
 
+def test_minhash_recall_just_above_the_threshold(spark):
+    rnd = random.Random(9)
+    rows, pairs = [], 0
+    for i in range(300):
+        w = [f"w{rnd.random()}" for _ in range(200)]
+        v = w[:]
+        v[-20:] = [f"v{rnd.random()}" for _ in range(20)]  # 5-word sets of 196, 176 shared: similarity 0.815
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        pairs += 1
+    got = op3_minhash.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("not kept").count()
+    assert got >= 0.99 * pairs
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark, docs, empty, rows):
+    rnd = random.Random(2)
+    a, b = words(rnd, 60), words(rnd, 60)
+    near = a.split()
+    near[30] = "other"
+    df = spark.createDataFrame([(7, a), (7, a), (7, b), (None, a), (None, " ".join(near)), (2, " ".join(near)), (None, None), (None, ""), (8, None), (9, b)], "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in op3_minhash.without_near_copies(df).collect()), key=str)
+    assert got == sorted([(2, " ".join(near)), (7, b), (None, None), (None, ""), (8, None)], key=str)
+    clash = docs.withColumnsRenamed({"id": "row_of_dedup", "size": "gone_of_dedup", "runs": "row", "tree": "words"})
+    out = op3_minhash.without_near_copies(clash)
+    assert out.columns == clash.columns and out.count() < len(rows) and op3_minhash.without_near_copies(empty).count() == 0
+
+
+@pytest.mark.parametrize("groups", [2, 10_000])
+def test_components_of_stars(spark, monkeypatch, groups):
+    monkeypatch.setattr(spread, "HOT_GROUPS", groups)
+    e = [(1000, i) for i in range(300)] + [(2000, 2001 + i) for i in range(50)] + [(299, 301), (5, 4)]
+    got = dict(common.connected_components(spark.createDataFrame(e, "src long, dst long")).collect())
+    assert {got[i] for i in [*range(300), 301, 1000]} == {0} and {got[i] for i in range(2000, 2051)} == {2000}
+
+
 def test_components(spark):
     e = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (5, 5), (None, 1), (3, 1)] + [(100 + i, 101 + i) for i in range(40)]
     got = dict(common.connected_components(spark.createDataFrame(e, "src long, dst long")).collect())
@@ -103,16 +139,26 @@ def test_repeats_against_brute_force(docs, rows):
     assert got[None].n_removed == 0
 
 
-def test_hot_anchors_go_by_whole_windows(docs, monkeypatch):
-    plain = {r.id: r.kept_sha256 for r in op9_repeats.remove_repeats(docs, texts=False).collect()}
-    monkeypatch.setattr(op9_repeats, "GROUP_HOT", 1)
-    monkeypatch.setattr(op9_repeats, "SLICE_HOT", 1)
-    # The settings travel with the function only in this process: run the kernels here.
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["q" * 150 + words(random.Random(2), 40), words(random.Random(2), 40), words(random.Random(2), 40) + "z" * 130])], ["id", "text"])
-    kinds = set()
-    for out in op9_repeats._anchors(100, 8)(iter([batch])):
-        kinds |= set(out.column("kind").to_pylist())
-    assert op9_repeats.HOT in kinds and op9_repeats.REMOVED in kinds and len(plain) == len(set(plain))
+@pytest.mark.parametrize("deal", [{"slice_hot": 0, "group_hot": 0, "held": 40}, {"slice_hot": 1, "group_hot": 1, "held": 1 << 19}, {"slice_hot": 10**6, "group_hot": 0}])
+def test_hot_paths_of_repeats_against_brute_force(spark, deal):
+    rnd = random.Random(8)
+    line = words(rnd, 25)
+    texts = [words(rnd, 8) + line + words(rnd, 12) + "é" * (i % 3) for i in range(30)] + [line] * 5 + ["z" * 260, words(rnd, 60), ""]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (None, line), (40, None)]
+    got = [(r.id, r.n_removed, r.kept_sha256) for r in op9_repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), texts=False, **deal).collect()]
+    seen, want = {}, []
+    for d, t in enumerate(texts):
+        b = t.encode()
+        for i in range(len(b) - 99):
+            seen.setdefault(b[i : i + 100], (d, i))
+    for d, t in rows:
+        b = (t or "").encode()
+        m = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if d is not None and seen[b[i : i + 100]] != (d, i):
+                m[i : i + 100] = b"\1" * 100
+        want.append((d, sum(m), hashlib.sha256(bytes(x for x, y in zip(b, m) if not y)).hexdigest()))
+    assert sorted(map(str, got)) == sorted(map(str, want))
 
 
 def test_decontamination_against_brute_force(spark, docs, rows):
@@ -172,6 +218,16 @@ def test_suffix_automaton(seed):
     assert ({i for a, b in hits for i in range(a, b)}, found) == (want, who)
 
 
+def test_decontaminate_by_blocks_and_with_clashing_names(spark, docs, rows, monkeypatch):
+    item = rows[6][1].split()
+    b = spark.createDataFrame([(i, " ".join(item[j : j + 15])) for i, j in enumerate((0, 15, 40, 70))], "item_id long, text string")
+    clash = docs.withColumnsRenamed({"id": "row_of_scan", "size": "hits_of_scan", "runs": "n_words", "tree": "spans"})
+    want = sorted(map(str, op2_decontaminate.decontaminate(clash, b, max_share=0.1).collect()))
+    monkeypatch.setattr(op2_decontaminate, "BLOCK_WORDS", 20)
+    again = op2_decontaminate.decontaminate(clash, b, max_share=0.1)
+    assert sorted(map(str, again.collect())) == want and again.columns == clash.columns and len(want) < len(rows)
+
+
 def test_decontaminate_cuts_and_drops(spark, docs, rows):
     item = rows[6][1]
     b = spark.createDataFrame([(1, " ".join(item.split()[:40]))], "item_id long, text string")
@@ -205,6 +261,27 @@ def test_embeddings_against_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(900, 907)) and got[None].component_id is None
 
 
+def test_vectors_that_share_an_id(spark):
+    e = [[1.0, 0.0], [1.0, 0.001], [0.0, 1.0], [0.0, 1.001], [-1.0, 0.0], [1.0, 0.0]]
+    rows = [(5, e[0], 1), (5, e[1], 1), (9, e[2], 1), (9, e[4], 2), (7, e[3], 1), (3, e[5], 2), (5, e[0], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in op1_hnsw.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(3, 0, 3, True), (5, 2, 5, True), (5, 2, 5, True), (5, 2, 5, True), (7, 1, 7, True), (9, 0, 9, True), (9, 1, 7, False)]
+
+
+def test_audit_is_of_fixed_size_and_keeps_its_links(monkeypatch):
+    g = np.random.default_rng(2)
+    x = op1_hnsw._unit(np.repeat(g.normal(size=(300, 16)), 4, 0) + g.normal(size=(1200, 16)) * 0.02)
+    h = op1_hnsw.Hnsw.build(x.astype(np.float32))
+    unit, own = x[h.order], np.argsort(h.order)
+    truth = {(i, int(own[j])) for i, j in zip(*np.nonzero(x @ x.T >= 0.98), strict=True) if i != j}
+    a, b = op1_hnsw.links(h, unit, x, own, 0.98)
+    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert got <= truth and len(got) >= 0.99 * len(truth) and len(got) == len(a)
+    monkeypatch.setattr(op1_hnsw.Hnsw, "search", lambda self, q, ef: (np.full((len(q), ef), -2.0), np.full((len(q), ef), -1)))
+    a, b = op1_hnsw.links(h, unit, x, own, 0.98)  # a graph that finds nothing fails its audit: exact products
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == truth
+
+
 def test_graph_recall():
     g = np.random.default_rng(0)
     x = g.normal(size=(3000, 32)).astype(np.float32)
@@ -242,9 +319,50 @@ def test_mixing(docs, rows):
         assert abs(sum(r.taken for r in mine) - target[s]) <= max(r.size for r in mine) / 2 + 1
 
 
-def test_mixed_rows_follow_the_plan(docs):
-    out = op7_mixing.mixed_documents(docs)
-    assert out.columns == docs.columns and out.where("doc_id is null").count() == 0 and out.count() > 0
+def shared_out(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = dict(zip(order, itertools.cycle(weights), strict=False))
+    budget, free, target = share * sum(sizes.values()), set(order), {}
+    while free:
+        level = (budget - sum(target.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > cap * sizes[s] + 1e-9}
+        if not over:
+            return target | {s: level * weight[s] for s in free}
+        target |= {s: cap * sizes[s] for s in over}
+        free -= over
+    return target
+
+
+@pytest.mark.parametrize("sizes", [
+    {"a": 180, "b": 60}, {"a": 300, "b": 100, "c": 200}, {"a": 50, "b": 50, "c": 50}, {"a": 1, "b": 1000, "c": 2}, {"a": 0, "b": 10}, {"a": 0}, {"b": 7, None: 40}, {chr(97 + i): 3 ** (i % 5) for i in range(20)}, {},
+])
+def test_targets_on_ties_and_caps(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in op7_mixing.source_targets(df, (3, 1, 2), 1.5, 2.0).collect()}
+    want = shared_out(sizes) if sum(sizes.values()) else dict.fromkeys(sizes, 0.0)
+    assert got == pytest.approx(want)
+
+
+def test_a_mix_of_tied_sources_is_not_empty(spark):
+    docs = spark.createDataFrame([(1, "w " * 90, "a"), (2, "w " * 90, "a"), (3, "w " * 30, "b"), (4, "w " * 30, "b")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.target for r in op7_mixing.mix_sources(docs).collect()} == {1: 270, 2: 270, 3: 90, 4: 90}
+    assert sum(r.size for r in op7_mixing.mixed_rows(docs).select(op7_mixing.text_size(F.col("text")).alias("size")).collect()) == 360
+
+
+@pytest.mark.parametrize("quality", [None, 0.27, 0.001, "mixed"])
+def test_slices_follow_the_keys(spark, quality, monkeypatch):
+    monkeypatch.setattr(op7_mixing, "SLICE", 4)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"), (F.when(F.col("id") % 3 == 0, 1.0).otherwise(0.05) if quality == "mixed" else F.lit(quality).cast("double")).alias("q"))
+    mix = op7_mixing._mix(docs, (1,), 1.5, 2.0, 1, "doc_id", "text", "source", F.col("q") if quality else None)
+    n = [r["count"] for r in mix.groupBy("slice").count().collect()]
+    assert max(n) < 60 and sum(n) == 3000 and len(n) > 400
+
+
+def test_mixed_rows_keep_columns(spark, docs, empty):
+    clash = docs.withColumnsRenamed({"id": "row_of_mix", "size": "key_of_mix", "runs": "slice", "tree": "of", "key": "epochs_of_mix"})
+    out = op7_mixing.mixed_rows(clash)
+    assert out.columns == clash.columns and out.count() == op7_mixing.mixed_rows(docs).count() > 0
+    assert op7_mixing.mixed_rows(empty).count() == 0
 
 
 def test_mixed_rows_of_null_and_repeated_ids(spark):
@@ -278,6 +396,33 @@ def test_pii_against_plain_patterns(docs):
     assert len(r) == docs.count() and all(x.base_sha256 == hashlib.sha256(b"").hexdigest() for x in r if x.id in (0, 1))
 
 
+def test_pii_query_against_plain_patterns(spark, tmp_path):
+    """The whole query: counts, digest and the spans' base part, in code points, on odd texts."""
+    naive = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    rnd = random.Random(6)
+    bits = ["a@b.co", "x.y+z@mail.example.org", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+44 (20) 7946-0958", "+1", "é", "𝒳", "١٢٣", "(at)", "dot", "@", ".", " ", "-", "\n", "jo (at) exa [dot] com", "five five five", "0" * 30]
+    texts = ["".join(rnd.choice(bits) + rnd.choice(["", " ", "  "]) for _ in range(rnd.randint(0, 25))) for _ in range(150)] + [None, "", "é" * 200_000 + " a@b.co", "1" * 200_000, "a" * 200_000 + "@", "+" + "1 " * 100_000]
+    spark.createDataFrame([(i if i % 7 else None, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, spans string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op8_pii.op8_pii(spark, str(tmp_path)).collect()
+    want = []
+    for i, t in enumerate(texts):
+        found = {}
+        for kind, p in naive.items():
+            found[kind] = []
+            for m in re.finditer(p, t or ""):
+                digits = re.sub("[^0-9]", "", m[0])
+                luhn = sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+                if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")) or kind == "card" and not (16 <= len(digits) <= 19 and luhn) or kind == "phone" and not 8 <= len(digits) <= 15:
+                    continue
+                found[kind].append(f"{kind}:{m.start()}:{m.end()}")
+        base = ",".join(itertools.chain(*found.values()))
+        want.append((i if i % 7 else None, *map(len, found.values()), hashlib.sha256(base.encode()).hexdigest(), base))
+    key = lambda x: str(x)
+    assert sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got), key=key) == sorted((w[:6] for w in want), key=key)
+    bases = {w[5]: set(filter(None, w[6].split(","))) for w in want}
+    assert all(bases[r.base_sha256] <= set(r.spans.split(",")) for r in got) and any(r.n_added for r in got)
+
+
 @pytest.mark.parametrize("text,kind,found", [("to jo (at) exa [dot] com now", "email", "jo (at) exa [dot] com"), ("jo at exa dot com", "email", "jo at exa dot com"), ("é +one two three four five six seven eight", "phone", "+one two three four five six seven eight"), ("１.２.３.４ ok", "ip", "１.２.３.４"), ("jо@exаmple.com", "email", "jо@exаmple.com"), ("meet me at noon", "email", None), ("we won one two games", "phone", None)])
 def test_disguises(text, kind, found):
     base = op8_pii.base_spans(text)
@@ -348,6 +493,47 @@ def test_held_out_accuracy(spark, query, least):
     assert (x["predicted"] == x[col]).mean() >= least and len(x) > 50
 
 
+@pytest.mark.parametrize("query,col,positive", [(op4_quality.op4_quality, "quality", 0), (op6_toxicity.op6_toxicity, "toxic", 1)])
+def test_held_out_recall_and_precision_of_the_rare_class(spark, query, col, positive):
+    x = query(spark, "/root/testdata/sf0.1").where("held_out").join(common.table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").select("predicted", col).toPandas()
+    hit = ((x["predicted"] == positive) & (x[col] == positive)).sum()
+    assert hit >= 0.85 * (x[col] == positive).sum() > 0 and hit >= 0.85 * (x["predicted"] == positive).sum()
+
+
+def test_pool_counts_against_brute_force(spark):
+    docs, labels = (common.table(spark, SF, n) for n in ("documents", "labels"))
+    m = op4_quality.train(docs, labels, rounds=0)
+    pool = op4_quality._source(docs, "doc_id", "text").repartition(5)
+    got = {(r.view, r.y, r.feature): r.n for r in pool.mapInArrow(op4_quality._pool_counts(m, 0.9), "view int, y int, feature int, n long").groupBy("view", "y", "feature").agg(F.sum("n").alias("n")).collect()}
+    want = {}
+    for r in pool.collect():
+        views = op4_quality._views(pa.RecordBatch.from_pylist([r.asDict()], pa.schema([("id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])))
+        for i, (w, (slope, offset)) in enumerate(zip((m.content, m.meta), m.calibration, strict=True)):
+            x, other = views[i], views[1 - i]
+            z = slope * (sum(float(w[c]) * float(v) for c, v in zip(x.col, x.val, strict=True)) + float(w[-1])) + offset
+            p = 1 / (1 + np.exp(-z))
+            y = 1 if p >= 0.9 else 0 if p <= 0.1 else None
+            if y is not None:
+                for f in [*other.col.tolist(), (1 << (op4_quality.META_BITS if i == 0 else op4_quality.BITS))]:
+                    want[1 - i, y, f] = want.get((1 - i, y, f), 0) + 1
+    assert got == want and {k[:2] for k in got} >= {(1, 0), (1, 1)}
+
+
+def test_views_are_apart(spark):
+    batch = pa.RecordBatch.from_pylist([{"id": 1, "text": "one two", "lang": "en", "source": "web", "n_chars": 7}, {"id": 2, "text": "3 # 4 |", "lang": "en", "source": "web", "n_chars": 7}])
+    meta = op4_quality._views(batch)[1]
+    assert meta.take(np.array([0])).col.tolist() == meta.take(np.array([1])).col.tolist()
+
+
+def test_sample_to_fit_on_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 if i % 2 else 4000)) for i in range(60)] + [(1, "a"), (None, "n"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (2, None)], "doc_id long, toxic int")
+    t = common.labelled_sample(docs, labels, "toxic", 50, 16000, "doc_id", "text", "lang").to_pylist()
+    assert 0 < len(t) <= 30 and all(len(r["text"]) <= 1000 and r["lang"] is None for r in t) and [r["text"] for r in t if r["id"] == 1] in ([], ["a"])
+    some = common.labelled_sample(docs, labels, "toxic", 50, 160_000, "doc_id", "text").to_pylist()
+    assert sum(len(r["text"]) for r in some) <= 160_000 and len({r["id"] for r in some}) == len(some) and any(len(r["text"]) == 4000 for r in some)
+
+
 def test_segment_tree_packing():
     rnd = random.Random(2)
     lengths = [rnd.randint(1, 50) for _ in range(300)]
@@ -364,6 +550,13 @@ def test_segment_tree_packing():
     assert len(rows) == len(room)
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "a" + " \n" * 600_000, "#" * 1_000_000, "x" * 1_000_000, "ab " * 300_000, "\t" * 10_000, " " * 9_999 + "é"], ids=range(7))
+def test_packing_of_long_runs(spark, text):
+    packed = op5_packing.pack_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    ids = np.frombuffer(bytes(op5_packing.unpack(packed).first().token_ids), np.uint16).tolist()
+    assert op5_packing.encoder(f"{op5_packing.TOKENIZER_DIR}/{op5_packing.VOCABULARY}").decode(ids[:-1]) == text
+
+
 def test_packing_round_trip(docs, rows):
     packed = op5_packing.pack_tokens(docs.dropDuplicates(["doc_id"]), seq_len=256, pack=5000)
     enc = op5_packing.encoder(f"{op5_packing.TOKENIZER_DIR}/{op5_packing.VOCABULARY}")
@@ -435,6 +628,9 @@ def test_empty_tables(spark, empty):
     assert op4_quality.quality_scores(empty, op4_quality.train(empty, labels)).count() == 0 and op6_toxicity.toxicity(empty, op6_toxicity.train(empty, labels)).count() == 0
     assert op5_packing.pack_tokens(empty).count() == 0 and op7_mixing.mix_sources(empty).count() == 0 and op8_pii.pii_spans(empty).count() == 0
     assert op1_hnsw.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    for f in (lambda d: op3_minhash.without_near_copies(d), lambda d: op6_toxicity.without_toxic(d, labels), lambda d: op7_mixing.mixed_rows(d)):
+        out = f(empty)
+        assert out.count() == 0 and out.columns == empty.columns
     assert op10_chat.format_conversations(spark.createDataFrame([], "tree long, node long, parent long, role string, text string, score double")).count() == 0
 
 
