@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -42,6 +44,19 @@ def fallback_rate(from_ccy: Column, to_ccy: Column) -> Column:
     return to_gbp(from_ccy) / to_gbp(to_ccy)
 
 
+def fixed_rate(from_ccy: Column, to_ccy: str) -> Column:
+    """The fallback rate as a decimal of 8 places; a currency without a rate counts as USD."""
+    rate = {c: (Decimal(str(r)) / Decimal(str(TO_GBP[to_ccy]))).quantize(Decimal("1e-8"), ROUND_HALF_UP) for c, r in TO_GBP.items()}
+    one = lambda x: F.lit(x).cast("decimal(12,8)")
+    return F.coalesce(F.try_element_at(F.create_map(*[x for c, r in rate.items() for x in (F.lit(c), one(r))]), from_ccy), one(rate["USD"]))
+
+
+def converted(value: Column, rate: Column) -> Column:
+    """Money at a rate as whole cents, half up; null counts as 0."""
+    x = F.coalesce(value, F.lit(0.0)).cast("decimal(24,6)") * rate
+    return (F.round(x, 2) * 100).cast("decimal(38,0)")
+
+
 def uk_day(ts: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, "Europe/London"))
 
@@ -72,7 +87,7 @@ def cents(value: Column) -> Column:
 
 def units(quantity: Column) -> Column:
     """Quantity as whole 1e-8 units."""
-    return F.round(quantity.cast("decimal(26,10)") * 100000000, 0).cast("decimal(38,0)")
+    return (quantity.cast("decimal(38,8)") * 100000000).cast("decimal(38,0)")
 
 
 def share(total: Column, part: Column, whole: Column) -> Column:

@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
-def reporting_value(ledger: DataFrame, to_ccy: str = "GBP", rates: DataFrame | None = None) -> DataFrame:
-    """Value in the reporting currency: the day's rate from `rates` (day, from_ccy, rate) if there is one, else the fallback by GBP; 0 stays 0."""
-    ccy = S.resolve_currency(F.col("fiat_currency"), F.col("source"))
+def with_rate(ledger: DataFrame, to_ccy: str = "GBP", rates: DataFrame | None = None) -> DataFrame:
+    """The ledger with `from_ccy`, `fx_day` and `fx_rate` to the reporting currency: the day's rate from `rates` (day, from_ccy, rate), else the fallback.
+
+    Days are the UK's for GBP and UTC's for others. A currency's rate to itself is 1.
+    """
     day = S.uk_day(F.col("timestamp")) if to_ccy == "GBP" else F.to_date("timestamp")
-    x = ledger.withColumn("from_ccy", ccy).withColumn("fx_day", day)
-    if rates is not None:
-        x = x.join(rates.select(F.col("day").alias("fx_day"), "from_ccy", F.col("rate").alias("day_rate")), ["fx_day", "from_ccy"], "left")
-        rate = F.coalesce("day_rate", S.fallback_rate(F.col("from_ccy"), F.lit(to_ccy)))
-    else:
-        rate = S.fallback_rate(F.col("from_ccy"), F.lit(to_ccy))
-    return x.withColumn("value", F.when(F.col("fiat_value_at_trigger") == 0, 0.0).otherwise(F.col("fiat_value_at_trigger") * rate))
+    x = ledger.withColumns({"from_ccy": S.resolve_currency(F.col("fiat_currency"), F.col("source")), "fx_day": day})
+    fixed = S.fixed_rate(F.col("from_ccy"), to_ccy)
+    if rates is None:
+        return x.withColumn("fx_rate", fixed)
+    r = rates.where(F.col("from_ccy") != to_ccy).groupBy(F.col("day").alias("fx_day"), "from_ccy").agg(F.max("rate").cast("decimal(12,8)").alias("_day_rate"))
+    return x.join(r, ["fx_day", "from_ccy"], "left").withColumn("fx_rate", F.coalesce("_day_rate", fixed)).drop("_day_rate")
+
+
+def reporting_value(ledger: DataFrame, to_ccy: str = "GBP", rates: DataFrame | None = None) -> DataFrame:
+    """Value in the reporting currency, to the cent; 0 stays 0, null counts as 0."""
+    return with_rate(ledger, to_ccy, rates).withColumn("value", S.money(S.converted(F.col("fiat_value_at_trigger"), F.col("fx_rate"))))
 
 
 def is_dust(min_amount: float = 1e-6, min_fiat: float = 0.5) -> Column:
@@ -59,31 +65,47 @@ def new_rows(incoming: DataFrame, present: DataFrame) -> DataFrame:
     return incoming.join(present.select("id"), "id", "left_anti").join(present.select(*key), key, "left_anti")
 
 
-def income_by_year(ledger: DataFrame) -> DataFrame:
-    """Income by UK tax year and kind, in GBP cents, rows without an amount left out."""
-    x = reporting_value(ledger.where(F.col("transaction_type").isin(*S.INCOME) & (F.col("amount") > 0)))
-    c = F.round((F.col("value") * 100).cast("decimal(38,6)"), 0)
-    g = x.groupBy(S.uk_tax_year(S.uk_day(F.col("timestamp"))).alias("tax_year"), "transaction_type").agg(F.count("*").alias("n_rows"), F.sum(c).alias("c"))
-    return g.select("tax_year", "transaction_type", "n_rows", (F.col("c") / 100).cast("double").alias("income"))
+def income_rows(ledger: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+    """Income row by row with its UK day, tax year and value in GBP cents; rows without an amount left out."""
+    x = with_rate(ledger.where(F.col("transaction_type").isin(*S.INCOME) & (F.col("amount") > 0)), "GBP", rates)
+    return x.select("id", "asset", "source", "transaction_type", F.col("fx_day").alias("day"), S.uk_tax_year(F.col("fx_day")).alias("tax_year"), "amount", S.converted(F.col("fiat_value_at_trigger"), F.col("fx_rate")).alias("income_c"))
+
+
+def income_by_year(ledger: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+    """Income by UK tax year and kind in GBP."""
+    g = income_rows(ledger, rates).groupBy("tax_year", "transaction_type").agg(F.count("*").alias("n_rows"), F.sum("income_c").alias("c"))
+    return g.select("tax_year", "transaction_type", "n_rows", S.money(F.col("c")).alias("income"))
+
+
+def perp_legs(ledger: DataFrame, to_ccy: str = "USD", rates: DataFrame | None = None) -> DataFrame:
+    """Rows of derivatives with result, fee and notional in cents of the reporting currency; a null result is no close."""
+    x = with_rate(ledger.where(S.is_perp(F.col("instrument_kind"), F.col("source"))), to_ccy, rates)
+    c = lambda n: S.converted(F.col(n), F.col("fx_rate"))
+    return x.withColumns({"pnl_c": F.when(F.col("realized_pnl").isNotNull(), c("realized_pnl")), "fee_c": c("fee_fiat"), "notional_c": c("fiat_value_at_trigger")})
+
+
+def perps_summary(ledger: DataFrame, to_ccy: str = "USD", rates: DataFrame | None = None) -> DataFrame:
+    """Fills, results, fees and notional of derivatives by source."""
+    g = perp_legs(ledger, to_ccy, rates).groupBy("source").agg(
+        F.count("*").alias("fills"), F.sum("pnl_c").alias("pnl"), F.count_if(F.col("realized_pnl") > 0).alias("wins"), F.count_if(F.col("realized_pnl") < 0).alias("losses"), F.sum("fee_c").alias("fee"), F.sum("notional_c").alias("notional")
+    )
+    return g.select("source", "fills", "wins", "losses", *[S.money(F.col(c)).alias(c) for c in ("pnl", "fee", "notional")])
 
 
-def perps_summary(ledger: DataFrame) -> DataFrame:
-    """Fills, results, fees and notional of derivatives by source; a null result is no close."""
-    p = ledger.where(S.is_perp(F.col("instrument_kind"), F.col("source")))
-    m = lambda c: F.round((F.col(c) * 100).cast("decimal(38,6)"), 0)
-    g = p.groupBy("source").agg(
-        F.count("*").alias("fills"), F.sum(m("realized_pnl")).alias("pnl"), F.count_if(F.col("realized_pnl") > 0).alias("wins"), F.count_if(F.col("realized_pnl") < 0).alias("losses"),
-        F.sum(m("fee_fiat")).alias("fee"), F.sum(m("fiat_value_at_trigger")).alias("notional"),
-    )
-    return g.select("source", "fills", "wins", "losses", *[(F.col(c) / 100).cast("double").alias(c) for c in ("pnl", "fee", "notional")])
+def perp_schedule(ledger: DataFrame, to_ccy: str = "USD", rates: DataFrame | None = None) -> DataFrame:
+    """Result less fee of derivatives' closes by year, gains and losses apart."""
+    net = F.col("pnl_c") - F.col("fee_c")
+    x = perp_legs(ledger, to_ccy, rates).where("realized_pnl is not null")
+    g = x.groupBy(F.year("timestamp").alias("year")).agg(F.count("*").alias("n"), F.sum(F.greatest(net, F.lit(0))).alias("g"), F.sum(F.greatest(-net, F.lit(0))).alias("l"))
+    return g.select("year", "n", S.money(F.col("g")).alias("gains"), S.money(F.col("l")).alias("losses"))
 
 
-def net_flows(ledger: DataFrame) -> DataFrame:
+def net_flows(ledger: DataFrame, to_ccy: str = "USD", rates: DataFrame | None = None) -> DataFrame:
     """Net quantity and value in and out for each trade group and asset."""
     t = F.col("transaction_type")
     inward = t.isin(*S.ACQUISITIONS) | ((t == "TRANSFER") & (F.col("transfer_direction") == "IN"))
-    v = S.cents(F.col("fiat_value_at_trigger"))
-    g = ledger.where("trade_group_id is not null").groupBy("trade_group_id", "asset").agg(
+    v = S.converted(F.col("fiat_value_at_trigger"), F.col("fx_rate"))
+    g = with_rate(ledger.where("trade_group_id is not null"), to_ccy, rates).groupBy("trade_group_id", "asset").agg(
         F.sum(F.when(inward, S.units(F.col("amount"))).otherwise(-S.units(F.col("amount")))).alias("q"), F.sum(F.when(inward, v).otherwise(0)).alias("vin"), F.sum(F.when(inward, 0).otherwise(v)).alias("vout"), F.count("*").alias("n_legs")
     )
     return g.select("trade_group_id", "asset", "n_legs", S.quantity(F.col("q")).alias("net_quantity"), S.money(F.col("vin")).alias("value_in"), S.money(F.col("vout")).alias("value_out"))
@@ -163,12 +185,13 @@ def search(ledger: DataFrame, text: str | None = None, source: str | None = None
     return x
 
 
-def leg_groups(ledger: DataFrame) -> DataFrame:
+def leg_groups(ledger: DataFrame, to_ccy: str = "USD", rates: DataFrame | None = None) -> DataFrame:
     """Groups of two legs and more under one trade group or transaction."""
+    ledger = with_rate(ledger, to_ccy, rates)
     key = F.coalesce("trade_group_id", "on_chain_tx_id")
     order = F.create_map(*[F.lit(x) for p in (("SELL", 1), ("BUY", 2), ("STAKING", 3), ("AIRDROP", 4), ("TRANSFER", 5), ("FEE", 6)) for x in p])
     g = ledger.where(key.isNotNull()).groupBy(key.alias("group_key")).agg(
-        F.count("*").alias("n_legs"), F.countDistinct("asset").alias("n_assets"), F.min("timestamp").alias("first_at"), F.sum(S.cents(F.col("fiat_value_at_trigger"))).alias("c"), F.min_by("transaction_type", F.element_at(order, F.col("transaction_type"))).alias("primary_type")
+        F.count("*").alias("n_legs"), F.countDistinct("asset").alias("n_assets"), F.min("timestamp").alias("first_at"), F.sum(S.converted(F.col("fiat_value_at_trigger"), F.col("fx_rate"))).alias("c"), F.min_by("transaction_type", F.element_at(order, F.col("transaction_type"))).alias("primary_type")
     )
     return g.where("n_legs >= 2").select("group_key", "n_legs", "n_assets", "first_at", "primary_type", S.money(F.col("c")).alias("value"))
 

@@ -34,13 +34,12 @@ def allocation(positions: DataFrame) -> DataFrame:
     return positions.where("market_value > 0").select("asset", "market_value", F.round(F.col("market_value") / total * 100, 4).alias("percent"))
 
 
-def uk_with_perps(rows: DataFrame, perps: DataFrame) -> DataFrame:
+def uk_with_perps(rows: DataFrame, perps: DataFrame, rates: DataFrame | None = None) -> DataFrame:
     """Capital gains rows with those of derivatives, for the policy that taxes their results as gains: results in proceeds, fees in cost."""
-    p = perps.where(S.is_perp(F.col("instrument_kind"), F.col("source")) & F.col("realized_pnl").isNotNull())
-    rate = S.fallback_rate(S.resolve_currency(F.col("fiat_currency"), F.col("source")), F.lit("GBP")).cast("decimal(12,8)")
-    gbp = lambda c: F.round(F.coalesce(c, F.lit(0.0)).cast("decimal(20,8)") * rate, 2)
+    p = L.perp_legs(perps, "GBP", rates).where("realized_pnl is not null")
+    gbp = lambda c: (c / 100).cast("decimal(38,2)")
     day = S.uk_day(F.col("timestamp"))
-    gain, fee = gbp(F.col("realized_pnl")), gbp(F.col("fee_fiat"))
+    gain, fee = gbp(F.col("pnl_c")), gbp(F.col("fee_c"))
     new = p.select(
         "asset", day.alias("day"), S.uk_tax_year(day).alias("tax_year"), F.lit("perp").alias("match_type"), F.col("id").alias("disposal_id"), F.lit(None).cast("string").alias("acquisition_id"), F.col("amount").cast("decimal(38,8)").alias("quantity"),
         F.greatest(gain, F.lit(0)).alias("proceeds"), (fee + F.greatest(-gain, F.lit(0))).alias("cost"), (gain - fee).alias("gain"),
@@ -75,17 +74,17 @@ def read_backup(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(f"{path}/transactions")
 
 
-def uk_report(ledger: DataFrame, year: str | None = None) -> dict[str, DataFrame]:
+def uk_report(ledger: DataFrame, year: str | None = None, rates: DataFrame | None = None) -> dict[str, DataFrame]:
     """Rows, sums by year and closing pools of a ledger; transfers are paired first, the year filters only what is shown."""
     x = P.annotate(ledger, P.internal_transfers(ledger))
-    engine = UK.uk_engine(UK.uk_legs(x))
+    engine = UK.uk_engine(UK.uk_legs(x, rates))
     rows = UK.cgt_rows(engine)
     shown = rows if year is None else rows.where(F.col("tax_year") == year)
-    return {"rows": shown.orderBy("day", "asset", "disposal_id"), "by_year": UK.cgt_by_year(shown), "income": L.income_by_year(x), "pools": UK.pools(engine)}
+    return {"rows": shown.orderBy("day", "asset", "disposal_id"), "by_year": UK.cgt_by_year(shown), "income": L.income_by_year(x, rates), "pools": UK.pools(engine)}
 
 
-def us_report(ledger: DataFrame, method: str = "FIFO", year: int | None = None) -> dict[str, DataFrame]:
+def us_report(ledger: DataFrame, method: str = "FIFO", year: int | None = None, to_ccy: str = "USD", rates: DataFrame | None = None) -> dict[str, DataFrame]:
     x = P.annotate(ledger, P.internal_transfers(ledger))
-    m = US.matches(x, method)
+    m = US.matches(x, method, to_ccy, rates)
     shown = m if year is None else m.where(F.year("disposed") == year)
     return {"form_8949": US.form_8949(shown).orderBy("date_sold", "asset", "disposal_id"), "summary": US.realized_by_year_term(shown, True), "by_asset": US.realized_by_asset(shown)}

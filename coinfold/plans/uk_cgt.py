@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.ledger_ops import with_rate
 
 ROWS = (
     "asset string, row_kind string, match_type string, day date, disposal_id string, quantity decimal(38,12), proceeds decimal(38,12), cost decimal(38,12), acquisition_id string, pool_quantity decimal(38,12), pool_cost decimal(38,12)"
 )
 
 
-def uk_legs(ledger: DataFrame) -> DataFrame:
+def uk_legs(ledger: DataFrame, rates: DataFrame | None = None) -> DataFrame:
     """Spot acquisitions and disposals with their UK day and GBP value; fees add to cost and take from proceeds.
 
     A transfer in without a pair and value is no acquisition; with a value it is one. Fee rows are disposals at their value.
@@ -26,11 +27,10 @@ def uk_legs(ledger: DataFrame) -> DataFrame:
     loose = (t == "TRANSFER") & F.col("transfer_pair_id").isNull()
     value, fee = F.coalesce("fiat_value_at_trigger", F.lit(0.0)), F.coalesce("fee_fiat", F.lit(0.0))
     kind = F.when(t.isin(*S.ACQUISITIONS) | (loose & (dirn == "IN") & (value > 0)), "A").when(t.isin(*S.DISPOSALS) | (loose & (dirn == "OUT")), "D")
-    rate = S.fallback_rate(S.resolve_currency(F.col("fiat_currency"), F.col("source")), F.lit("GBP")).cast("decimal(12,8)")
-    exact = lambda c: c.cast("decimal(24,8)")
+    exact = lambda c: c.cast("decimal(24,6)")
     net = F.when(kind == "A", exact(value) + exact(fee)).when(t == "FEE", exact(value)).otherwise(exact(value) - exact(fee))
-    x = ledger.where(~S.is_perp(F.col("instrument_kind"), F.col("source")) & ~S.is_stable(F.col("asset")) & (F.col("amount") > 0))
-    return x.select("id", "asset", "timestamp", S.uk_day(F.col("timestamp")).alias("day"), kind.alias("kind"), exact(F.col("amount")).alias("quantity"), (net.cast("decimal(24,8)") * rate).cast("decimal(38,12)").alias("value")).where("kind is not null")
+    x = with_rate(ledger, "GBP", rates).where(~S.is_perp(F.col("instrument_kind"), F.col("source")) & ~S.is_stable(F.col("asset")) & (F.col("amount") > 0))
+    return x.select("id", "asset", "timestamp", S.uk_day(F.col("timestamp")).alias("day"), kind.alias("kind"), F.col("amount").cast("decimal(38,8)").alias("quantity"), (net.cast("decimal(24,6)") * F.col("fx_rate")).cast("decimal(38,12)").alias("value")).where("kind is not null")
 
 
 def same_day_events(legs: DataFrame) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.lineage import cut
+from ..operators.ledger_ops import with_rate
 
 MATCHES = "asset string, disposal_id string, lot_id string, acquired timestamp, disposed timestamp, qty_u decimal(38,0), proceeds_c decimal(38,0), cost_c decimal(38,0)"
 
 
-def lot_events(ledger: DataFrame) -> DataFrame:
-    """Spot legs as lots (+) and disposals (-) in event order: time, trade group, lots first, id.
+def lot_events(ledger: DataFrame, to_ccy: str = "USD", rates: DataFrame | None = None) -> DataFrame:
+    """Spot legs as lots (+) and disposals (-) in event order: time, trade group, lots first, id. Values and fees in the reporting currency.
 
     Derivatives, stablecoins, paired transfers and rows without quantity are left out; an unpaired transfer out is a disposal, one in a lot.
     Null fees and values count as 0.
@@ -23,8 +24,8 @@ def lot_events(ledger: DataFrame) -> DataFrame:
     t = F.col("transaction_type")
     transfer = (t == "TRANSFER") & F.col("transfer_pair_id").isNull()
     sign = F.when(t.isin(*S.ACQUISITIONS) | (transfer & (F.col("transfer_direction") == "IN")), 1).when(t.isin(*S.DISPOSALS) | (transfer & (F.col("transfer_direction") == "OUT")), -1)
-    value, fee = (S.cents(F.coalesce(c, F.lit(0.0))) for c in ("fiat_value_at_trigger", "fee_fiat"))
-    e = ledger.where(~S.is_perp(F.col("instrument_kind"), F.col("source")) & ~S.is_stable(F.col("asset"))).select(
+    value, fee = (S.converted(F.col(c), F.col("fx_rate")) for c in ("fiat_value_at_trigger", "fee_fiat"))
+    e = with_rate(ledger, to_ccy, rates).where(~S.is_perp(F.col("instrument_kind"), F.col("source")) & ~S.is_stable(F.col("asset"))).select(
         "id", "asset", "timestamp", F.coalesce("trade_group_id", F.lit("")).alias("gid"), sign.alias("sign"), S.units(F.col("amount")).alias("qty_u"),
         F.when(sign > 0, value + fee).when(t == "FEE", value).otherwise(value - fee).cast("decimal(38,0)").alias("value_c"),
     )
@@ -134,8 +135,8 @@ def picked_matches(events: DataFrame, method: str) -> DataFrame:
     return events.groupBy("asset").applyInPandas(_picker(method), MATCHES)
 
 
-def matches(ledger: DataFrame, method: str = "FIFO") -> DataFrame:
-    e = lot_events(ledger)
+def matches(ledger: DataFrame, method: str = "FIFO", to_ccy: str = "USD", rates: DataFrame | None = None) -> DataFrame:
+    e = lot_events(ledger, to_ccy, rates)
     return fifo_matches(e) if method == "FIFO" else picked_matches(e, method)
 
 

@@ -11,27 +11,38 @@ from .operators import pairing as P
 from .operators import venue_repairs as V
 from .plans import uk_cgt as UK
 from .plans import us_lots as US
-from .sources.testdata import LEDGER_SQL, ledger_from_tpch
+from .sources.testdata import LEDGER_SQL, ledger_from_tpch, rates_from_tpch
 
 
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("P"), "p_partkey").alias("asset"), F.col("p_retailprice").alias("price"))
 
 
+def _us(spark: SparkSession, sf_dir: str, method: str = "FIFO") -> DataFrame:
+    return US.matches(ledger_from_tpch(spark, sf_dir), method, "USD", rates_from_tpch(spark, sf_dir, "USD"))
+
+
+def _with_rates(f, to_ccy: str | None = "USD"):
+    """A query on the ledger and the day rates to a currency."""
+    if to_ccy is None:
+        return lambda spark, sf_dir: f(ledger_from_tpch(spark, sf_dir), rates=rates_from_tpch(spark, sf_dir, "GBP"))
+    return lambda spark, sf_dir: f(ledger_from_tpch(spark, sf_dir), to_ccy=to_ccy, rates=rates_from_tpch(spark, sf_dir, to_ccy))
+
+
 def _matches(method: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        m = US.matches(ledger_from_tpch(spark, sf_dir), method)
+        m = _us(spark, sf_dir, method)
         return m.select("asset", "disposal_id", "lot_id", US.S.quantity(F.col("qty_u")).alias("quantity"), US.S.money(F.col("proceeds_c")).alias("proceeds"), US.S.money(F.col("cost_c")).alias("cost_basis"))
 
     return run
 
 
 def _on_fifo(report):
-    return lambda spark, sf_dir: report(US.matches(ledger_from_tpch(spark, sf_dir)))
+    return lambda spark, sf_dir: report(_us(spark, sf_dir))
 
 
 def _lots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = US.lot_events(ledger_from_tpch(spark, sf_dir))
+    e = US.lot_events(ledger_from_tpch(spark, sf_dir), "USD", rates_from_tpch(spark, sf_dir, "USD"))
     return US.open_lots(e, US.fifo_matches(e))
 
 
@@ -57,7 +68,7 @@ def _on_ledger(f):
 
 
 def _engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return UK.uk_engine(UK.uk_legs(ledger_from_tpch(spark, sf_dir)))
+    return UK.uk_engine(UK.uk_legs(ledger_from_tpch(spark, sf_dir), rates_from_tpch(spark, sf_dir, "GBP")))
 
 
 def _cgt(kind: str):
@@ -66,7 +77,7 @@ def _cgt(kind: str):
 
 
 def _reporting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.reporting_value(ledger_from_tpch(spark, sf_dir)).select("id", "from_ccy", "fx_day", "value")
+    return L.reporting_value(ledger_from_tpch(spark, sf_dir), "GBP", rates_from_tpch(spark, sf_dir, "GBP")).select("id", "from_ccy", "fx_day", "value")
 
 
 def _same_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,16 +121,6 @@ def _zones(x: DataFrame) -> DataFrame:
     return C.timezone_copies(x.unionByName(late)).select("id", "asset", "timestamp")
 
 
-def _perp_schedule(x: DataFrame) -> DataFrame:
-    """Result less fee of derivatives' closes by year, gains and losses apart, as whole cents."""
-    c = lambda n: F.round((F.col(n) * 100).cast("decimal(38,6)"), 0)
-    net = c("realized_pnl") - c("fee_fiat")
-    g = x.where(L.S.is_perp(F.col("instrument_kind"), F.col("source")) & F.col("realized_pnl").isNotNull()).groupBy(F.year("timestamp").alias("year")).agg(
-        F.count("*").alias("n"), F.sum(F.greatest(net, F.lit(0))).alias("g"), F.sum(F.greatest(-net, F.lit(0))).alias("l")
-    )
-    return g.select("year", "n", (F.col("g") / 100).cast("double").alias("gains"), (F.col("l") / 100).cast("double").alias("losses"))
-
-
 def _pair_values(x: DataFrame) -> DataFrame:
     x = x.where("transaction_type = 'TRANSFER'").withColumn("transfer_pair_id", F.col("trade_group_id")).withColumn("fiat_value_at_trigger", F.when(F.col("transfer_direction") == "OUT", F.col("fiat_value_at_trigger")).otherwise(0.0))
     return C.pair_values(x).where("fiat_value_at_trigger > 0").groupBy("transfer_pair_id").agg(F.count("*").alias("n"))
@@ -150,9 +151,9 @@ QUERIES = {
     "s104_matches": _cgt("section_104"),
     "uk_pools": lambda s, d: UK.pools(_engine(s, d)),
     "uk_cgt_by_year": lambda s, d: UK.cgt_by_year(UK.cgt_rows(_engine(s, d))),
-    "income_by_year": _on_ledger(L.income_by_year),
-    "perps_summary": _on_ledger(L.perps_summary),
-    "swap_net_flows": _on_ledger(L.net_flows),
+    "income_by_year": _with_rates(L.income_by_year, None),
+    "perps_summary": _with_rates(L.perps_summary),
+    "swap_net_flows": _with_rates(L.net_flows),
     "swap_basis": _on_ledger(lambda x: L.swap_basis(x.withColumn("fiat_value_at_trigger", F.when(F.col("transaction_type") == "BUY", 0.0).otherwise(F.col("fiat_value_at_trigger")))).where("transaction_type = 'BUY'").select("id", F.col("fiat_value_at_trigger").alias("value"))),
     "fork_quantity": _on_ledger(lambda x: L.fork_quantity(x, "P1", "1999-01-01")),
     "coverage_gaps": _gaps,
@@ -164,7 +165,7 @@ QUERIES = {
     "transfer_pairs": _on_ledger(lambda x: P.transfer_pairs(x.withColumn("amount", F.lit(1.0)), 24 * 30)),
     "staking_echoes": _on_ledger(lambda x: P.staking_echoes(x.withColumn("amount", F.lit(1.0)), 24 * 30)),
     "ledger_search": _on_ledger(lambda x: L.search(x, "sell", "V3", hide_dust=False).select("id", "asset", "seq")),
-    "leg_groups": _on_ledger(L.leg_groups),
+    "leg_groups": _with_rates(L.leg_groups),
     "staking_summary": _on_ledger(lambda x: x.where("transaction_type = 'STAKING'").groupBy("asset").agg(F.count("*").alias("n_events"), F.sum("amount").alias("quantity"), F.min("timestamp").alias("first_at"))),
     "dex_price": _dex,
     "liquidity_events": _on_ledger(lambda x: C.liquidity_for_tax(x).where("event_subtype is not null").select("id", "asset", "transaction_type", "event_subtype", F.col("fiat_value_at_trigger").alias("value"))),
@@ -174,7 +175,7 @@ QUERIES = {
     "lending_for_tax": _on_ledger(lambda x: C.lending_for_tax(x.withColumn("counterparty_address", F.when(F.pmod("seq", F.lit(2)) == 0, C.LENDING_PROGRAMS[0]))).where("event_subtype is not null").select("id", "transaction_type", "event_subtype")),
     "timezone_copies": _on_ledger(_zones),
     "mistyped_transfers": _on_ledger(lambda x: P.mistyped_transfers(x.withColumn("amount", F.lit(1.0)).withColumn("realized_pnl", F.lit(None).cast("double")), 60 * 24)),
-    "perp_schedule": _on_ledger(_perp_schedule),
+    "perp_schedule": _with_rates(L.perp_schedule, "GBP"),
     "pair_values": _on_ledger(_pair_values),
 }
 
@@ -184,7 +185,7 @@ _LOT_SQL = (
     + """,
 ev AS (
   SELECT id, asset, timestamp, gid, CASE WHEN transaction_type IN ('BUY','AIRDROP','STAKING') OR dir = 'IN' THEN 1 ELSE -1 END AS sign, (amount * 1e8)::hugeint AS q,
-    round(fiat * 100)::hugeint AS v, round(fee * 100)::hugeint AS f, transaction_type FROM ledger WHERE kind IS NULL AND amount > 0),
+    (round(fiat::decimal(24,6) * usd, 2) * 100)::hugeint AS v, (round(fee::decimal(24,6) * usd, 2) * 100)::hugeint AS f, transaction_type FROM ledger WHERE kind IS NULL AND amount > 0),
 e AS (SELECT id, asset, timestamp, gid, sign, q, CASE WHEN sign > 0 THEN v + f WHEN transaction_type = 'FEE' THEN v ELSE v - f END AS v FROM ev),
 net AS (SELECT *, sum(sign * q) OVER w AS net FROM e WINDOW w AS (PARTITION BY asset ORDER BY timestamp, gid, sign DESC, id ROWS UNBOUNDED PRECEDING)),
 low AS (SELECT *, greatest(0, -min(net) OVER w) AS u FROM net WINDOW w AS (PARTITION BY asset ORDER BY timestamp, gid, sign DESC, id ROWS UNBOUNDED PRECEDING)),
@@ -211,15 +212,14 @@ _UK_SQL = (
     _L
     + """, u AS (
   SELECT id, asset, timestamp, (timestamp AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/London')::date AS day, amount::hugeint AS q, CASE WHEN transaction_type IN ('BUY','AIRDROP','STAKING') OR dir = 'IN' THEN 'A' ELSE 'D' END AS side,
-    (round(fiat * 100)::hugeint + CASE WHEN transaction_type IN ('BUY','AIRDROP','STAKING') OR dir = 'IN' THEN 1 WHEN transaction_type = 'FEE' THEN 0 ELSE -1 END * round(fee * 100)::hugeint) * CASE ccy WHEN 'GBP' THEN 100000000 WHEN 'EUR' THEN 86000000 WHEN 'JPY' THEN 530000 ELSE 79000000 END AS v
+    (round(fiat * 100)::hugeint + CASE WHEN transaction_type IN ('BUY','AIRDROP','STAKING') OR dir = 'IN' THEN 1 WHEN transaction_type = 'FEE' THEN 0 ELSE -1 END * round(fee * 100)::hugeint) * (gbp * 100000000)::hugeint AS v
   FROM ledger WHERE kind IS NULL),
   day AS (SELECT asset, day, side, sum(q) AS q, sum(v) AS v, string_agg(id, '+' ORDER BY timestamp, id) AS ids FROM u GROUP BY 1, 2, 3)"""
 )
 SQL = {
     "ledger_view": _L + " SELECT id, timestamp, asset, transaction_type, amount, fiat AS fiat_value_at_trigger, fee AS fee_fiat, ccy AS fiat_currency, source, dir AS transfer_direction, kind AS instrument_kind, seq FROM ledger",
     "reporting_value": _L
-    + """ SELECT id, from_ccy, fx_day, CASE WHEN fiat = 0 THEN 0 ELSE fiat * (CASE from_ccy WHEN 'USD' THEN 0.79::double WHEN 'EUR' THEN 0.86::double WHEN 'JPY' THEN 0.0053::double ELSE 1 END / 1.0::double) END AS value
-  FROM (SELECT *, CASE WHEN ccy IN ('GBP', 'EUR', 'JPY') THEN ccy ELSE 'USD' END AS from_ccy, (timestamp AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/London')::date AS fx_day FROM ledger)""",
+    + " SELECT id, from_ccy, timestamp::date AS fx_day, (round(fiat::decimal(24,6) * gbp, 2) * 100)::hugeint / 100.0::double AS value FROM ledger",
     "perp_spot_split": _L + " SELECT kind IS NOT NULL AS is_perp, transaction_type, count(*) AS n FROM ledger GROUP BY 1, 2",
     "dust_filter": _L + " SELECT id, asset, amount FROM ledger WHERE NOT (amount < 5 OR (fiat > 0 AND fiat < 5000))",
     "dedup3": _L
@@ -244,13 +244,13 @@ SQL = {
     + """, u AS (SELECT id, asset, timestamp, (timestamp AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/London')::date AS day, amount, CASE WHEN transaction_type IN ('BUY','AIRDROP','STAKING') OR dir = 'IN' THEN 'A' ELSE 'D' END AS kind FROM ledger l WHERE l.kind IS NULL)
   SELECT asset, day, kind, sum(amount) AS quantity, count(*) AS n_legs, string_agg(id, '+' ORDER BY timestamp, id) AS ids FROM u GROUP BY 1, 2, 3""",
     "swap_net_flows": _L
-    + """, x AS (SELECT gid, asset, CASE WHEN transaction_type IN ('BUY','AIRDROP','STAKING') OR dir = 'IN' THEN 1 ELSE 0 END AS i, (amount * 1e8)::hugeint AS q, round(fiat * 100)::hugeint AS v FROM ledger)
+    + """, x AS (SELECT gid, asset, CASE WHEN transaction_type IN ('BUY','AIRDROP','STAKING') OR dir = 'IN' THEN 1 ELSE 0 END AS i, (amount * 1e8)::hugeint AS q, (round(fiat::decimal(24,6) * usd, 2) * 100)::hugeint AS v FROM ledger)
   SELECT gid AS trade_group_id, asset, count(*) AS n_legs, sum((2 * i - 1) * q) / 1e8 AS net_quantity, sum(i * v) / 100.0::double AS value_in, sum((1 - i) * v) / 100.0::double AS value_out FROM x GROUP BY 1, 2""",
     "fork_quantity": _L
     + " SELECT asset, sum(CASE WHEN transaction_type IN ('BUY','AIRDROP','STAKING') OR dir = 'IN' THEN amount ELSE -amount END) AS quantity FROM ledger WHERE asset = 'P1' AND timestamp < '1999-01-01' AND kind IS NULL GROUP BY 1",
     "perps_summary": _L
-    + """ SELECT source, count(*) AS fills, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl < 0) AS losses, sum(round((pnl * 100)::decimal(38,6))) / 100.0::double AS pnl,
-  sum(round(fee * 100)) / 100.0::double AS fee, sum(round(fiat * 100)) / 100.0::double AS notional FROM ledger WHERE kind = 'perp' GROUP BY 1""",
+    + """ SELECT source, count(*) AS fills, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl < 0) AS losses, sum((round(pnl::decimal(24,6) * usd, 2) * 100)::hugeint) / 100.0::double AS pnl,
+  sum((round(fee::decimal(24,6) * usd, 2) * 100)::hugeint) / 100.0::double AS fee, sum((round(fiat::decimal(24,6) * usd, 2) * 100)::hugeint) / 100.0::double AS notional FROM ledger WHERE kind = 'perp' GROUP BY 1""",
     "coverage_gaps": _L
     + """, d AS (SELECT DISTINCT source || '/' || asset AS key, timestamp::date AS day FROM ledger), g AS (SELECT key, day, lag(day) OVER (PARTITION BY key ORDER BY day) AS before FROM d)
   SELECT key, before AS gap_start, day AS gap_end, (day - before)::int AS gap_days FROM g WHERE day - before >= 7""",
@@ -277,15 +277,15 @@ SQL = {
     "ledger_search": _L + " SELECT id, asset, seq FROM ledger WHERE source = 'V3' AND contains(lower(concat_ws(' ', id, asset, transaction_type, source, gid)), 'sell')",
     "leg_groups": _L
     + """ SELECT gid AS group_key, count(*) AS n_legs, count(DISTINCT asset) AS n_assets, min(timestamp) AS first_at, arg_min(transaction_type, CASE transaction_type WHEN 'SELL' THEN 1 WHEN 'BUY' THEN 2 WHEN 'STAKING' THEN 3 WHEN 'AIRDROP' THEN 4 WHEN 'TRANSFER' THEN 5 ELSE 6 END) AS primary_type,
-  sum(round(fiat * 100)::hugeint) / 100.0::double AS value FROM ledger GROUP BY 1 HAVING count(*) >= 2""",
+  sum((round(fiat::decimal(24,6) * usd, 2) * 100)::hugeint) / 100.0::double AS value FROM ledger GROUP BY 1 HAVING count(*) >= 2""",
     "same_day_matches": _UK_SQL
     + """ SELECT a.asset, a.day, (year(a.day) - CASE WHEN strftime(a.day, '%m%d') < '0406' THEN 1 ELSE 0 END) || '/' || lpad(((year(a.day) - CASE WHEN strftime(a.day, '%m%d') < '0406' THEN 1 ELSE 0 END + 1) % 100)::varchar, 2, '0') AS tax_year, d.ids AS disposal_id, a.ids AS acquisition_id,
   least(a.q, d.q)::double AS quantity, (2 * d.v * least(a.q, d.q) + d.q * 100000000) // (2 * d.q * 100000000) / 100.0::double AS proceeds, (2 * a.v * least(a.q, d.q) + a.q * 100000000) // (2 * a.q * 100000000) / 100.0::double AS cost,
   ((2 * d.v * least(a.q, d.q) + d.q * 100000000) // (2 * d.q * 100000000) - (2 * a.v * least(a.q, d.q) + a.q * 100000000) // (2 * a.q * 100000000)) / 100.0::double AS gain FROM day a JOIN day d ON a.asset = d.asset AND a.day = d.day AND a.side = 'A' AND d.side = 'D'""",
     "income_by_year": _L
-    + """, i AS (SELECT *, (timestamp AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/London')::date AS day, CASE ccy WHEN 'GBP' THEN 1.0::double WHEN 'EUR' THEN 0.86::double WHEN 'JPY' THEN 0.0053::double ELSE 0.79::double END AS rate FROM ledger WHERE transaction_type IN ('AIRDROP', 'STAKING') AND amount > 0)
+    + """, i AS (SELECT *, timestamp::date AS day FROM ledger WHERE transaction_type IN ('AIRDROP', 'STAKING') AND amount > 0)
   SELECT (year(day) - CASE WHEN strftime(day, '%m%d') < '0406' THEN 1 ELSE 0 END) || '/' || lpad(((year(day) - CASE WHEN strftime(day, '%m%d') < '0406' THEN 1 ELSE 0 END + 1) % 100)::varchar, 2, '0') AS tax_year, transaction_type, count(*) AS n_rows,
-  sum(round((fiat * (rate / 1.0::double) * 100)::decimal(38,6))) / 100.0::double AS income FROM i GROUP BY 1, 2""",
+  sum((round(fiat::decimal(24,6) * gbp, 2) * 100)::hugeint) / 100.0::double AS income FROM i GROUP BY 1, 2""",
     "harvest_us": _LOT_SQL
     + """, h AS (SELECT asset, round((qu::decimal(38,0) * price::decimal(18,2))::decimal(38,2) / 1000000)::hugeint - c AS g, CASE WHEN DATE '2001-12-31' >= (timestamp::date + INTERVAL 12 MONTH)::date + 1 THEN 1 ELSE 0 END AS long FROM lots JOIN price USING (asset)),
   t AS (SELECT asset, sum(g * (1 - long))::hugeint AS s, sum(g * long)::hugeint AS l FROM h GROUP BY 1), x AS (SELECT *, sign(s * 24 + l * 15) * ((2 * abs(s * 24 + l * 15) + 100) // 200) AS tax FROM t)
@@ -310,7 +310,7 @@ SQL = {
     "lending_for_tax": _L + " SELECT id, CASE dir WHEN 'OUT' THEN 'SELL' ELSE 'BUY' END AS transaction_type, CASE dir WHEN 'OUT' THEN 'lend_deposit' ELSE 'lend_withdraw' END AS event_subtype FROM ledger WHERE dir IS NOT NULL AND seq % 2 = 0",
     "timezone_copies": _L + " SELECT id, asset, timestamp FROM ledger",
     "perp_schedule": _L
-    + """, n AS (SELECT year(timestamp)::int AS year, round((pnl * 100)::decimal(38,6)) - round((fee * 100)::decimal(38,6)) AS net FROM ledger WHERE kind = 'perp' AND pnl IS NOT NULL)
+    + """, n AS (SELECT year(timestamp)::int AS year, (round(pnl::decimal(24,6) * gbp, 2) * 100)::hugeint - (round(fee::decimal(24,6) * gbp, 2) * 100)::hugeint AS net FROM ledger WHERE kind = 'perp' AND pnl IS NOT NULL)
   SELECT year, count(*) AS n, sum(greatest(net, 0)) / 100.0::double AS gains, sum(greatest(-net, 0)) / 100.0::double AS losses FROM n GROUP BY 1""",
     "pair_values": _L + " SELECT gid AS transfer_pair_id, count(*) AS n FROM ledger WHERE dir IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (dir = 'OUT') > 0",
     "staking_summary": _L + " SELECT asset, count(*) AS n_events, sum(amount) AS quantity, min(timestamp) AS first_at FROM ledger WHERE transaction_type = 'STAKING' GROUP BY 1",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import TO_GBP, fixed_rate
+
 LEDGER = (
     "id string, timestamp timestamp, asset string, transaction_type string, amount double, fiat_value_at_trigger double, fee_fiat double, fiat_currency string, "
     "source string, import_id string, transfer_direction string, transfer_pair_id string, counterparty_address string, counter_asset string, counter_amount double, "
@@ -46,9 +50,24 @@ def ledger_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The same view in SQL.
-LEDGER_SQL = """
-ledger AS (
+def rates_from_tpch(spark: SparkSession, sf_dir: str, to_ccy: str) -> DataFrame:
+    """(day, from_ccy, rate) on the days of lineitem whose number in the month isn't a multiple of 3: the fallback, moved by the day of the year."""
+    days = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.to_date("l_shipdate").alias("day")).where(F.dayofmonth("day") % 3 != 0).distinct()
+    factor = (F.lit(90) + F.dayofyear("day") % 20).cast("decimal(4,0)") * F.lit("0.01").cast("decimal(2,2)")
+    x = days.withColumn("from_ccy", F.explode(F.array(*[F.lit(c) for c in TO_GBP])))
+    return x.where(F.col("from_ccy") != to_ccy).select("day", "from_ccy", F.round(fixed_rate(F.col("from_ccy"), to_ccy) * factor, 8).cast("decimal(12,8)").alias("rate"))
+
+
+def _rate_sql(to_ccy: str) -> str:
+    fixed = {c: (Decimal(str(r)) / Decimal(str(TO_GBP[to_ccy]))).quantize(Decimal("1e-8"), ROUND_HALF_UP) for c, r in TO_GBP.items()}
+    case = " ".join(f"WHEN '{c}' THEN {r}::decimal(12,8)" for c, r in fixed.items() if c in ("GBP", "EUR", "JPY"))
+    rate = f"CASE from_ccy {case} ELSE {fixed['USD']}::decimal(12,8) END"
+    return f"CASE WHEN from_ccy = '{to_ccy}' OR day(ts) % 3 = 0 THEN {rate} ELSE round({rate} * ((90 + dayofyear(ts) % 20)::decimal(4,0) * 0.01::decimal(2,2)), 8)::decimal(12,8) END"
+
+
+#: The same view in SQL, with the rates to GBP and USD of each row.
+LEDGER_SQL = f"""
+ledger AS (SELECT *, {_rate_sql("GBP")} AS gbp, {_rate_sql("USD")} AS usd FROM (SELECT *, timestamp AS ts, CASE WHEN ccy IN ('GBP', 'EUR', 'JPY') THEN ccy ELSE 'USD' END AS from_ccy FROM (
   SELECT md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::decimal(18,2), l_extendedprice::decimal(18,2), strftime(l_shipdate, '%Y-%m-%d'))) AS id,
     l_shipdate AS timestamp, 'P' || l_partkey AS asset,
     CASE WHEN l_orderkey % 20 = 3 THEN 'TRANSFER' WHEN l_returnflag = 'R' AND l_orderkey % 20 = 2 THEN 'FEE' WHEN l_returnflag = 'R' THEN 'SELL' WHEN l_orderkey % 20 = 0 THEN 'STAKING' WHEN l_orderkey % 20 = 1 THEN 'AIRDROP' ELSE 'BUY' END AS transaction_type,
@@ -58,4 +77,4 @@ ledger AS (
     CASE WHEN l_orderkey % 20 = 3 THEN CASE WHEN l_returnflag = 'R' THEN 'OUT' ELSE 'IN' END END AS dir, l_orderkey::varchar AS gid,
     CASE WHEN l_suppkey % 7 = 0 THEN 'perp' END AS kind, CASE WHEN l_suppkey % 7 = 0 AND l_returnflag = 'R' THEN (l_discount - 0.05) * 1000 END AS pnl,
     l_orderkey * 10 + l_linenumber AS seq
-  FROM lineitem)"""
+  FROM lineitem)))"""
