@@ -198,7 +198,7 @@ def pair_values(ledger: DataFrame, indexers: tuple[str, ...] = ("solana", "ether
     donor = F.max(F.when(v >= 0.01, F.struct((~_yes(F.col("source").isin(*indexers))).cast("int").alias("rank"), v.alias("v"), "amount", "fiat_currency"))).over(w)
     x = ledger.withColumn("_d", F.when(F.col("transfer_pair_id").isNotNull(), donor))
     need = F.col("_d").isNotNull() & (v < 0.01) & (F.col("_d.amount") > 0)
-    return x.withColumns({"fiat_currency": F.when(need, F.col("_d.fiat_currency")).otherwise(F.col("fiat_currency")), "fiat_value_at_trigger": F.when(need, F.round(F.col("_d.v") * F.col("amount") / F.col("_d.amount"), 2)).otherwise(F.col("fiat_value_at_trigger"))}).drop("_d")
+    return x.withColumns({"fiat_currency": F.when(need, F.col("_d.fiat_currency")).otherwise(F.col("fiat_currency")), "fiat_value_at_trigger": F.when(need, S.money(S.share(S.cents(F.col("_d.v")), S.units(F.col("amount")), S.units(F.col("_d.amount"))))).otherwise(F.col("fiat_value_at_trigger"))}).drop("_d")
 
 
 def timezone_copies(ledger: DataFrame) -> DataFrame:

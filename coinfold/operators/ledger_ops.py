@@ -77,6 +77,13 @@ def income_by_year(ledger: DataFrame, rates: DataFrame | None = None) -> DataFra
     return g.select("tax_year", "transaction_type", "n_rows", S.money(F.col("c")).alias("income"))
 
 
+def income_by_asset(ledger: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+    """Income by asset in GBP, rewards and airdrops apart; null where an asset has none of a kind."""
+    kind = lambda t: F.sum(F.when(F.col("transaction_type") == t, F.col("income_c")))
+    g = income_rows(ledger, rates).groupBy("asset").agg(F.count("*").alias("n_rows"), F.sum(S.units(F.col("amount"))).alias("q"), kind("STAKING").alias("s"), kind("AIRDROP").alias("a"))
+    return g.select("asset", "n_rows", S.quantity(F.col("q")).alias("quantity"), S.money(F.col("s")).alias("staking"), S.money(F.col("a")).alias("airdrops"))
+
+
 def perp_legs(ledger: DataFrame, to_ccy: str = "USD", rates: DataFrame | None = None) -> DataFrame:
     """Rows of derivatives with result, fee and notional in cents of the reporting currency; a null result is no close."""
     x = with_rate(ledger.where(S.is_perp(F.col("instrument_kind"), F.col("source"))), to_ccy, rates)
@@ -199,12 +206,13 @@ def leg_groups(ledger: DataFrame, to_ccy: str = "USD", rates: DataFrame | None =
 def dex_price(pairs: DataFrame) -> DataFrame:
     """Price of an asset from pairs (asset, price, liquidity): thin pairs go, then those far from the upper median, then the mean by liquidity."""
     ok = pairs.where("price > 0 and liquidity >= 1000")
+    weight = F.col("liquidity").cast("decimal(18,2)")  # exact sums, in any order
     w = Window.partitionBy("asset")
     rank, n = F.row_number().over(w.orderBy("price", "liquidity")), F.count("*").over(w)
     x = ok.withColumns({"_r": rank, "_n": n})
     mid = F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("price"))).over(w)
     x = x.withColumn("_m", mid).where((F.col("price") >= F.col("_m") / 5) & (F.col("price") <= F.col("_m") * 5))
-    return x.groupBy("asset").agg((F.sum(F.col("price") * F.col("liquidity")) / F.sum("liquidity")).alias("price"), F.count("*").alias("n_pairs"))
+    return x.groupBy("asset").agg((F.sum(F.col("price").cast("decimal(18,6)") * weight).cast("double") / F.sum(weight).cast("double")).alias("price"), F.count("*").alias("n_pairs"))
 
 
 def fork_quantity(ledger: DataFrame, parent: str, day: str) -> DataFrame:

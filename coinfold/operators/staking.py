@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.lineage import cut
+from .ledger_ops import with_rate
 
 
 def withdrawals(ledger: DataFrame, chains: tuple[str, ...] = ("ethereum", "base", "arbitrum", "optimism", "polygon")) -> DataFrame:
@@ -83,7 +84,8 @@ def time_clusters(ledger: DataFrame, seconds: float = 90) -> DataFrame:
     return x.groupBy("source", "day").applyInPandas(_clusters(seconds), "id string, cluster string")
 
 
-def summary(ledger: DataFrame) -> DataFrame:
-    """Rewards by asset and UK tax year: events, quantity, value at receipt in whole cents."""
-    x = ledger.where("transaction_type = 'STAKING'")
-    return x.groupBy("asset", S.uk_tax_year(S.uk_day(F.col("timestamp"))).alias("tax_year")).agg(F.count("*").alias("n_events"), S.quantity(F.sum(S.units(F.col("amount")))).alias("quantity"), S.money(F.sum(S.cents(F.coalesce("fiat_value_at_trigger", F.lit(0.0))))).alias("value"))
+def summary(ledger: DataFrame, to_ccy: str = "GBP", rates: DataFrame | None = None) -> DataFrame:
+    """Rewards by asset and UK tax year: events, quantity, value at receipt in the reporting currency."""
+    x = with_rate(ledger.where("transaction_type = 'STAKING'"), to_ccy, rates)
+    v = S.converted(F.col("fiat_value_at_trigger"), F.col("fx_rate"))
+    return x.groupBy("asset", S.uk_tax_year(S.uk_day(F.col("timestamp"))).alias("tax_year")).agg(F.count("*").alias("n_events"), S.quantity(F.sum(S.units(F.col("amount")))).alias("quantity"), S.money(F.sum(v)).alias("value"), F.min("timestamp").alias("first_at"))

@@ -58,6 +58,13 @@ def rates_from_tpch(spark: SparkSession, sf_dir: str, to_ccy: str) -> DataFrame:
     return x.where(F.col("from_ccy") != to_ccy).select("day", "from_ccy", F.round(fixed_rate(F.col("from_ccy"), to_ccy) * factor, 8).cast("decimal(12,8)").alias("rate"))
 
 
+def prices_from_tpch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Daily prices (asset, day, price), the highest of each part on even days of the month, and spot prices (asset, price)."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.dayofmonth("l_shipdate") % 2 == 0)
+    daily = li.groupBy(F.concat(F.lit("P"), "l_partkey").alias("asset"), F.to_date("l_shipdate").alias("day")).agg(F.max("l_extendedprice").alias("price"))
+    return daily, spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("P"), "p_partkey").alias("asset"), F.col("p_retailprice").alias("price"))
+
+
 def _rate_sql(to_ccy: str) -> str:
     fixed = {c: (Decimal(str(r)) / Decimal(str(TO_GBP[to_ccy]))).quantize(Decimal("1e-8"), ROUND_HALF_UP) for c, r in TO_GBP.items()}
     case = " ".join(f"WHEN '{c}' THEN {r}::decimal(12,8)" for c, r in fixed.items() if c in ("GBP", "EUR", "JPY"))
