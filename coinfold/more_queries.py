@@ -24,6 +24,11 @@ def _mixed(x: DataFrame) -> DataFrame:
     })
 
 
+def _fewer(x: DataFrame) -> DataFrame:
+    """The view with forty assets and amounts of 1 to 5, so that legs of one asset are near each other."""
+    return x.withColumns({"asset": F.concat(F.lit("P"), F.pmod(F.substring("asset", 2, 9).cast("int"), F.lit(40))), "amount": F.pmod("amount", F.lit(5)) + 1})
+
+
 def _on(f):
     return lambda spark, sf_dir: f(ledger_from_tpch(spark, sf_dir))
 
@@ -118,7 +123,7 @@ def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VENUES = ("V1", "V2", "V3", "V4", "V5")
 ODD = tuple(f"P{i}" for i in range(1, 2000, 2))
-MONTH = 30 * 86400
+DAYS = 3 * 86400
 QUERIES = {
     "fee_values": _values(lambda x, d, s: E.fee_values(x, d, s)),
     "income_values": _values(lambda x, d, s: E.income_values(x, d, s.where("price < 1500"))),
@@ -147,11 +152,11 @@ QUERIES = {
     "on_chain_ids": _on(lambda x: W.with_on_chain_ids(_ids(x)).select("seq", "on_chain_tx_id")),
     "repaired_groups": _on(lambda x: W.repaired_groups(_ids(x)).select("seq", "trade_group_id")),
     "tagged_rows": _on(lambda x: W.tagged(x.withColumn("source", F.when(F.pmod("seq", F.lit(2)) == 0, F.col("source"))), "imp-1", "upload").select("id", "import_id", "source")),
-    "liquid_sale_copies": _on(lambda x: D.liquid_sales(x.withColumns({"source": F.lit("solana"), "on_chain_tx_id": F.md5(F.pmod("seq", F.lit(50)).cast("string").cast("binary"))}), ODD, seconds=MONTH)),
-    "swap_leg_copies": _on(lambda x: D.swap_legs(x.withColumns({"source": F.lit("solana"), "token_mint": F.when(F.pmod("seq", F.lit(3)) > 0, F.pmod("seq", F.lit(3)).cast("string"))}), seconds=MONTH, tolerance=0.03)),
-    "deposit_reward_copies": _on(lambda x: D.deposit_rewards(_mixed(x), VENUES, MONTH)),
-    "collapsed_exchange": _on(lambda x: D.collapse_exchange_noise(_mixed(x), VENUES, 24 * 90).select("id", "transaction_type")),
-    "without_staking": _on(lambda x: D.without_staking(_mixed(x), VENUES, 24 * 90).select("id", "transaction_type")),
+    "liquid_sale_copies": _on(lambda x: D.liquid_sales(_fewer(x).withColumns({"source": F.lit("solana"), "on_chain_tx_id": F.md5(F.pmod("seq", F.lit(50)).cast("string").cast("binary"))}), ODD, seconds=DAYS)),
+    "swap_leg_copies": _on(lambda x: D.swap_legs(_fewer(x).withColumns({"source": F.lit("solana"), "token_mint": F.when(F.pmod("seq", F.lit(3)) > 0, F.pmod("seq", F.lit(3)).cast("string"))}), seconds=DAYS, tolerance=0.03)),
+    "deposit_reward_copies": _on(lambda x: D.deposit_rewards(_fewer(_mixed(x)), VENUES, DAYS)),
+    "collapsed_exchange": _on(lambda x: D.collapse_exchange_noise(_fewer(_mixed(x)), VENUES, 24 * 9).select("id", "transaction_type")),
+    "without_staking": _on(lambda x: D.without_staking(_fewer(_mixed(x)), VENUES, 24 * 9).select("id", "transaction_type")),
     "asset_rules": _on(_labels),
     "income_rows": _income,
     "income_by_asset": _by_asset,
@@ -159,6 +164,9 @@ QUERIES = {
 
 _L = "WITH" + LEDGER_SQL
 _M = _L + """, mixed AS (SELECT * REPLACE (CASE WHEN dir = 'IN' AND seq % 2 = 0 THEN 'STAKING' ELSE transaction_type END AS transaction_type, CASE WHEN dir = 'IN' AND seq % 2 = 0 THEN NULL ELSE dir END AS dir, CASE WHEN seq % 3 = 0 THEN 0 ELSE fiat END AS fiat) FROM ledger)"""
+_FEW = LEDGER_SQL.replace("ledger AS (", "all_ AS (", 1) + ", ledger AS (SELECT * REPLACE ('P' || (substr(asset, 2)::int % 40) AS asset, amount % 5 + 1 AS amount) FROM all_)"
+_F = "WITH" + _FEW
+_FM = _M.replace(LEDGER_SQL, _FEW)
 _P = _M + """,
   px AS (SELECT 'P' || l_partkey AS asset, l_shipdate::date AS day, max(l_extendedprice)::decimal(18,6) AS price FROM lineitem WHERE day(l_shipdate) % 2 = 0 GROUP BY 1, 2),
   sp AS (SELECT 'P' || p_partkey AS asset, p_retailprice::decimal(18,6) AS price FROM part),
@@ -171,7 +179,7 @@ def _value_sql(which: str, price: str, least: float, currency: str = "'USD'") ->
     return _P + f" SELECT id, CASE WHEN {ok} THEN {v}::double ELSE fiat END AS value, CASE WHEN {ok} THEN {currency} ELSE ccy END AS fiat_currency FROM w"
 
 
-_NEAR = "abs(epoch(a.timestamp) - epoch(b.timestamp)) <= 2592000 AND abs(a.amount - b.amount) <= greatest(a.amount, b.amount) * {}::double"
+_NEAR = "abs(epoch(a.timestamp) - epoch(b.timestamp)) <= 259200 AND abs(a.amount - b.amount) <= greatest(a.amount, b.amount) * {}::double"
 _IDS = _L + """, k AS (SELECT seq, id, seq % 6 AS k, gid, md5(gid) AS h, CASE seq % 6 WHEN 2 THEN 'bitcoin' WHEN 3 THEN 'celestia' WHEN 4 THEN 'solana' ELSE source END AS source FROM ledger)"""
 _YEAR = "(year(timestamp) - CASE WHEN strftime(timestamp, '%m%d') < '0406' THEN 1 ELSE 0 END) || '/' || lpad(((year(timestamp) - CASE WHEN strftime(timestamp, '%m%d') < '0406' THEN 1 ELSE 0 END + 1) % 100)::varchar, 2, '0')"
 _PRICED = _P + """, n AS (SELECT DISTINCT asset, substr(asset, 2)::int AS n FROM ledger),
@@ -180,7 +188,7 @@ _PRICED = _P + """, n AS (SELECT DISTINCT asset, substr(asset, 2)::int AS n FROM
   q AS (SELECT asset, CASE WHEN manual >= low THEN manual END AS manual, CASE WHEN daily >= low THEN daily END AS daily, CASE WHEN spot >= low THEN spot END AS spot FROM r)"""
 _STAKES = """, keep AS (SELECT gid FROM mixed GROUP BY 1 HAVING bool_or(transaction_type = 'STAKING') AND bool_or(transaction_type = 'TRANSFER' AND dir = 'IN')),
   ex AS (SELECT * FROM mixed WHERE source IN ('V1', 'V2', 'V3', 'V4', 'V5'))"""
-_ECHO = "SELECT o.id FROM ex o JOIN {} s ON o.transaction_type = 'TRANSFER' AND o.dir = 'OUT' AND s.transaction_type = 'STAKING' AND o.asset = s.asset AND o.source = s.source AND epoch(o.timestamp) - epoch(s.timestamp) BETWEEN 0 AND 7776000 AND abs(o.amount - s.amount) <= greatest(o.amount, s.amount) * 0.02::double"
+_ECHO = "SELECT o.id FROM ex o JOIN {} s ON o.transaction_type = 'TRANSFER' AND o.dir = 'OUT' AND s.transaction_type = 'STAKING' AND o.asset = s.asset AND o.source = s.source AND epoch(o.timestamp) - epoch(s.timestamp) BETWEEN 0 AND 777600 AND abs(o.amount - s.amount) <= greatest(o.amount, s.amount) * 0.02::double"
 SQL = {
     "fee_values": _value_sql("transaction_type = 'FEE' AND fiat < 0.01", "coalesce(daily, spot)", 0.01, "coalesce(ccy, 'USD')"),
     "income_values": _value_sql("transaction_type IN ('AIRDROP', 'STAKING') AND fiat <= 0.5", "coalesce(daily, CASE WHEN spot < 1500 THEN spot END)", 0.51),
@@ -189,7 +197,7 @@ SQL = {
     "leg_values": _value_sql("fiat <= 0", "daily", 0.01),
     "resolved_prices": _PRICED + " SELECT asset, coalesce(manual, daily, spot)::double AS price, CASE WHEN manual IS NOT NULL THEN 'manual' WHEN daily IS NOT NULL THEN 'daily' WHEN spot IS NOT NULL THEN 'spot' END AS price_source FROM q",
     "unresolved_assets": _PRICED + " SELECT asset FROM q WHERE coalesce(manual, daily, spot) IS NULL",
-    "displayed_prices": "SELECT 'P' || p_partkey AS asset, round(p_retailprice::decimal(18,8) * 0.7913::decimal(12,8), 2)::double AS price, round(p_retailprice::decimal(18,8) * 0.7913::decimal(12,8), 4)::double AS unit FROM part",
+    "displayed_prices": "SELECT 'P' || p_partkey AS asset, round(p_retailprice::decimal(24,8) * 0.7913::decimal(12,8), 2)::double AS price, round(p_retailprice::decimal(24,8) * 0.7913::decimal(12,8), 4)::double AS unit FROM part",
     "hidden_assets": _L + " SELECT id, asset FROM ledger WHERE NOT (substr(asset, 2)::int < 500 AND substr(asset, 2)::int % 3 = 0)",
     "demo_mode": _L + " SELECT id, seq FROM ledger WHERE seq % 4 <> 0",
     "import_rows": _L + " SELECT id, seq FROM ledger WHERE source = 'V3' AND seq % 2 = 1 UNION ALL SELECT id, seq FROM ledger WHERE import_id = 'I7'",
@@ -213,11 +221,11 @@ SQL = {
     "on_chain_ids": _IDS + " SELECT seq, CASE k WHEN 1 THEN '0x' || h || h WHEN 2 THEN h WHEN 3 THEN h WHEN 4 THEN h WHEN 5 THEN h || h END AS on_chain_tx_id FROM k",
     "repaired_groups": _IDS + " SELECT seq, CASE k WHEN 1 THEN '0x' || h || h WHEN 0 THEN gid WHEN 5 THEN gid ELSE h END AS trade_group_id FROM k",
     "tagged_rows": _L + " SELECT id, 'imp-1' AS import_id, CASE WHEN seq % 2 = 0 THEN source ELSE 'upload' END AS source FROM ledger",
-    "liquid_sale_copies": _L + f" SELECT DISTINCT a.id FROM ledger a JOIN ledger b ON a.asset = b.asset AND a.dir = 'OUT' AND b.transaction_type = 'SELL' AND substr(a.asset, 2)::int % 2 = 1 AND substr(a.asset, 2)::int < 2000 AND abs(a.amount - b.amount) <= greatest(a.amount, b.amount) * 0.02::double AND (abs(epoch(a.timestamp) - epoch(b.timestamp)) <= 2592000 OR a.seq % 50 = b.seq % 50)",
-    "swap_leg_copies": _L + f" SELECT DISTINCT a.id FROM ledger a JOIN ledger b ON a.asset = b.asset AND a.dir = 'IN' AND b.transaction_type = 'BUY' AND (a.seq % 3 = 0 OR b.seq % 3 = 0 OR a.seq % 3 = b.seq % 3) AND {_NEAR.format(0.03)}",
-    "deposit_reward_copies": _M + f" SELECT DISTINCT a.id FROM mixed a JOIN mixed b ON a.asset = b.asset AND a.source = b.source AND a.source IN ('V1', 'V2', 'V3', 'V4', 'V5') AND a.transaction_type = 'STAKING' AND b.dir = 'IN' AND {_NEAR.format(0.02)}",
-    "collapsed_exchange": _M + _STAKES + f", echo AS ({_ECHO.format('ex')}), l AS (SELECT * FROM mixed WHERE id NOT IN (FROM echo)), gone AS (SELECT a.id FROM l a JOIN l b ON a.asset = b.asset AND a.source = b.source AND a.source IN ('V1', 'V2', 'V3', 'V4', 'V5') AND a.transaction_type = 'STAKING' AND b.dir = 'IN' AND a.timestamp = b.timestamp AND abs(a.amount - b.amount) <= greatest(a.amount, b.amount) * 0.02::double) SELECT id, transaction_type FROM l WHERE id NOT IN (FROM gone)",
-    "without_staking": _M + _STAKES + f", drop_ AS (SELECT * FROM mixed WHERE transaction_type = 'STAKING' AND gid NOT IN (FROM keep)), echo AS ({_ECHO.format('drop_')}) SELECT id, transaction_type FROM mixed WHERE id NOT IN (SELECT id FROM drop_) AND id NOT IN (FROM echo)",
+    "liquid_sale_copies": _F + f" SELECT DISTINCT a.id FROM ledger a JOIN ledger b ON a.asset = b.asset AND a.dir = 'OUT' AND b.transaction_type = 'SELL' AND substr(a.asset, 2)::int % 2 = 1 AND abs(a.amount - b.amount) <= greatest(a.amount, b.amount) * 0.02::double AND (abs(epoch(a.timestamp) - epoch(b.timestamp)) <= 259200 OR a.seq % 50 = b.seq % 50)",
+    "swap_leg_copies": _F + f" SELECT DISTINCT a.id FROM ledger a JOIN ledger b ON a.asset = b.asset AND a.dir = 'IN' AND b.transaction_type = 'BUY' AND (a.seq % 3 = 0 OR b.seq % 3 = 0 OR a.seq % 3 = b.seq % 3) AND {_NEAR.format(0.03)}",
+    "deposit_reward_copies": _FM + f" SELECT DISTINCT a.id FROM mixed a JOIN mixed b ON a.asset = b.asset AND a.source = b.source AND a.source IN ('V1', 'V2', 'V3', 'V4', 'V5') AND a.transaction_type = 'STAKING' AND b.dir = 'IN' AND {_NEAR.format(0.02)}",
+    "collapsed_exchange": _FM + _STAKES + f", echo AS ({_ECHO.format('ex')}), l AS (SELECT * FROM mixed WHERE id NOT IN (FROM echo)), gone AS (SELECT a.id FROM l a JOIN l b ON a.asset = b.asset AND a.source = b.source AND a.source IN ('V1', 'V2', 'V3', 'V4', 'V5') AND a.transaction_type = 'STAKING' AND b.dir = 'IN' AND a.timestamp = b.timestamp AND abs(a.amount - b.amount) <= greatest(a.amount, b.amount) * 0.02::double) SELECT id, transaction_type FROM l WHERE id NOT IN (FROM gone)",
+    "without_staking": _FM + _STAKES + f", drop_ AS (SELECT * FROM mixed WHERE transaction_type = 'STAKING' AND gid NOT IN (FROM keep)), echo AS ({_ECHO.format('drop_')}) SELECT id, transaction_type FROM mixed WHERE id NOT IN (SELECT id FROM drop_) AND id NOT IN (FROM echo)",
     "asset_rules": _L
     + """, n AS (SELECT id, seq % 8 AS k, CASE seq % 8 WHEN 0 THEN asset WHEN 1 THEN md5(asset) WHEN 2 THEN 'USD' || chr(8366) WHEN 3 THEN 'USDC' WHEN 4 THEN 'CLAIM AT ' || asset || '.COM' WHEN 5 THEN NULL WHEN 6 THEN 'WWW.' || asset ELSE asset END AS asset FROM ledger)
   SELECT id, asset, k IN (2, 3) AS stable, k IN (4, 6) AS spam FROM n""",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 from decimal import Decimal
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -101,25 +103,26 @@ def _half_up(total: int, part: int, whole: int) -> int:
 def _picker(method: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(first=-pdf["sign"]).sort_values(["timestamp", "gid", "first", "id"], kind="stable")
-        lots: list[dict] = []
+        lots: list[tuple] = []  # a heap: the lot to take next is on top
         out = []
+        seen = 0
         for r in pdf.itertuples(index=False):
             q, value = int(r.qty_u), int(r.value_c)
             if r.sign > 0:
-                lots.append({"id": r.id, "at": r.timestamp, "q": q, "left": q, "value": value, "rank": len(lots)})
+                unit = Fraction(value, q)
+                key = (-r.timestamp.value, -unit, seen) if method == "LIFO" else (-unit, r.timestamp.value, seen)
+                heapq.heappush(lots, (key, {"id": r.id, "at": r.timestamp, "q": q, "left": q, "value": value}))
+                seen += 1
                 continue
             need = q
             while need > 100 and lots:
-                if method == "LIFO":
-                    lot = max(lots, key=lambda x: (x["at"], Decimal(x["value"]) / x["q"], -x["rank"]))
-                else:
-                    lot = min(lots, key=lambda x: (-Decimal(x["value"]) / x["q"], x["at"], x["rank"]))
+                lot = lots[0][1]
                 take = min(need, lot["left"])
                 out.append((r.asset, r.id, lot["id"], lot["at"], r.timestamp, take, _half_up(value, take, q), _half_up(lot["value"], take, lot["q"])))
                 need -= take
                 lot["left"] -= take
                 if lot["left"] <= 100:
-                    lots.remove(lot)
+                    heapq.heappop(lots)
             if need > 100:
                 out.append((r.asset, r.id, None, pd.NaT, r.timestamp, need, _half_up(value, need, q), 0))
         got = pd.DataFrame(out, columns=["asset", "disposal_id", "lot_id", "acquired", "disposed", "qty_u", "proceeds_c", "cost_c"])

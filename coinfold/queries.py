@@ -169,9 +169,9 @@ QUERIES = {
     "orphan_inflows": _on_ledger(lambda x: L.orphan_inflows(x.withColumn("fiat_value_at_trigger", F.lit(0.0))).select("id", "asset", "amount")),
     "override_injection": _overrides,
     "asof_price": _on_ledger(L.last_price),
-    "transfer_candidates": _on_ledger(lambda x: P.transfer_candidates(_less_fee(x), 24 * 30).select("asset", "out_id", "in_id", "score")),
-    "transfer_pairs": _on_ledger(lambda x: P.transfer_pairs(x.withColumn("amount", F.lit(1.0)), 24 * 30)),
-    "staking_echoes": _on_ledger(lambda x: P.staking_echoes(x, 24 * 30)),
+    "transfer_candidates": _on_ledger(lambda x: P.transfer_candidates(_less_fee(more._fewer(x)), 24 * 3).select("asset", "out_id", "in_id", "score")),
+    "transfer_pairs": _on_ledger(lambda x: P.transfer_pairs(_less_fee(more._fewer(x)), 24 * 3)),
+    "staking_echoes": _on_ledger(lambda x: P.staking_echoes(more._fewer(x), 24 * 9)),
     "ledger_search": _on_ledger(lambda x: L.search(x, "sell", "V3", hide_dust=False).select("id", "asset", "seq")),
     "leg_groups": _with_rates(L.leg_groups),
     "staking_summary": _with_rates(K.summary, "GBP"),
@@ -182,7 +182,7 @@ QUERIES = {
     "stable_quotes": _on_ledger(lambda x: V.stable_quotes(_quoted(x)).select("id", "asset", "counter_asset")),
     "lending_for_tax": _on_ledger(lambda x: C.lending_for_tax(x.withColumn("counterparty_address", F.when(F.pmod("seq", F.lit(2)) == 0, C.LENDING_PROGRAMS[0]))).where("event_subtype is not null").select("id", "transaction_type", "event_subtype")),
     "timezone_copies": _on_ledger(_zones),
-    "mistyped_transfers": _on_ledger(lambda x: P.mistyped_transfers(x.withColumn("amount", F.lit(1.0)).withColumn("realized_pnl", F.lit(None).cast("double")), 60 * 24)),
+    "mistyped_transfers": _on_ledger(lambda x: P.mistyped_transfers(more._fewer(x), 60 * 24)),
     "perp_schedule": _with_rates(L.perp_schedule, "GBP"),
     "pair_values": _on_ledger(_pair_values),
 }
@@ -277,12 +277,12 @@ SQL = {
     "asof_price": _L
     + """, b AS (SELECT asset, timestamp, arg_max(fiat / amount, id) AS price FROM ledger WHERE transaction_type = 'BUY' GROUP BY 1, 2)
   SELECT s.id, s.asset, s.timestamp, b.timestamp AS price_at, b.price AS last_price FROM (SELECT * FROM ledger WHERE transaction_type = 'SELL') s ASOF LEFT JOIN b ON s.asset = b.asset AND s.timestamp >= b.timestamp""",
-    "transfer_candidates": _L
+    "transfer_candidates": more._F
     + """, t AS (SELECT *, epoch(timestamp) AS at, CASE WHEN dir = 'IN' THEN (CASE WHEN seq % 3 = 0 THEN 20 ELSE amount END) * (1.0001::double - (seq % 4) * 0.004::double) WHEN seq % 3 = 0 THEN 20 ELSE amount END AS a FROM ledger WHERE transaction_type = 'TRANSFER')
-  SELECT o.asset, o.id AS out_id, i.id AS in_id, abs(o.a - i.a) * 1000000 + abs(i.at - o.at)::double AS score FROM t o JOIN t i ON o.asset = i.asset AND o.dir = 'OUT' AND i.dir = 'IN' AND o.source <> i.source AND abs(i.at - o.at) <= 2592000
+  SELECT o.asset, o.id AS out_id, i.id AS in_id, abs(o.a - i.a) * 1000000 + abs(i.at - o.at)::double AS score FROM t o JOIN t i ON o.asset = i.asset AND o.dir = 'OUT' AND i.dir = 'IN' AND o.source <> i.source AND abs(i.at - o.at) <= 259200
     AND i.a <= o.a * 1.0005::double AND o.a - i.a <= greatest(o.a * 0.01::double, 1e-8::double) AND o.a - i.a <= o.a * 0.02::double""",
-    "staking_echoes": _L
-    + " SELECT DISTINCT o.id FROM ledger o JOIN ledger s ON o.dir = 'OUT' AND s.transaction_type = 'STAKING' AND o.asset = s.asset AND o.source = s.source AND epoch(o.timestamp) - epoch(s.timestamp) BETWEEN 0 AND 2592000 AND abs(o.amount - s.amount) <= greatest(o.amount, s.amount) * 0.02::double",
+    "staking_echoes": more._F
+    + " SELECT DISTINCT o.id FROM ledger o JOIN ledger s ON o.dir = 'OUT' AND s.transaction_type = 'STAKING' AND o.asset = s.asset AND o.source = s.source AND epoch(o.timestamp) - epoch(s.timestamp) BETWEEN 0 AND 777600 AND abs(o.amount - s.amount) <= greatest(o.amount, s.amount) * 0.02::double",
     "ledger_search": _L + " SELECT id, asset, seq FROM ledger WHERE source = 'V3' AND contains(lower(concat_ws(' ', id, asset, transaction_type, source, gid)), 'sell')",
     "leg_groups": _L
     + """ SELECT gid AS group_key, count(*) AS n_legs, count(DISTINCT asset) AS n_assets, min(timestamp) AS first_at, arg_min(transaction_type, CASE transaction_type WHEN 'SELL' THEN 1 WHEN 'BUY' THEN 2 WHEN 'STAKING' THEN 3 WHEN 'AIRDROP' THEN 4 WHEN 'TRANSFER' THEN 5 ELSE 6 END) AS primary_type,
@@ -336,3 +336,37 @@ SQL |= more.SQL
 SQL["realized_by_gain"] = _LOT_SQL + "SELECT asset, (sum(p) - sum(c)) / 100.0::double AS realized_pnl FROM m GROUP BY 1 ORDER BY abs(sum(p) - sum(c)) DESC, asset LIMIT 25"
 SQL["holdings"] = _LOT_SQL + "SELECT count(*) AS n, sum(c) / 100.0::double AS invested, sum(v) / 100.0::double AS market_value, (sum(v) - sum(c)) / 100.0::double AS gain, round((sum(v) - sum(c)) * 10000.0::double / sum(c)) / 100 AS gain_percent FROM pos"
 SQL["ordered_overlaps"] = SQL["import_overlaps"].replace("SELECT x.source, x.import_id", "SELECT CASE WHEN shared > 0 THEN 'duplicate' ELSE 'dates' END AS kind, x.source, x.import_id")
+
+#: Each leg out, in order of time, takes the best leg in that is left: a step for the n-th leg out of every asset.
+_GREEDY = """, o AS (SELECT asset, out_id, list(in_id ORDER BY score, in_id) AS cands, row_number() OVER (PARTITION BY asset ORDER BY out_at, out_id) AS n FROM c GROUP BY asset, out_id, out_at),
+  r(asset, n, used, out_id, pick) AS (
+    SELECT DISTINCT asset, 0::bigint, []::varchar[], NULL::varchar, NULL::varchar FROM o
+    UNION ALL SELECT asset, n, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END, out_id, p FROM (
+      SELECT r.asset, o.n, r.used, o.out_id, list_filter(o.cands, lambda x: NOT list_contains(r.used, x))[1] AS p FROM r JOIN o ON o.asset = r.asset AND o.n = r.n + 1))
+  SELECT asset, out_id, pick AS in_id, 'pair-' || out_id AS pair_id FROM r WHERE pick IS NOT NULL"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
+SQL["transfer_pairs"] = _recursive(SQL["transfer_candidates"].replace("SELECT o.asset, o.id AS out_id", ", c AS (SELECT o.asset, o.at AS out_at, o.id AS out_id") + ")" + _GREEDY)
+SQL["mistyped_transfers"] = _recursive(more._F) + """, t AS (SELECT *, epoch(timestamp) AS at FROM ledger WHERE kind IS NULL AND pnl IS NULL), c AS (
+  SELECT o.asset, o.id AS out_id, i.id AS in_id, o.at AS out_at, i.at AS score FROM t o JOIN t i ON o.asset = i.asset AND o.transaction_type = 'SELL' AND i.transaction_type = 'BUY' AND o.source <> i.source AND abs(i.at - o.at) <= 86400 AND abs(o.amount - i.amount) <= greatest(o.amount, i.amount) * 1e-6::double)""" + _GREEDY
+
+#: A step takes the lot that is first in the method's order, or goes on to the asset's next event and says what no lot covered.
+_PICKED = """, s AS (
+  SELECT *, row_number() OVER (PARTITION BY asset ORDER BY timestamp, gid, sign DESC, id) AS n, row_number() OVER (PARTITION BY asset, sign ORDER BY timestamp, gid, id) AS rank FROM e),
+pe AS (SELECT *, row_number() OVER (PARTITION BY asset, sign ORDER BY {order}, rank) AS p FROM s), last AS (SELECT asset, max(n) AS n FROM pe GROUP BY 1),
+r(asset, n, need, lots, e_n, e_p, e_q) AS (
+  SELECT asset, 0::bigint, 0::hugeint, []::struct(p bigint, rest hugeint)[], NULL::bigint, NULL::bigint, NULL::hugeint FROM last
+  UNION ALL
+  SELECT x.asset, CASE WHEN act THEN x.n ELSE x.n + 1 END, CASE WHEN act THEN need - take WHEN pe.sign < 0 THEN pe.q ELSE 0 END,
+    CASE WHEN act THEN list_concat(list_filter(lots, lambda y: y.p <> best.p), CASE WHEN best.rest - take > 100 THEN [{{'p': best.p, 'rest': best.rest - take}}] ELSE [] END) WHEN pe.sign > 0 THEN list_append(lots, {{'p': pe.p, 'rest': pe.q}}) ELSE lots END,
+    CASE WHEN act OR need > 100 THEN x.n END, CASE WHEN act THEN best.p END, CASE WHEN act THEN take WHEN need > 100 THEN need END
+  FROM (SELECT *, least(need, best.rest) AS take FROM (SELECT *, need > 100 AND len(lots) > 0 AS act, list_sort(lots)[1] AS best FROM r)) x JOIN last ON last.asset = x.asset AND (x.act OR x.n <= last.n)
+    LEFT JOIN pe ON NOT x.act AND pe.asset = x.asset AND pe.n = x.n + 1)
+SELECT d.asset, d.id AS disposal_id, l.id AS lot_id, e_q / 1e8 AS quantity, (sign(d.v) * ((2 * abs(d.v) * e_q + d.q) // (2 * d.q))) / 100.0::double AS proceeds, coalesce((2 * l.v * e_q + l.q) // (2 * l.q), 0) / 100.0::double AS cost_basis
+FROM r JOIN pe d ON d.asset = r.asset AND d.n = e_n LEFT JOIN pe l ON l.asset = r.asset AND l.sign > 0 AND l.p = e_p WHERE e_q IS NOT NULL"""
+for _name, _order in (("lifo_matches", "timestamp DESC, v / q::double DESC"), ("hifo_matches", "v / q::double DESC, timestamp")):
+    SQL[_name] = _recursive(_LOT_SQL) + _PICKED.format(order=_order)
