@@ -111,6 +111,17 @@ def _less_fee(x: DataFrame) -> DataFrame:
     return x.withColumn("amount", F.when(F.col("transfer_direction") == "IN", a * (F.lit(1.0001) - F.pmod("seq", F.lit(4)) * F.lit(0.004))).otherwise(a))
 
 
+def _shared_group(x: DataFrame) -> DataFrame:
+    """Transfers of few assets under shared on-chain ids; those in come a little short."""
+    return _less_fee(more._fewer(x)).withColumn("on_chain_tx_id", F.concat(F.lit("h"), F.pmod("seq", F.lit(60))))
+
+
+def _earn(x: DataFrame) -> DataFrame:
+    """Transfers of few assets as an earn account's deposits and withdrawals."""
+    mark = F.when(F.col("transfer_direction") == "OUT", "crypto_earn_program_created-").otherwise("crypto_earn_program_withdrawn-")
+    return _less_fee(more._fewer(x)).withColumn("id", F.concat(mark, "id"))
+
+
 def _dex(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return L.dex_price(li.select(F.concat(F.lit("P"), "l_partkey").alias("asset"), F.col("l_extendedprice").alias("price"), F.col("l_quantity") * 100).toDF("asset", "price", "liquidity"))
@@ -156,6 +167,8 @@ QUERIES = {
     "same_day_events": _same_day,
     "same_day_matches": _cgt("same_day"),
     "thirty_day_matches": _cgt("thirty_day"),
+    "on_chain_pairs": _on_ledger(lambda x: P.on_chain_pairs(_shared_group(x))),
+    "earn_pairs": _on_ledger(lambda x: P.earn_pairs(_earn(x), 40)),
     "s104_matches": _cgt("section_104"),
     "uk_pools": lambda s, d: UK.pools(_engine(s, d)),
     "uk_cgt_by_year": lambda s, d: UK.cgt_by_year(UK.cgt_rows(_engine(s, d))),
@@ -370,3 +383,52 @@ SELECT d.asset, d.id AS disposal_id, l.id AS lot_id, e_q / 1e8 AS quantity, (sig
 FROM r JOIN pe d ON d.asset = r.asset AND d.n = e_n LEFT JOIN pe l ON l.asset = r.asset AND l.sign > 0 AND l.p = e_p WHERE e_q IS NOT NULL"""
 for _name, _order in (("lifo_matches", "timestamp DESC, v / q::double DESC"), ("hifo_matches", "v / q::double DESC, timestamp")):
     SQL[_name] = _recursive(_LOT_SQL) + _PICKED.format(order=_order)
+
+_TAX_YEAR = "(year({0}) - CASE WHEN strftime({0}, '%m%d') < '0406' THEN 1 ELSE 0 END) || '/' || lpad(((year({0}) - CASE WHEN strftime({0}, '%m%d') < '0406' THEN 1 ELSE 0 END + 1) % 100)::varchar, 2, '0')"
+#: UK matching: same day, then a step for each match with the 30 days before or for the next day, then a step for each day of the pool.
+#: Values are whole numbers of 1e-10, the pool's cost of 1e-16.
+_UK_FOLD = (
+    _recursive(_UK_SQL)
+    + """, dd AS (
+  SELECT asset, day, max(q) FILTER (side = 'A') AS aq, max(v) FILTER (side = 'A') AS av, max(ids) FILTER (side = 'A') AS aid, max(q) FILTER (side = 'D') AS dq, max(v) FILTER (side = 'D') AS dv, max(ids) FILTER (side = 'D') AS did,
+    row_number() OVER (PARTITION BY asset ORDER BY day) AS n FROM day GROUP BY asset, day),
+  o AS (SELECT *, coalesce(aq, 0) - least(coalesce(aq, 0), coalesce(dq, 0)) AS a0, coalesce(dq, 0) - least(coalesce(aq, 0), coalesce(dq, 0)) AS d0 FROM dd), last AS (SELECT asset, max(n) AS n FROM o GROUP BY 1),
+  r(asset, n, day, a, waits, m_d, m_a, m_q) AS (
+    SELECT asset, 0::bigint, NULL::date, 0::hugeint, []::struct(n bigint, day date, rest hugeint)[], NULL::bigint, NULL::bigint, NULL::hugeint FROM last
+    UNION ALL
+    SELECT x.asset, CASE WHEN act THEN x.n ELSE x.n + 1 END, CASE WHEN act THEN x.day ELSE o.day END, CASE WHEN act THEN a - take ELSE o.a0 END,
+      CASE WHEN act THEN list_transform(waits, lambda w: CASE WHEN w.n = best.n THEN {'n': w.n, 'day': w.day, 'rest': w.rest - take} ELSE w END)
+        ELSE list_concat(list_filter(waits, lambda w: w.rest > 0 AND w.day >= o.day - 30), CASE WHEN o.d0 > 0 THEN [{'n': o.n, 'day': o.day, 'rest': o.d0}] ELSE [] END) END,
+      CASE WHEN act THEN best.n END, CASE WHEN act THEN x.n END, CASE WHEN act THEN take END
+    FROM (SELECT *, a > 0 AND best IS NOT NULL AS act, least(a, best.rest) AS take FROM (SELECT *, list_filter(waits, lambda w: w.rest > 0 AND w.day < r.day AND w.day >= r.day - 30)[1] AS best FROM r)) x
+      JOIN last ON last.asset = x.asset AND (x.act OR x.n < last.n) LEFT JOIN o ON NOT x.act AND o.asset = x.asset AND o.n = x.n + 1),
+  m30 AS (SELECT asset, m_d, m_a, m_q FROM r WHERE m_q IS NOT NULL),
+  z AS (SELECT o.*, (a0 - coalesce((SELECT sum(m_q) FROM m30 WHERE m30.asset = o.asset AND m_a = o.n), 0))::hugeint AS al, (d0 - coalesce((SELECT sum(m_q) FROM m30 WHERE m30.asset = o.asset AND m_d = o.n), 0))::hugeint AS dl FROM o),
+  p(asset, n, q, c, tq, tc) AS (
+    SELECT asset, 0::bigint, 0::hugeint, 0::hugeint, 0::hugeint, 0::hugeint FROM last
+    UNION ALL
+    SELECT asset, n, q1 - t, CASE WHEN q1 - t = 0 THEN 0 ELSE c1 - cut END, t, cut FROM (SELECT *, CASE WHEN t > 0 THEN (2 * c1 * t + q1) // (2 * q1) ELSE 0 END AS cut FROM (
+      SELECT *, least(dl, q1) AS t FROM (SELECT z.asset, z.n, z.dl, p.q + z.al AS q1, p.c + CASE WHEN z.al > 0 THEN (2 * z.av * 1000000 * z.al + z.aq) // (2 * z.aq) ELSE 0 END AS c1 FROM p JOIN z ON z.asset = p.asset AND z.n = p.n + 1)))),
+  rows_ AS (
+    SELECT 'same_day' AS kind, asset, day, did, aid, least(aq, dq) AS q, dv, dq, (2 * av * least(aq, dq) + aq * 100000000) // (2 * aq * 100000000) AS cost FROM o WHERE aq IS NOT NULL AND dq IS NOT NULL
+    UNION ALL SELECT 'thirty_day', d.asset, d.day, d.did, a.aid, m_q, d.dv, d.dq, (2 * a.av * m_q + a.aq * 100000000) // (2 * a.aq * 100000000) FROM m30 JOIN o d ON d.asset = m30.asset AND d.n = m_d JOIN o a ON a.asset = m30.asset AND a.n = m_a
+    UNION ALL SELECT 'section_104', z.asset, z.day, did, NULL, tq, dv, dq, (2 * tc + 100000000000000) // 200000000000000 FROM p JOIN z ON z.asset = p.asset AND z.n = p.n WHERE tq > 0
+    UNION ALL SELECT 'unmatched', z.asset, z.day, did, NULL, dl - tq, dv, dq, 0 FROM p JOIN z ON z.asset = p.asset AND z.n = p.n WHERE dl > tq),
+  cgt AS (SELECT *, (2 * dv * q + dq * 100000000) // (2 * dq * 100000000) AS proceeds, """
+    + _TAX_YEAR.format("day")
+    + " AS tax_year FROM rows_)"
+)
+for _name, _kind in (("thirty_day_matches", "thirty_day"), ("s104_matches", "section_104")):
+    SQL[_name] = _UK_FOLD + f" SELECT asset, day, tax_year, did AS disposal_id, aid AS acquisition_id, q::double AS quantity, proceeds / 100.0::double AS proceeds, cost / 100.0::double AS cost, (proceeds - cost) / 100.0::double AS gain FROM cgt WHERE kind = '{_kind}'"
+SQL["uk_pools"] = _UK_FOLD + " SELECT p.asset, q::double AS quantity, ((2 * c + 100000000000000) // 200000000000000) / 100.0::double AS cost FROM p JOIN last USING (asset, n) WHERE q > 0"
+_EXEMPT = " ".join(f"WHEN '{y}' THEN {a}" for y, a in US.S.EXEMPT.items())
+SQL["uk_cgt_by_year"] = _UK_FOLD + f""", g AS (SELECT tax_year, count(DISTINCT (asset, did)) AS n_disposals, sum(proceeds) AS p, sum(cost) AS c, sum(greatest(proceeds - cost, 0)) AS g, sum(greatest(cost - proceeds, 0)) AS l, CASE tax_year {_EXEMPT} ELSE {US.S.EXEMPT_DEFAULT} END AS e FROM cgt GROUP BY 1)
+  SELECT tax_year, n_disposals, p / 100.0::double AS proceeds, c / 100.0::double AS allowable_cost, g / 100.0::double AS gains, l / 100.0::double AS losses, (g - l) / 100.0::double AS net, e::double AS exempt, greatest((g - l) / 100.0::double - e, 0) AS taxable FROM g"""
+
+_FITS = " AND i.a <= o.a * 1.0005::double AND o.a - i.a <= greatest(o.a * 0.01::double, 1e-8::double) AND o.a - i.a <= o.a * 0.02::double"
+_LEGS = SQL["transfer_candidates"].split("SELECT o.asset")[0]
+_SCORED = ", c AS (SELECT {key} AS asset, o.asset AS coin, o.at AS out_at, {mark_o} || o.id AS out_id, {mark_i} || i.id AS in_id, abs(o.a - i.a) * 1000000 + abs(i.at - o.at)::double AS score FROM t o JOIN t i ON o.asset = i.asset AND o.dir = 'OUT' AND i.dir = 'IN' AND {on}" + _FITS + ")"
+_COIN = " JOIN (SELECT DISTINCT asset, coin FROM c) k ON k.asset = r.asset"
+_PAIRED = _GREEDY.replace("SELECT asset, out_id, pick AS in_id", "SELECT coin AS asset, out_id, pick AS in_id").replace("FROM r WHERE pick", f"FROM r{_COIN} WHERE pick")
+SQL["on_chain_pairs"] = _recursive(_LEGS) + _SCORED.format(key="o.asset || '/' || (o.seq % 60)", mark_o="''", mark_i="''", on="o.seq % 60 = i.seq % 60") + _PAIRED
+SQL["earn_pairs"] = _recursive(_LEGS) + _SCORED.format(key="o.asset || '/' || o.source", mark_o="'crypto_earn_program_created-'", mark_i="'crypto_earn_program_withdrawn-'", on="o.source = i.source AND i.at - o.at BETWEEN 0 AND 3456000") + _PAIRED
