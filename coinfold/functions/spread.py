@@ -19,10 +19,13 @@ def give(df: DataFrame, per_group: DataFrame, keys: list[str], n: str, total: in
     tables are read several times: cut them if they are dear.
     """
     limit = max(1, total // HOT_GROUPS)
-    hot = per_group.where(F.col(n) > limit).drop(n)
-    there = df.join(F.broadcast(hot), keys)
-    moved = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per_group.where(F.col(n) <= limit).drop(n), keys)
-    return there.unionByName(moved)
+    fields = [c for c in per_group.columns if c not in (*keys, n)]
+    groups = per_group.select(*keys, n, F.struct(F.lit(True).alias("__there"), *fields).alias("__group"))
+    # One broadcast serves both branches: it holds what the hot groups give, or nothing.
+    x = df.join(F.broadcast(groups.where(F.col(n) > limit).drop(n)), keys, "left")
+    there = x.where("__group is not null")
+    moved = x.where("__group is null").drop("__group").join(groups.where(F.col(n) <= limit).drop(n), keys)
+    return there.unionByName(moved).select(*df.columns, *[f"__group.{c}" for c in fields])
 
 
 def attach(df: DataFrame, keys: list[str], total: int | None = None, **aggs: Column) -> DataFrame:
