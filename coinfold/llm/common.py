@@ -10,16 +10,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import checkpoint_dir, cut, stored, sweep
+from ..functions.lineage import checkpoint_dir, stored, sweep
+from ..functions.lineage import cut as _cut
 from ..functions.spread import attach, give, running
 
 __all__ = ["attach", "checkpoint_dir", "connected_components", "cut", "give", "held_out", "labelled_sample", "partitions", "running", "slices", "stored", "table", "unused"]
 
 
+EDGES_A_TASK = 5000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, after which the shuffle files of what is cut may go at once: these operators run many small plans."""
+    out = _cut(df)
+    sweep(df.sparkSession)
+    return out
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that `df` doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}
@@ -87,13 +98,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = [F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))]
     now = e.agg(*state).first()
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        large = attach(both, ["src"], 2 * now[0], m=F.min("dst")).where("dst > src").select(F.col("dst").alias("src"), F.least("m", "src").alias("dst")).distinct()
+        few = max(1, -(-now[0] // EDGES_A_TASK))  # a small graph takes few tasks; coalesce never makes more
+        ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        both = e.coalesce(few).select(F.explode(ways).alias("x")).select("x.*")
+        large = attach(both, ["src"], 2 * now[0], m=F.min("dst")).where("dst > src").select(F.col("dst").alias("src"), F.least("m", "src").alias("dst")).distinct().coalesce(few)
         small = attach(large, ["src"], 2 * now[0], m=F.min("dst")).select(
             F.explode(F.array(F.struct("src", F.col("m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))).alias("x")
         )
         e = cut(small.select("x.*").where("src <> dst").distinct())
-        sweep(e.sparkSession)
         before, now = now, e.agg(*state).first()
         if now == before:
             break
