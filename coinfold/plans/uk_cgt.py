@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from datetime import timedelta
-from decimal import Decimal
+from decimal import Decimal, getcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,6 +47,7 @@ def same_day_matches(events: DataFrame) -> DataFrame:
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     """One pass over an asset's days. Disposals wait 30 days for later acquisitions; what is left goes to the pool in day order."""
+    getcontext().prec = 60  # quantities of 26 digits with 12 places, times values
     asset = pdf["asset"].iloc[0]
     days: dict = {}
     for r in pdf.itertuples(index=False):

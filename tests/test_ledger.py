@@ -63,7 +63,7 @@ ROWS = [("2023-01-01", "BUY", 1, 100), ("2023-02-01", "BUY", 1, 300), ("2023-03-
 
 @pytest.mark.parametrize("method,costs", [("FIFO", [100, 300, 200, 0]), ("LIFO", [200, 300, 100, 0]), ("HIFO", [300, 200, 100, 0])])
 def test_lot_methods(spark, method, costs):
-    m = US.matches(ledger(spark, ROWS), method).orderBy("disposed").toPandas()
+    m = US.matches(ledger(spark, ROWS), method, "GBP").orderBy("disposed").toPandas()
     assert sorted(float(c) / 100 for c in m["cost_c"]) == sorted(costs)
     assert sum(m["qty_u"]) == 4 * 10**8 and float(sum(m["proceeds_c"])) == 130000
     assert m[m["lot_id"].isna()]["qty_u"].sum() == 10**8
@@ -134,3 +134,14 @@ def test_entry_registers_without_llm():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) >= 40
+
+
+def test_legs_of_several_currencies_meet_in_one(spark):
+    x = ledger(spark, ROWS[:1]).drop("timestamp", "transaction_type", "amount", "fiat_value_at_trigger", "fiat_currency", "id")
+    legs = [("a", "2024-01-02", "BUY", 1e18, 1000.0, "USD"), ("b", "2024-03-04", "SELL", 5e17, 150000.0, "JPY"), ("c", "2024-03-05", "SELL", 5e17, 100.0, "GBP")]
+    x = x.crossJoin(spark.createDataFrame(legs, "id string, timestamp string, transaction_type string, amount double, fiat_value_at_trigger double, fiat_currency string").withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+    rates = spark.createDataFrame([("2024-03-04", "JPY", 0.0068)], "day string, from_ccy string, rate double").withColumn("day", F.col("day").cast("date"))
+    got = {r.disposal_id: (int(r.proceeds_c), int(r.cost_c)) for r in US.matches(x, rates=rates).collect()}
+    assert got == {"b": (102000, 50000), "c": (round(100 / 0.79 * 100), 50000)}
+    assert {r.disposal_id: int(r.proceeds_c) for r in US.matches(x, "HIFO", "GBP").collect()} == {"b": 79500, "c": 10000}
+    assert UK.uk_engine(UK.uk_legs(x, rates.where("false"))).where("match_type = 'section_104'").count() == 2

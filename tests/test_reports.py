@@ -32,13 +32,13 @@ def test_time_clusters(spark):
 
 def test_reports_and_files(spark, tmp_path):
     x = ledger(spark, ROWS)
-    uk, us = R.uk_report(x), R.us_report(x)
+    uk, us = R.uk_report(x), R.us_report(x, to_ccy="GBP")
     assert uk["by_year"].count() == 1 and us["summary"].where("year is null").first().gain_loss == 700.0
     R.write_csv(us["form_8949"], us["summary"], str(tmp_path / "us"))
     assert spark.read.option("header", True).csv(str(tmp_path / "us/detail")).count() == us["form_8949"].count()
     R.write_backup(x, spark.createDataFrame([("t00", 1.0)], "anchor_id string, total_fiat double"), str(tmp_path / "bk"))
     assert R.read_backup(spark, str(tmp_path / "bk"), LEDGER).count() == x.count()
-    lots, disposals = R.breakdown(US.open_lots(US.lot_events(x), US.matches(x)), US.matches(x))
+    lots, disposals = R.breakdown(US.open_lots(US.lot_events(x, "GBP"), US.matches(x, to_ccy="GBP")), US.matches(x, to_ccy="GBP"))
     assert lots.count() == 0 and [r.missing_basis for r in disposals.collect()] == [True, False]
     assert {r.kind for r in R.data_health(x, US.matches(x)).collect()} == {"missing_basis", "coverage_gap"}
 
@@ -52,7 +52,7 @@ def test_perps_as_gains(spark):
 
 def test_positions_and_allocation(spark):
     x = ledger(spark, [("2023-01-01", "BUY", 2, 100), ("2023-01-01", "BUY", 1, 30, {"asset": "ETH"})])
-    e = US.lot_events(x)
+    e = US.lot_events(x, "GBP")
     p = US.positions(US.open_lots(e, US.fifo_matches(e)), spark.createDataFrame([("BTC", 75.0), ("ETH", 50.0)], "asset string, price double"))
     assert tuple(R.portfolio_totals(p).first()) == (2, 200.0, 130.0, 70.0)
     assert {r.asset: r.percent for r in R.allocation(p).collect()} == {"BTC": 75.0, "ETH": 25.0}
