@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
+from .operators import classifiers as C
 from .operators import duplicates as D
 from .operators import enrichment as E
 from .operators import ledger_ops as L
+from .operators import liquidity as Q
 from .operators import views as W
 from .plans import us_lots as US
 from .sources.testdata import LEDGER_SQL, ledger_from_tpch, prices_from_tpch, rates_from_tpch
@@ -121,6 +123,19 @@ def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.displayed(prices_from_tpch(spark, sf_dir)[1].withColumn("unit", F.col("price")), ["price"], ["unit"], 0.7913)
 
 
+def _burns(x: DataFrame) -> DataFrame:
+    """Pools of the view with fifty kinds of shares; every seventh group that takes assets out burns two shares."""
+    y = C.liquidity_for_tax(x)
+    n = F.col("trade_group_id").cast("bigint")
+    kind = F.concat(F.lit("LP:"), F.pmod(n, F.lit(50)))
+    made = F.startswith("asset", F.lit("LP:"))
+    y = y.withColumns({"amount": F.when(made, 1.0 + F.pmod(n, F.lit(3))).otherwise(F.col("amount")), "asset": F.when(made, kind).otherwise(F.col("asset"))})
+    out = y.where((F.col("event_subtype") == "lp_remove") & (n % 7 == 0)).groupBy("trade_group_id", "event_subtype").agg(F.min("timestamp").alias("timestamp"))
+    out = out.select(F.concat(F.lit("burn-"), "trade_group_id").alias("id"), "timestamp", kind.alias("asset"), F.lit("SELL").alias("transaction_type"), F.lit(2.0).alias("amount"), "event_subtype", "trade_group_id")
+    z = Q.inferred_burns(y.unionByName(out, allowMissingColumns=True)).where("id like 'lp-dispose-%'")
+    return z.select("id", "asset", "timestamp", "amount", F.col("fiat_value_at_trigger").alias("value"), F.col("normalization_note").alias("note"))
+
+
 VENUES = ("V1", "V2", "V3", "V4", "V5")
 ODD = tuple(f"P{i}" for i in range(1, 2000, 2))
 DAYS = 3 * 86400
@@ -160,6 +175,7 @@ QUERIES = {
     "asset_rules": _on(_labels),
     "income_rows": _income,
     "income_by_asset": _by_asset,
+    "inferred_burns": _on(_burns),
 }
 
 _L = "WITH" + LEDGER_SQL
@@ -231,4 +247,17 @@ SQL = {
   SELECT id, asset, k IN (2, 3) AS stable, k IN (4, 6) AS spam FROM n""",
     "income_rows": _L + f" SELECT id, asset, source, transaction_type, timestamp::date AS day, {_YEAR} AS tax_year, amount, (round(fiat::decimal(24,6) * gbp, 2) * 100)::hugeint / 100.0::double AS income FROM ledger WHERE transaction_type IN ('AIRDROP', 'STAKING')",
     "income_by_asset": _L + f" SELECT asset, count(*) AS n_rows, sum(amount) AS quantity, sum((round(fiat::decimal(24,6) * gbp, 2) * 100)::hugeint) FILTER (transaction_type = 'STAKING') / 100.0::double AS staking, sum((round(fiat::decimal(24,6) * gbp, 2) * 100)::hugeint) FILTER (transaction_type = 'AIRDROP') / 100.0::double AS airdrops FROM ledger WHERE transaction_type IN ('AIRDROP', 'STAKING') GROUP BY 1",
+    "inferred_burns": _L
+    + """, x AS (SELECT *, CASE WHEN kind IS NULL THEN CASE WHEN transaction_type = 'TRANSFER' THEN dir WHEN transaction_type = 'SELL' THEN 'OUT' WHEN transaction_type = 'BUY' THEN 'IN' END END AS way FROM ledger),
+  g AS (SELECT gid, gid::bigint AS n, CASE WHEN count(*) FILTER (way = 'IN') = 0 AND count(*) FILTER (way = 'OUT') >= 2 THEN 'lp_add' WHEN count(*) FILTER (way = 'OUT') = 0 AND count(*) FILTER (way = 'IN') >= 2 THEN 'lp_remove' END AS ev,
+    round(sum(fiat::decimal(18,2)) FILTER (way IS NOT NULL), 2)::double AS total, min(timestamp) FILTER (way IS NOT NULL) AS first_at FROM x GROUP BY 1),
+  sold AS (SELECT 'LP:' || (n % 50) AS asset, 2 * count(*) AS sold FROM g WHERE ev = 'lp_remove' AND n % 7 = 0 GROUP BY 1),
+  lots AS (SELECT 'lp-acquire-' || gid AS id, 'LP:' || (n % 50) AS asset, first_at, 1 + n % 3 AS amount FROM g WHERE ev = 'lp_add'),
+  held AS (SELECT l.*, least(amount, greatest(0, sum(amount) OVER (PARTITION BY l.asset ORDER BY first_at, id) - coalesce(sold, 0))) AS rest FROM lots l LEFT JOIN sold ON sold.asset = l.asset),
+  ranked AS (SELECT *, row_number() OVER (ORDER BY first_at, id) AS k, count(*) OVER () AS n FROM held WHERE rest > 0),
+  ends AS (SELECT asset, max(k) AS k FROM ranked GROUP BY 1),
+  r AS (SELECT gid, first_at, total, row_number() OVER (ORDER BY first_at, gid) AS k FROM g WHERE ev = 'lp_remove' AND n % 7 <> 0)
+  SELECT 'lp-dispose-' || r.gid AS id, l.asset, r.first_at AS timestamp, l.rest::double AS amount, r.total AS value, 'The burn of a pool share is missing: closes the oldest open one, ' || l.asset || '.'
+    || CASE WHEN l.n - l.k >= 1 THEN ' ' || (l.n - l.k + 1) || ' shares of ' || (SELECT count(*) FROM ends WHERE ends.k >= l.k) || ' assets were open, please verify.' ELSE '' END AS note
+  FROM r JOIN ranked l USING (k)""",
 }

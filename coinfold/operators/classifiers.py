@@ -132,7 +132,7 @@ def liquidity_for_tax(ledger: DataFrame, policy: str = "cgt_disposal", share_min
     """Groups that put two assets and more into a pool dispose of them for a pool share, those that take them out do the reverse.
 
     A share leg is one of `share_mints`; one share leg and one other leg are enough. A group without a share leg in gets a synthetic share
-    LP:<group>, amount 1, worth what went in. What burns a share without a share leg is worked out by `inferred_burns`.
+    LP:<group>, amount 1, worth what went in. `liquidity.inferred_burns` then adds the sales of shares that have no leg.
     """
     if policy != "cgt_disposal":
         return ledger

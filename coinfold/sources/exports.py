@@ -230,4 +230,23 @@ def parse_drift(trades: DataFrame, wallet: str) -> DataFrame:
     return conform(out.where("transaction_type is not null"))
 
 
+def parse_drift_funding(payments: DataFrame, markets: DataFrame | None = None) -> DataFrame:
+    """Funding in 1e6 of the quote coin as fees whose result is the payment. markets: marketIndex, symbol; a market it lacks is named by its number."""
+    c = lambda n: F.col(n).cast("string") if n in payments.columns else F.lit(None).cast("string")
+    paid, ts = number(c("fundingPayment")) / 1e6, c("ts").try_cast("bigint")
+    market, sig = F.coalesce(c("marketIndex").try_cast("bigint"), F.lit(0)), F.nullif(F.trim(c("txSig")), F.lit(""))
+    symbol = F.lit(None).cast("string")
+    x = payments.withColumn("_market", market)
+    if markets is not None:
+        known = markets.select(F.col("marketIndex").cast("string").try_cast("bigint").alias("_market"), F.upper(F.trim(F.col("symbol"))).alias("_symbol")).where("_symbol <> ''")
+        x, symbol = x.join(known.groupBy("_market").agg(F.min("_symbol").alias("_symbol")), "_market", "left"), F.col("_symbol")
+    asset = F.coalesce(F.regexp_replace(symbol, "-PERP$", ""), F.concat(F.lit("MARKET-"), "_market"))
+    out = x.select(
+        F.coalesce(F.concat(F.lit("drift-funding-"), sig, F.lit("-"), F.coalesce(c("txSigIndex"), F.lit("0"))), F.concat_ws("-", F.lit("drift-funding"), ts, "_market")).alias("id"), F.timestamp_seconds(ts).alias("timestamp"), asset.alias("asset"), F.lit("FEE").alias("transaction_type"),
+        F.lit(0.0).alias("amount"), F.lit(0.0).alias("fiat_value_at_trigger"), F.round(F.abs(paid), 8).alias("fee_fiat"), F.lit("USDC").alias("fiat_currency"), F.lit("USDC").alias("counter_asset"), F.lit("drift").alias("source"), F.lit("perp").alias("instrument_kind"),
+        F.lit("funding").alias("venue_order_type"), sig.alias("on_chain_tx_id"), F.round(paid, 8).alias("realized_pnl"),
+    ).where((paid != 0) & (ts > 0))
+    return conform(out.dropDuplicates(["id"]))
+
+
 PARSERS = {"generic": parse_generic, "kraken": parse_kraken, "exchange_ledger": parse_exchange_ledger, "woox": parse_woox, "variational": parse_variational}
