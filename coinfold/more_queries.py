@@ -11,6 +11,7 @@ from .operators import duplicates as D
 from .operators import enrichment as E
 from .operators import ledger_ops as L
 from .operators import liquidity as Q
+from .operators import receipts as R
 from .operators import views as W
 from .plans import us_lots as US
 from .sources.testdata import LEDGER_SQL, ledger_from_tpch, prices_from_tpch, rates_from_tpch
@@ -136,8 +137,15 @@ def _burns(x: DataFrame) -> DataFrame:
     return z.select("id", "asset", "timestamp", "amount", F.col("fiat_value_at_trigger").alias("value"), F.col("normalization_note").alias("note"))
 
 
+def _receipts(x: DataFrame) -> DataFrame:
+    """The view on one chain with ids in which two of three rows agree."""
+    k = F.pmod("seq", F.lit(3))
+    return _fewer(x).withColumns({"source": F.lit("solana"), "on_chain_tx_id": F.when(k > 0, k.cast("string"))})
+
+
 VENUES = ("V1", "V2", "V3", "V4", "V5")
 ODD = tuple(f"P{i}" for i in range(1, 2000, 2))
+EVEN = tuple(f"P{i}" for i in range(0, 40, 2))
 DAYS = 3 * 86400
 QUERIES = {
     "fee_values": _values(lambda x, d, s: E.fee_values(x, d, s)),
@@ -176,6 +184,9 @@ QUERIES = {
     "income_rows": _income,
     "income_by_asset": _by_asset,
     "inferred_burns": _on(_burns),
+    "sale_inflows": _on(lambda x: R.sale_inflows(_receipts(x), ODD, seconds=DAYS)),
+    "unstake_receipts": _on(lambda x: R.unstake_receipts(_receipts(x), ("P1", "P3", "P5"), ("P0", "P2"), seconds=DAYS)),
+    "native_legs": _on(lambda x: R.native_legs(_receipts(x).withColumn("fiat_value_at_trigger", F.col("fiat_value_at_trigger") / 1000), ODD, EVEN).where("transaction_type in ('FEE', 'BUY')").select("id", "transaction_type", "counter_asset")),
 }
 
 _L = "WITH" + LEDGER_SQL
@@ -205,6 +216,7 @@ _PRICED = _P + """, n AS (SELECT DISTINCT asset, substr(asset, 2)::int AS n FROM
 _STAKES = """, keep AS (SELECT gid FROM mixed GROUP BY 1 HAVING bool_or(transaction_type = 'STAKING') AND bool_or(transaction_type = 'TRANSFER' AND dir = 'IN')),
   ex AS (SELECT * FROM mixed WHERE source IN ('V1', 'V2', 'V3', 'V4', 'V5'))"""
 _ECHO = "SELECT o.id FROM ex o JOIN {} s ON o.transaction_type = 'TRANSFER' AND o.dir = 'OUT' AND s.transaction_type = 'STAKING' AND o.asset = s.asset AND o.source = s.source AND epoch(o.timestamp) - epoch(s.timestamp) BETWEEN 0 AND 777600 AND abs(o.amount - s.amount) <= greatest(o.amount, s.amount) * 0.02::double"
+_AGREE = "(o.seq % 3 = 0 OR i.seq % 3 = 0 OR o.seq % 3 = i.seq % 3)"
 SQL = {
     "fee_values": _value_sql("transaction_type = 'FEE' AND fiat < 0.01", "coalesce(daily, spot)", 0.01, "coalesce(ccy, 'USD')"),
     "income_values": _value_sql("transaction_type IN ('AIRDROP', 'STAKING') AND fiat <= 0.5", "coalesce(daily, CASE WHEN spot < 1500 THEN spot END)", 0.51),
@@ -260,4 +272,10 @@ SQL = {
   SELECT 'lp-dispose-' || r.gid AS id, l.asset, r.first_at AS timestamp, l.rest::double AS amount, r.total AS value, 'The burn of a pool share is missing: closes the oldest open one, ' || l.asset || '.'
     || CASE WHEN l.n - l.k >= 1 THEN ' ' || (l.n - l.k + 1) || ' shares of ' || (SELECT count(*) FROM ends WHERE ends.k >= l.k) || ' assets were open, please verify.' ELSE '' END AS note
   FROM r JOIN ranked l USING (k)""",
+    "native_legs": _F
+    + """, x AS (SELECT *, fiat / 1000 AS v, substr(asset, 2)::int % 2 = 1 AS receipt FROM ledger),
+  g AS (SELECT gid, max(struct_pack(v := v, coin := asset)) FILTER (transaction_type = 'SELL' AND receipt) AS top, bool_or(transaction_type = 'BUY' AND NOT receipt) AS buys FROM x GROUP BY 1),
+  s AS (SELECT x.*, top, buys, v <= 15 AND v <= (top).v * 0.08::double AS dust FROM x JOIN g USING (gid) WHERE top IS NOT NULL AND transaction_type = 'SELL' AND NOT receipt),
+  f AS (SELECT arg_min(id, (timestamp, seq)) AS id, any_value((top).coin) AS coin FROM s WHERE NOT dust AND NOT buys GROUP BY gid)
+  SELECT id, 'FEE' AS transaction_type, NULL::varchar AS counter_asset FROM s WHERE dust UNION ALL SELECT id, 'BUY', coin FROM f UNION ALL SELECT id, transaction_type, NULL FROM ledger WHERE transaction_type IN ('FEE', 'BUY')""",
 }

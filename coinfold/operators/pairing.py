@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,21 +37,48 @@ def transfer_candidates(ledger: DataFrame, window_hours: float = 48) -> DataFram
     return out.join(into, ["asset", "bucket"]).where(ok).select("asset", "out_id", "in_id", "out_at", "in_at", score.alias("score"))
 
 
-def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
-    used: set[str] = set()
-    rows = []
-    for (_, out_id), g in pdf.sort_values(["out_at", "out_id", "score", "in_id"], kind="stable").groupby(["out_at", "out_id"], sort=True):
-        for r in g.itertuples(index=False):
-            if r.in_id not in used:
-                used.add(r.in_id)
-                rows.append((r.asset, out_id, r.in_id, "pair-" + out_id))
-                break
-    return pd.DataFrame(rows, columns=["asset", "out_id", "in_id", "pair_id"])
+def _walk(keys: list[str], seconds: float | None):
+    """Walks candidates in order of their key, leg out and score, and keeps of an asset only the legs in that a later leg out can still meet."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = out = None
+        used: set[str] = set()
+        ages: list[tuple[float, str]] = []
+        done = False
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                now = tuple(getattr(r, k) for k in keys)
+                if now != key:
+                    key, out, used, ages = now, None, set(), []
+                if (r.out_at, r.out_id) != out:
+                    out, done = (r.out_at, r.out_id), False
+                    while seconds is not None and ages and ages[0][0] < r.out_at - seconds:
+                        used.discard(heapq.heappop(ages)[1])
+                if not done and r.in_id not in used:
+                    done = True
+                    used.add(r.in_id)
+                    heapq.heappush(ages, (r.in_at, r.in_id))
+                    rows.append((r.asset, r.out_id, r.in_id, "pair-" + r.out_id))
+            yield pd.DataFrame(rows, columns=["asset", "out_id", "in_id", "pair_id"])
+
+    return run
+
+
+def assigned(candidates: DataFrame, *keys: str, seconds: float | None = None) -> DataFrame:
+    """(asset, out_id, in_id, pair_id): within each key, each leg out, in order of time, takes the unused leg in of least score.
+
+    Spark sorts the candidates (asset, out_id, in_id, out_at, in_at, score) and a task walks them once, batch by batch, so a key with a third of all
+    candidates takes long but no memory. `seconds` bounds how far the legs of a candidate lie apart.
+    """
+    names = [*dict.fromkeys([*keys, "asset", "out_id", "in_id", "out_at", "in_at", "score"])]
+    x = candidates.select(*names).repartition(*keys).sortWithinPartitions(*keys, "out_at", "out_id", "score", "in_id")
+    return x.mapInPandas(_walk(list(keys), seconds), "asset string, out_id string, in_id string, pair_id string")
 
 
 def transfer_pairs(ledger: DataFrame, window_hours: float = 48) -> DataFrame:
     """Each leg out, in order of time, takes the unused leg in of best score. Candidates never cross assets, so assets are apart."""
-    return transfer_candidates(ledger, window_hours).groupBy("asset").applyInPandas(_assign, "asset string, out_id string, in_id string, pair_id string")
+    return assigned(transfer_candidates(ledger, window_hours), "asset", seconds=window_hours * HOURS)
 
 
 def _legs(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,10 +96,9 @@ def _fits() -> F.Column:
     return (F.col("in_amount") <= F.col("out_amount") * 1.0005) & (fee <= F.greatest(F.col("out_amount") * 0.01, F.lit(1e-8))) & (fee <= F.col("out_amount") * 0.02)
 
 
-def _scored(c: DataFrame, *keys: str) -> DataFrame:
+def _scored(c: DataFrame, key: str, seconds: float | None = None) -> DataFrame:
     score = F.abs(F.col("out_amount") - F.col("in_amount")) * 1e6 + F.abs(F.col("in_at") - F.col("out_at"))
-    c = c.where(_fits()).select("asset", *keys, "out_id", "in_id", "out_at", "in_at", score.alias("score"))
-    return c.groupBy("asset", *keys).applyInPandas(_assign, "asset string, out_id string, in_id string, pair_id string")
+    return assigned(c.where(_fits()).withColumn("score", score), "asset", key, seconds=seconds)
 
 
 def on_chain_pairs(ledger: DataFrame) -> DataFrame:
@@ -87,7 +116,7 @@ def earn_pairs(ledger: DataFrame, days: float = EARN_DAYS) -> DataFrame:
     into = into.where(F.lower("in_id").contains(EARN_IN)).withColumn("bucket", F.explode(F.array(b - 1, b))).withColumnsRenamed({"asset": "in_asset", "bucket": "in_bucket"})
     same = (F.col("asset") == F.col("in_asset")) & (F.col("bucket") == F.col("in_bucket")) & F.col("out_source").eqNullSafe(F.col("in_source"))
     wait = F.col("in_at") - F.col("out_at")
-    return _scored(out.join(into, same).where((wait >= 0) & (wait <= size)), "out_source")
+    return _scored(out.join(into, same).where((wait >= 0) & (wait <= size)), "out_source", size)
 
 
 def internal_transfers(ledger: DataFrame, window_hours: float = 48) -> DataFrame:
@@ -127,7 +156,7 @@ def mistyped_transfers(ledger: DataFrame, minutes: float = 5, tolerance: float =
     into = x.where("transaction_type = 'BUY'").select("asset", F.col("id").alias("in_id"), F.col("source").alias("s2"), F.col("at").alias("in_at"), F.col("amount").alias("a2"), F.explode(F.array(*[F.floor(F.col("at") / size) + i for i in (-1, 0, 1)])).alias("bucket"))
     ok = (F.col("s1") != F.col("s2")) & (F.abs(F.col("a1") - F.col("a2")) <= F.greatest("a1", "a2") * tolerance) & (F.abs(F.col("in_at") - F.col("out_at")) <= size)
     c = out.join(into, ["asset", "bucket"]).where(ok).select("asset", "out_id", "in_id", "out_at", "in_at", F.col("in_at").alias("score"))
-    return c.groupBy("asset").applyInPandas(_assign, "asset string, out_id string, in_id string, pair_id string")
+    return assigned(c, "asset", seconds=size)
 
 
 def as_transfers(ledger: DataFrame, pairs: DataFrame) -> DataFrame:

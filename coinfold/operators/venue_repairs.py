@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .pairing import _assign
+from .pairing import assigned
 
 VENUE = "kraken"
 MICRO_FEE = 0.0025
@@ -109,7 +109,7 @@ def receive_sale_pairs(ledger: DataFrame, venue: str = VENUE, days: float = 7, t
     sale = x.where("transaction_type = 'SELL'").select("asset", F.col("id").alias("in_id"), F.col("at").alias("in_at"), F.col("amount").alias("a2"), F.floor(F.col("at") / size).alias("bucket"))
     near = (F.col("in_at") >= F.col("out_at")) & (F.col("in_at") - F.col("out_at") <= size) & (F.abs(F.col("a1") - F.col("a2")) <= F.greatest("a1", "a2", F.lit(1e-9)) * tolerance)
     c = into.join(sale, ["asset", "bucket"]).where(near).select("asset", "out_id", "in_id", "out_at", "in_at", (F.col("in_at") - F.col("out_at")).alias("score"))
-    return c.groupBy("asset").applyInPandas(_assign, "asset string, out_id string, in_id string, pair_id string")
+    return assigned(c, "asset", seconds=size)
 
 
 def receive_before_sale(ledger: DataFrame, **kw) -> DataFrame:

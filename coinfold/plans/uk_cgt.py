@@ -14,7 +14,7 @@ from ..functions import scalars as S
 from ..operators.ledger_ops import with_rate
 
 ROWS = (
-    "asset string, row_kind string, match_type string, day date, disposal_id string, quantity decimal(38,12), proceeds decimal(38,12), cost decimal(38,12), acquisition_id string, pool_quantity decimal(38,12), pool_cost decimal(38,12)"
+    "asset string, row_kind string, match_type string, day date, disposal_id string, quantity decimal(38,12), proceeds decimal(38,12), cost decimal(38,12), acquisition_id string, pool_quantity decimal(38,12), pool_cost decimal(38,12), first_day date"
 )
 
 
@@ -59,7 +59,7 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
         q = min(d["left"], a["left"])
         d["left"] -= q
         a["left"] -= q
-        rows.append((asset, "match", kind, d["day"], d["id"], q, d["value"] * q / d["q"], a["value"] * q / a["q"], a["id"], None, None))
+        rows.append((asset, "match", kind, d["day"], d["id"], q, d["value"] * q / d["q"], a["value"] * q / a["q"], a["id"], None, None, None))
 
     waiting: deque = deque()
     for day in sorted(days):
@@ -77,23 +77,25 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
         if d and d["left"] > eps:
             waiting.append(d)
     quantity = cost = Decimal(0)
+    first = None  # the earliest day whose purchase entered the pool
     for day in sorted(days):
         a, d = days[day].get("A"), days[day].get("D")
         if a and a["left"] > eps:
+            first = first or day
             quantity += a["left"]
             cost += a["value"] * a["left"] / a["q"]
         if d and d["left"] > eps:
             q = min(d["left"], quantity)
             if q > eps:
                 c = cost * q / quantity
-                rows.append((asset, "match", "section_104", day, d["id"], q, d["value"] * q / d["q"], c, None, None, None))
+                rows.append((asset, "match", "section_104", day, d["id"], q, d["value"] * q / d["q"], c, None, None, None, None))
                 quantity, cost = quantity - q, cost - c
                 if quantity <= eps:
                     quantity = cost = Decimal(0)
             if (rest := d["left"] - max(q, Decimal(0))) > eps:
-                rows.append((asset, "match", "unmatched", day, d["id"], rest, d["value"] * rest / d["q"], Decimal(0), None, None, None))
+                rows.append((asset, "match", "unmatched", day, d["id"], rest, d["value"] * rest / d["q"], Decimal(0), None, None, None, None))
     if quantity > eps:
-        rows.append((asset, "pool", None, None, None, None, None, None, None, quantity, cost))
+        rows.append((asset, "pool", None, None, None, None, None, None, None, quantity, cost, first))
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")])
     for c in ("quantity", "proceeds", "cost", "pool_quantity", "pool_cost"):
         out[c] = out[c].map(lambda x: None if x is None or x != x else round(x, 12))
@@ -128,3 +130,8 @@ def cgt_by_year(rows: DataFrame) -> DataFrame:
 
 def pools(engine: DataFrame) -> DataFrame:
     return engine.where("row_kind = 'pool'").select("asset", F.round("pool_quantity", 8).cast("double").alias("quantity"), F.round("pool_cost", 2).cast("double").alias("cost"))
+
+
+def pool_details(engine: DataFrame) -> DataFrame:
+    """Open pools with the earliest day whose purchase entered the pool, after matches of the same day and of 30 days."""
+    return pools(engine).join(engine.where("row_kind = 'pool'").select("asset", F.col("first_day").alias("earliest_acquisition")), "asset")

@@ -431,4 +431,6 @@ _SCORED = ", c AS (SELECT {key} AS asset, o.asset AS coin, o.at AS out_at, {mark
 _COIN = " JOIN (SELECT DISTINCT asset, coin FROM c) k ON k.asset = r.asset"
 _PAIRED = _GREEDY.replace("SELECT asset, out_id, pick AS in_id", "SELECT coin AS asset, out_id, pick AS in_id").replace("FROM r WHERE pick", f"FROM r{_COIN} WHERE pick")
 SQL["on_chain_pairs"] = _recursive(_LEGS) + _SCORED.format(key="o.asset || '/' || (o.seq % 60)", mark_o="''", mark_i="''", on="o.seq % 60 = i.seq % 60") + _PAIRED
+SQL["sale_inflows"] = _recursive(more._F) + f", t AS (SELECT *, epoch(timestamp) AS at FROM ledger), c AS (SELECT o.asset, o.at AS out_at, o.id AS out_id, i.id AS in_id, i.at AS score FROM t o JOIN t i ON o.asset = i.asset AND o.transaction_type = 'SELL' AND i.dir = 'IN' AND substr(o.asset, 2)::int % 2 = 1 AND o.amount = i.amount AND o.at - i.at BETWEEN 0 AND 259200 AND {more._AGREE})" + _GREEDY
+SQL["unstake_receipts"] = _recursive(more._F) + f", t AS (SELECT *, epoch(timestamp) AS at FROM ledger), b AS (SELECT gid FROM t WHERE transaction_type = 'BUY' AND asset IN ('P0', 'P2')), c AS (SELECT 'P0' AS asset, o.at AS out_at, o.id AS out_id, i.id AS in_id, i.at - o.at AS score FROM t o JOIN t i ON o.transaction_type = 'SELL' AND i.dir = 'IN' AND o.asset IN ('P1', 'P3', 'P5') AND i.asset IN ('P0', 'P2') AND i.at - o.at BETWEEN 0 AND 259200 AND {more._AGREE} WHERE o.gid NOT IN (FROM b))" + _GREEDY
 SQL["earn_pairs"] = _recursive(_LEGS) + _SCORED.format(key="o.asset || '/' || o.source", mark_o="'crypto_earn_program_created-'", mark_i="'crypto_earn_program_withdrawn-'", on="o.source = i.source AND i.at - o.at BETWEEN 0 AND 3456000") + _PAIRED
