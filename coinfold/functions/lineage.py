@@ -37,6 +37,14 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Deletes a table that `stored` gave, when no plan reads it any more."""
+    for f in df.inputFiles()[:1]:
+        jvm = df.sparkSession.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Nudges the driver's collectors, so that Spark's cleaner drops the shuffle files of plans that were cut and are of no more use."""
     gc.collect()
