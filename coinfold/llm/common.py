@@ -10,11 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import checkpoint_dir, stored, sweep
+from ..functions.lineage import checkpoint_dir, drop_stored, stored, sweep
 from ..functions.lineage import cut as _cut
 from ..functions.spread import attach, give, running
 
-__all__ = ["attach", "checkpoint_dir", "connected_components", "cut", "give", "held_out", "labelled_sample", "partitions", "running", "slices", "stored", "table", "unused"]
+__all__ = ["attach", "checkpoint_dir", "connected_components", "cut", "drop_stored", "give", "held_out", "labelled_sample", "partitions", "running", "slices", "stored", "table", "unused"]
 
 
 EDGES_A_TASK = 5000

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_hnsw, op2_decontaminate, op3_minhash, op4_quality, op5_packing, op6_toxicity, op7_mixing, op8_pii, op9_repeats, op10_chat, op13_filter_audit
+from . import op1_hnsw, op2_decontaminate, op3_minhash, op4_quality, op5_packing, op6_toxicity, op7_mixing, op8_pii, op9_repeats, op10_chat, op11_lloyd, op13_filter_audit
 
 QUERIES = {
     "op1_embedding_dedup": op1_hnsw.op1_embedding_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": op8_pii.op8_pii,
     "op9_repeats": op9_repeats.op9_repeats,
     "op10_chat": op10_chat.op10_chat,
+    "op11_lloyd": op11_lloyd.op11_lloyd,
     "op13_filter_audit": op13_filter_audit.op13_filter_audit,
 }
 SQL = {
@@ -23,5 +24,6 @@ SQL = {
     "op3_minhash_dedup": op3_minhash.SQL,
     "op7_mixing": op7_mixing.SQL,
     "op10_chat": op10_chat.SQL,
+    "op11_lloyd": op11_lloyd.SQL,
     "op13_filter_audit": op13_filter_audit.SQL,
 }
