@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_hnsw, op2_decontaminate, op3_minhash, op4_quality, op5_packing, op6_toxicity, op7_mixing, op8_pii, op9_repeats, op10_chat, op11_lloyd, op13_filter_audit
+from . import op1_hnsw, op2_decontaminate, op3_minhash, op4_quality, op5_packing, op6_toxicity, op7_mixing, op8_pii, op9_repeats, op10_chat, op11_lloyd, op12_secrets, op13_filter_audit
 
 QUERIES = {
     "op1_embedding_dedup": op1_hnsw.op1_embedding_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_repeats": op9_repeats.op9_repeats,
     "op10_chat": op10_chat.op10_chat,
     "op11_lloyd": op11_lloyd.op11_lloyd,
+    "op12_secrets": op12_secrets.op12_secrets,
     "op13_filter_audit": op13_filter_audit.op13_filter_audit,
 }
 SQL = {
