@@ -51,3 +51,14 @@ def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     x = x.join(F.broadcast(base), "__part")
     return x.withColumns({n: F.col(f"__{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}).drop("__part", *[f"__{n}" for n in sums])
+
+
+#: A table of at most so many rows is a lookup that every task can hold.
+LOOKUP_ROWS = 200_000
+
+
+def look_up(df: DataFrame, lookup: DataFrame, on: Column | str | list[str], how: str = "left") -> DataFrame:
+    """`df` joined with a table of one row a key: by a broadcast if the table's counted rows are few, else dealt by key, where Spark splits
+    hot keys at run time. `lookup` is read twice: cut it if it is dear."""
+    few = lookup.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
+    return df.join(F.broadcast(lookup) if few else lookup, on, how)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chain_queries as chain
 from . import more_queries as more
 from .operators import classifiers as C
 from .operators import ledger_ops as L
@@ -344,8 +345,8 @@ SQL = {
   r AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY price, liq) AS r, count(*) OVER (PARTITION BY asset) AS n FROM p), m AS (SELECT asset, max(price) FILTER (r = n // 2 + 1) AS mid FROM r GROUP BY 1)
   SELECT asset, count(*) AS n_pairs, sum(price::decimal(18,6) * liq::decimal(18,2))::double / sum(liq::decimal(18,2))::double AS price FROM r JOIN m USING (asset) WHERE price BETWEEN mid / 5 AND mid * 5 GROUP BY 1""",
 }
-QUERIES |= more.QUERIES
-SQL |= more.SQL
+QUERIES |= more.QUERIES | chain.QUERIES
+SQL |= more.SQL | chain.SQL
 SQL["realized_by_gain"] = _LOT_SQL + "SELECT asset, (sum(p) - sum(c)) / 100.0::double AS realized_pnl FROM m GROUP BY 1 ORDER BY abs(sum(p) - sum(c)) DESC, asset LIMIT 25"
 SQL["holdings"] = _LOT_SQL + "SELECT count(*) AS n, sum(c) / 100.0::double AS invested, sum(v) / 100.0::double AS market_value, (sum(v) - sum(c)) / 100.0::double AS gain, round((sum(v) - sum(c)) * 10000.0::double / sum(c)) / 100 AS gain_percent FROM pos"
 SQL["ordered_overlaps"] = SQL["import_overlaps"].replace("SELECT x.source, x.import_id", "SELECT CASE WHEN shared > 0 THEN 'duplicate' ELSE 'dates' END AS kind, x.source, x.import_id")
