@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -34,7 +34,7 @@ SLICE_HOT = 8
 GROUP_HOT = 4096
 HELD = 1 << 19
 POSITION_BITS = 31
-STRETCH = "id long, s int, e int, h1 long, kind int"
+STRETCH = "id long, c int, s int, e int, h1 long, kind int"
 REMOVED, COLD, HOT = 0, 1, 2
 
 
@@ -71,9 +71,9 @@ def stretches(buf: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray,
     return s, e, doc[first], y[a], K.mix(K.span_hash(h, s, e + depth) + (a - s).astype(U))
 
 
-def _later(keys: tuple[np.ndarray, ...], ident: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by keys, then id and start; for each in that order whether its group has an earlier member, and where groups begin."""
-    o = np.lexsort((at, ident, *reversed(keys)))
+def _later(keys: tuple[np.ndarray, ...], ident: np.ndarray, at: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by keys, then id, start and text of the id; for each in that order whether its group has an earlier member, and where groups begin."""
+    o = np.lexsort((*(() if c is None else (c,)), at, ident, *reversed(keys)))
     new = np.ones(len(o), bool)
     if len(o):
         new[1:] = np.any([k[o][1:] != k[o][:-1] for k in keys], axis=0)
@@ -82,7 +82,14 @@ def _later(keys: tuple[np.ndarray, ...], ident: np.ndarray, at: np.ndarray) -> t
     return o, later, new
 
 
-COLUMNS = (("h1", U), ("sh", U), ("id", np.int64), ("s", np.int32), ("n", np.int32))
+def _same(c: np.ndarray, later: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """In the order of `_later`, rows that repeat the one before: the same text of an id, the same start."""
+    out = ~later & ~new
+    out[1:] &= c[1:] == c[:-1]
+    return out
+
+
+COLUMNS = (("h1", U), ("sh", U), ("id", np.int64), ("s", np.int32), ("n", np.int32), ("c", np.int32))
 
 
 def _packed(kind: int, bucket: np.ndarray, cols: tuple[np.ndarray, ...], extra: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, int, bytes]]:
@@ -121,8 +128,8 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(x, pa.binary())], ["kind", "bucket", "blob"])
 
 
-def _ids(x: pa.RecordBatch) -> np.ndarray:
-    return x.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+def _ids(x: pa.RecordBatch, name: str = "id") -> np.ndarray:
+    return x.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class _Collapsed:
@@ -146,10 +153,10 @@ class _Collapsed:
         if not self.parts:
             return []
         cols = tuple(np.concatenate(c) for c in zip(*self.parts, strict=True))
-        o, later, new = _later(tuple(cols[k] for k in self.keys), cols[2], cols[3])
+        o, later, new = _later(tuple(cols[k] for k in self.keys), cols[2], cols[3], cols[5])
         gone = o[later]
-        out = list(_removed(cols[2][gone], cols[3][gone], cols[4][gone], self.nb))
-        o = o[~later & new]  # an equal row of the same id and start is the same occurrence
+        out = list(_removed(cols[2][gone], cols[3][gone], cols[4][gone], cols[5][gone], self.nb))
+        o = o[~later & ~_same(cols[5][o], later, new)]  # an equal row of the same text and start is the same occurrence
         cols = tuple(c[o] for c in cols)
         self.parts, self.n = [cols], len(o)
         if last or len(o) > self.held:
@@ -158,9 +165,9 @@ class _Collapsed:
         return out
 
 
-def _removed(ident: np.ndarray, s: np.ndarray, n: np.ndarray, nb: int) -> Iterator[tuple[int, int, bytes]]:
+def _removed(ident: np.ndarray, s: np.ndarray, n: np.ndarray, c: np.ndarray, nb: int) -> Iterator[tuple[int, int, bytes]]:
     zero = np.zeros(len(ident), U)
-    return _packed(REMOVED, (ident % nb).astype(np.int64), (zero, zero, ident, s, n))
+    return _packed(REMOVED, (ident % nb).astype(np.int64), (zero, zero, ident, s, n, c))
 
 
 def _anchors(depth: int, nb: int, slice_hot: int, held: int):
@@ -170,25 +177,25 @@ def _anchors(depth: int, nb: int, slice_hot: int, held: int):
         for x in slices(batches, "text", 2 << 20):
             buf, off = K.flat(x.column("text"))
             s, e, doc, h1, sh = stretches(buf, off, depth)
-            ident, n = _ids(x)[doc], e - s
+            ident, c, n = _ids(x)[doc], _ids(x, "c")[doc], e - s
             s = s - off[doc]
             o, later, _ = _later((sh,), ident, s)
             out = []
             gone = o[later]
-            out += _removed(ident[gone], s[gone], n[gone], nb)
+            out += _removed(ident[gone], s[gone], n[gone], c[gone], nb)
             o = o[~later]
-            h1, sh, ident, s, n = h1[o], sh[o], ident[o], s[o], n[o]
+            h1, sh, ident, s, n, c = h1[o], sh[o], ident[o], s[o], n[o], c[o]
             _, inv, count = np.unique(h1, return_inverse=True, return_counts=True)
             hot = count[inv] > slice_hot
-            out += _packed(COLD, (h1[~hot] % U(nb)).astype(np.int64), tuple(c[~hot] for c in (h1, sh, ident, s, n)))
-            out += hold.add(*(c[hot] for c in (h1, sh, ident, s, n)))
+            out += _packed(COLD, (h1[~hot] % U(nb)).astype(np.int64), tuple(v[~hot] for v in (h1, sh, ident, s, n, c)))
+            out += hold.add(*(v[hot] for v in (h1, sh, ident, s, n, c)))
             # A mark tells the anchor's bucket, once in a task, that it is hot: a row of length -1.
             marks = np.array([m for m in np.unique(h1[hot]).tolist() if m not in told], U)
             told.update(marks.tolist())
             if len(told) > held:
                 told.clear()
             zero = np.zeros(len(marks), np.int64)
-            out += _packed(COLD, (marks % U(nb)).astype(np.int64), (marks, zero.astype(U), zero, zero, zero - 1))
+            out += _packed(COLD, (marks % U(nb)).astype(np.int64), (marks, zero.astype(U), zero, zero, zero - 1, zero))
             yield _rows(out)
         yield _rows(hold.due(True))
 
@@ -206,22 +213,22 @@ def _first_pass(group_hot: int):
 
 def _dealt(t: pa.Table, group_hot: int) -> pa.Table:
     kind = t.column("kind")[0].as_py()
-    (h1, sh, ident, s, n), _ = _unpacked(t.column("blob").to_pylist())
+    (h1, sh, ident, s, n, c), _ = _unpacked(t.column("blob").to_pylist())
     out = np.full(len(h1), REMOVED)
     if kind != REMOVED:
         mark = n < 0
         marked = np.unique(h1[mark])
-        h1, sh, ident, s, n = (c[~mark] for c in (h1, sh, ident, s, n))
-        o, later, new = _later((h1, sh), ident, s)
-        h1, sh, ident, s, n = (c[o] for c in (h1, sh, ident, s, n))
+        h1, sh, ident, s, n, c = (v[~mark] for v in (h1, sh, ident, s, n, c))
+        o, later, new = _later((h1, sh), ident, s, c)
+        h1, sh, ident, s, n, c = (v[o] for v in (h1, sh, ident, s, n, c))
         _, inv = np.unique(h1, return_inverse=True)
         classes = np.bincount(inv, weights=new)[inv] if len(inv) else np.zeros(0)
         hot = np.isin(h1, marked) | (classes > group_hot) | (kind == HOT)
         out = np.where(later, REMOVED, np.where(hot, HOT, np.where(classes > 1, COLD, -1)))
-        # A repeated row of the same id and start is no other occurrence; it goes with its first row.
-        out[~later & ~new] = -1
+        # A repeated row of the same text and start is no other occurrence; it goes with its first row.
+        out[_same(c, later, new)] = -1
     ok = out >= 0
-    return pa.table({"id": ident[ok], "s": s[ok], "e": (s + n)[ok], "h1": h1[ok].view(np.int64), "kind": out[ok].astype(np.int32)})
+    return pa.table({"id": ident[ok], "c": c[ok].astype(np.int32), "s": s[ok], "e": (s + n)[ok], "h1": h1[ok].view(np.int64), "kind": out[ok].astype(np.int32)})
 
 
 def _windows(depth: int, nb: int, held: int):
@@ -233,22 +240,22 @@ def _windows(depth: int, nb: int, held: int):
             doc = np.repeat(np.arange(x.num_rows), np.diff(lists.offsets.to_numpy()))
             f = lists.flatten()
             s, e, h1, kind = (f.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            ident = _ids(x)[doc]
+            ident, copy = _ids(x)[doc], _ids(x, "c")[doc]
             out = []
             cold = kind == COLD
             b = (h1.view(U) % U(nb)).astype(np.int64)
             begin, end = off[doc] + s, off[doc] + e + depth
             if cold.any():
-                out += _packed(COLD, b[cold], (h1.view(U)[cold], h1.view(U)[cold], ident[cold], s[cold], (e - s)[cold]), (buf, (begin[cold], end[cold])))
+                out += _packed(COLD, b[cold], (h1.view(U)[cold], h1.view(U)[cold], ident[cold], s[cold], (e - s)[cold], copy[cold]), (buf, (begin[cold], end[cold])))
             if (~cold).any():
                 n = (e - s + 1)[~cold].astype(np.int64)
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s[~cold].astype(np.int64), n)
-                who, d = np.repeat(ident[~cold], n), np.repeat(doc[~cold], n)
+                who, d, c = (np.repeat(v[~cold], n) for v in (ident, doc, copy))
                 h = K.prefix(buf)
                 p = off[d] + at
                 one = K.span_hash(h, p, p + depth)
                 two = K.mix(K.span_hash(h, p, p + DIGIT) + K.span_hash(h, p + DIGIT, p + depth) * U(0x9E3779B97F4A7C15))
-                out += hold.add(one, two, who, at, np.zeros(len(one), np.int64))
+                out += hold.add(one, two, who, at, np.zeros(len(one), np.int64), c)
             yield _rows(out)
         yield _rows(hold.due(True))
 
@@ -275,13 +282,13 @@ def _last_passes(depth: int):
     def run(t: pa.Table) -> pa.Table:
         kind = t.column("kind")[0].as_py()
         blobs = t.column("blob").to_pylist()
-        (h1, sh, ident, s, n), rest = _unpacked(blobs)
-        ids, starts = [], []
+        (h1, sh, ident, s, n, c), rest = _unpacked(blobs)
+        found = []
         if kind == REMOVED:
-            ids, starts = [ident], [s]
+            found = [(ident, c, s)]
         elif kind == HOT:
             o, later, _ = _later((h1, sh), ident, s)
-            ids, starts = [ident[o[later]]], [s[o[later]]]
+            found = [tuple(v[o[later]] for v in (ident, c, s))]
         else:
             buf = np.concatenate(rest)
             size = n.astype(np.int64) + depth
@@ -301,23 +308,36 @@ def _last_passes(depth: int):
                 step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 where, key = np.repeat(begin[some], count) + step, np.repeat(h1[some], count)
                 here, group = radix_groups(buf, where, np.unique(key, return_inverse=True)[1], depth)
-                who, at = np.repeat(ident[some], count)[here], (np.repeat(s[some], count) + step)[here]
+                who, copy, at = np.repeat(ident[some], count)[here], np.repeat(c[some], count)[here], (np.repeat(s[some], count) + step)[here]
                 p, later, _ = _later((group,), who, at)
-                ids.append(who[p[later]])
-                starts.append(at[p[later]])
+                found.append(tuple(v[p[later]] for v in (who, copy, at)))
                 a = b
-        who, at = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (ids, starts))
-        o = np.lexsort((at, who))
-        who, at = who[o], at[o]
-        cut = np.flatnonzero((who[1:] != who[:-1]) | (at[1:] > at[:-1] + 1)) if len(who) else who
+        who, copy, at = (np.concatenate([f[i] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64) for i in range(3))
+        o = np.lexsort((at, copy, who))
+        who, copy, at = who[o], copy[o], at[o]
+        cut = np.flatnonzero((who[1:] != who[:-1]) | (copy[1:] != copy[:-1]) | (at[1:] > at[:-1] + 1)) if len(who) else who
         first, last = (np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(who) - 1]])) if len(who) else (who, who)
-        return pa.table({"id": who[first], "s": at[first].astype(np.int32), "e": at[last].astype(np.int32)})
+        return pa.table({"id": who[first], "c": copy[first].astype(np.int32), "s": at[first].astype(np.int32), "e": at[last].astype(np.int32)})
 
     return run
 
 
+def numbered_texts(src: DataFrame) -> DataFrame:
+    """(id, text, c): c tells the different texts of an id apart; 0 where it has one, -1 for null texts.
+
+    The rows of an id are counted by a hash of their texts; a table in which every id has one text, as a rule, is not joined with anything.
+    """
+    mark = F.md5(F.col("text").cast("binary"))
+    many = stored(src.where("id is not null and text is not null").select("id", mark.alias("h")).groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("id"))
+    if many.isEmpty():
+        return src.withColumn("c", F.when(F.col("text").isNull(), -1).otherwise(0))
+    texts = src.where("text is not null").select("id", mark.alias("h")).join(many, "id", "left_semi").distinct()
+    rank = texts.withColumn("c", F.row_number().over(Window.partitionBy("id").orderBy("h")) - 1)
+    return src.withColumn("h", mark).join(rank, ["id", "h"], "left").select("id", "text", F.when(F.col("text").isNull(), -1).otherwise(F.coalesce("c", F.lit(0))).alias("c"))
+
+
 def repeated_runs(docs: DataFrame, depth: int = 100, slice_hot: int = SLICE_HOT, group_hot: int = GROUP_HOT, held: int = HELD) -> DataFrame:
-    """(id, s, e): runs of window starts, in bytes, at which a window begins that also begins earlier. docs: id long, text string.
+    """(id, c, s, e): runs of window starts, in bytes, at which a window begins that also begins earlier. docs: id long, text string, c (`numbered_texts`).
 
     slice_hot: how often an anchor stands in a slice to be hot; group_hot: how many different stretches of an anchor go by whole
     windows; held: how many rows a task holds back to collapse them. They change the way, not the result.
@@ -334,10 +354,10 @@ def repeated_runs(docs: DataFrame, depth: int = 100, slice_hot: int = SLICE_HOT,
 
     blob = "kind int, bucket int, blob binary"
     first = stored(dealt(src.mapInArrow(_anchors(depth, nb, slice_hot, held), blob)).applyInArrow(_first_pass(group_hot), STRETCH))
-    open_ = first.where(f"kind <> {REMOVED}").groupBy("id").agg(F.collect_list(F.struct("s", "e", "h1", "kind")).alias("runs"))
-    rest = src.join(open_, "id").select("id", "text", "runs").mapInArrow(_windows(depth, nb, held), blob)
-    rest = stored(dealt(rest).applyInArrow(_last_passes(depth), "id long, s int, e int"))
-    return first.where(f"kind = {REMOVED}").select("id", "s", "e").unionByName(rest)
+    open_ = first.where(f"kind <> {REMOVED}").groupBy("id", "c").agg(F.collect_list(F.struct("s", "e", "h1", "kind")).alias("runs"))
+    rest = src.join(open_, ["id", "c"]).select("id", "c", "text", "runs").mapInArrow(_windows(depth, nb, held), blob)
+    rest = stored(dealt(rest).applyInArrow(_last_passes(depth), "id long, c int, s int, e int"))
+    return first.where(f"kind = {REMOVED}").select("id", "c", "s", "e").unionByName(rest)
 
 
 def _removal(depth: int, texts: bool):
@@ -379,15 +399,16 @@ def remove_repeats(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", te
     """(id, n_bytes, n_removed, spans, kept_sha256[, kept]): one row per row of `docs`; spans are byte runs removed, end exclusive.
 
     Null and empty texts have n_bytes 0. Rows with a null id lose nothing and are no earlier occurrence. Rows of the same id
-    are one document: they lose the same bytes, and the same start in both is no repetition. `kept` holds the bytes left, which need
+    and text are one document: they lose the same bytes. Other texts of that id are judged for themselves: a string is earlier under a smaller id
+    or at an earlier start, so the same start in two texts of an id is no repetition. `kept` holds the bytes left, which need
     not end between characters. An empty table gives no rows; other columns are ignored whatever their names. `deal`: settings of `repeated_runs`.
     """
     if depth < 2 * ANCHOR:
         raise ValueError(f"depth below {2 * ANCHOR}")
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    runs = repeated_runs(src, depth, **deal).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+    src = numbered_texts(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")))
+    runs = repeated_runs(src, depth, **deal).groupBy("id", "c").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
     schema = "id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string" + ", kept binary" * texts
-    return src.join(runs, "id", "left").select("id", "text", "runs").mapInArrow(_removal(depth, texts), schema)
+    return src.join(runs, ["id", "c"], "left").select("id", "text", "runs").mapInArrow(_removal(depth, texts), schema)
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
