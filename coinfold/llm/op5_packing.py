@@ -1,6 +1,6 @@
 """Token ids packed into rows of fixed length by best-fit decreasing, for training with segment-wise attention.
 
-The vocabulary is sent to the executors with the job. Texts are tokenised where they lie; tasks fill packs of a bounded number of tokens, so nothing is shuffled and memory
+The vocabulary, a file of fixed size, is broadcast. Texts are tokenised where they lie; tasks fill packs of a bounded number of tokens, so nothing is shuffled and memory
 stays bounded. In a pack, documents are split losslessly into chunks of at most the row length, taken in order of decreasing
 length, and each goes to the row of least free room that holds it, found in a segment tree over capacities. A row carries its
 padded token ids as a binary matrix row, cumulative segment lengths, and the positions at which position ids restart.
@@ -9,13 +9,14 @@ padded token ids as a binary matrix row, cumulative segment lengths, and the pos
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,19 +29,19 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 END = 50256  # free in the vocabulary: ends each document
 PACK_TOKENS = 1 << 20
 LONG_RUN = 10_000
-#: Runs on which the split pattern would step back further than its matcher's stack allows.
-_RUNS = re.compile(r"\s{%d}" % LONG_RUN)
+#: Runs on which the split pattern would step back further than its matcher's stack allows; each run is tried once, from its begin.
+_RUNS = re.compile(r"(?<!\s)\s{%d,}+" % LONG_RUN)
 _loaded: dict[str, object] = {}
 
 
-def encoder(path: str):
-    if path not in _loaded:
+def encoder(vocabulary: bytes):
+    key = hashlib.sha256(vocabulary).hexdigest()
+    if key not in _loaded:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _loaded[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _loaded[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        _loaded[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _loaded[key]
 
 
 def encode(enc, text: str) -> list[int]:
@@ -51,20 +52,12 @@ def encode(enc, text: str) -> list[int]:
     ids: list[int] = []
     at = 0
     for m in _RUNS.finditer(text):
-        ids += enc.encode_ordinary(text[at : m.end()])
-        at = m.end()
+        for to in range(m.start() + LONG_RUN, m.end() + 1, LONG_RUN):
+            ids += enc.encode_ordinary(text[at:to])
+            at = to
     return ids + enc.encode_ordinary(text[at:])
 
 
-def _sent(spark: SparkSession, path: str) -> str:
-    """Sends the vocabulary to the executors, once for each application; gives the name it has there."""
-    sc = spark.sparkContext
-    name = os.path.basename(path)
-    if not any(f.endswith(f"/{name}") for f in sc.listFiles):
-        sc.addFile(path)
-    return name
-
-
 class Capacities:
     """A segment tree over capacities 0 to n: how many rows have each free room; finds the least one that is enough."""
 
@@ -121,14 +114,14 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-def _pack(ids: list[np.ndarray], docs: list, capacity: int, pad: int) -> pa.RecordBatch | None:
+def _pack(ids: list[np.ndarray], docs: list, capacity: int, pad: int, key: int) -> pa.RecordBatch | None:
     pieces, owner, offset = [], [], []
-    for d, a in zip(docs, ids, strict=True):
+    for d, a in enumerate(ids):
         for at in range(0, len(a), capacity):
             pieces.append(a[at : at + capacity])
             owner.append(d)
             offset.append(at)
-    cols: dict[str, list] = {k: [] for k in ("token_ids", "cu_seqlens", "resets", "doc_ids", "offsets", "n_tokens")}
+    cols: dict[str, list] = {k: [] for k in ("token_ids", "cu_seqlens", "resets", "doc_ids", "offsets", "n_tokens", "pack", "numbers")}
     for row in best_fit_decreasing([len(p) for p in pieces], capacity):
         out = np.full(capacity, pad, np.uint16)
         ends = np.cumsum([0] + [len(pieces[i]) for i in row])
@@ -137,16 +130,19 @@ def _pack(ids: list[np.ndarray], docs: list, capacity: int, pad: int) -> pa.Reco
         cols["token_ids"].append(out.tobytes())
         cols["cu_seqlens"].append(ends)
         cols["resets"].append(ends[:-1])
-        cols["doc_ids"].append([owner[i] for i in row])
+        cols["doc_ids"].append([docs[owner[i]] for i in row])
+        cols["pack"].append(key)
+        cols["numbers"].append([owner[i] for i in row])
         cols["offsets"].append([offset[i] for i in row])
         cols["n_tokens"].append(int(ends[-1]))
-    kinds = {"token_ids": pa.binary(), "doc_ids": pa.list_(pa.int64()), "n_tokens": pa.int32()}
+    kinds = {"token_ids": pa.binary(), "doc_ids": pa.list_(pa.int64()), "n_tokens": pa.int32(), "pack": pa.int64()}
     return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.list_(pa.int32()))) for k, v in cols.items()], list(cols))
 
 
-def _packer(name: str, capacity: int, end: int, pack_tokens: int):
+def _packer(vocabulary: Broadcast, capacity: int, end: int, pack_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(SparkFiles.get(name))
+        enc = encoder(vocabulary.value)
+        key = TaskContext.get().partitionId() << 32  # the same when a task runs again
         ids: list[np.ndarray] = []
         docs: list = []
         n = 0
@@ -156,10 +152,10 @@ def _packer(name: str, capacity: int, end: int, pack_tokens: int):
                 docs.append(d)
                 n += len(ids[-1])
                 if n >= pack_tokens:
-                    yield _pack(ids, docs, capacity, end)
-                    ids, docs, n = [], [], 0
+                    yield _pack(ids, docs, capacity, end, key)
+                    ids, docs, n, key = [], [], 0, key + 1
         if ids:
-            yield _pack(ids, docs, capacity, end)
+            yield _pack(ids, docs, capacity, end, key)
 
     return run
 
@@ -167,17 +163,19 @@ def _packer(name: str, capacity: int, end: int, pack_tokens: int):
 def pack_tokens(
     docs: DataFrame, seq_len: int = 2048, tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY, pack: int = PACK_TOKENS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(token_ids, cu_seqlens, resets, doc_ids, offsets, n_tokens): one row per matrix row of `seq_len` ids.
+    """(token_ids, cu_seqlens, resets, doc_ids, offsets, n_tokens, pack, numbers): one row per matrix row of `seq_len` ids.
 
     token_ids: little-endian 16-bit ids, padded with the end id. Segment i stands at cu_seqlens[i] to cu_seqlens[i+1], belongs to
     doc_ids[i] and begins at token offsets[i] of it; position ids restart at `resets`. Each document ends with one end id; null
-    and empty texts are that id alone; a null id stays null. Repeated rows are packed each. The first (doc_id, offset) names a
-    row; which documents share a row follows the partitions of the input. An empty table gives no rows; other columns are ignored whatever
+    and empty texts are that id alone; a null id stays null. Repeated rows are packed each: (pack, numbers[i]) names the document that segment i
+    is of, also where ids are null or repeated. Which documents share a row follows the partitions of the input. An empty table gives no rows; other columns are ignored whatever
     their names.
     """
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = "token_ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<bigint>, offsets array<int>, n_tokens int"
-    return src.mapInArrow(_packer(_sent(docs.sparkSession, os.path.join(tokenizer_dir, vocabulary)), seq_len, END, pack), schema)
+    schema = "token_ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<bigint>, offsets array<int>, n_tokens int, pack bigint, numbers array<int>"
+    with open(os.path.join(tokenizer_dir, vocabulary), "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    return src.mapInArrow(_packer(sent, seq_len, END, pack), schema)
 
 
 def position_ids(cu_seqlens: list[int], seq_len: int) -> np.ndarray:
@@ -189,10 +187,11 @@ def position_ids(cu_seqlens: list[int], seq_len: int) -> np.ndarray:
 
 
 def unpack(rows: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, token_ids): the documents put together again from packed rows; rows with a null id are left out."""
-    seg = rows.select("token_ids", F.posexplode(F.arrays_zip("doc_ids", "offsets", "resets", F.slice("cu_seqlens", 2, F.greatest(F.size("cu_seqlens") - 1, F.lit(0))).alias("stops"))).alias("i", "s"))
-    part = seg.select(F.col("s.doc_ids").alias("doc_id"), F.col("s.offsets").alias("offset"), F.expr("substring(token_ids, 2 * s.resets + 1, 2 * (s.stops - s.resets))").alias("ids")).where("doc_id is not null")
-    whole = part.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("offset", F.hex("ids").alias("h")))).alias("p"))
+    """(doc_id, n_tokens, token_ids): the documents put together again from packed rows, one row for each packed document; ids may repeat or be null."""
+    stops = F.slice("cu_seqlens", 2, F.greatest(F.size("cu_seqlens") - 1, F.lit(0))).alias("stops")
+    seg = rows.select("token_ids", "pack", F.explode(F.arrays_zip("doc_ids", "numbers", "offsets", "resets", stops)).alias("s"))
+    part = seg.select("pack", F.col("s.numbers").alias("number"), F.col("s.doc_ids").alias("doc_id"), F.col("s.offsets").alias("offset"), F.expr("substring(token_ids, 2 * s.resets + 1, 2 * (s.stops - s.resets))").alias("ids"))
+    whole = part.groupBy("pack", "number").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("offset", F.hex("ids").alias("h")))).alias("p"))
     ids = F.unhex(F.array_join(F.col("p.h"), ""))
     return whole.select("doc_id", (F.octet_length(ids) / 2).cast("long").alias("n_tokens"), ids.alias("token_ids"))
 
