@@ -29,6 +29,11 @@ def escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<<ROLE:|>>)", r"\\$1")
 
 
+def escaped_role(role: Column) -> Column:
+    """A role inside its control: every ">" is written as backslash and full stop, so none can meet the control's end."""
+    return F.replace(F.regexp_replace(role, r"(\\|\[INST\]|\[/INST\]|<<ROLE:)", r"\\$1"), F.lit(">"), F.lit("\\."))
+
+
 def turn_text(role: Column, text: Column) -> Column:
     """One turn: the loss mask covers what stands between "[/INST] " and "</s>" of an assistant turn."""
     body = escaped(text)
@@ -36,14 +41,15 @@ def turn_text(role: Column, text: Column) -> Column:
         F.when(role == "user", F.concat(F.lit("<s>[INST] "), body, F.lit(" [/INST]")))
         .when(role == "assistant", F.concat(F.lit("[/INST] "), body, F.lit("</s>")))
         .when(role == "system", F.concat(F.lit("<<SYS>>"), body, F.lit("<</SYS>>")))
-        .otherwise(F.concat(F.lit("<<ROLE:"), F.coalesce(F.concat(F.lit("="), escaped(role)), F.lit("")), F.lit(">>"), body, F.lit("<</SYS>>")))
+        .otherwise(F.concat(F.lit("<<ROLE:"), F.coalesce(F.concat(F.lit("="), escaped_role(role)), F.lit("")), F.lit(">>"), body, F.lit("<</SYS>>")))
     )
 
 
 def reply_paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, depth, node): every node on the way from a leaf up to its root, depth 0 at the leaf.
 
-    nodes: tree, node, parent (null, missing or itself: a root). Round k joins the links that span 2^k turns to themselves;
+    nodes: tree, node, parent (null, missing or itself: a root), one row a node; a null tree or node is part of no path, and repeated rows of a
+    node repeat its paths (`format_conversations` takes one each). Round k joins the links that span 2^k turns to themselves;
     a cycle has no root, is never part of a path, and ends after as many rounds as its length has bits.
     """
     n = nodes.select("tree", "node", "parent")
@@ -66,7 +72,9 @@ def reply_paths(nodes: DataFrame) -> DataFrame:
 
 
 def best_paths(nodes: DataFrame, keep: int = 1, decay: float = 1.0) -> DataFrame:
-    """(tree, leaf, path_score, branch): the `keep` best leaves of each tree by mean score of the nodes on the path, ties by leaf."""
+    """(tree, leaf, path_score, branch): the `keep` best leaves of each tree by mean score of the nodes on the path, ties by leaf; and the scored paths.
+
+    A null score counts as 0; nodes as in `reply_paths`, so a null tree has no path."""
     paths = reply_paths(nodes)
     scored = paths.join(nodes.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree", "node"])
     ranks = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("path_score"))
@@ -88,7 +96,7 @@ def format_conversations(nodes: DataFrame, keep: int = 1) -> DataFrame:
     return turns.groupBy("tree", "leaf", "branch", "path_score").agg(F.count("*").alias("n_turns"), order.alias("all")).select("tree", "leaf", "branch", "path_score", "n_turns", F.array_join("all.t", "").alias("formatted"))
 
 
-_TOKEN = re.compile(_ESCAPED.replace("(", r"(?P<skip>\\)?(?P<control>", 1))
+_TOKEN = re.compile(r"(?P<skip>\\)(?P<plain>\.)|" + _ESCAPED.replace("(", r"(?P<skipped>\\)?(?P<control>", 1))
 
 
 def read_back(formatted: str) -> list[tuple[str | None, str]]:
@@ -103,8 +111,8 @@ def read_back(formatted: str) -> list[tuple[str | None, str]]:
         m = _TOKEN.search(formatted, i)
         if m is None:
             break
-        if m["skip"]:  # an escaped control: the plain string
-            out.append(formatted[at : m.start()] + m["control"])
+        if m["skip"] or m["skipped"]:  # an escaped control: the plain string; an escaped full stop: the ">" of a role
+            out.append(formatted[at : m.start()] + (">" if m["plain"] else m["control"]))
             at = i = m.end()
             continue
         if m["control"] == ESCAPE:
@@ -166,6 +174,7 @@ e AS (SELECT *, regexp_replace(text, '(\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<<
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length(x) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 12 WHEN 'system' THEN 15 END)::bigint AS formatted_chars
+  sum(length(x) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 12 WHEN 'system' THEN 15
+    ELSE 17 + coalesce(1 + length(regexp_replace(role, '(\\|\[INST\]|\[/INST\]|<<ROLE:|>)', '\\\1', 'g')), 0) END)::bigint AS formatted_chars
 FROM e GROUP BY conv_id
 """

@@ -161,6 +161,27 @@ def test_hot_paths_of_repeats_against_brute_force(spark, deal):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("deal", [{}, {"slice_hot": 0, "group_hot": 0, "held": 40}, {"slice_hot": 10**6, "group_hot": 0}])
+def test_repeats_of_several_texts_of_one_id(spark, deal):
+    rnd = random.Random(9)
+    a, b = words(rnd, 30), words(rnd, 30)
+    rows = [(1, a), (2, a + b), (2, b + "zz"), (3, b), (2, "short"), (2, None), (2, a + b), (3, ""), (4, "x" + b + a), (4, b + "zz"), (None, a), (5, a + "q"), (5, a + "r")]
+    got = [(r.id, r.n_removed, r.kept_sha256) for r in op9_repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), texts=False, **deal).collect()]
+    first, want = {}, []
+    for d, t in rows:
+        t = (t or "").encode()
+        for i in range(len(t) - 99 if d is not None else 0):
+            first[t[i : i + 100]] = min((d, i), first.get(t[i : i + 100], (d, i)))
+    for d, t in rows:
+        t = (t or "").encode()
+        gone = bytearray(len(t))
+        for i in range(len(t) - 99 if d is not None else 0):
+            if first[t[i : i + 100]] < (d, i):
+                gone[i : i + 100] = b"\1" * 100
+        want.append((d, sum(gone), hashlib.sha256(bytes(x for x, y in zip(t, gone) if not y)).hexdigest()))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_decontamination_against_brute_force(spark, docs, rows):
     item = rows[6][1].split()
     bench = [(1, " ".join(item[10:40])), (2, "alpha1"), (3, None), (4, ""), (5, " ".join(item[50:54])), (1, " ".join(item[10:40])), (None, "beta2")]
@@ -554,21 +575,51 @@ def test_segment_tree_packing():
 def test_packing_of_long_runs(spark, text):
     packed = op5_packing.pack_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     ids = np.frombuffer(bytes(op5_packing.unpack(packed).first().token_ids), np.uint16).tolist()
-    assert op5_packing.encoder(f"{op5_packing.TOKENIZER_DIR}/{op5_packing.VOCABULARY}").decode(ids[:-1]) == text
+    assert encoder().decode(ids[:-1]) == text
+
+
+def encoder():
+    with open(f"{op5_packing.TOKENIZER_DIR}/{op5_packing.VOCABULARY}", "rb") as f:
+        return op5_packing.encoder(f.read())
+
+
+def test_cuts_of_long_runs_take_linear_time():
+    import time
+
+    runs = ("x" + " " * (op5_packing.LONG_RUN - 1)) * 200
+    began = time.time()
+    assert op5_packing._RUNS.search(runs) is None and time.time() - began < 2
+    spaces = " " * (3 * op5_packing.LONG_RUN + 7)
+    enc = encoder()
+    ids = op5_packing.encode(enc, "a" + spaces + "b" + spaces)
+    assert enc.decode(ids) == "a" + spaces + "b" + spaces
+    cuts = [m.span() for m in op5_packing._RUNS.finditer("a" + spaces + "b\t" + spaces)]
+    assert [b - a for a, b in cuts] == [len(spaces), len(spaces) + 1]
 
 
 def test_packing_round_trip(docs, rows):
-    packed = op5_packing.pack_tokens(docs.dropDuplicates(["doc_id"]), seq_len=256, pack=5000)
-    enc = op5_packing.encoder(f"{op5_packing.TOKENIZER_DIR}/{op5_packing.VOCABULARY}")
-    got = {r.doc_id: np.frombuffer(bytes(r.token_ids), np.uint16).tolist() for r in op5_packing.unpack(packed).collect()}
-    for d, t, *_ in rows:
-        if d is not None:
-            assert got[d][-1] == op5_packing.END and enc.decode(got[d][:-1]) == (t or "")
+    packed = op5_packing.pack_tokens(docs, seq_len=256, pack=5000)
+    enc = encoder()
+    got = [(r.doc_id, np.frombuffer(bytes(r.token_ids), np.uint16).tolist()) for r in op5_packing.unpack(packed).collect()]
+    assert all(ids[-1] == op5_packing.END for _, ids in got)
+    assert sorted(((str(d), enc.decode(ids[:-1])) for d, ids in got)) == sorted((str(d), t or "") for d, t, *_ in rows)
     for r in packed.limit(5).collect():
         assert len(r.token_ids) == 512 and r.cu_seqlens[-1] == r.n_tokens and r.resets == r.cu_seqlens[:-1]
         assert all(op5_packing.position_ids(r.cu_seqlens, 256)[a] == 0 for a in r.resets)
 
 
+def test_packing_after_mixing_keeps_documents_apart(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(12)
+    rows = [(i // 2, words(rnd, rnd.randint(100, 700)), f"s{i % 2}") for i in range(40)]
+    mixed = common.stored(corpus_pipeline.mixing(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF))
+    enc = encoder()
+    got = [(r.doc_id, enc.decode(np.frombuffer(bytes(r.token_ids), np.uint16).tolist()[:-1])) for r in op5_packing.unpack(op5_packing.pack_tokens(mixed, seq_len=512)).collect()]
+    want = [(r.doc_id, r.text) for r in mixed.collect()]
+    assert len(want) > len(rows) and sorted(got) == sorted(want)
+
+
 TREE = [
     (1, 0, None, "system", "be [INST] kind \\ </s>", 0.0), (1, 1, 0, "user", "hi", 1.0), (1, 2, 1, "assistant", "<s>a", 0.2), (1, 3, 1, "assistant", "b>>", 0.9), (1, 4, 3, "user", None, 0.5),
     (1, 5, 3, None, "odd <<ROLE: x", 0.4), (2, 0, None, "user", "alone", None), (2, 0, None, "user", "alone", None), (3, 0, 1, "user", "cycle", 0.1), (3, 1, 0, "user", "cycle", 0.1), (None, 1, None, "user", "x", 0.0),
@@ -615,7 +666,7 @@ def test_chat_query_counts_repeated_and_null_turns(spark, tmp_path):
 @pytest.mark.parametrize("seed", range(5))
 def test_template_escapes(spark, seed):
     rnd = random.Random(seed)
-    turns = [(rnd.choice(["user", "assistant", "system", "to>>ol", ""]), "".join(rnd.choice([*op10_chat.CONTROL, "\\", "a", " ", "é", ""]) for _ in range(8))) for _ in range(6)]
+    turns = [(rnd.choice(["user", "assistant", "system", "to>>ol", "a>", ">", "\\.>[INST]<s>", ""]), "".join(rnd.choice([*op10_chat.CONTROL, "\\", "a", " ", "é", ""]) for _ in range(8))) for _ in range(6)]
     x = spark.createDataFrame([(i, *t) for i, t in enumerate(turns)], "i int, role string, text string").select("i", op10_chat.turn_text(F.col("role"), F.col("text")).alias("t")).orderBy("i").collect()
     assert op10_chat.read_back("".join(r.t for r in x)) == turns
 
