@@ -183,12 +183,12 @@ def import_batch(
 ) -> Imported:
     """Merges parsed rows into the stored ledger and settles it.
 
-    Rows that the ledger knows by id, content or on-chain leg are skipped; so the same file twice changes nothing, and writes no version. `demo`: rows
+    The ledger is taken as `load` gives it. Rows that it knows by id, content or on-chain leg are skipped; so the same file twice changes nothing, and writes no version. `demo`: rows
     that go as soon as real ones come. `replace` starts from an empty ledger. If another writer commits meanwhile, `Overtaken` is raised, and
     nothing is changed: import again.
     """
     base = (store.versions() or [None])[-1]
-    present = store.read().limit(0) if replace else store.read()
+    present = stored(store.read().limit(0) if replace else store.load())
     real = present if demo is None else W.without_demo(present, demo)
     rows = stored(deduplicated(W.tagged(conform(batch), import_id, label or None)))
     novel = stored(novel_rows(rows, real))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chain_queries as chain
 from . import more_queries as more
+from . import stream_queries as streams
 from .operators import classifiers as C
 from .operators import ledger_ops as L
 from .operators import pairing as P
@@ -345,8 +346,8 @@ SQL = {
   r AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY price, liq) AS r, count(*) OVER (PARTITION BY asset) AS n FROM p), m AS (SELECT asset, max(price) FILTER (r = n // 2 + 1) AS mid FROM r GROUP BY 1)
   SELECT asset, count(*) AS n_pairs, sum(price::decimal(18,6) * liq::decimal(18,2))::double / sum(liq::decimal(18,2))::double AS price FROM r JOIN m USING (asset) WHERE price BETWEEN mid / 5 AND mid * 5 GROUP BY 1""",
 }
-QUERIES |= more.QUERIES | chain.QUERIES
-SQL |= more.SQL | chain.SQL
+QUERIES |= more.QUERIES | chain.QUERIES | streams.QUERIES
+SQL |= more.SQL | chain.SQL | streams.SQL
 SQL["realized_by_gain"] = _LOT_SQL + "SELECT asset, (sum(p) - sum(c)) / 100.0::double AS realized_pnl FROM m GROUP BY 1 ORDER BY abs(sum(p) - sum(c)) DESC, asset LIMIT 25"
 SQL["holdings"] = _LOT_SQL + "SELECT count(*) AS n, sum(c) / 100.0::double AS invested, sum(v) / 100.0::double AS market_value, (sum(v) - sum(c)) / 100.0::double AS gain, round((sum(v) - sum(c)) * 10000.0::double / sum(c)) / 100 AS gain_percent FROM pos"
 SQL["ordered_overlaps"] = SQL["import_overlaps"].replace("SELECT x.source, x.import_id", "SELECT CASE WHEN shared > 0 THEN 'duplicate' ELSE 'dates' END AS kind, x.source, x.import_id")
@@ -421,6 +422,7 @@ _UK_FOLD = (
 )
 for _name, _kind in (("thirty_day_matches", "thirty_day"), ("s104_matches", "section_104")):
     SQL[_name] = _UK_FOLD + f" SELECT asset, day, tax_year, did AS disposal_id, aid AS acquisition_id, q::double AS quantity, proceeds / 100.0::double AS proceeds, cost / 100.0::double AS cost, (proceeds - cost) / 100.0::double AS gain FROM cgt WHERE kind = '{_kind}'"
+SQL["streamed_matches"] = _UK_FOLD + " SELECT asset, kind AS match_type, day, did AS disposal_id, aid AS acquisition_id, q::double AS quantity, proceeds / 100.0::double AS proceeds, cost / 100.0::double AS cost FROM cgt"
 SQL["uk_pools"] = _UK_FOLD + " SELECT p.asset, q::double AS quantity, ((2 * c + 100000000000000) // 200000000000000) / 100.0::double AS cost FROM p JOIN last USING (asset, n) WHERE q > 0"
 _EXEMPT = " ".join(f"WHEN '{y}' THEN {a}" for y, a in US.S.EXEMPT.items())
 SQL["uk_cgt_by_year"] = _UK_FOLD + f""", g AS (SELECT tax_year, count(DISTINCT (asset, did)) AS n_disposals, sum(proceeds) AS p, sum(cost) AS c, sum(greatest(proceeds - cost, 0)) AS g, sum(greatest(cost - proceeds, 0)) AS l, CASE tax_year {_EXEMPT} ELSE {US.S.EXEMPT_DEFAULT} END AS e FROM cgt GROUP BY 1)
