@@ -36,10 +36,16 @@ def _on(f):
     return lambda spark, sf_dir: f(ledger_from_tpch(spark, sf_dir))
 
 
+def _memes(prices: DataFrame) -> DataFrame:
+    """Every 23rd part as a coin of 1e-12 of its price."""
+    return prices.withColumn("price", F.col("price") * F.when(F.substring("asset", 2, 9).cast("int") % 23 == 0, 1e-12).otherwise(1.0))
+
+
 def _values(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = _mixed(ledger_from_tpch(spark, sf_dir))
-        return f(x, *prices_from_tpch(spark, sf_dir)).select("id", F.col("fiat_value_at_trigger").alias("value"), "fiat_currency")
+        x = x.withColumn("amount", F.col("amount") * F.when(F.substring("asset", 2, 9).cast("int") % 23 == 0, 1e13).otherwise(1.0))
+        return f(x, *map(_memes, prices_from_tpch(spark, sf_dir))).select("id", F.col("fiat_value_at_trigger").alias("value"), "fiat_currency")
 
     return run
 
@@ -175,7 +181,7 @@ QUERIES = {
     "on_chain_ids": _on(lambda x: W.with_on_chain_ids(_ids(x)).select("seq", "on_chain_tx_id")),
     "repaired_groups": _on(lambda x: W.repaired_groups(_ids(x)).select("seq", "trade_group_id")),
     "tagged_rows": _on(lambda x: W.tagged(x.withColumn("source", F.when(F.pmod("seq", F.lit(2)) == 0, F.col("source"))), "imp-1", "upload").select("id", "import_id", "source")),
-    "liquid_sale_copies": _on(lambda x: D.liquid_sales(_fewer(x).withColumns({"source": F.lit("solana"), "on_chain_tx_id": F.md5(F.pmod("seq", F.lit(50)).cast("string").cast("binary"))}), ODD, seconds=DAYS)),
+    "liquid_sale_copies": _on(lambda x: D.liquid_sales(_fewer(x).withColumns({"source": F.lit("solana"), "on_chain_tx_id": F.when(F.pmod("seq", F.lit(3)) > 0, F.md5(F.pmod("seq", F.lit(50)).cast("string").cast("binary"))), "trade_group_id": F.when(F.pmod("seq", F.lit(4)) > 0, F.md5(F.concat(F.lit("g"), F.pmod(F.col("seq"), F.lit(70)).cast("string")).cast("binary")))}), ODD, seconds=DAYS)),
     "swap_leg_copies": _on(lambda x: D.swap_legs(_fewer(x).withColumns({"source": F.lit("solana"), "token_mint": F.when(F.pmod("seq", F.lit(3)) > 0, F.pmod("seq", F.lit(3)).cast("string"))}), seconds=DAYS, tolerance=0.03)),
     "deposit_reward_copies": _on(lambda x: D.deposit_rewards(_fewer(_mixed(x)), VENUES, DAYS)),
     "collapsed_exchange": _on(lambda x: D.collapse_exchange_noise(_fewer(_mixed(x)), VENUES, 24 * 9).select("id", "transaction_type")),
@@ -200,10 +206,17 @@ _P = _M + """,
   w AS (SELECT m.*, px.price AS daily, sp.price AS spot FROM mixed m LEFT JOIN px ON px.asset = m.asset AND px.day = m.timestamp::date LEFT JOIN sp ON sp.asset = m.asset)"""
 
 
+_PV = _M + """,
+  px AS (SELECT 'P' || l_partkey AS asset, l_shipdate::date AS day, max(l_extendedprice * CASE WHEN l_partkey % 23 = 0 THEN 1e-12::double ELSE 1.0::double END)::varchar::decimal(38,18) AS price FROM lineitem WHERE day(l_shipdate) % 2 = 0 GROUP BY 1, 2),
+  sp AS (SELECT 'P' || p_partkey AS asset, (p_retailprice * CASE WHEN p_partkey % 23 = 0 THEN 1e-12::double ELSE 1.0::double END)::varchar::decimal(38,18) AS price FROM part),
+  w AS (SELECT m.* REPLACE (m.amount * CASE WHEN substr(m.asset, 2)::int % 23 = 0 THEN 1e13::double ELSE 1.0::double END AS amount), px.price AS daily, sp.price AS spot FROM mixed m LEFT JOIN px ON px.asset = m.asset AND px.day = m.timestamp::date LEFT JOIN sp ON sp.asset = m.asset)"""
+
+
 def _value_sql(which: str, price: str, least: float, currency: str = "'USD'") -> str:
-    v = f"round(amount::decimal(20,8) * ({price}), 2)"
-    ok = f"({which}) AND coalesce({v} >= {least}::decimal(12,4), false)"
-    return _P + f" SELECT id, CASE WHEN {ok} THEN {v}::double ELSE fiat END AS value, CASE WHEN {ok} THEN {currency} ELSE ccy END AS fiat_currency FROM w"
+    # Whole cents from a whole quantity and a price of 18 places, half up.
+    v = f"(((amount::hugeint * replace(({price})::varchar, '.', '')::hugeint + 5000000000000000) // 10000000000000000) / 100.0::double)"
+    ok = f"({which}) AND coalesce({v} >= {least}::double, false)"
+    return _PV + f" SELECT id, CASE WHEN {ok} THEN {v}::double ELSE fiat END AS value, CASE WHEN {ok} THEN {currency} ELSE ccy END AS fiat_currency FROM w"
 
 
 _NEAR = "abs(epoch(a.timestamp) - epoch(b.timestamp)) <= 259200 AND abs(a.amount - b.amount) <= greatest(a.amount, b.amount) * {}::double"
@@ -249,7 +262,8 @@ SQL = {
     "on_chain_ids": _IDS + " SELECT seq, CASE k WHEN 1 THEN '0x' || h || h WHEN 2 THEN h WHEN 3 THEN h WHEN 4 THEN h WHEN 5 THEN h || h END AS on_chain_tx_id FROM k",
     "repaired_groups": _IDS + " SELECT seq, CASE k WHEN 1 THEN '0x' || h || h WHEN 0 THEN gid WHEN 5 THEN gid ELSE h END AS trade_group_id FROM k",
     "tagged_rows": _L + " SELECT id, 'imp-1' AS import_id, CASE WHEN seq % 2 = 0 THEN source ELSE 'upload' END AS source FROM ledger",
-    "liquid_sale_copies": _F + f" SELECT DISTINCT a.id FROM ledger a JOIN ledger b ON a.asset = b.asset AND a.dir = 'OUT' AND b.transaction_type = 'SELL' AND substr(a.asset, 2)::int % 2 = 1 AND abs(a.amount - b.amount) <= greatest(a.amount, b.amount) * 0.02::double AND (abs(epoch(a.timestamp) - epoch(b.timestamp)) <= 259200 OR a.seq % 50 = b.seq % 50)",
+    "liquid_sale_copies": _F + f""", s AS (SELECT *, CASE WHEN seq % 3 > 0 THEN left(md5((seq % 50)::varchar), 16) WHEN seq % 4 > 0 THEN left(md5('g' || (seq % 70)), 16) END AS sig, CASE WHEN seq % 4 > 0 THEN seq % 70 END AS grp FROM ledger)
+  SELECT DISTINCT a.id FROM s a JOIN s b ON a.asset = b.asset AND a.dir = 'OUT' AND b.transaction_type = 'SELL' AND substr(a.asset, 2)::int % 2 = 1 AND abs(a.amount - b.amount) <= greatest(a.amount, b.amount) * 0.02::double AND (abs(epoch(a.timestamp) - epoch(b.timestamp)) <= 259200 OR a.sig = b.sig OR a.grp = b.grp)""",
     "swap_leg_copies": _F + f" SELECT DISTINCT a.id FROM ledger a JOIN ledger b ON a.asset = b.asset AND a.dir = 'IN' AND b.transaction_type = 'BUY' AND (a.seq % 3 = 0 OR b.seq % 3 = 0 OR a.seq % 3 = b.seq % 3) AND {_NEAR.format(0.03)}",
     "deposit_reward_copies": _FM + f" SELECT DISTINCT a.id FROM mixed a JOIN mixed b ON a.asset = b.asset AND a.source = b.source AND a.source IN ('V1', 'V2', 'V3', 'V4', 'V5') AND a.transaction_type = 'STAKING' AND b.dir = 'IN' AND {_NEAR.format(0.02)}",
     "collapsed_exchange": _FM + _STAKES + f", echo AS ({_ECHO.format('ex')}), l AS (SELECT * FROM mixed WHERE id NOT IN (FROM echo)), gone AS (SELECT a.id FROM l a JOIN l b ON a.asset = b.asset AND a.source = b.source AND a.source IN ('V1', 'V2', 'V3', 'V4', 'V5') AND a.transaction_type = 'STAKING' AND b.dir = 'IN' AND a.timestamp = b.timestamp AND abs(a.amount - b.amount) <= greatest(a.amount, b.amount) * 0.02::double) SELECT id, transaction_type FROM l WHERE id NOT IN (FROM gone)",

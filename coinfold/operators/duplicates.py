@@ -12,6 +12,9 @@ from .pairing import staking_echoes
 LIQUID = ("MSOL", "JITOSOL", "BSOL")
 
 
+SIGN = 16  # characters by which signatures are told apart
+
+
 def _at() -> Column:
     return F.unix_micros("timestamp") / 1e6
 
@@ -35,15 +38,19 @@ def near(rows: DataFrame, others: DataFrame, seconds: float, tolerance: float, k
 
 
 def liquid_sales(ledger: DataFrame, assets: tuple[str, ...] = LIQUID, chain: str = "solana", seconds: float = 3600) -> DataFrame:
-    """(id): transfers out of a staking receipt that repeat a sale of 2 % the same size: of the same group or signature, or within the hour."""
-    x = ledger.where((F.col("source") == chain) & F.upper("asset").isin(*assets))
-    out = x.where("transaction_type = 'TRANSFER' and transfer_direction = 'OUT' and amount > 0")
-    sold = x.where("transaction_type = 'SELL' and amount > 0")
-    hits = near(out, sold, seconds, 0.02, ["asset"])
-    sign = lambda c: F.substring(F.coalesce(F.nullif(F.col("on_chain_tx_id"), F.lit("")), F.nullif(F.col("trade_group_id"), F.lit(""))), 1, c)
-    a = out.select("id", "asset", "amount", sign(16).alias("sig")).where("length(sig) = 16 or sig is not null")
-    b = sold.select("asset", F.col("amount").alias("o_amount"), sign(16).alias("sig"))
-    return hits.unionByName(a.join(b, ["asset", "sig"]).where(close("amount", "o_amount", 0.02)).select("id")).distinct()
+    """(id): transfers out of a staking receipt that repeat a sale of 2 % the same size: of the same trade group, whatever their on-chain ids, of a
+    signature that begins alike, or within the hour."""
+    x = ledger.where((F.col("source") == chain) & F.upper("asset").isin(*assets) & (F.col("amount") > 0))
+    out = x.where("transaction_type = 'TRANSFER' and transfer_direction = 'OUT'")
+    sold = x.where("transaction_type = 'SELL'")
+    signature = F.coalesce(F.nullif(F.col("on_chain_tx_id"), F.lit("")), F.nullif(F.col("trade_group_id"), F.lit("")))
+    # Each row stands under its group and under the first characters of its signature.
+    marks = F.array_compact(F.array(F.concat(F.lit("g"), F.nullif(F.col("trade_group_id"), F.lit(""))), F.when(F.length(signature) >= SIGN, F.concat(F.lit("s"), F.substring(signature, 1, SIGN)))))
+    a = out.select("id", "asset", "amount", F.explode(marks).alias("mark"))
+    # Of the sales under a mark only their sizes matter, each once.
+    b = sold.select("asset", F.col("amount").alias("o_amount"), F.explode(marks).alias("mark")).distinct()
+    same = a.join(b, ["asset", "mark"]).where(close("amount", "o_amount", 0.02)).select("id")
+    return near(out, sold, seconds, 0.02, ["asset"]).unionByName(same).distinct()
 
 
 def swap_legs(ledger: DataFrame, chain: str = "solana", seconds: float = 120, tolerance: float = 0.001) -> DataFrame:

@@ -24,14 +24,19 @@ def _value() -> Column:
     return F.coalesce("fiat_value_at_trigger", F.lit(0.0))
 
 
+#: Quantities of 19 digits before the point and prices of 18 places: tokens by the trillion at a price of 1e-9 are worth what they are worth.
+QUANTITY, PRICE = "decimal(27,8)", "decimal(27,18)"
+
+
 def _unit(c: str) -> Column:
-    return F.col(c).cast("decimal(18,6)")
+    return F.col(c).try_cast(PRICE)
 
 
 def revalue(ledger: DataFrame, which: Column, daily: DataFrame, spot: DataFrame | None = None, least: float = 0.01, spot_from: str | None = None, keep_currency: bool = False) -> DataFrame:
     """Gives the rows `which` quantity times the day's price, or else the spot price, to the cent; values below `least` are left out.
 
-    spot_from: the first day on which a spot price is right; any day if not given. Only rows of `which` look prices up.
+    spot_from: the first day on which a spot price is right; any day if not given. Only rows of `which` look prices up. A quantity or price beyond
+    19 or 9 digits before the point gives no value.
     """
     day = F.to_date("timestamp")
     p = daily.groupBy(F.col("asset").alias("_asset"), F.col("day").alias("_day")).agg(F.max(_unit("price")).alias("_p"))
@@ -43,7 +48,7 @@ def revalue(ledger: DataFrame, which: Column, daily: DataFrame, spot: DataFrame
         x = x.join(s, F.col("_which") & (F.col("asset") == F.col("_asset")), "left").drop("_asset")
         now = F.lit(True) if spot_from is None else F.col("_on") >= F.lit(spot_from).cast("date")
         price = F.coalesce(price, F.when(now, F.col("_s")))
-    v = F.round(F.col("amount").cast("decimal(20,8)") * F.when(price > 0, price), 2)
+    v = F.round(F.col("amount").try_cast(QUANTITY) * F.when(price > 0, price), 2)
     found = F.col("_which") & F.coalesce(v >= F.lit(least).cast("decimal(12,4)"), F.lit(False))
     currency = F.coalesce("fiat_currency", F.lit("USD")) if keep_currency else F.lit("USD")
     x = x.withColumns({"fiat_value_at_trigger": F.when(found, v.cast("double")).otherwise(F.col("fiat_value_at_trigger")), "fiat_currency": F.when(found, currency).otherwise(F.col("fiat_currency"))})
@@ -103,7 +108,7 @@ def resolve_prices(wanted: DataFrame, *ranked: tuple[str, DataFrame], floor: Dat
     A table may say 0, for what can't be sold. floor: (asset, price) below which a price is taken for a slip and passed over.
     """
     x = wanted.select("asset").distinct()
-    low = F.lit(0).cast("decimal(18,6)")
+    low = F.lit(0).cast(PRICE)
     if floor is not None:
         x = x.join(floor.groupBy("asset").agg(F.max(_unit("price")).alias("_low")), "asset", "left")
         low = F.coalesce("_low", low)
