@@ -16,6 +16,7 @@ from .operators import venue_repairs as V
 from .plans import uk_cgt as UK
 from .plans import us_lots as US
 from .sources.testdata import LEDGER_SQL, ledger_from_tpch, rates_from_tpch
+from .streaming import pair_stream as PS
 
 
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,6 +186,7 @@ QUERIES = {
     "override_injection": _overrides,
     "asof_price": _on_ledger(L.last_price),
     "transfer_candidates": _on_ledger(lambda x: P.transfer_candidates(_less_fee(more._fewer(x)), 24 * 3).select("asset", "out_id", "in_id", "score")),
+    "streamed_pairs": _on_ledger(lambda x: PS.replayed(_less_fee(more._fewer(x)), streams.folder(x.sparkSession), 24 * 3)),
     "transfer_pairs": _on_ledger(lambda x: P.transfer_pairs(_less_fee(more._fewer(x)), 24 * 3)),
     "staking_echoes": _on_ledger(lambda x: P.staking_echoes(more._fewer(x), 24 * 9)),
     "ledger_search": _on_ledger(lambda x: L.search(x, "sell", "V3", hide_dust=False).select("id", "asset", "seq")),
@@ -437,3 +439,4 @@ SQL["on_chain_pairs"] = _recursive(_LEGS) + _SCORED.format(key="o.asset || '/' |
 SQL["sale_inflows"] = _recursive(more._F) + f", t AS (SELECT *, epoch(timestamp) AS at FROM ledger), c AS (SELECT o.asset, o.at AS out_at, o.id AS out_id, i.id AS in_id, i.at AS score FROM t o JOIN t i ON o.asset = i.asset AND o.transaction_type = 'SELL' AND i.dir = 'IN' AND substr(o.asset, 2)::int % 2 = 1 AND o.amount = i.amount AND o.at - i.at BETWEEN 0 AND 259200 AND {more._AGREE})" + _GREEDY
 SQL["unstake_receipts"] = _recursive(more._F) + f", t AS (SELECT *, epoch(timestamp) AS at FROM ledger), b AS (SELECT gid FROM t WHERE transaction_type = 'BUY' AND asset IN ('P0', 'P2')), c AS (SELECT 'P0' AS asset, o.at AS out_at, o.id AS out_id, i.id AS in_id, i.at - o.at AS score FROM t o JOIN t i ON o.transaction_type = 'SELL' AND i.dir = 'IN' AND o.asset IN ('P1', 'P3', 'P5') AND i.asset IN ('P0', 'P2') AND i.at - o.at BETWEEN 0 AND 259200 AND {more._AGREE} WHERE o.gid NOT IN (FROM b))" + _GREEDY
 SQL["earn_pairs"] = _recursive(_LEGS) + _SCORED.format(key="o.asset || '/' || o.source", mark_o="'crypto_earn_program_created-'", mark_i="'crypto_earn_program_withdrawn-'", on="o.source = i.source AND i.at - o.at BETWEEN 0 AND 3456000") + _PAIRED
+SQL["streamed_pairs"] = SQL["transfer_pairs"]

@@ -17,13 +17,13 @@ from .sources.testdata import LEDGER_SQL, ledger_from_tpch, rates_from_tpch
 from .streaming import uk_stream as U
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/coinfold-{uuid.uuid4().hex}"
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     legs = UK.uk_legs(ledger_from_tpch(spark, sf_dir), rates_from_tpch(spark, sf_dir, "GBP"))
-    rows = U.replayed(spark, legs, _folder(spark)).where("is_final")
+    rows = U.replayed(spark, legs, folder(spark)).where("is_final")
     money = lambda c: F.round(c, 2).cast("double").alias(c)
     return rows.select("asset", "match_type", "day", "disposal_id", "acquisition_id", F.round("quantity", 8).cast("double").alias("quantity"), money("proceeds"), money("cost"))
 
@@ -51,7 +51,7 @@ REWRITES = [W.with_on_chain_ids, C.timezone_copies, lambda x: x.where(~L.is_spam
 
 def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     present, batch = import_view(ledger_from_tpch(spark, sf_dir))
-    store = T.LedgerStore(spark, _folder(spark))
+    store = T.LedgerStore(spark, folder(spark))
     store.commit(present, store.imports(), None)
     T.import_batch(store, batch, "batch", REWRITES, label="batch.csv")
     T.import_batch(store, batch, "again", REWRITES, label="batch.csv")  # changes nothing
