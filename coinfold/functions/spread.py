@@ -62,3 +62,21 @@ def look_up(df: DataFrame, lookup: DataFrame, on: Column | str | list[str], how:
     hot keys at run time. `lookup` is read twice: cut it if it is dear."""
     few = lookup.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
     return df.join(F.broadcast(lookup) if few else lookup, on, how)
+
+
+def carried(df: DataFrame, key: str, order: list[Column], value: Column, name: str) -> DataFrame:
+    """`df` with, as `name`, the last value that isn't null of the rows of the same key up to this one in `order`; null if there is none.
+
+    Rows are dealt by ranges of key and order, so a key with a third of all rows is spread over many tasks. A range starts with what its first
+    key had in the ranges before, one value at most for each range: that bounds the broadcast. Rows with a null key get null.
+    """
+    x = cut(df.where(F.col(key).isNotNull()).withColumn("__v", F.struct(value.alias("v"))).repartitionByRange(F.col(key), *order).withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy("__part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("__in", F.last(F.when(F.col("__v.v").isNotNull(), F.col("__v")), True).over(inside))
+    # Of each range and key what it ends with; a key that lies in several ranges has few such rows.
+    last = Window.partitionBy("__part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = x.withColumn("__end", F.last("__in", True).over(last)).groupBy("__part", key).agg(F.first("__end", True).alias("__end"))
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ends.withColumn("__base", F.last("__end", True).over(before)).where("__base is not null").select("__part", key, "__base")
+    x = x.join(F.broadcast(base), ["__part", key], "left").withColumn(name, F.coalesce("__in", "__base")["v"])
+    return x.select(*df.columns, name).unionByName(df.where(F.col(key).isNull()).withColumn(name, F.lit(None).cast(x.schema[name].dataType)))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import drop_stored, stored
+from ..operators import app_legs as A
 from ..operators import classifiers as C
 from ..operators import duplicates as D
 from ..operators import ledger_ops as L
@@ -139,7 +140,7 @@ class LedgerStore:
 def standard_rewrites(tokens: DataFrame | None = None) -> list[Rewrite]:
     """What an import runs over the merged ledger, in order; each leaves a ledger as it is that it has already been over."""
     every: list[Rewrite] = [
-        W.with_on_chain_ids, W.repaired_groups, C.income, V.venue_repairs, V.stable_quotes, lambda x: D.without(x, D.swap_legs(x)), R.liquid_staking, C.vaults, C.lending, C.disguised_swaps, C.margin_collateral,
+        W.with_on_chain_ids, W.repaired_groups, C.income, V.venue_repairs, V.stable_quotes, lambda x: D.without(x, D.swap_legs(x)), R.liquid_staking, C.vaults, C.lending, C.disguised_swaps, C.margin_collateral, A.missing_legs,
         D.collapse_exchange_noise, C.timezone_copies, lambda x: P.annotate(x, P.internal_transfers(x)), lambda x: x.where(~L.is_spam(F.col("asset"))), lambda x: x.where(~L.is_dust()),
     ]
     if tokens is not None:

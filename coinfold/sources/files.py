@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Columns that a layout must have, in the order in which layouts are tried.
+# Columns that a layout must have and those it may not have, in the order in which layouts are tried.
 LAYOUTS = (
     ("kraken", {"txid", "refid", "type", "asset", "amount"}, set()),
     ("exchange_ledger", {"utc_time", "operation", "coin", "change"}, {"txid", "refid"}),
@@ -25,9 +25,17 @@ def column_name(raw: str) -> str:
     return re.sub(r"_+", "_", re.sub(r"[\s()/]+", "_", raw.replace("﻿", "").strip().strip('"').lower())).strip("_")
 
 
+def is_json(spark: SparkSession, path: str) -> bool:
+    """By the extension (.json, .csv, .txt); of other files, whether the first line that isn't blank begins an object or an array."""
+    if path.lower().endswith((".json", ".csv", ".txt")):
+        return path.lower().endswith(".json")
+    first = spark.read.text(path).select(F.ltrim("value").alias("v")).where("v <> ''").limit(1).collect()
+    return bool(first) and first[0].v.lstrip("\ufeff")[:1] in ("{", "[")
+
+
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """CSV or JSON as columns of strings with normalised names; the extension decides. JSON may hold its rows under "transactions"."""
-    if path.lower().endswith(".json"):
+    """CSV or JSON as columns of strings with normalised names. JSON may hold its rows under "transactions"."""
+    if is_json(spark, path):
         df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
         if "transactions" in df.columns:
             df = df.select(F.explode("transactions").alias("t")).select("t.*")
@@ -50,7 +58,7 @@ def wallet_chain(address: Column) -> Column:
     """The chain whose addresses look like this one; null if none does."""
     a = F.trim(address)
     return (
-        F.when(a.rlike("^0x[0-9a-fA-F]{40}$"), "ethereum").when(F.lower(a).rlike("^celestia1[02-9ac-hj-np-z]{38}$"), "celestia").when(F.lower(a).rlike("^(addr1|stake1)[02-9ac-hj-np-z]{38,110}$"), "cardano")
+        F.when(a.rlike("^0x[0-9a-fA-F]{40}$"), "ethereum").when(F.lower(a).rlike("^celestia1[02-9ac-hj-np-z]{38,}$"), "celestia").when(F.lower(a).rlike("^(addr1|stake1)[02-9ac-hj-np-z]{38,110}$"), "cardano")
         .when(a.rlike("^(bc1[02-9ac-hj-np-z]{11,71}|[13][1-9A-HJ-NP-Za-km-z]{25,34})$"), "bitcoin").when(a.rlike("^[1-9A-HJ-NP-Za-km-z]{32,44}$"), "solana")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.lineage import checkpoint_dir
+from .operators import app_legs as A
 from .operators import classifiers as C
 from .operators import ledger_ops as L
 from .operators import views as W
@@ -58,7 +59,23 @@ def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("id", "timestamp", "asset", "transaction_type", "amount", "fiat_value_at_trigger", "source", "import_id", "on_chain_tx_id")
 
 
-QUERIES = {"streamed_matches": _streamed, "imported_ledger": _imported}
+def swap_view(x: DataFrame) -> DataFrame:
+    """The view as an app's swaps and other purchases: two orders a minute, every third order of another venue, counter legs now and then."""
+    seq = F.col("seq")
+    o, ln, n = F.floor(seq / 10), F.pmod(seq, F.lit(10)), F.pmod(F.substring("asset", 2, 9).cast("int"), F.lit(40))
+    app, c = F.pmod(o, F.lit(3)) < 2, F.pmod(n + 1 + ln % 2, F.lit(41))
+    return x.withColumns({
+        "asset": F.concat(F.lit("P"), n.cast("string")), "amount": F.pmod("amount", F.lit(5)) + 1, "timestamp": F.timestamp_seconds(946684800 + F.floor(o / 2) * 60), "source": F.when(app, "cryptocom").otherwise("kraken"), "id": F.when(app, F.concat(F.lit("cdc-"), "id", F.lit("-crypto_exchange-"), ln.cast("string"))).otherwise(F.col("id")),
+        "transaction_type": F.when(ln % 2 == 1, "BUY").otherwise("SELL"), "counter_asset": F.when(app & (ln % 3 > 0), F.when(c == 40, "USDT").otherwise(F.concat(F.lit("P"), c.cast("string")))), "counter_amount": F.when(seq % 5 == 0, F.pmod("amount", F.lit(5)) + 3),
+        "fiat_value_at_trigger": F.when(seq % 7 == 0, 0.0).otherwise(F.col("fiat_value_at_trigger")), "trade_group_id": F.when(o % 2 == 0, F.col("trade_group_id")),
+    })
+
+
+def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.missing_legs(swap_view(ledger_from_tpch(spark, sf_dir))).select("id", "timestamp", "asset", "transaction_type", "amount", "fiat_value_at_trigger", "counter_asset", "counter_amount", "trade_group_id")
+
+
+QUERIES = {"streamed_matches": _streamed, "imported_ledger": _imported, "missing_legs": _legs}
 
 _CHAIN = "md5(concat_ws('|', on_chain, transaction_type, asset, amount, dir))"
 _CONTENT = "md5(concat_ws('|', source, coalesce(on_chain, gid), transaction_type, asset, amount, dir, round(fiat, 2), epoch_us(timestamp)))"
@@ -79,7 +96,25 @@ def _pass(name: str, of: str) -> str:
   {name} AS (SELECT * EXCLUDE (head, run) FROM {name}b WHERE asset <> 'www.claim.com' AND NOT (fiat > 0 AND fiat < 0.5) QUALIFY row_number() OVER (PARTITION BY {key}, run ORDER BY timestamp, seq, id) % 2 = 1)"""
 
 
+_MADE = """SELECT 'cdc-' || strftime(tm, '%Y-%m-%dT%H:%M:%S+00:00') || '-crypto_exchange-{low}-' || counter AS id, tm, counter AS asset, '{lack}' AS k, arg_min(ca, (seq, id)) AS amount, arg_min(fiat, (seq, id)) AS fiat, arg_min(asset, (seq, id)) AS c, arg_min(amount, (seq, id)) AS ca,
+    'cdc-xchg-' || strftime(tm, '%Y-%m-%dT%H:%M:%S+00:00') AS gid
+  FROM (SELECT * FROM g WHERE app AND k = '{have}' AND counter <> 'USDT' AND ca > 0 QUALIFY row_number() OVER (PARTITION BY tm, asset ORDER BY seq, id) = 1) a
+  WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.app AND b.k = '{lack}' AND b.tm = a.tm AND b.asset = a.counter) GROUP BY tm, counter"""
 SQL = {
+    "missing_legs": f"""WITH {LEDGER_SQL},
+a AS (SELECT CASE WHEN app THEN 'cdc-' || id || '-crypto_exchange-' || ln ELSE id END AS id, seq, app, tm, 'P' || n AS asset, CASE WHEN ln % 2 = 1 THEN 'BUY' ELSE 'SELL' END AS k, amount % 5 + 1 AS amount, CASE WHEN seq % 7 = 0 THEN 0 ELSE fiat END AS fiat,
+    CASE WHEN app AND ln % 3 > 0 THEN CASE WHEN c = 40 THEN 'USDT' ELSE 'P' || c END END AS counter, CASE WHEN seq % 5 = 0 THEN amount % 5 + 3 END AS ca, CASE WHEN o % 2 = 0 THEN gid END AS gid
+  FROM (SELECT *, o % 3 < 2 AS app, (n + 1 + ln % 2) % 41 AS c, make_timestamp((946684800 + (o // 2) * 60) * 1000000) AS tm FROM (SELECT *, seq // 10 AS o, seq % 10 AS ln, substr(asset, 2)::int % 40 AS n FROM ledger))),
+peer AS (SELECT tm, asset, arg_min(amount, (seq, id)) AS amount FROM a WHERE app GROUP BY tm, asset),
+told AS (SELECT asset, tm, arg_max(fiat / amount, (seq, id)) AS last, arg_min(fiat / amount, (seq, id)) AS first FROM a WHERE k = 'BUY' AND fiat > 0 GROUP BY asset, tm),
+e AS (SELECT a.*, t.last AS unit FROM a ASOF LEFT JOIN told t ON t.asset = a.counter AND t.tm <= a.tm),
+l AS (SELECT e.*, t.tm AS later, t.first AS next FROM e ASOF LEFT JOIN told t ON t.asset = e.counter AND t.tm > e.tm),
+g AS (SELECT l.* REPLACE (CASE WHEN app AND counter IS NOT NULL AND ca IS NULL THEN coalesce(round(coalesce(CASE WHEN l.asset <> counter THEN p.amount END, CASE WHEN fiat > 0 THEN fiat / coalesce(unit, CASE WHEN epoch(later) - epoch(l.tm) <= 600 THEN next END) END), 8), ca) ELSE ca END AS ca)
+  FROM l LEFT JOIN peer p ON p.tm = l.tm AND p.asset = counter),
+made AS ({_MADE.format(have="BUY", lack="SELL", low="sell")} UNION ALL {_MADE.format(have="SELL", lack="BUY", low="buy")})
+SELECT g.id, g.tm AS timestamp, g.asset, k AS transaction_type, g.amount, g.fiat AS fiat_value_at_trigger, counter AS counter_asset, g.ca AS counter_amount, coalesce(g.gid, m.gid) AS trade_group_id
+FROM g LEFT JOIN (SELECT DISTINCT tm, c, gid FROM made) m ON m.tm = g.tm AND m.c = g.asset
+UNION ALL SELECT id, tm, asset, k, amount, fiat, c, ca, gid FROM made""",
     "imported_ledger": f"""WITH {LEDGER_SQL},
 v AS (SELECT id, timestamp, CASE WHEN seq % 13 = 0 THEN 'www.claim.com' ELSE asset END AS asset, transaction_type, amount, CASE WHEN seq % 11 = 0 THEN 0.3 ELSE fiat END AS fiat, CASE WHEN seq % 4 = 0 THEN 'binance' ELSE source END AS source, import_id, dir, gid, seq,
   CASE WHEN seq % 5 = 3 THEN 'c' || seq END AS on_chain FROM ledger),

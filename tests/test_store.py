@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from coinfold.operators import app_legs as A
 from coinfold.operators import classifiers as C
 from coinfold.operators import identity as I
 from coinfold.operators import ledger_ops as L
@@ -126,7 +127,7 @@ def test_uploads_and_lost_imports(spark, store, tmp_path):
 
 def test_rewrites_of_groups_settle(spark, store):
     rows = [row(1), row(2, source="solana", transaction_type="TRANSFER", transfer_direction="OUT", asset="SOL", trade_group_id="g"), row(3, source="binance", transaction_type="STAKING"), row(4, source="binance", transaction_type="SELL", asset="USDT")]
-    some = [W.with_on_chain_ids, W.repaired_groups, C.income, V.stable_quotes, C.timezone_copies]
-    assert len(T.standard_rewrites()) == 16
+    some = [W.with_on_chain_ids, W.repaired_groups, C.income, V.stable_quotes, A.missing_legs, C.timezone_copies]
+    assert len(T.standard_rewrites()) == 17
     assert T.import_batch(store, ledger(spark, rows), "a", some).version == 1
     assert T.import_batch(store, ledger(spark, rows), "b", some).version == 1
