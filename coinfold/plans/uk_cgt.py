@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 from datetime import timedelta
 from decimal import Decimal, getcontext
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,13 +46,13 @@ def same_day_matches(events: DataFrame) -> DataFrame:
     return a.join(d, ["asset", "day"]).select("asset", "day", "disposal_id", "acquisition_id", F.least("acquired", "disposed").alias("quantity"))
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One pass over an asset's days. Disposals wait 30 days for later acquisitions; what is left goes to the pool in day order."""
-    getcontext().prec = 60  # quantities of 26 digits with 12 places, times values
-    asset = pdf["asset"].iloc[0]
+def _fold(asset: str | None, events: list[tuple]) -> list[tuple]:
+    """One pass over an asset's days (day, kind, quantity, value, ids). Disposals wait 30 days for later acquisitions; what is left goes to
+    the pool in day order."""
     days: dict = {}
-    for r in pdf.itertuples(index=False):
-        days.setdefault(r.day, {})[r.kind] = {"q": r.quantity, "left": r.quantity, "value": r.value, "id": r.ids, "day": r.day}
+    for day, kind, quantity, value, ids in events:
+        q = Decimal(quantity)
+        days.setdefault(day, {})[kind] = {"q": q, "left": q, "value": Decimal(value), "id": ids, "day": day}
     rows: list[tuple] = []
     eps = Decimal("1e-9")
 
@@ -96,15 +97,40 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
                 rows.append((asset, "match", "unmatched", day, d["id"], rest, d["value"] * rest / d["q"], Decimal(0), None, None, None, None))
     if quantity > eps:
         rows.append((asset, "pool", None, None, None, None, None, None, None, quantity, cost, first))
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")])
-    for c in ("quantity", "proceeds", "cost", "pool_quantity", "pool_cost"):
-        out[c] = out[c].map(lambda x: None if x is None or x != x else round(x, 12))
-    return out
+    return rows
+
+
+def _folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folds asset by asset what Spark sorted by asset; decimals go in and out as text."""
+    getcontext().prec = 60  # quantities of 26 digits with 12 places, times values
+    kinds = [pa.date32() if c.endswith(" date") else pa.string() for c in TEXTS.split(", ")]
+    names = [c.split()[0] for c in TEXTS.split(", ")]
+
+    def folded(asset: str | None, events: list[tuple]) -> pa.RecordBatch:
+        cols = [[v if v is None or not isinstance(v, Decimal) else str(round(v, 12)) for v in c] for c in zip(*_fold(asset, events), strict=True)] or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    asset, events = None, []
+    for b in batches:
+        for name, *event in zip(*[b.column(c).to_pylist() for c in ("asset", "day", "kind", "quantity", "value", "ids")], strict=True):
+            if events and name != asset:
+                yield folded(asset, events)
+                events = []
+            asset = name
+            events.append(tuple(event))
+    if events:
+        yield folded(asset, events)
+
+
+#: `ROWS` with decimals as text.
+TEXTS = ROWS.replace("decimal(38,12)", "string")
 
 
 def uk_engine(legs: DataFrame) -> DataFrame:
     """Match rows and closing pools, tagged by row_kind. An asset's fold has a step for each active UK day, not for each leg."""
-    return same_day_events(legs).select("asset", "day", "kind", "quantity", "value", "ids").groupBy("asset").applyInPandas(_fold, ROWS)
+    e = same_day_events(legs).select("asset", "day", "kind", F.col("quantity").cast("string").alias("quantity"), F.col("value").cast("string").alias("value"), "ids")
+    rows = e.repartition("asset").sortWithinPartitions("asset", "day").mapInArrow(_folds, TEXTS)
+    return rows.select(*[F.col(c.split()[0]).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in ROWS.split(", ")])
 
 
 def cgt_rows(engine: DataFrame) -> DataFrame:

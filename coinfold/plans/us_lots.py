@@ -1,12 +1,11 @@
-"""Lots by FIFO in closed form, by LIFO and HIFO as grouped maps, and the US reports on them."""
+"""Lots by FIFO in closed form, by LIFO and HIFO as walks in order, and the US reports on them."""
 
 from __future__ import annotations
 
 import heapq
-from decimal import Decimal
-from fractions import Fraction
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +13,6 @@ from ..functions import scalars as S
 from ..functions.lineage import cut
 from ..operators.ledger_ops import with_rate
 
-MATCHES = "asset string, disposal_id string, lot_id string, acquired timestamp, disposed timestamp, qty_u decimal(38,0), proceeds_c decimal(38,0), cost_c decimal(38,0)"
-
 
 def lot_events(ledger: DataFrame, to_ccy: str = "USD", rates: DataFrame | None = None) -> DataFrame:
     """Spot legs as lots (+) and disposals (-) in event order: time, trade group, lots first, id. Values and fees in the reporting currency.
@@ -100,42 +97,56 @@ def _half_up(total: int, part: int, whole: int) -> int:
     return q if total >= 0 else -q
 
 
+#: Unit costs are compared as whole multiples of 2^-256: quantities have under 127 bits, so different ones stay apart, equal ones equal.
+UNIT_BITS = 256
+NEVER = 1 << 62  # the time of rows without one, which come last
+PICKED = "asset string, disposal_id string, lot_id string, acquired long, disposed long, qty_u string, proceeds_c string, cost_c string"
+
+
 def _picker(method: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(first=-pdf["sign"]).sort_values(["timestamp", "gid", "first", "id"], kind="stable")
-        lots: list[tuple] = []  # a heap: the lot to take next is on top
-        out = []
+    """Walks events sorted by asset and time, batch by batch; of an asset only the open lots are held, in a heap with the one to take next on top."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asset: object = batches  # no asset yet
+        lots: list[tuple] = []
         seen = 0
-        for r in pdf.itertuples(index=False):
-            q, value = int(r.qty_u), int(r.value_c)
-            if r.sign > 0:
-                unit = Fraction(value, q)
-                key = (-r.timestamp.value, -unit, seen) if method == "LIFO" else (-unit, r.timestamp.value, seen)
-                heapq.heappush(lots, (key, {"id": r.id, "at": r.timestamp, "q": q, "left": q, "value": value}))
-                seen += 1
-                continue
-            need = q
-            while need > 100 and lots:
-                lot = lots[0][1]
-                take = min(need, lot["left"])
-                out.append((r.asset, r.id, lot["id"], lot["at"], r.timestamp, take, _half_up(value, take, q), _half_up(lot["value"], take, lot["q"])))
-                need -= take
-                lot["left"] -= take
-                if lot["left"] <= 100:
-                    heapq.heappop(lots)
-            if need > 100:
-                out.append((r.asset, r.id, None, pd.NaT, r.timestamp, need, _half_up(value, need, q), 0))
-        got = pd.DataFrame(out, columns=["asset", "disposal_id", "lot_id", "acquired", "disposed", "qty_u", "proceeds_c", "cost_c"])
-        for c in ("qty_u", "proceeds_c", "cost_c"):
-            got[c] = got[c].map(Decimal)
-        return got
+        for b in batches:
+            out = []
+            for name, sign, ident, at, qty, worth in zip(*[b.column(c).to_pylist() for c in ("asset", "sign", "id", "at", "q", "v")], strict=True):
+                if name != asset:
+                    asset, lots, seen = name, [], 0
+                q, value = int(qty), int(worth)
+                if sign > 0:
+                    unit = -((value << UNIT_BITS) // q)
+                    heapq.heappush(lots, ((-at, unit, seen) if method == "LIFO" else (unit, at, seen), [ident, at, q, q, value]))
+                    seen += 1
+                    continue
+                need = q
+                while need > 100 and lots:
+                    lot = lots[0][1]
+                    take = min(need, lot[3])
+                    out.append((name, ident, lot[0], lot[1], at, take, _half_up(value, take, q), _half_up(lot[4], take, lot[2])))
+                    need -= take
+                    lot[3] -= take
+                    if lot[3] <= 100:
+                        heapq.heappop(lots)
+                if need > 100:
+                    out.append((name, ident, None, None, at, need, _half_up(value, need, q), 0))
+            cols = list(zip(*out, strict=True)) if out else [()] * 8
+            kinds = [pa.string()] * 3 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)] + [pa.array(map(str, c), pa.string()) for c in cols[5:]], [c.split()[0] for c in PICKED.split(", ")])
 
     return run
 
 
 def picked_matches(events: DataFrame, method: str) -> DataFrame:
-    """LIFO and HIFO choose among the open lots at each disposal, so each asset is folded in order."""
-    return events.groupBy("asset").applyInPandas(_picker(method), MATCHES)
+    """LIFO and HIFO choose among the open lots at each disposal, so each asset is walked in order, in a stream that Spark sorts."""
+    order = [F.col("timestamp").asc_nulls_last(), F.col("gid"), F.col("sign").desc(), F.col("id")]
+    at = F.coalesce(F.unix_micros("timestamp"), F.lit(NEVER))
+    x = events.repartition("asset").sortWithinPartitions("asset", *order).select("asset", "sign", "id", at.alias("at"), F.col("qty_u").cast("string").alias("q"), F.col("value_c").cast("string").alias("v"))
+    when = lambda c: F.when(F.col(c) < NEVER, F.timestamp_micros(c)).alias(c)
+    number = [F.col(c).cast("decimal(38,0)").alias(c) for c in ("qty_u", "proceeds_c", "cost_c")]
+    return x.mapInArrow(_picker(method), PICKED).select("asset", "disposal_id", "lot_id", when("acquired"), when("disposed"), *number)
 
 
 def matches(ledger: DataFrame, method: str = "FIFO", to_ccy: str = "USD", rates: DataFrame | None = None) -> DataFrame:
