@@ -247,12 +247,12 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_bytes: int = 32 << 20, pool_share: float = 1 / 16, rounds: int = 3, sure: float = 0.9,
+    docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_bytes: int = 32 << 20, pool_share: float = 1.0, rounds: int = 3, sure: float = 0.9,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
 ) -> Model:
     """Fits on at most `max_labelled` labelled rows and `max_bytes` bytes of text outside the held-out quarter, and on the pool.
 
-    The pool are the texts whose hash is in the first `pool_share` of all; what they are labelled in `labels` is not looked at. A view that is less than
+    The pool are all texts, or those whose hash is in the first `pool_share` of all; what they are labelled in `labels` is not looked at. A view that is less than
     `sure` of every document adds nothing. Null labels, ids and texts are left out of the labelled rows; of repeated labels the larger one
     counts, of repeated documents the one of least text.
     """
