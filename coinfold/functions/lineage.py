@@ -15,7 +15,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir names no shared folder for intermediate tables")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="coinfold-ck-"))
     return sc.getCheckpointDir()

@@ -32,13 +32,14 @@ def test_stored_tables_can_be_cleared(spark):
     assert df.count() == 5 and clear_stored(spark) >= 1
 
 
-def test_no_folder_of_a_machine_on_a_cluster():
+@pytest.mark.parametrize("name", ["yarn", "local-cluster[3,2,3000]", "spark://host:7077"])
+def test_no_folder_of_a_machine_on_a_cluster(name):
     class Conf:
         def get(self, *_):
             return None
 
     class Context:
-        master = "yarn"
+        master = name
 
         def getCheckpointDir(self):
             return None
