@@ -13,22 +13,27 @@ from coinfold.llm.op7_mixing import mixed_rows
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field doesn't score as toxic; null and empty texts stay, repeated rows go or stay together, an empty table stays empty."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the least id; rows with null or repeated ids are documents of their own, texts without words all stay."""
     return without_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the passages that benchmark items hold; null texts stay null, rows of repeated and null ids are cut each for itself."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, none to twice; null sources are one source, null and empty texts come as often as complete passes over their source."""
     return mixed_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of packed token ids; every row is packed, null and empty texts as an end id, repeated rows each. An empty table gives no rows."""
     return pack_tokens(docs)
 
 
@@ -39,6 +44,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each reading what the one before it wrote. Columns beyond those of `documents` are carried as far as mixing."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
