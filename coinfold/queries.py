@@ -58,6 +58,18 @@ def _received(x: DataFrame) -> DataFrame:
     return x.withColumns({"source": F.lit(V.VENUE), "transfer_direction": F.when(got, "IN").otherwise(F.col("transfer_direction")), "transaction_type": F.when(got, "TRANSFER").otherwise(F.col("transaction_type"))})
 
 
+def _claims(x: DataFrame) -> DataFrame:
+    """The first three lines of an order: a token, the native coin, a stablecoin; as trades, as airdrops with their fees, as interest of an app."""
+    ln, o = F.pmod("seq", F.lit(10)), F.floor(F.col("seq") / 10)
+    trade, app = F.pmod(o, F.lit(4)).isin(0, 2), F.pmod(o, F.lit(4)) == 3
+    value = F.when(ln == 2, F.when(o % 5 == 0, 0.0).when(o % 5 == 1, 5.0).otherwise(20.0)).when(o % 7 == 0, 0.0).otherwise(F.col("fiat_value_at_trigger"))
+    return x.where(ln.between(1, 3)).withColumns({
+        "source": F.when(app, "cryptocom").otherwise("solana"), "id": F.when(app & (o % 8 == 3), F.concat("id", F.lit("-crypto_earn_interest_paid"))).otherwise(F.col("id")), "asset": F.when(ln == 2, "SOL").when(ln == 3, "USDC").otherwise(F.col("asset")),
+        "transaction_type": F.when(ln == 3, "TRANSFER").when(app, "AIRDROP").when(trade, F.when(ln == 1, "BUY").otherwise("SELL")).otherwise(F.when(ln == 1, "AIRDROP").otherwise("FEE")),
+        "amount": F.when(ln == 2, F.when(o % 3 == 0, 0.01).otherwise(1.0)).otherwise(F.col("amount")), "fiat_value_at_trigger": value, "counter_asset": F.lit("X"),
+    })
+
+
 def _quoted(x: DataFrame) -> DataFrame:
     """The view with every tenth part as a stablecoin whose quantity is its value."""
     stable = F.endswith("asset", F.lit("0"))
@@ -194,6 +206,7 @@ QUERIES = {
     "staking_summary": _with_rates(K.summary, "GBP"),
     "dex_price": _dex,
     "liquidity_events": _on_ledger(lambda x: C.liquidity_for_tax(x).where("event_subtype is not null").select("id", "asset", "transaction_type", "event_subtype", F.col("fiat_value_at_trigger").alias("value"))),
+    "retyped_income": _on_ledger(lambda x: C.income(_claims(x)).select("id", "asset", "transaction_type", "counter_asset", F.col("fiat_value_at_trigger").alias("value"))),
     "income_retyped": _on_ledger(lambda x: C.income(x.withColumn("source", F.lit("solana")).withColumn("asset", F.when(F.pmod("seq", F.lit(2)) == 0, "SOL").otherwise(F.col("asset")))).groupBy("transaction_type").agg(F.count("*").alias("n"))),
     "spend_receive": _on_ledger(lambda x: V.spend_receive(_received(x)).where("transaction_type = 'BUY'").select("id", F.col("fiat_value_at_trigger").alias("value"))),
     "stable_quotes": _on_ledger(lambda x: V.stable_quotes(_quoted(x)).select("id", "asset", "counter_asset")),
@@ -440,3 +453,14 @@ SQL["sale_inflows"] = _recursive(more._F) + f", t AS (SELECT *, epoch(timestamp)
 SQL["unstake_receipts"] = _recursive(more._F) + f", t AS (SELECT *, epoch(timestamp) AS at FROM ledger), b AS (SELECT gid FROM t WHERE transaction_type = 'BUY' AND asset IN ('P0', 'P2')), c AS (SELECT 'P0' AS asset, o.at AS out_at, o.id AS out_id, i.id AS in_id, i.at - o.at AS score FROM t o JOIN t i ON o.transaction_type = 'SELL' AND i.dir = 'IN' AND o.asset IN ('P1', 'P3', 'P5') AND i.asset IN ('P0', 'P2') AND i.at - o.at BETWEEN 0 AND 259200 AND {more._AGREE} WHERE o.gid NOT IN (FROM b))" + _GREEDY
 SQL["earn_pairs"] = _recursive(_LEGS) + _SCORED.format(key="o.asset || '/' || o.source", mark_o="'crypto_earn_program_created-'", mark_i="'crypto_earn_program_withdrawn-'", on="o.source = i.source AND i.at - o.at BETWEEN 0 AND 3456000") + _PAIRED
 SQL["streamed_pairs"] = SQL["transfer_pairs"]
+SQL["retyped_income"] = "WITH" + LEDGER_SQL + """, v AS (SELECT CASE WHEN o % 8 = 3 THEN id || '-crypto_earn_interest_paid' ELSE id END AS id, o, ln, o % 4 = 3 AS app, CASE ln WHEN 2 THEN 'SOL' WHEN 3 THEN 'USDC' ELSE asset END AS asset,
+  CASE WHEN ln = 3 THEN 'TRANSFER' WHEN o % 4 = 3 THEN CASE WHEN o % 8 = 3 THEN 'STAKING' ELSE 'AIRDROP' END WHEN o % 2 = 0 THEN CASE ln WHEN 1 THEN 'BUY' ELSE 'SELL' END ELSE CASE ln WHEN 1 THEN 'AIRDROP' ELSE 'FEE' END END AS t,
+  CASE WHEN ln = 2 THEN CASE WHEN o % 3 = 0 THEN 0.01 ELSE 1 END ELSE amount END::double AS amount, CASE WHEN ln = 2 THEN CASE o % 5 WHEN 0 THEN 0 WHEN 1 THEN 5 ELSE 20 END WHEN o % 7 = 0 THEN 0 ELSE fiat END::double AS value
+  FROM (SELECT *, seq // 10 AS o, seq % 10 AS ln FROM ledger) WHERE ln <= 3),
+c AS (SELECT o, bool_or(app) OR count(*) > 3 AS out, count(*) FILTER (t = 'BUY') AS b, count(*) FILTER (t = 'SELL') AS s, count(*) FILTER (t = 'BUY' AND ln = 1) AS bt, count(*) FILTER (t = 'SELL' AND ln = 2 AND amount <= 0.015 AND value > 0 AND value <= 10) AS small,
+  count(*) FILTER (t = 'AIRDROP') AS a, count(*) FILTER (t = 'AIRDROP' AND ln = 1) AS at_, count(*) FILTER (t = 'FEE' AND ln = 2) AS f, count(*) FILTER (t = 'FEE' AND ln = 2 AND (amount > 0.015 OR value > 10)) AS large, max(value) FILTER (ln = 2 AND t = 'FEE') AS paid FROM v GROUP BY o),
+g AS (SELECT o, NOT out AND b = 1 AND s = 1 AND bt = 1 AND small = 1 AS claim, NOT out AND a = 1 AND at_ = 1 AND f = 1 AND large = 1 AS trade, paid FROM c)
+SELECT id, asset, CASE WHEN claim AND t = 'BUY' THEN 'AIRDROP' WHEN claim AND t = 'SELL' THEN 'FEE' WHEN trade AND t = 'AIRDROP' THEN 'BUY' WHEN trade AND t = 'FEE' THEN 'SELL' ELSE t END AS transaction_type,
+  CASE WHEN claim AND t IN ('BUY', 'SELL') THEN NULL ELSE 'X' END AS counter_asset, CASE WHEN trade AND t = 'AIRDROP' AND value <= 0 THEN round(paid, 2) ELSE value END AS value FROM v JOIN g USING (o)"""
+#: No group of this view meets a rule: its native legs are large, and fees and airdrops never share an order.
+SQL["income_retyped"] = "WITH" + LEDGER_SQL + " SELECT transaction_type, count(*) AS n FROM ledger GROUP BY 1"
