@@ -70,9 +70,12 @@ def assigned(candidates: DataFrame, *keys: str, seconds: float | None = None) ->
 
     Spark sorts the candidates (asset, out_id, in_id, out_at, in_at, score) and a task walks them once, batch by batch, so a key with a third of all
     candidates takes long but no memory. `seconds` bounds how far the legs of a candidate lie apart.
+
+    Rows are dealt by a hash of the key: by the key itself, Spark takes the dealing of a join on the same columns for it, which it may give up when
+    it makes that join a broadcast at run time, and then a key lies in several tasks.
     """
     names = [*dict.fromkeys([*keys, "asset", "out_id", "in_id", "out_at", "in_at", "score"])]
-    x = candidates.select(*names).repartition(*keys).sortWithinPartitions(*keys, "out_at", "out_id", "score", "in_id")
+    x = candidates.select(*names).repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, "out_at", "out_id", "score", "in_id")
     return x.mapInPandas(_walk(list(keys), seconds), "asset string, out_id string, in_id string, pair_id string")
 
 
