@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -79,6 +81,115 @@ def assigned(candidates: DataFrame, *keys: str, seconds: float | None = None) ->
     return x.mapInPandas(_walk(list(keys), seconds), "asset string, out_id string, in_id string, pair_id string")
 
 
+class _Window:
+    """The unused legs in of one key that a leg out can still take, in queues by amount and mark, each in order of time."""
+
+    def __init__(self, before: float, after: float, tolerance: float | None, other: bool):
+        self.before, self.after, self.tolerance, self.other = before, after, tolerance, other
+        self.amounts: list[float] = []
+        self.queues: dict[float, dict[str, deque]] = {}
+        self.order: deque = deque()
+        self.used: set[str] = set()
+
+    def put(self, at: float, ident: str, amount: float, mark: str) -> None:
+        if amount not in self.queues:
+            insort(self.amounts, amount)
+            self.queues[amount] = {}
+        self.queues[amount].setdefault(mark, deque()).append((at, ident))
+        self.order.append((at, ident, amount, mark))
+
+    def _pop(self, amount: float, mark: str) -> None:
+        marks = self.queues[amount]
+        marks[mark].popleft()
+        if not marks[mark]:
+            del marks[mark]
+            if not marks:
+                del self.queues[amount]
+                del self.amounts[bisect_left(self.amounts, amount)]
+
+    def take(self, at: float, amount: float, mark: str) -> str | None:
+        """The earliest leg in that fits a leg out; legs out come in order of time."""
+        while self.order and at - self.order[0][0] > self.before:
+            t, ident, a, m = self.order.popleft()
+            self.used.discard(ident)
+            if (q := self.queues.get(a, {}).get(m)) and q[0] == (t, ident):
+                self._pop(a, m)
+        near = self.amounts
+        if self.tolerance is not None:
+            span = 2 * self.tolerance * abs(amount) if self.tolerance < 0.5 else float("inf")
+            i = bisect_left(near, amount - span)
+            near = near[i : bisect_left(near, amount + span, i) + 1]
+            near = [a for a in near if abs(a - amount) <= max(a, amount) * self.tolerance]
+        best = None
+        for a in list(near):
+            for m in [*self.queues[a]]:
+                if m == mark if self.other else bool(mark and m and m != mark):
+                    continue
+                while (q := self.queues.get(a, {}).get(m)) and q[0][1] in self.used:
+                    self._pop(a, m)
+                if q and q[0][0] - at <= self.after and (best is None or q[0] < best[0]):
+                    best = (q[0], a, m)
+        if best is None:
+            return None
+        (_, ident), a, m = best
+        self.used.add(ident)
+        self._pop(a, m)
+        return ident
+
+
+def _walk_legs(before: float, after: float, tolerance: float | None, other: bool):
+    """Walks legs in order of key and time. A leg out waits until no leg in that it may take can come; of a key only the window's legs are held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: object = batches  # no key yet
+        waits: deque = deque()
+        legs = _Window(before, after, tolerance, other)
+        last = None
+        for pdf in batches:
+            rows: list[tuple] = []
+            for asset, ident, at, amount, mark, out in zip(*[pdf[c].tolist() for c in ("asset", "id", "at", "amount", "mark", "out")], strict=True):
+                if asset != key:
+                    rows += _settle(key, waits, legs, None)
+                    key, legs, last = asset, _Window(before, after, tolerance, other), None
+                rows += _settle(key, waits, legs, at)
+                if (at, ident, out) == last:
+                    continue
+                last = (at, ident, out)
+                if out:
+                    waits.append((at, ident, amount, mark))
+                else:
+                    legs.put(at, ident, amount, mark)
+            yield pd.DataFrame(rows, columns=["asset", "out_id", "in_id", "pair_id"])
+        yield pd.DataFrame(_settle(key, waits, legs, None), columns=["asset", "out_id", "in_id", "pair_id"])
+
+    return run
+
+
+def _settle(key: object, waits: deque, legs: _Window, now: float | None) -> list[tuple]:
+    """Pairs of the legs out that no leg in from `now` on can fit; of all, if no time is given."""
+    rows = []
+    while waits and (now is None or now - waits[0][0] > legs.after):
+        at, ident, amount, mark = waits.popleft()
+        if (got := legs.take(at, amount, mark)) is not None:
+            rows.append((key, ident, got, f"pair-{ident}"))
+    return rows
+
+
+def earliest(out: DataFrame, into: DataFrame, before: float, after: float, tolerance: float | None = None, other: bool = False) -> DataFrame:
+    """(asset, out_id, in_id, pair_id): of each asset each leg out, in order of time, takes the earliest unused leg in from `before` seconds before
+    to `after` seconds after it, of an amount within `tolerance`, or of any.
+
+    Legs: asset, id, at (seconds), amount, mark. Marks must differ with `other`, else they must not contradict each other (empty ones agree with
+    all). The legs are dealt by asset, sorted by Spark and walked once; candidates, whose number grows with the square of an asset's
+    legs, are never made. Rows with a null asset, id, time, amount or mark have no pair.
+    """
+    size = F.lit(0.0) if tolerance is None else F.col("amount")
+    side = lambda df, way: df.select("asset", "id", "at", size.cast("double").alias("amount"), "mark", F.lit(way).alias("out"))
+    x = side(out, True).unionByName(side(into, False)).where("asset is not null and id is not null and at is not null and amount is not null and mark is not null and not isnan(amount)")
+    x = x.repartition(F.xxhash64("asset")).sortWithinPartitions("asset", "at", "id", "out")
+    return x.mapInPandas(_walk_legs(before, after, tolerance, other), "asset string, out_id string, in_id string, pair_id string")
+
+
 def transfer_pairs(ledger: DataFrame, window_hours: float = 48) -> DataFrame:
     """Each leg out, in order of time, takes the unused leg in of best score. Candidates never cross assets, so assets are apart."""
     return assigned(transfer_candidates(ledger, window_hours), "asset", seconds=window_hours * HOURS)
@@ -153,13 +264,9 @@ def mistyped_transfers(ledger: DataFrame, minutes: float = 5, tolerance: float =
 
     Rows with a mark of a market trade (counter asset, order type, result) and derivatives are no candidates.
     """
-    size = minutes * 60
-    x = ledger.where("counter_asset is null and venue_order_type is null and realized_pnl is null and source is not null and coalesce(instrument_kind, '') <> 'perp'").withColumn("at", F.unix_micros("timestamp") / 1e6)
-    out = x.where("transaction_type = 'SELL'").select("asset", F.col("id").alias("out_id"), F.col("source").alias("s1"), F.col("at").alias("out_at"), F.col("amount").alias("a1"), F.floor(F.col("at") / size).alias("bucket"))
-    into = x.where("transaction_type = 'BUY'").select("asset", F.col("id").alias("in_id"), F.col("source").alias("s2"), F.col("at").alias("in_at"), F.col("amount").alias("a2"), F.explode(F.array(*[F.floor(F.col("at") / size) + i for i in (-1, 0, 1)])).alias("bucket"))
-    ok = (F.col("s1") != F.col("s2")) & (F.abs(F.col("a1") - F.col("a2")) <= F.greatest("a1", "a2") * tolerance) & (F.abs(F.col("in_at") - F.col("out_at")) <= size)
-    c = out.join(into, ["asset", "bucket"]).where(ok).select("asset", "out_id", "in_id", "out_at", "in_at", F.col("in_at").alias("score"))
-    return assigned(c, "asset", seconds=size)
+    x = ledger.where("counter_asset is null and venue_order_type is null and realized_pnl is null and source is not null and coalesce(instrument_kind, '') <> 'perp'")
+    x = x.withColumns({"at": F.unix_micros("timestamp") / 1e6, "mark": F.col("source")})
+    return earliest(x.where("transaction_type = 'SELL'"), x.where("transaction_type = 'BUY'"), minutes * 60, minutes * 60, tolerance, other=True)
 
 
 def as_transfers(ledger: DataFrame, pairs: DataFrame) -> DataFrame:
