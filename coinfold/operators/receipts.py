@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from . import staking
-from .duplicates import LIQUID, close, liquid_sales, near, without
-from .pairing import assigned
+from .duplicates import LIQUID, liquid_sales, near, without
+from .pairing import earliest
 
 NATIVE = ("SOL", "WSOL")
 # Native coin sold beside a receipt is a fee up to this value and this part of the receipt's.
@@ -16,27 +16,16 @@ DUST_VALUE = 15.0
 DUST_PART = 0.08
 
 
-def _agree(a: str, b: str) -> Column:
-    """On-chain ids that don't contradict each other: null and empty ones agree with all."""
-    a, b = (F.nullif(F.col(c), F.lit("")) for c in (a, b))
-    return F.coalesce(a == b, F.lit(True))
-
-
-def _links(sales: DataFrame, into: DataFrame, seconds: float, keys: list[str], ok: Column, score: Column) -> DataFrame:
-    """(asset, out_id, in_id, pair_id): each sale, in order of time, takes the unused inflow of least score within `seconds`."""
-    at = F.unix_micros("timestamp") / 1e6
-    b = F.floor(at / seconds)
-    o = sales.select(*keys, F.col("id").alias("out_id"), at.alias("out_at"), F.col("amount").alias("out_amount"), F.col("on_chain_tx_id").alias("out_tx"), F.explode(F.array(b - 1, b, b + 1)).alias("bucket"))
-    i = into.select(*keys, F.col("id").alias("in_id"), at.alias("in_at"), F.col("amount").alias("in_amount"), F.col("on_chain_tx_id").alias("in_tx"), b.alias("bucket"))
-    c = o.join(i, [*keys, "bucket"]).where(ok & (F.abs(F.col("in_at") - F.col("out_at")) <= seconds) & _agree("out_tx", "in_tx"))
-    return assigned(c.withColumn("score", score), "asset", seconds=seconds)
+def _legs(x: DataFrame) -> DataFrame:
+    """Rows as legs to pair; on-chain ids mark them, null and empty ones agree with all."""
+    return x.withColumns({"at": F.unix_micros("timestamp") / 1e6, "mark": F.coalesce("on_chain_tx_id", F.lit(""))})
 
 
 def sale_inflows(ledger: DataFrame, liquid: tuple[str, ...] = LIQUID, chain: str = "solana", seconds: float = 3600, tolerance: float = 0.005) -> DataFrame:
     """Sales of a staking receipt with the earliest unused transfer in of the same token and size in the hour before."""
     x = ledger.withColumn("asset", F.upper(F.trim("asset"))).where((F.col("source") == chain) & F.col("asset").isin(*liquid) & (F.col("amount") > 0))
     into = x.where("transaction_type = 'TRANSFER' and transfer_direction = 'IN'")
-    return _links(x.where("transaction_type = 'SELL'"), into, seconds, ["asset"], (F.col("in_at") <= F.col("out_at")) & close("in_amount", "out_amount", tolerance), F.col("in_at"))
+    return earliest(_legs(x.where("transaction_type = 'SELL'")), _legs(into), seconds, 0, tolerance)
 
 
 def unstake_receipts(ledger: DataFrame, liquid: tuple[str, ...] = LIQUID, native: tuple[str, ...] = NATIVE, chain: str = "solana", seconds: float = 900) -> DataFrame:
@@ -47,7 +36,7 @@ def unstake_receipts(ledger: DataFrame, liquid: tuple[str, ...] = LIQUID, native
     sales = x.where((t == "SELL") & a.isin(*liquid)).join(settled, F.col("trade_group_id") == F.col("_g"), "left_anti")
     into = x.where((t == "TRANSFER") & (F.col("transfer_direction") == "IN") & a.isin(*native))
     coin = F.lit(native[0])  # receipts of all kinds compete for one coin
-    return _links(sales.withColumn("asset", coin), into.withColumn("asset", coin), seconds, ["asset"], F.col("in_at") >= F.col("out_at"), F.col("in_at") - F.col("out_at"))
+    return earliest(_legs(sales.withColumn("asset", coin)), _legs(into.withColumn("asset", coin)), 0, seconds)
 
 
 def _bought(ledger: DataFrame, pairs: DataFrame, sale_currency: bool, counter: Column) -> DataFrame:
