@@ -116,18 +116,35 @@ def by_fragment(registry: DataFrame, aliases: dict[str, str] = ALIASES) -> DataF
     one. Reserved tickers and prefixes of under 4 characters stand for nothing; aliases come before all.
     """
     n = F.explode(F.sequence(F.lit(SHORTEST), F.least(F.length("mint"), F.lit(LONGEST))))
-    x = registry.where(F.length("mint") >= SHORTEST).select("mint", "symbol", "name", "known", "rank", n.alias("n")).withColumn("fragment", F.upper(F.expr("substring(mint, 1, n)")))
-    g = x.groupBy("fragment").agg(F.count("*").alias("n"), F.max("known").alias("known"), _best().alias("token"))
+    x = registry.where(F.length("mint") >= SHORTEST).select("mint", "symbol", "name", "known", "rank", n.alias("n"))
+    return _standing(x.withColumn("fragment", F.upper(F.expr("substring(mint, 1, n)"))), registry, aliases)
+
+
+def _standing(prefixes: DataFrame, registry: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """(fragment, token): what each fragment of `prefixes` stands for, and the aliases."""
+    g = prefixes.groupBy("fragment").agg(F.count("*").alias("n"), F.max("known").alias("known"), _best().alias("token"))
     g = g.where(((F.col("n") == 1) | F.col("known") | (F.length("fragment") == 8)) & ~is_reserved(F.col("fragment"))).select("fragment", "token")
     to = _named({v: k for k, v in aliases.items()}, F.col("mint"))
     alias = registry.where(to.isNotNull()).select(to.alias("fragment"), F.struct("mint", "symbol", "name").alias("token"))
     return g.join(F.broadcast(alias.select("fragment")), "fragment", "left_anti").unionByName(alias)
 
 
-def resolved_fragments(texts: DataFrame, registry: DataFrame) -> DataFrame:
-    """(text, token) of the texts (text) that are a cut-off mint."""
+def by_key(df: DataFrame) -> DataFrame:
+    """A table that grows with the registry, for a join: dealt by key. Spark would take the size of the list's file for that of its
+    prefixes, many times as many, and gather them in the driver for a broadcast."""
+    return df.hint("merge")
+
+
+def resolved_fragments(texts: DataFrame, registry: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:
+    """(text, token) of the texts (text) that are a cut-off mint. Of the mints only prefixes as long as some text are made, and of
+    those only the ones that a text has are kept."""
     keys = texts.select(F.trim("text").alias("text")).where("text is not null").distinct().withColumn("fragment", F.upper("text"))
-    return keys.join(by_fragment(registry), "fragment").select("text", "token")
+    size = F.length("fragment")
+    lengths = sorted(r.n for r in keys.where(size.between(SHORTEST, LONGEST)).select(size.alias("n")).distinct().collect())  # at most 28
+    n = F.explode(F.filter(F.array(*[F.lit(i) for i in lengths]).cast("array<int>"), lambda i: i <= F.length("mint")))
+    x = registry.select("mint", "symbol", "name", "known", "rank", n.alias("n")).withColumn("fragment", F.upper(F.expr("substring(mint, 1, n)")))
+    x = x.join(by_key(keys.select("fragment").distinct()), "fragment", "left_semi")
+    return keys.join(by_key(_standing(x, registry, aliases)), "fragment").select("text", "token")
 
 
 def resolved_labels(texts: DataFrame, registry: DataFrame) -> DataFrame:
@@ -138,7 +155,7 @@ def resolved_labels(texts: DataFrame, registry: DataFrame) -> DataFrame:
     lengths = F.explode(F.sequence(F.lit(1), F.lit(8)))
     mints = registry.select("mint", "symbol", "name", "known", "rank", lengths.alias("n")).withColumn("key", F.expr("substring(mint, 1, n)"))
     # A key of 8 characters meets few mints; the label's ends settle the rest.
-    x = keys.join(mints, ["n", "key"]).where(F.startswith("mint", F.col("begin")) & F.endswith("mint", F.col("end")))
+    x = keys.join(by_key(mints), ["n", "key"]).where(F.startswith("mint", F.col("begin")) & F.endswith("mint", F.col("end")))
     g = x.groupBy("text").agg(F.count("*").alias("n"), F.sum(F.col("known").cast("int")).alias("k"), _best().alias("token"))
     return g.where("n = 1 or k = 1").select("text", "token")
 
@@ -178,10 +195,10 @@ def asset_labels(ledger: DataFrame, registry: DataFrame, chain: str = "solana")
     keys = cut(keys.select("k.*", "chain").where("asset <> ''").groupBy("asset").agg(F.min(F.nullif("seen", F.lit(""))).alias("seen"), F.max("chain").alias("chain")))
     texts = keys.select(F.col("asset").alias("text"))
     token = registry.select(F.col("mint").alias("_m"), F.struct("mint", "symbol", "name").alias("t"))
-    x = keys.withColumn("_text", F.trim("asset")).join(resolved_labels(texts, registry).select(F.col("text").alias("asset"), F.col("token").alias("_label")), "asset", "left")
-    x = x.join(resolved_fragments(texts, registry).select(F.col("text").alias("_text"), F.col("token").alias("_fragment")), "_text", "left")
-    x = x.join(token.withColumnRenamed("t", "_seen"), F.col("seen") == F.col("_m"), "left").drop("_m").join(token.withColumnRenamed("t", "_whole"), F.col("_text") == F.col("_m"), "left").drop("_m")
-    x = x.withColumn("_sym", F.upper("_text")).join(by_symbol(registry).select(F.col("symbol").alias("_sym"), F.col("token").alias("_symbol")), "_sym", "left")
+    x = keys.withColumn("_text", F.trim("asset")).join(by_key(resolved_labels(texts, registry).select(F.col("text").alias("asset"), F.col("token").alias("_label"))), "asset", "left")
+    x = x.join(by_key(resolved_fragments(texts, registry).select(F.col("text").alias("_text"), F.col("token").alias("_fragment"))), "_text", "left")
+    x = x.join(by_key(token.withColumnRenamed("t", "_seen")), F.col("seen") == F.col("_m"), "left").drop("_m").join(by_key(token.withColumnRenamed("t", "_whole")), F.col("_text") == F.col("_m"), "left").drop("_m")
+    x = x.withColumn("_sym", F.upper("_text")).join(by_key(by_symbol(registry).select(F.col("symbol").alias("_sym"), F.col("token").alias("_symbol"))), "_sym", "left")
 
     def shown(t: str) -> Column:
         return F.struct(F.col(f"{t}.symbol").alias("symbol"), _display(F.col(f"{t}.symbol"), F.col(f"{t}.name")).alias("name"), F.col(f"{t}.mint").alias("mint"))

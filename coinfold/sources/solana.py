@@ -87,9 +87,9 @@ def quantity(raw: Column, decimals: Column, multiplier: Column, value: Column) -
 def _tokens(x: DataFrame, registry: DataFrame) -> DataFrame:
     """Rows with `found`, the registry's token of their mint or ticker; each mint and ticker is looked up once."""
     keys = stored(x.select("_m", "_text").distinct())
-    mints = keys.where("_m is not null").select("_m").distinct().join(registry.select(F.col("mint").alias("_m"), F.struct("mint", "symbol", "name").alias("_mt")), "_m")
+    mints = keys.where("_m is not null").select("_m").distinct().join(G.by_key(registry.select(F.col("mint").alias("_m"), F.struct("mint", "symbol", "name").alias("_mt"))), "_m")
     texts = keys.where("_text is not null").select(F.col("_text").alias("text")).distinct()
-    by_ticker = texts.join(G.by_symbol(registry), F.upper(F.trim("text")) == F.col("symbol")).select("text", F.col("token").alias("t1"))
+    by_ticker = texts.join(G.by_key(G.by_symbol(registry)), F.upper(F.trim("text")) == F.col("symbol")).select("text", F.col("token").alias("t1"))
     by_prefix = G.resolved_fragments(texts, registry).select("text", F.col("token").alias("t2"))
     names = texts.join(by_ticker, "text", "left").join(by_prefix, "text", "left").select(F.col("text").alias("_text"), F.coalesce("t1", "t2").alias("_t")).where("_t is not null")
     x = look_up(look_up(x, stored(mints), "_m"), stored(names), "_text")
