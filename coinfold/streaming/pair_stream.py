@@ -20,16 +20,22 @@ PAIRS = "asset string, out_id string, in_id string, pair_id string"
 
 
 def streamed_candidates(legs: DataFrame, window_hours: float = 48, delay: str = "1 day") -> DataFrame:
-    """(asset, out_ts, out_id, in_id, in_at, score) of a stream of ledger rows, by an interval join that both watermarks bound."""
+    """(asset, out_ts, out_id, in_id, in_at, score) of a stream of ledger rows, by an interval join that both watermarks bound.
+
+    The join's key is the asset and a bucket of time of the window's length, in which a leg in stands with its neighbours too: a leg meets the legs
+    of three windows in the state, not all that its asset has.
+    """
     t = legs.where("transaction_type = 'TRANSFER' and transfer_pair_id is null and amount > 0 and id is not null")
     side = lambda way, k: t.where(F.col("transfer_direction") == way).select(
         F.col("asset").alias(f"{k}_asset"), F.col("id").alias(f"{k}_id"), F.col("source").alias(f"{k}_source"), F.col("timestamp").alias(f"{k}_ts"), F.col("amount").alias(f"{k}_amount")
-    ).withWatermark(f"{k}_ts", delay)
+    ).withWatermark(f"{k}_ts", delay).withColumn(f"{k}_bucket", F.floor(F.unix_micros(f"{k}_ts") / 1e6 / (window_hours * 3600)))
+    b = F.col("in_bucket")
+    into = side("IN", "in").withColumn("in_bucket", F.explode(F.array(b - 1, b, b + 1)))
     fee, at = F.col("out_amount") - F.col("in_amount"), lambda k: F.unix_micros(f"{k}_ts") / 1e6
     near = F.expr(f"in_ts >= out_ts - interval {int(window_hours * 3600)} seconds and in_ts <= out_ts + interval {int(window_hours * 3600)} seconds")
     fits = (F.col("in_amount") <= F.col("out_amount") * 1.0005) & (fee <= F.greatest(F.col("out_amount") * 0.01, F.lit(1e-8))) & (fee <= F.col("out_amount") * 0.02)
     other = F.coalesce(F.col("out_source") != F.col("in_source"), F.lit(True))
-    x = side("OUT", "out").join(side("IN", "in"), (F.col("out_asset") == F.col("in_asset")) & near & fits & other)
+    x = side("OUT", "out").join(into, (F.col("out_asset") == F.col("in_asset")) & (F.col("out_bucket") == F.col("in_bucket")) & near & fits & other)
     score = F.abs(fee) * 1e6 + F.abs(at("in") - at("out"))
     return x.select(F.col("out_asset").alias("asset"), "out_ts", "out_id", "in_id", at("in").alias("in_at"), at("out").alias("out_at"), score.alias("score"))
 

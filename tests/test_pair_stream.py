@@ -53,3 +53,13 @@ def test_pairs_come_as_the_watermark_passes(spark, tmp_path):
         seen.append(spark.read.schema(PS.PAIRS).parquet(f"{tmp_path}/out").count())
     assert pairs(spark.read.schema(PS.PAIRS).parquet(f"{tmp_path}/out")) == pairs(P.transfer_pairs(ledger(spark, rows), 24))
     assert 0 < seen[1] < seen[-1]
+
+
+def test_join_key_has_a_time_bucket(spark, tmp_path):
+    """Legs of one asset over years don't all meet in the state of one key."""
+    one = spark.newSession()
+    rows = spark.createDataFrame([], LEDGER)
+    rows.write.parquet(f"{tmp_path}/legs")
+    c = PS.streamed_candidates(one.readStream.schema(rows.schema).parquet(f"{tmp_path}/legs"), 24)
+    join = next(line for line in c._jdf.queryExecution().analyzed().toString().splitlines() if "Join" in line)
+    assert "out_bucket" in join and "in_bucket" in join
