@@ -13,6 +13,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,10 @@ _RUNS = re.compile(r"(?<!\s)\s{%d,}+" % LONG_RUN)
 _loaded: dict[str, object] = {}
 
 
-def encoder(vocabulary: bytes):
+def encoder(vocabulary: bytes | str):
+    """The tokenizer of a vocabulary, given as its bytes or as the path of its file."""
+    if isinstance(vocabulary, str):
+        vocabulary = Path(vocabulary).read_bytes()
     key = hashlib.sha256(vocabulary).hexdigest()
     if key not in _loaded:
         import tiktoken
