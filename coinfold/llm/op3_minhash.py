@@ -214,11 +214,12 @@ def minhash_dedup(
     # Of rows that repeat an id the one of least set key counts. Exact copies collapse to the least id.
     one = sig.where("id is not null and n > 0").groupBy("id").agg(F.min(F.struct("set_key", "colls")).alias("x")).select("id", "x.*")
     total = sig.count()
-    reps = one.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("colls").alias("colls"))
-    of = attach(one.select("id", "set_key"), ["set_key"], total, rep=F.min("id")).select("id", "rep")
+    # What `attach` is given is cut: it names its input four times, and nested calls would give the driver one plan of hundreds of steps.
+    reps = cut(one.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("colls").alias("colls")))
+    of = cut(attach(one.select("id", "set_key"), ["set_key"], total, rep=F.min("id")).select("id", "rep"))
     values = reps.select("rep", F.posexplode("colls").alias("c", "h"))
     shared = attach(values, ["c", "h"], m * total, k=F.count("*")).where("k > 1")
-    mine = shared.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("v")).where(F.size("v") > 1)
+    mine = cut(shared.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("v")).where(F.size("v") > 1))
     pair = "flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> xxhash64(x.c, x.h, y.c, y.h))))"
     keys = mine.select("rep", F.explode(F.expr(pair)).alias("key"))
     bucket = attach(keys, ["key"], m * (m - 1) // 2 * total, centre=F.min("rep"), k=F.count("*")).where("k > 1")
