@@ -53,10 +53,11 @@ def dedup(ledger: DataFrame) -> DataFrame:
     def first(df: DataFrame, keys: list, order: list) -> DataFrame:
         return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
-    content = ["timestamp", "asset", "transaction_type", F.round("amount", 8), F.round("fiat_value_at_trigger", 2), "source", "transfer_direction", "trade_group_id", "instrument"]
-    x = first(first(ledger, ["id"], best), content, best)
-    chained = first(x.where("on_chain_tx_id is not null"), ["on_chain_tx_id", "asset", "transaction_type", "transfer_direction", F.round("amount", 8), "source"], ["seq", "id"])
-    return chained.unionByName(x.where("on_chain_tx_id is null"))
+    # The rounded amount is a column of its own, so both branches below need the same columns of the rows dealt by content, which are then dealt once for both.
+    content = ["timestamp", "asset", "transaction_type", "_amount", F.round("fiat_value_at_trigger", 2), "source", "transfer_direction", "trade_group_id", "instrument"]
+    x = first(first(ledger.withColumn("_amount", F.round("amount", 8)), ["id"], best), content, best)
+    chained = first(x.where("on_chain_tx_id is not null"), ["on_chain_tx_id", "asset", "transaction_type", "transfer_direction", "_amount", "source"], ["seq", "id"])
+    return chained.unionByName(x.where("on_chain_tx_id is null")).drop("_amount")
 
 
 def new_rows(incoming: DataFrame, present: DataFrame) -> DataFrame:
