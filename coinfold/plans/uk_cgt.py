@@ -100,26 +100,34 @@ def _fold(asset: str | None, events: list[tuple]) -> list[tuple]:
     return rows
 
 
+#: Rows go out in batches of about this many, of many assets each; a batch for each asset costs more than its fold.
+BATCH = 8192
+
+
 def _folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Folds asset by asset what Spark sorted by asset; decimals go in and out as text."""
     getcontext().prec = 60  # quantities of 26 digits with 12 places, times values
     kinds = [pa.date32() if c.endswith(" date") else pa.string() for c in TEXTS.split(", ")]
     names = [c.split()[0] for c in TEXTS.split(", ")]
 
-    def folded(asset: str | None, events: list[tuple]) -> pa.RecordBatch:
-        cols = [[v if v is None or not isinstance(v, Decimal) else str(round(v, 12)) for v in c] for c in zip(*_fold(asset, events), strict=True)] or [[]] * len(names)
+    def folded(rows: list[tuple]) -> pa.RecordBatch:
+        cols = [[str(round(v, 12)) if isinstance(v, Decimal) else v for v in c] for c in zip(*rows, strict=True)] or [[]] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    asset, events = None, []
+    asset, events, rows = None, [], []
     for b in batches:
         for name, *event in zip(*[b.column(c).to_pylist() for c in ("asset", "day", "kind", "quantity", "value", "ids")], strict=True):
             if events and name != asset:
-                yield folded(asset, events)
+                rows += _fold(asset, events)
                 events = []
+                if len(rows) >= BATCH:
+                    yield folded(rows)
+                    rows = []
             asset = name
             events.append(tuple(event))
     if events:
-        yield folded(asset, events)
+        rows += _fold(asset, events)
+    yield folded(rows)
 
 
 #: `ROWS` with decimals as text.

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.session import compiled_only
+
 DAY_MS = 86_400_000
 WINDOW = 30
 EPS = Decimal("1e-9")
@@ -164,6 +166,7 @@ def replayed(spark: SparkSession, legs: DataFrame, folder: str, delay: str = "2
     asset's far beyond the others, so that every timer fires."""
     one = spark.newSession()  # the state store's setting is the stream's own
     one.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    compiled_only(one)
     legs.write.parquet(f"{folder}/legs")
     end = legs.agg(F.max("timestamp").alias("t")).where("t is not null").select(F.lit("end").alias("id"), F.lit("").alias("asset"), (F.col("t") + F.expr("interval 400 days")).alias("timestamp"))
     end = end.select("id", "asset", "timestamp", F.to_date("timestamp").alias("day"), F.lit("A").alias("kind"), F.lit(1).cast("decimal(38,8)").alias("quantity"), F.lit(0).cast("decimal(38,12)").alias("value"))
