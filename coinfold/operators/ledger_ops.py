@@ -6,20 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.lineage import cut
+from ..functions.spread import look_up
 
 
 def with_rate(ledger: DataFrame, to_ccy: str = "GBP", rates: DataFrame | None = None) -> DataFrame:
     """The ledger with `from_ccy`, `fx_day` and `fx_rate` to the reporting currency: the day's rate from `rates` (day, from_ccy, rate), else the fallback.
 
-    Days are the UK's for GBP and UTC's for others. A currency's rate to itself is 1.
+    Days are the UK's for GBP and UTC's for others. A currency's rate to itself is 1. The rates are few and counted, so the ledger isn't dealt by
+    day for them; Spark's own estimate takes them for as large as the table they come from.
     """
     day = S.uk_day(F.col("timestamp")) if to_ccy == "GBP" else F.to_date("timestamp")
     x = ledger.withColumns({"from_ccy": S.resolve_currency(F.col("fiat_currency"), F.col("source")), "fx_day": day})
     fixed = S.fixed_rate(F.col("from_ccy"), to_ccy)
     if rates is None:
         return x.withColumn("fx_rate", fixed)
-    r = rates.where(F.col("from_ccy") != to_ccy).groupBy(F.col("day").alias("fx_day"), "from_ccy").agg(F.max("rate").cast("decimal(12,8)").alias("_day_rate"))
-    return x.join(r, ["fx_day", "from_ccy"], "left").withColumn("fx_rate", F.coalesce("_day_rate", fixed)).drop("_day_rate")
+    r = cut(rates.where(F.col("from_ccy") != to_ccy).groupBy(F.col("day").alias("fx_day"), "from_ccy").agg(F.max("rate").cast("decimal(12,8)").alias("_day_rate")))
+    return look_up(x, r, ["fx_day", "from_ccy"]).withColumn("fx_rate", F.coalesce("_day_rate", fixed)).drop("_day_rate")
 
 
 def reporting_value(ledger: DataFrame, to_ccy: str = "GBP", rates: DataFrame | None = None) -> DataFrame:

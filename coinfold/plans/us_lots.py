@@ -60,13 +60,17 @@ def _by_heat(e: DataFrame, hot_legs: int) -> tuple[DataFrame, DataFrame | None]:
 
 
 def _fifo_by_asset(events: DataFrame) -> DataFrame:
-    """The matches of `_fifo_by_slices` with windows over whole assets, on one dealing of the rows."""
-    d, s = _stretches(events)
-    return _covered(s).unionByName(_uncovered(d))
+    """The matches of `_fifo_by_slices` with windows over whole assets, on one dealing of the rows, which are read and sorted once for both kinds of match."""
+    s = _stretches(events, ("id", "timestamp", "qty_u", "value_c")).withColumn("q", _taken())
+    both = F.array(F.when(_is_covered(), F.struct("asset", *_covered_part())), F.when(F.col("own").isNotNull(), F.struct("asset", *_bare_part("own."))))
+    return s.select(F.explode(F.array_compact(both)).alias("m")).select("m.*")
+
 
+def _stretches(events: DataFrame, of_out: tuple[str, ...] = ()) -> DataFrame:
+    """The stretches (asset, pos, lot, out, next, own) of each asset's axis, dealt by asset; `own` is the row that begins one, if no lot covers part of it.
 
-def _stretches(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Events with what no lot covers of them, and the stretches (asset, pos, lot, out, next) of each asset's axis, dealt by asset."""
+    Disposals that no lot covers at all come first, without a lot; they take nothing of the axis. `of_out`: what is wanted of disposals besides their end.
+    """
     dec = lambda c: c.cast("decimal(38,0)")
     w = Window.partitionBy("asset").orderBy("timestamp", "gid", F.col("sign").desc(), "id")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -74,13 +78,15 @@ def _stretches(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     e = e.withColumn("u", dec(F.greatest(F.lit(0), -F.min("net").over(run))))
     bare = dec(F.when(F.col("sign") < 0, F.col("u") - F.coalesce(F.lag("u").over(w), F.lit(0))).otherwise(0))
     d = e.withColumn("bare", bare).withColumn("len", dec(F.col("qty_u") - F.col("bare"))).drop("net", "u")
-    inside = Window.partitionBy("asset", "sign").orderBy("timestamp", "gid", "id").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("end", dec(F.sum("len").over(inside))).withColumn("pos", dec(F.col("end") - F.col("len")))
-    it = F.struct("id", "timestamp", "qty_u", "value_c", "end")
-    o = Window.partitionBy("asset").orderBy("pos", "sign")
+    # Lots and disposals each lie end to end, in the order of the same sort.
+    lots, outs = (F.sum(F.when(side, F.col("len")).otherwise(0)).over(run) for side in (F.col("sign") > 0, F.col("sign") < 0))
+    d = d.withColumn("end", dec(F.when(F.col("sign") > 0, lots).otherwise(outs))).withColumn("pos", dec(F.col("end") - F.col("len")))
+    live = F.col("len") > 0
+    lot, out = F.when(live & (F.col("sign") > 0), F.struct("id", "timestamp", "qty_u", "value_c", "end")), F.when(live & (F.col("sign") < 0), F.struct(*of_out, "end"))
+    d = d.select("asset", "pos", "sign", live.alias("live"), lot.alias("lot"), out.alias("out"), F.when(F.col("bare") > 100, F.struct("id", "timestamp", "qty_u", "value_c", "bare")).alias("own"))
+    o = Window.partitionBy("asset").orderBy("live", "pos", "sign")
     seen = o.rowsBetween(Window.unboundedPreceding, 0)
-    s = d.where("len > 0").select("asset", "pos", F.last(F.when(F.col("sign") > 0, it), True).over(seen).alias("lot"), F.last(F.when(F.col("sign") < 0, it), True).over(seen).alias("out"), F.lead("pos").over(o).alias("next"))
-    return d, s
+    return d.select("asset", "pos", F.last("lot", True).over(seen).alias("lot"), F.last("out", True).over(seen).alias("out"), F.lead("pos").over(o).alias("next"), "own")
 
 
 def _taken() -> Column:
@@ -88,20 +94,35 @@ def _taken() -> Column:
     return (F.least("next", "lot.end", "out.end") - F.col("pos")).cast("decimal(38,0)")
 
 
+def _is_covered() -> Column:
+    return F.col("lot").isNotNull() & F.col("out").isNotNull() & (F.col("q") > F.lit(100))
+
+
+def _covered_part() -> list[Column]:
+    """A match but for its asset, of a stretch (lot, out, q)."""
+    return [
+        F.col("out.id").alias("disposal_id"), F.col("lot.id").alias("lot_id"), F.col("lot.timestamp").alias("acquired"), F.col("out.timestamp").alias("disposed"), F.col("q").alias("qty_u"),
+        S.share(F.col("out.value_c"), F.col("q"), F.col("out.qty_u")).alias("proceeds_c"), S.share(F.col("lot.value_c"), F.col("q"), F.col("lot.qty_u")).alias("cost_c"),
+    ]
+
+
+def _bare_part(at: str = "") -> list[Column]:
+    """A match but for its asset, of what no lot covers of a disposal."""
+    c = lambda n: F.col(at + n)
+    return [
+        c("id").alias("disposal_id"), F.lit(None).cast("string").alias("lot_id"), F.lit(None).cast("timestamp").alias("acquired"), c("timestamp").alias("disposed"), c("bare").alias("qty_u"),
+        S.share(c("value_c"), c("bare"), c("qty_u")).alias("proceeds_c"), F.lit(0).cast("decimal(38,0)").alias("cost_c"),
+    ]
+
+
 def _covered(s: DataFrame) -> DataFrame:
     """Matches from stretches (asset, pos, lot, out, next) of the axis."""
-    return s.withColumn("q", _taken()).where(F.col("lot").isNotNull() & F.col("out").isNotNull() & (F.col("q") > F.lit(100))).select(
-        "asset", F.col("out.id").alias("disposal_id"), F.col("lot.id").alias("lot_id"), F.col("lot.timestamp").alias("acquired"), F.col("out.timestamp").alias("disposed"), F.col("q").alias("qty_u"),
-        S.share(F.col("out.value_c"), F.col("q"), F.col("out.qty_u")).alias("proceeds_c"), S.share(F.col("lot.value_c"), F.col("q"), F.col("lot.qty_u")).alias("cost_c"),
-    )
+    return s.withColumn("q", _taken()).where(_is_covered()).select("asset", *_covered_part())
 
 
 def _uncovered(d: DataFrame) -> DataFrame:
     """What no lot covers of the disposals."""
-    return d.where("bare > 100").select(
-        "asset", F.col("id").alias("disposal_id"), F.lit(None).cast("string").alias("lot_id"), F.lit(None).cast("timestamp").alias("acquired"), F.col("timestamp").alias("disposed"), F.col("bare").alias("qty_u"),
-        S.share(F.col("value_c"), F.col("bare"), F.col("qty_u")).alias("proceeds_c"), F.lit(0).cast("decimal(38,0)").alias("cost_c"),
-    )
+    return d.where("bare > 100").select("asset", *_bare_part())
 
 
 def _fifo_by_slices(events: DataFrame, slice_by: str, axis_slices: int) -> DataFrame:
@@ -257,10 +278,9 @@ def fifo_open_lots(events: DataFrame, hot_legs: int = HOT_LEGS) -> DataFrame:
     """
     timed = "asset is not null and timestamp is not null"
     cold, hot = _by_heat(events.where(timed), hot_legs)
-    took = F.col("lot").isNotNull() & F.col("out").isNotNull() & (F.col("q") > F.lit(100))
-    x = _stretches(cold)[1].where("lot is not null").withColumn("q", _taken())
+    x = _stretches(cold).where("lot is not null").withColumn("q", _taken())
     x = x.groupBy("asset", F.col("lot.id").alias("id"), F.col("lot.end").alias("end")).agg(
-        F.first("lot.timestamp").alias("timestamp"), F.first("lot.qty_u").alias("qty_u"), F.first("lot.value_c").alias("value_c"), F.sum(F.when(took, F.col("q"))).alias("used")
+        F.first("lot.timestamp").alias("timestamp"), F.first("lot.qty_u").alias("qty_u"), F.first("lot.value_c").alias("value_c"), F.sum(F.when(_is_covered(), F.col("q"))).alias("used")
     )
     loose = events.where(f"sign > 0 and not ({timed})").select("asset", "id", "timestamp", "qty_u", "value_c", F.lit(None).cast("decimal(38,0)").alias("used"))
     out = _left(x.drop("end").unionByName(loose))
