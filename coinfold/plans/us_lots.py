@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.lineage import cut
+from ..functions.spread import running
 from ..operators.ledger_ops import with_rate
 
 
@@ -296,9 +297,9 @@ def positions(lots: DataFrame, prices: DataFrame) -> DataFrame:
 
 def harvest_uk(pos: DataFrame, band: float = 37700.0, basic: float = 0.18, higher: float = 0.24) -> DataFrame:
     """Losses from the largest; each fills what is left of the unused basic-rate band first."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("loss").desc(), "asset").rowsBetween(Window.unboundedPreceding, -1)
     x = pos.where("unrealized < 0").select("asset", (-F.col("unrealized")).cast("decimal(20,2)").alias("loss"))
-    x = x.withColumn("at_basic", F.least("loss", F.greatest(F.lit(band).cast("decimal(20,2)") - F.coalesce(F.sum("loss").over(w), F.lit(0)), F.lit(0))).cast("decimal(20,2)"))
+    x = running(cut(x), [F.col("loss").desc(), F.col("asset")], before="loss")
+    x = x.withColumn("at_basic", F.least("loss", F.greatest(F.lit(band).cast("decimal(20,2)") - F.col("before"), F.lit(0))).cast("decimal(20,2)"))
     save = F.round(F.col("at_basic") * F.lit(basic).cast("decimal(4,2)") + (F.col("loss") - F.col("at_basic")) * F.lit(higher).cast("decimal(4,2)"), 2)
     return x.select("asset", F.col("loss").cast("double").alias("loss"), F.col("at_basic").cast("double").alias("at_basic"), save.cast("double").alias("tax_saved"))
 

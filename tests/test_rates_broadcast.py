@@ -42,3 +42,15 @@ def test_disposals_without_lots_take_no_axis(spark):
         assert {(r.disposal_id, r.lot_id, int(r.qty_u)) for r in m} == want and len(m) == len(want)
         assert all(r.proceeds_c == 2 * r.qty_u and r.cost_c == (2 * r.qty_u if r.lot_id else 0) for r in m)
         assert [(r.id, int(r.qty_u)) for r in US.fifo_open_lots(e, hot_legs=n).collect()] == [("l2", 650)]
+
+
+def test_harvest_gathers_no_losses(spark):
+    """Losses are ranked in ranges: only the totals of the ranges meet in one task."""
+    pos = spark.createDataFrame([(f"P{i}", -float(i % 900)) for i in range(2000)], "asset string, unrealized double")
+    h = US.harvest_uk(pos, band=100_000.0)
+    rows, left = sorted(h.collect(), key=lambda r: (-r.loss, r.asset)), 100_000.0
+    assert len(rows) == 1997
+    for r in rows:
+        assert r.at_basic == min(r.loss, left) and abs(r.tax_saved - 0.18 * r.at_basic - 0.24 * (r.loss - r.at_basic)) < 0.006
+        left -= r.at_basic
+    assert "_w0" not in (text := _final(h)) and text.count("Window [") == 2 and "__part" in text
