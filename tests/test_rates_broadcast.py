@@ -27,7 +27,7 @@ def test_rates_dont_deal_the_ledger(spark):
 
 
 def test_events_are_sorted_twice_only(spark):
-    """In order of time and along the axis; each sort held all rows of a task, and there were six."""
+    """In order of time and along the axis; each sort held all rows of a task, and there were four."""
     text = _final(US.fifo_matches(US.lot_events(ledger_from_tpch(spark, SF), "USD")))
     assert text.count("Sort [") == 2
 
