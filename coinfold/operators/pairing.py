@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left, insort
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -190,47 +190,219 @@ def earliest(out: DataFrame, into: DataFrame, before: float, after: float, toler
     return x.mapInPandas(_walk_legs(before, after, tolerance, other), "asset string, out_id string, in_id string, pair_id string")
 
 
-def transfer_pairs(ledger: DataFrame, window_hours: float = 48) -> DataFrame:
-    """Each leg out, in order of time, takes the unused leg in of best score. Candidates never cross assets, so assets are apart."""
-    return assigned(transfer_candidates(ledger, window_hours), "asset", seconds=window_hours * HOURS)
+class _Line:
+    """Unused legs in of one amount and mark, by time, those of one time by id. A time without any is stepped over by links to the next that has some, either way."""
+
+    def __init__(self) -> None:
+        self.times: list[float] = []
+        self.ids: list[deque] = []
+        self.later: list[int] = []
+        self.sooner: list[int] = []
+        self.begin = 0
+        self.left = 0
+
+    def put(self, at: float, ident: str) -> None:
+        if not self.times or self.times[-1] != at:
+            n = len(self.times)
+            self.times.append(at)
+            self.ids.append(deque())
+            self.later.append(n)
+            self.sooner.append(n)
+        self.ids[-1].append(ident)
+        self.left += 1
+
+    @staticmethod
+    def _end(links: list[int], i: int) -> int:
+        """Follows links from `i` to a time that has legs, or beyond the ends, and shortens the way."""
+        j = i
+        while 0 <= j < len(links) and links[j] != j:
+            j = links[j]
+        while i != j:
+            links[i], i = j, links[i]
+        return j
+
+    def pop(self, i: int) -> None:
+        self.ids[i].popleft()
+        self.left -= 1
+        if not self.ids[i]:
+            self.later[i], self.sooner[i] = i + 1, i - 1
+
+    def around(self, at: float, before: float, after: float, away: float, used: set[str]) -> tuple[float, str, int] | None:
+        """(score, id, place) of the best leg for one at `at`; `away` is what the amounts add to the score."""
+        best = None
+        middle = bisect_left(self.times, at, self.begin)
+        for start, links, step, most in ((middle, self.later, 1, after), (middle - 1, self.sooner, -1, before)):
+            i = self._end(links, start)
+            while self.begin <= i < len(self.times) and abs(self.times[i] - at) <= most:
+                while self.ids[i] and self.ids[i][0] in used:
+                    self.pop(i)
+                if self.ids[i]:
+                    found = (away + abs(self.times[i] - at), self.ids[i][0], i)
+                    if best is not None and found[0] > best[0]:
+                        break  # scores don't fall with distance; equal ones come of rounding
+                    if best is None or found < best:
+                        best = found
+                i = self._end(links, i + step)
+        return best
+
+    def forget(self, at: float, before: float) -> None:
+        """Drops times over `before` seconds before `at`."""
+        while self.begin < len(self.times) and at - self.times[self.begin] > before:
+            self.left -= len(self.ids[self.begin])
+            self.ids[self.begin] = deque()
+            self.begin += 1
+        if self.begin > 1000 and 2 * self.begin > len(self.times):
+            self.times, self.ids, self.begin = self.times[self.begin :], self.ids[self.begin :], 0
+            self.later = [i if x else i + 1 for i, x in enumerate(self.ids)]
+            self.sooner = [i if x else i - 1 for i, x in enumerate(self.ids)]
+
+
+class Nearest:
+    """The unused legs in of one key that a leg out can still take. A leg out looks at the nearest in time of each amount that fits, so candidates,
+    whose number grows with the square of a key's legs, are never made."""
+
+    def __init__(self, before: float, after: float, other: bool):
+        self.before, self.after, self.other = before, after, other
+        self.amounts: list[float] = []
+        self.lines: dict[float, dict[str | None, _Line]] = {}
+        self.order: deque = deque()
+        self.used: set[str] = set()
 
+    def put(self, at: float, ident: str, amount: float, mark: str | None) -> None:
+        if amount not in self.lines:
+            insort(self.amounts, amount)
+            self.lines[amount] = {}
+        self.lines[amount].setdefault(mark, _Line()).put(at, ident)
+        if self.before != float("inf"):
+            self.order.append((at, ident, amount, mark))
+
+    def _tidy(self, amount: float, mark: str | None) -> None:
+        """Forgets a line without legs."""
+        marks = self.lines[amount]
+        if not marks[mark].left:
+            del marks[mark]
+            if not marks:
+                del self.lines[amount]
+                del self.amounts[bisect_left(self.amounts, amount)]
 
-def _legs(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Unpaired transfers out and in, with what both kinds of pairing below compare."""
-    t = ledger.where("transaction_type = 'TRANSFER' and transfer_pair_id is null and amount > 0")
-    group = F.coalesce(F.nullif("on_chain_tx_id", F.lit("")), F.nullif("trade_group_id", F.lit("")))
-    side = lambda way, k: t.where(F.col("transfer_direction") == way).select(
-        "asset", F.col("id").alias(f"{k}_id"), F.col("source").alias(f"{k}_source"), (F.unix_micros("timestamp") / 1e6).alias(f"{k}_at"), F.col("amount").alias(f"{k}_amount"), group.alias(f"{k}_group")
-    )
-    return side("OUT", "out"), side("IN", "in")
+    def take(self, at: float, amounts: Sequence[tuple[float, str | None]]) -> str | None:
+        """The leg in of least score, of equal ones the least id, for a leg out of such amounts and marks (of one, but for repeated rows); legs out come in order of time."""
+        while self.order and at - self.order[0][0] > self.before:
+            _, ident, a, m = self.order.popleft()
+            self.used.discard(ident)
+            if line := self.lines.get(a, {}).get(m):
+                line.forget(at, self.before)
+                self._tidy(a, m)
+        best: tuple | None = None
+        for amount, mark in amounts:
+            i = bisect_left(self.amounts, amount)
+            for near in (range(i, len(self.amounts)), range(i - 1, -1, -1)):
+                for j in near:
+                    a = self.amounts[j]
+                    away = abs(amount - a) * 1e6
+                    if not fits(amount, a) or (best is not None and away > best[0][0]):
+                        break
+                    for m, line in self.lines[a].items():
+                        if self.other and m == mark and m is not None:
+                            continue
+                        got = line.around(at, self.before, self.after, away, self.used)
+                        if got is not None and (best is None or got[:2] < best[0][:2]):
+                            best = (got, a, m)
+        if best is None:
+            return None
+        (_, ident, i), a, m = best
+        self.lines[a][m].pop(i)
+        self._tidy(a, m)
+        self.used.add(ident)
+        return ident
 
 
-def _fits() -> F.Column:
-    fee = F.col("out_amount") - F.col("in_amount")
-    return (F.col("in_amount") <= F.col("out_amount") * 1.0005) & (fee <= F.greatest(F.col("out_amount") * 0.01, F.lit(1e-8))) & (fee <= F.col("out_amount") * 0.02)
+def fits(out_amount: float, in_amount: float) -> bool:
+    """Whether a leg in may be what a leg out sent, less a fee."""
+    fee = out_amount - in_amount
+    return in_amount <= out_amount * 1.0005 and fee <= max(out_amount * 0.01, 1e-8) and fee <= out_amount * 0.02
+
+
+def chosen(waits: deque, legs: Nearest, now: float | None) -> Iterator[tuple[str, str]]:
+    """(out_id, in_id) of the legs out, (at, id, amount, mark) in order of time, that no leg in from `now` on can fit; of all, if no time is given."""
+    while waits and (now is None or now - waits[0][0] > legs.after):
+        at, ident = waits[0][:2]
+        amounts = []
+        while waits and waits[0][:2] == (at, ident):
+            amounts.append(waits.popleft()[2:])
+        if (got := legs.take(at, amounts)) is not None:
+            yield ident, got
+
+
+def _walk_nearest(keys: list[str], before: float, after: float, other: bool):
+    """Walks legs in order of key and time. A leg out waits until no leg in that it may take can come; of a key only the window's legs are held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: tuple | None = None
+        coin = ""
+        waits: deque = deque()
+        legs = Nearest(before, after, other)
+        last = None
+        pairs = lambda now: [(coin, o, i, f"pair-{o}") for o, i in chosen(waits, legs, now)]
+        for pdf in batches:
+            rows: list[tuple] = []
+            names = zip(*[pdf[k].tolist() for k in keys], strict=True)
+            for own, asset, ident, at, amount, mark, out in zip(names, *[pdf[c].tolist() for c in ("asset", "id", "at", "amount", "mark", "out")], strict=True):
+                if own != key:
+                    rows += pairs(None)
+                    key, coin, legs, last = own, asset, Nearest(before, after, other), None
+                if waits:
+                    rows += pairs(at)
+                if (at, ident, amount, mark, out) == last:
+                    continue
+                last = (at, ident, amount, mark, out)
+                if out:
+                    waits.append((at, ident, amount, mark if other else None))
+                else:
+                    legs.put(at, ident, amount, mark if other else None)
+            yield pd.DataFrame(rows, columns=["asset", "out_id", "in_id", "pair_id"])
+        yield pd.DataFrame(pairs(None), columns=["asset", "out_id", "in_id", "pair_id"])
+
+    return run
+
+
+def nearest(legs: DataFrame, *keys: str, before: float = float("inf"), after: float = float("inf"), other: bool = False) -> DataFrame:
+    """(asset, out_id, in_id, pair_id): within each asset and key, each leg out, in order of time, takes the unused leg in of least score (amounts and
+    times apart) from `before` seconds before to `after` seconds after it, if its amount fits; with `other` of another mark, or of none.
+
+    Legs: asset, id, at (seconds), amount, mark, out, and the keys, of which null is one. They are dealt by asset and key, sorted by Spark and walked once: what
+    moves grows with the legs, not with the candidates. A task holds the legs in of a window, without a window those of a key. Rows
+    with a null asset, id, time or amount, and amounts that are no number, have no pair.
+    """
+    by = [*dict.fromkeys(["asset", *keys])]
+    x = legs.where("asset is not null and id is not null and at is not null and amount is not null and not isnan(amount) and out is not null")
+    x = x.select(*dict.fromkeys([*by, "id", "at", "amount", "mark", "out"]))
+    x = x.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, "at", "id", "out", "amount", "mark")
+    return x.mapInPandas(_walk_nearest(by, before, after, other), "asset string, out_id string, in_id string, pair_id string")
 
 
-def _scored(c: DataFrame, key: str, seconds: float | None = None) -> DataFrame:
-    score = F.abs(F.col("out_amount") - F.col("in_amount")) * 1e6 + F.abs(F.col("in_at") - F.col("out_at"))
-    return assigned(c.where(_fits()).withColumn("score", score), "asset", key, seconds=seconds)
+def _transfers(ledger: DataFrame) -> DataFrame:
+    """Unpaired transfers as legs; `group` is the on-chain id or else the trade group."""
+    group = F.coalesce(F.nullif("on_chain_tx_id", F.lit("")), F.nullif("trade_group_id", F.lit("")))
+    t = ledger.where("transaction_type = 'TRANSFER' and transfer_pair_id is null and amount > 0 and transfer_direction in ('OUT', 'IN')")
+    return t.select("asset", "id", (F.unix_micros("timestamp") / 1e6).alias("at"), F.col("amount").cast("double").alias("amount"), F.col("source").alias("mark"), (F.col("transfer_direction") == "OUT").alias("out"), group.alias("group"))
+
+
+def transfer_pairs(ledger: DataFrame, window_hours: float = 48) -> DataFrame:
+    """Each leg out, in order of time, takes the unused leg in of best score at another venue. Candidates never cross assets, so assets are apart."""
+    size = window_hours * HOURS
+    return nearest(_transfers(ledger), before=size, after=size, other=True)
 
 
 def on_chain_pairs(ledger: DataFrame) -> DataFrame:
     """Pairs of one asset under one on-chain id, or else trade group: of any venues and at any distance in time."""
-    out, into = _legs(ledger)
-    return _scored(out.join(into.withColumnRenamed("in_group", "out_group"), ["asset", "out_group"]), "out_group")
+    return nearest(_transfers(ledger).where("group is not null"), "group")
 
 
 def earn_pairs(ledger: DataFrame, days: float = EARN_DAYS) -> DataFrame:
     """Deposits to an earn account with the later withdrawals from it at the same venue."""
-    size = days * 24 * HOURS
-    out, into = _legs(ledger)
-    out = out.where(F.lower("out_id").rlike(EARN_OUT)).withColumn("bucket", F.floor(F.col("out_at") / size))
-    b = F.floor(F.col("in_at") / size)
-    into = into.where(F.lower("in_id").contains(EARN_IN)).withColumn("bucket", F.explode(F.array(b - 1, b))).withColumnsRenamed({"asset": "in_asset", "bucket": "in_bucket"})
-    same = (F.col("asset") == F.col("in_asset")) & (F.col("bucket") == F.col("in_bucket")) & F.col("out_source").eqNullSafe(F.col("in_source"))
-    wait = F.col("in_at") - F.col("out_at")
-    return _scored(out.join(into, same).where((wait >= 0) & (wait <= size)), "out_source", size)
+    deposit, back = F.col("out") & F.lower("id").rlike(EARN_OUT), ~F.col("out") & F.lower("id").contains(EARN_IN)
+    return nearest(_transfers(ledger).where(deposit | back), "mark", before=0, after=days * 24 * HOURS)
 
 
 def internal_transfers(ledger: DataFrame, window_hours: float = 48) -> DataFrame:
