@@ -1,19 +1,23 @@
-"""Transfers of a stream paired across venues: an interval join of two watermarked sides, then a one-to-one choice in state.
+"""Transfers of a stream paired across venues: a one-to-one choice among the legs in state, and their candidates by an interval join.
 
-The join keeps a leg only as long as a leg of the other side may still come within the window, and gives candidates as they meet. The choice
+The choice keeps a leg only as long as a leg of the other side may still come within the window. It
 waits for a leg out until the watermark says that all its candidates are there; then legs out, in order of time, take the
 unused leg in of least score, as `operators.pairing.transfer_pairs` does over a whole ledger.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.pairing import Nearest, chosen
+from .packed import PACKED, packed, unpacked
 from .uk_stream import STATE_STORE
 
 PAIRS = "asset string, out_id string, in_id string, pair_id string"
@@ -40,55 +44,68 @@ def streamed_candidates(legs: DataFrame, window_hours: float = 48, delay: str =
     return x.select(F.col("out_asset").alias("asset"), "out_ts", "out_id", "in_id", at("in").alias("in_at"), at("out").alias("out_at"), score.alias("score"))
 
 
+LEGS = pa.schema([("out", pa.bool_()), ("at", pa.float64()), ("id", pa.string()), ("amount", pa.float64()), ("mark", pa.string())])
+
+
 class Choice(StatefulProcessor):
-    """Candidates of legs out that may still get more, and the legs in that are taken and may still be asked for."""
+    """An asset's legs out that may still get more to choose from, the legs in that may still be asked for, and which of those are taken."""
 
     def __init__(self, seconds: float):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "out_at double, out_id string, in_id string, in_at double, score double")
-        self.used = handle.getListState("used", "in_id string, in_at double")
+        self.legs = handle.getListState("legs", PACKED)
+        self.used = handle.getListState("used", "id string, at double")
 
-    def _wake(self, rows: list[tuple]) -> None:
-        if rows:
-            self.handle.registerTimer(int(min(r[0] for r in rows) * 1000) + 1)
+    def _wake(self, at: float | None) -> None:
+        """A leg out is ready when the watermark is a window beyond it, a leg in of no more use after two."""
+        if at is not None:
+            self.handle.registerTimer(int((at + self.seconds) * 1000) + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [(r.out_at, r.out_id, r.in_id, r.in_at, r.score) for pdf in rows for r in pdf.itertuples(index=False)]
-        self.open.appendList(new)
-        self._wake(new)
+        pieces = [pdf[LEGS.names] for pdf in rows]
+        self.legs.appendList([packed(x, LEGS) for x in pieces])
+        self._wake(min(x["at"].min() for x in pieces))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() / 1000
-        rows = sorted(self.open.get(), key=lambda r: (r[0], r[1], r[4], r[2]))
-        ready, rest = [r for r in rows if r[0] < now], [tuple(r) for r in rows if r[0] >= now]
-        used = {r[0]: r[1] for r in self.used.get()}
-        done: set[str] = set()
-        out = []
-        for _, out_id, in_id, in_at, _ in ready:
-            if out_id not in done and in_id not in used:
-                done.add(out_id)
-                used[in_id] = in_at
-                out.append((key[0], out_id, in_id, f"pair-{out_id}"))
-        # A leg in that lies a window before all legs out to come is asked for no more.
-        kept = [(i, at) for i, at in used.items() if at >= now - self.seconds]
-        for state, values in ((self.open, rest), (self.used, kept)):
-            if values:
-                state.put(values)
+        legs = unpacked(self.legs.get(), LEGS).sort_values(["at", "id", "out"], kind="stable")
+        taken = {r[0]: r[1] for r in self.used.get()}
+        waits: deque = deque()
+        into, when = Nearest(self.seconds, self.seconds, other=True), {}
+        into.used = set(taken)
+        found: list[tuple[str, str]] = []
+        for out, *leg in zip(*[legs[c].tolist() for c in LEGS.names], strict=True):
+            found += chosen(waits, into, min(leg[0], now))  # legs out beyond the watermark wait for what may still come
+            if out:
+                waits.append(tuple(leg))
             else:
-                state.clear()
-        self._wake(rest)
-        yield pd.DataFrame(out, columns=["asset", "out_id", "in_id", "pair_id"])
+                into.put(*leg)
+                when[leg[1]] = leg[0]
+        found += chosen(waits, into, now)
+        taken |= {i: when[i] for _, i in found}
+        # A leg in that lies two windows back is asked for by no leg out to come, nor by one that waits.
+        kept = [(i, at) for i, at in taken.items() if at >= now - 2 * self.seconds]
+        waiting = now - legs["at"] <= self.seconds
+        rest = legs[(legs["out"] & waiting) | (~legs["out"] & (legs["at"] >= now - 2 * self.seconds) & ~legs["id"].isin(list(taken)))]
+        self.legs.put([packed(rest, LEGS)]) if len(rest) else self.legs.clear()
+        self.used.put(kept) if kept else self.used.clear()
+        if len(rest):
+            first_out, first_in = rest.loc[rest["out"], "at"].min(), rest.loc[~rest["out"], "at"].min() + self.seconds
+            self._wake(min(x for x in (first_out, first_in) if x == x))
+        yield pd.DataFrame([(key[0], o, i, f"pair-{o}") for o, i in found], columns=["asset", "out_id", "in_id", "pair_id"])
 
 
 def streamed_pairs(legs: DataFrame, window_hours: float = 48, delay: str = "1 day") -> DataFrame:
     """(asset, out_id, in_id, pair_id): each pair once, as soon as no earlier candidate can come. Rows over `delay` older than the newest are
-    left out, as late; null assets have no pair. Needs `STATE_STORE` as the session's state store."""
-    c = streamed_candidates(legs, window_hours, delay)
-    return c.groupBy("asset").transformWithStateInPandas(statefulProcessor=Choice(window_hours * 3600), outputStructType=PAIRS, outputMode="Append", timeMode="EventTime")
+    left out, as late; null assets have no pair. Needs `STATE_STORE` as the session's state store.
+
+    The state holds legs, not candidates, whose number grows with the square of the legs."""
+    t = legs.where("transaction_type = 'TRANSFER' and transfer_pair_id is null and amount > 0 and not isnan(amount) and id is not null and asset is not null and transfer_direction in ('OUT', 'IN')").withWatermark("timestamp", delay)
+    x = t.select("asset", "timestamp", (F.col("transfer_direction") == "OUT").alias("out"), (F.unix_micros("timestamp") / 1e6).alias("at"), "id", F.col("amount").cast("double").alias("amount"), F.col("source").alias("mark"))
+    return x.groupBy("asset").transformWithStateInPandas(statefulProcessor=Choice(window_hours * 3600), outputStructType=PAIRS, outputMode="Append", timeMode="EventTime")
 
 
 def replayed(ledger: DataFrame, folder: str, window_hours: float = 48, delay: str = "1 day") -> DataFrame:
@@ -98,7 +115,7 @@ def replayed(ledger: DataFrame, folder: str, window_hours: float = 48, delay: st
     one = spark.newSession()
     one.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     columns = ["id", "asset", "source", "timestamp", "amount", "transaction_type", "transfer_direction", "transfer_pair_id"]
-    legs = ledger.select(*columns)
+    legs = ledger.where("transaction_type = 'TRANSFER'").select(*columns)  # other rows pair with nothing and need not be written
     legs.write.parquet(f"{folder}/legs")
     end = legs.agg(F.max("timestamp").alias("t")).where("t is not null").select((F.col("t") + F.expr("interval 400 days")).alias("timestamp"), F.explode(F.array(F.lit("OUT"), F.lit("IN"))).alias("transfer_direction"))
     end = end.select(F.concat(F.lit("end-"), "transfer_direction").alias("id"), F.concat(F.lit("end-"), "transfer_direction").alias("asset"), F.lit("").alias("source"), "timestamp", F.lit(1.0).alias("amount"), F.lit("TRANSFER").alias("transaction_type"), "transfer_direction", F.lit(None).cast("string").alias("transfer_pair_id"))
