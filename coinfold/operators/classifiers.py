@@ -207,12 +207,14 @@ def timezone_copies(ledger: DataFrame) -> DataFrame:
     A row that goes hides no other: of a chain an hour apart each, every second one goes.
     """
     key = ["source", "asset", "transaction_type", "amount", "fiat_value_at_trigger", "counter_asset", "transfer_direction"]
+    # Rows of other venues repeat nothing and stay where they lie.
+    some = F.coalesce(F.col("source").isin("binance", "exchange"), F.lit(True))
     w = Window.partitionBy(*key).orderBy("timestamp", "seq", "id")
     gap = F.unix_timestamp("timestamp") - F.unix_timestamp(F.lag("timestamp").over(w))
-    x = ledger.withColumn("_next", _yes((gap >= 3500) & (gap <= 3700)) & F.col("source").isin("binance", "exchange"))
+    x = ledger.where(some).withColumn("_next", _yes((gap >= 3500) & (gap <= 3700)) & F.col("source").isin("binance", "exchange"))
     x = x.withColumn("_run", F.sum((~F.col("_next")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     place = F.row_number().over(Window.partitionBy(*key, "_run").orderBy("timestamp", "seq", "id"))
-    return x.withColumn("_place", place).where(F.col("_place") % 2 == 1).drop("_next", "_run", "_place")
+    return ledger.where(~some).unionByName(x.withColumn("_place", place).where(F.col("_place") % 2 == 1).select(*ledger.columns))
 
 
 def normalise(ledger: DataFrame, forks: DataFrame | None = None, lending_policy: str = "cgt_disposal", lp_policy: str = "cgt_disposal", **mints) -> DataFrame:

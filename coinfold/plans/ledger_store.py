@@ -88,8 +88,18 @@ class LedgerStore:
 
     def commit(self, ledger: DataFrame, imports: DataFrame, base: int | None, note: str = "") -> int:
         """Writes a version on top of `base` (null: an empty store) and returns its number."""
+        return self._commit(self._draft(ledger)[0], imports, base, note)
+
+    def _draft(self, ledger: DataFrame) -> tuple[str, DataFrame]:
+        """Writes a ledger as a snapshot that no version names yet; its name, and its rows."""
         snapshot = uuid.uuid4().hex
         conform(ledger).write.parquet(f"{self.path}/snapshots/{snapshot}/ledger")
+        return snapshot, self.spark.read.schema(LEDGER).parquet(f"{self.path}/snapshots/{snapshot}/ledger")
+
+    def _discard(self, snapshot: str) -> None:
+        self._fs.delete(self._at("snapshots", snapshot), True)
+
+    def _commit(self, snapshot: str, imports: DataFrame, base: int | None, note: str) -> int:
         imports.write.parquet(f"{self.path}/snapshots/{snapshot}/imports")
         return self._name(snapshot, base, note)
 
@@ -156,18 +166,20 @@ def fingerprint(ledger: DataFrame) -> tuple[int, int]:
 
 def settled(ledger: DataFrame, rewrites: Sequence[Rewrite], passes: int = 6) -> DataFrame:
     """The ledger after the rewrites, passed over it until a pass changes nothing; two passes are the least, for a rewrite may open what an
-    earlier one closes. Raises if it doesn't settle."""
-    now, before = stored(conform(ledger)), None
-    for _ in range(passes):
+    earlier one closes. Raises if it doesn't settle. A table that `stored` gave; `ledger` is read several times: cut it if it is dear."""
+    now, before = conform(ledger), None
+    for n in range(passes):
         x = now
         for r in rewrites:
             x = r(x)
-        old, now = now, stored(conform(x))
-        mark = fingerprint(now)
-        drop_stored(old)
-        if mark == before:
+        x = conform(x)
+        # A pass that changes nothing isn't written.
+        if n and fingerprint(x) == before:
             return now
-        before = mark
+        old, now = now, stored(x)
+        before = fingerprint(now)
+        if n:
+            drop_stored(old)
     raise RuntimeError(f"not settled after {passes} passes")
 
 
@@ -189,22 +201,32 @@ def import_batch(
     nothing is changed: import again.
     """
     base = (store.versions() or [None])[-1]
-    present = stored(store.read().limit(0) if replace else store.load())
+    present = store.read().limit(0) if replace else store.load()
     real = present if demo is None else W.without_demo(present, demo)
-    rows = stored(deduplicated(W.tagged(conform(batch), import_id, label or None)))
+    sent = stored(W.tagged(conform(batch), import_id, label or None))
+    rows = stored(deduplicated(sent))
+    drop_stored(sent)
     novel = stored(novel_rows(rows, real))
     n, added = rows.count(), novel.count()
+    drop_stored(rows)
     if not added and not replace:
+        drop_stored(novel)
         return Imported(base, 0, n, present.count())
-    merged = stored(deduplicated(settled(real.unionByName(novel), rewrites)))
+    whole = settled(real.unionByName(novel), rewrites)
+    snapshot, merged = store._draft(deduplicated(whole))
+    drop_stored(whole)
     if not replace and fingerprint(merged) == fingerprint(present):
+        store._discard(snapshot)
+        drop_stored(novel)
         return Imported(base, 0, n, present.count())
     span = novel.agg(F.min("timestamp").alias("data_start"), F.max("timestamp").alias("data_end"), F.count("*").alias("n_rows"))
     entry = span.select(F.lit(import_id).alias("import_id"), F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.lit(chain).cast("string").alias("chain"), F.lit(address).cast("string").alias("address"), F.current_timestamp().alias("imported_at"), "data_start", "data_end", "n_rows")
     earlier = store.imports().limit(0) if replace else store.imports().where(F.col("import_id") != import_id)
     # Imports of which no row is left are forgotten.
     imports = earlier.unionByName(entry).join(merged.select("import_id").distinct(), "import_id", "left_semi").coalesce(1)
-    return Imported(store.commit(merged, imports, base, f"import {import_id}"), added, n - added, merged.count())
+    version, total = store._commit(snapshot, imports, base, f"import {import_id}"), merged.count()
+    drop_stored(novel)
+    return Imported(version, added, n - added, total)
 
 
 def disconnect(store: LedgerStore, import_id: str) -> Imported:
